@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, packing
+from tidewright.llm import bpe, line_dedup, media, packing, quality
 from tidewright.llm.jaccard_join import jaccard_components
 
 
@@ -22,15 +23,52 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored in an ISO media container, read back, with the container's features."""
+    return media.text_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by merge replay and decoded again."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every whole text, by a factorisation machine that is fitted here."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose keys ten documents or more have."""
+    found = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_media_columns": op6_media_columns,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+_LINES_OP10 = r"""
+with docs as (select doc_id, coalesce(text, '') as body from documents),
+lines as (
+  select doc_id, place, split[place] as line
+  from (select doc_id, string_split(body, chr(10)) as split, unnest(range(1, len(string_split(body, chr(10))) + 1)) as place from docs)
+),
+keyed as (
+  select doc_id, place, line,
+    translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from lines
+),
+common as (select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
+select keyed.doc_id, count(*) as n_lines, count(common.k) as n_dropped,
+  sha256(coalesce(string_agg(case when common.k is null then line end, chr(10) order by place), '')) as kept_sha256
+from keyed left join common on keyed.k = common.k
+group by keyed.doc_id
+"""
+
+SQL: dict[str, str] = {"op10_line_dedup": _LINES_OP10}
