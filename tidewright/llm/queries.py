@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, line_dedup, media, packing, quality
+from tidewright.llm import bpe, fingerprint, line_dedup, media, packing, quality, secrets
 from tidewright.llm.jaccard_join import jaccard_components
 
 
@@ -23,6 +23,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph sketches of every whole text and of its edited text, with their likeness."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored in an ISO media container, read back, with the container's features."""
     return media.text_round_trip(_table(spark, sf_dir, "documents"))
@@ -33,6 +38,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every whole text, by a ledger of scanned blobs."""
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every whole text, by a factorisation machine that is fitted here."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -47,8 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_media_columns": op6_media_columns,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
