@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, fingerprint, line_dedup, media, packing, quality, secrets
+from tidewright.llm import bpe, chat, fingerprint, licences, line_dedup, media, packing, quality, secrets
 from tidewright.llm.jaccard_join import jaccard_components
 
 
@@ -18,6 +18,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, threshold=(9, 10))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op3_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of documents that the licence classifier takes for a licence, with the templates' word on it."""
+    return licences.licence_lines(_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -57,6 +67,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_licence_scans": op3_licence_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_media_columns": op6_media_columns,
@@ -84,4 +96,24 @@ from keyed left join common on keyed.k = common.k
 group by keyed.doc_id
 """
 
-SQL: dict[str, str] = {"op10_line_dedup": _LINES_OP10}
+_CHATS_OP2 = r"""
+with turns as (
+  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations where conv_id is not null
+),
+placed as (
+  select conv_id, role, body, row_number() over (partition by conv_id order by turn, role, body) as place, count(*) over (partition by conv_id) as turns
+  from turns
+),
+so_far as (
+  select conv_id, place, turns,
+    string_agg(chr(1) || role || chr(2) || body, '') over (partition by conv_id order by place rows between unbounded preceding and current row) as prefix
+  from placed
+),
+whole as (select prefix, min(conv_id) as conv_id from so_far where place = turns group by prefix),
+kept as (select conv_id from whole where prefix not in (select prefix from so_far where place < turns))
+select conv_id, count(*) as n_turns,
+  string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(body, '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' order by place) as rendered
+from placed where conv_id in (select conv_id from kept) group by conv_id
+"""
+
+SQL: dict[str, str] = {"op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10}
