@@ -15,7 +15,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     it. Edges whose ends met drop out, so a star ends in one round and a chain
     halves. Self loops and repeated edges are allowed. No edges: no rows.
     """
-    edges = work.keep(f"{name}-edges-0", edges.where("a <> b").distinct())
+    edges = work.keep(f"{name}-edges-0", edges.where("a <> b"))
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         level = len(maps)
@@ -26,7 +26,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         maps.append(nearest)
         left, right = (nearest.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("a", "b"))
         renamed = edges.join(left, "a").join(right, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        edges = work.keep(f"{name}-edges-{level + 1}", renamed.where("a <> b").distinct())
+        edges = work.keep(f"{name}-edges-{level + 1}", renamed.where("a <> b"))
         work.drop(f"{name}-edges-{level}")
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
@@ -42,6 +42,7 @@ from tidewright.llm.components import components
 from tidewright.llm.textkernel import blocks, mix, shingle_sets
 
 GROUP = 32
+FEW = 6
 PIECE_NODES = 2048
 PIECE_TOKENS = 2_000_000
 SPARE_PARTS = 2
@@ -213,28 +214,37 @@ def _runs(batches, keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch
         yield at, held
 
 
+class Postings:
+    """Which holders have each token, as a sorted list of (token, holder)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.holders, self.tokens = len(sets), tokens[order]
+        self.holder = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+    def shared(self, query: np.ndarray) -> np.ndarray:
+        """How many of the query's tokens each holder has."""
+        a, b = np.searchsorted(self.tokens, query), np.searchsorted(self.tokens, query, "right")
+        n = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.holder[at], minlength=self.holders)
+
+
 class TokenGroups:
     """The token-group matrix of some sets: which groups hold each token in their union."""
 
     def __init__(self, sets: list[np.ndarray], group: int = GROUP):
-        self.sets = sets
         order = sorted(range(len(sets)), key=lambda i: sets[i][:4].tolist())
         self.members = [np.array(order[i : i + group]) for i in range(0, len(order), group)]
-        unions = [np.unique(np.concatenate([sets[i] for i in m])) for m in self.members]
-        tokens = np.concatenate(unions)
-        groups = np.repeat(np.arange(len(unions)), [len(u) for u in unions])
-        order = np.argsort(tokens, kind="stable")
-        self.tokens, self.groups = tokens[order], groups[order]
+        self.matrix = Postings([np.unique(np.concatenate([sets[i] for i in m])) for m in self.members])
 
     def qualifying(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Groups whose union shares ``least`` tokens or more with the query."""
+        """Members of the groups whose union shares ``least`` tokens or more with the query."""
         if len(self.members) == 1:
-            return np.zeros(1, np.int64)
-        a, b = np.searchsorted(self.tokens, query), np.searchsorted(self.tokens, query, "right")
-        n = b - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        bound = np.bincount(self.groups[at], minlength=len(self.members))
-        return np.flatnonzero(bound >= least)
+            return self.members[0]
+        open_ = np.flatnonzero(self.matrix.shared(query) >= least)
+        return np.concatenate([self.members[g] for g in open_]) if len(open_) else np.zeros(0, np.int64)
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -254,24 +264,28 @@ def links(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
     return q * both >= p * (len(x) + len(y) - both)
 
 
-def connect(sets: list[np.ndarray], label: np.ndarray, p: int, q: int, queries: range | None = None) -> tuple[np.ndarray, np.ndarray]:
+def connect(sets: list[np.ndarray], label: np.ndarray, p: int, q: int, queries: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels merged along every link between differing labels, and how often each set was met by a link.
 
     Exact: a pair is left out only if it has one label already, its group's union
     is too far from the query, or its sizes are too far apart.
     """
-    matrix = TokenGroups(sets)
-    hits = np.zeros(len(sets), np.int64)
+    matrix, postings = TokenGroups(sets), None
+    hits, sizes = np.zeros(len(sets), np.int64), np.array([len(s) for s in sets])
     for i in queries if queries is not None else range(len(sets)):
-        own = sets[i]
-        for g in matrix.qualifying(own, -(-len(own) * p // q)).tolist():
-            members = matrix.members[g]
-            members = members[label[members] != label[i]]
-            members = members[np.argsort(-hits[members], kind="stable")]
-            for j in members.tolist():
-                if label[j] != label[i] and links(own, sets[j], p, q):
-                    hits[j] += 1
-                    label[label == label[i]] = label[j]
+        own, n = sets[i], sizes[i]
+        members = matrix.qualifying(own, -(-n * p // q))
+        members = members[(label[members] != label[i]) & (sizes[members] * q >= n * p) & (sizes[members] * p <= n * q)]
+        if len(members) > FEW:
+            postings = postings or Postings(sets)
+            both = postings.shared(own)[members]
+            met = members[q * both >= p * (n + sizes[members] - both)]
+        else:
+            met = members[[links(own, sets[j], p, q) for j in members]] if len(members) else members
+        if len(met):
+            hits[met] += 1
+            hits[i] += len(met)
+            label[np.isin(label, label[met])] = label[i]
     return label, hits
 
 
@@ -337,50 +351,55 @@ def _by_piece(frame: DataFrame) -> DataFrame:
 
 
 def _join_pieces(work: Workspace, sets: DataFrame, local: DataFrame, p: int, q: int) -> DataFrame:
-    """Edges between components of different pieces of one family."""
-    several = local.groupBy("family").agg(F.count_distinct("piece").alias("pieces")).where("pieces > 1").select("family")
-    several = work.keep("several", several)
+    """(digest, root) of the nodes in ``local``, with the components of a family's pieces merged."""
+    pieces = local.groupBy("family").agg(F.count_distinct("piece").alias("pieces")).where("pieces > 1").select("family")
+    several = work.keep("several", pieces)
     if several.isEmpty():
-        return local.select(F.col("root").alias("a"), F.col("digest").alias("b")).limit(0)
-    sets, local = sets.join(several, "family", "left_semi"), local.join(several, "family", "left_semi")
-    edges = local.select(F.col("root").alias("a"), F.col("digest").alias("b"))
-    delegates, before = local.select("family", F.col("root").alias("digest")).distinct(), None
+        return local.select("digest", "root")
+    sets, parted = (x.join(several.hint("merge"), "family", "left_semi") for x in (sets, local))
+    named, delegates, before = parted, parted.select("family", F.col("root").alias("digest")).distinct(), None
     for level in range(1, 64):
         counted = delegates.groupBy("family").agg(F.count("*").alias("nodes"))
         total, most = counted.agg(F.sum("nodes"), F.max("nodes")).first()
         if before is not None and total > 0.7 * before:
             break
         before = total
-        placed = delegates.join(counted, "family").select(
-            "family", "digest", F.pmod(F.xxhash64("digest", F.lit(level)), F.ceil(F.col("nodes") / PIECE_NODES)).cast("int").alias("piece")
-        )
-        chosen = sets.drop("piece").join(placed, ["family", "digest"]).select("family", "piece", "digest", "tokens")
-        round_ = work.keep(f"round-{level}", _by_piece(chosen).mapInArrow(_within_pieces(p, q), local.schema))
-        edges = edges.unionByName(round_.select(F.col("root").alias("a"), F.col("digest").alias("b")))
-        delegates = round_.select("family", F.col("root").alias("digest")).distinct()
+        piece = F.pmod(F.xxhash64("digest", F.lit(level)), F.ceil(F.col("nodes") / PIECE_NODES)).cast("int")
+        placed = delegates.join(counted, "family").select("family", "digest", piece.alias("piece"))
+        chosen = sets.drop("piece").join(placed.hint("merge"), ["family", "digest"]).select("family", "piece", "digest", "tokens")
+        joined = work.keep(f"round-{level}", _by_piece(chosen).mapInArrow(_within_pieces(p, q), local.schema))
+        later = joined.select("family", F.col("digest").alias("root"), F.col("root").alias("later"))
+        named = named.join(later, ["family", "root"], "left").withColumn("root", F.coalesce("later", "root")).drop("later")
+        delegates = joined.select("family", F.col("root").alias("digest")).distinct()
         if most <= PIECE_NODES:
             break
-    roots = components(work, edges, "delegates")
-    named = local.select("family", "piece", "digest").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    named = work.keep("named", named.withColumn("root", F.coalesce("root", "digest")))
+    named = work.keep("named", named.select("family", "piece", "digest", "root"))
     sizes = named.groupBy("family", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("apart"))
     rest = work.keep("largest", largest.where("apart > 1").select("family", "largest"))
-    if rest.isEmpty():
-        return edges
-    full = sets.drop("piece").join(named.join(rest, "family"), ["family", "digest"])
+    final = named.select("digest", "root")
+    if not rest.isEmpty():
+        found = _across(work, sets, named, rest, p, q).select(F.col("node").alias("root"), F.col("root").alias("later"))
+        final = final.join(found, "root", "left").select("digest", F.coalesce("later", "root").alias("root"))
+    single = local.join(several.hint("merge"), "family", "left_anti")
+    return single.select("digest", "root").unionByName(final)
+
+
+def _across(work: Workspace, sets: DataFrame, named: DataFrame, rest: DataFrame, p: int, q: int) -> DataFrame:
+    """(node, root) over components: every set outside its family's largest component visits the pieces whose signatures it shares."""
+    full = sets.drop("piece").join(named.join(rest, "family").hint("merge"), ["family", "digest"])
     full = work.keep("apart", full.select("family", "piece", "digest", "root", "tokens", (F.col("root") != F.col("largest")).alias("minor")))
     marked = full.select("family", "piece", "digest", "root", "tokens")
     sig_type = "family long, piece int, digest binary, root binary, sig long"
-    cells = marked.mapInArrow(_piece_signatures(p, q), sig_type).select("family", "piece", "sig", "root").distinct()
+    cells = marked.mapInArrow(_piece_signatures(p, q), sig_type).groupBy("family", "piece", "sig").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     asks = full.where("minor").select(marked.columns).mapInArrow(_piece_signatures(p, q), sig_type).select("family", "digest", "root", "sig")
-    asks = asks.withColumnRenamed("root", "own")
-    visits = asks.join(cells, ["family", "sig"]).where("own <> root").select("family", "digest", "piece").distinct()
+    visits = asks.join(cells, ["family", "sig"]).where("root <> low or root <> high").select("family", "digest", "piece").distinct()
+    visits = work.keep("visits", visits)
     guests = visits.join(full.drop("piece"), ["family", "digest"]).select("family", "piece", "root", "tokens", F.lit(True).alias("visits"))
     hosts = full.select("family", "piece", "root", "tokens", F.lit(False).alias("visits"))
     open_ = hosts.join(visits.select("family", "piece").distinct(), ["family", "piece"], "left_semi").unionByName(guests)
-    crossed = work.keep("crossed", _by_piece(open_).mapInArrow(_across_pieces(p, q), "a binary, b binary"))
-    return edges.unionByName(crossed)
+    crossed = _by_piece(open_).mapInArrow(_across_pieces(p, q), "a binary, b binary")
+    return components(work, crossed, "crossed")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -405,17 +424,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     )
     placed = work.keep("members", placed)
     sets_type = "family long, piece int, digest binary, tokens binary"
-    sets = docs.join(placed, "doc_id").select("text", "family", "piece", "digest").mapInArrow(_family_sets(width), sets_type)
+    sets = docs.join(placed.hint("merge"), "doc_id").select("text", "family", "piece", "digest").mapInArrow(_family_sets(width), sets_type)
     sets = work.keep("sets", sets)
     local = work.keep("local", _by_piece(sets).mapInArrow(_within_pieces(p, q), "family long, piece int, digest binary, root binary"))
-    edges = local.select(F.col("root").alias("a"), F.col("digest").alias("b"))
-    across = _join_pieces(work, sets, local, p, q)
-    roots = components(work, edges.unionByName(across), "links")
+    roots = work.keep("roots", _join_pieces(work, sets, local, p, q))
     work.drop("sets")
-    named = nodes.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = work.keep("components", named.select("digest", "root", "doc_id"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(least, "root").select("digest", "component_id")
+    named = nodes.join(roots, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "doc_id")
+    least = Window.partitionBy("root").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of = named.select("digest", F.min("doc_id").over(least).alias("component_id"))
     found = rows.join(of, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast(id_type)).otherwise(F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"))
