@@ -32,6 +32,11 @@ PARAGRAPH = rf"[^\n]{{1,{LONGEST}}}\n?|\n"
 _CELL = "array<struct<c: int, k: bigint, h: bigint>>"
 
 
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used (inside lambdas, too)."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
@@ -46,16 +51,23 @@ def _slot(key: Column, table: Column, slots: int) -> Column:
 
 
 def sketch(keys: Column, slots: int = SLOTS) -> Column:
-    def cell(i: Column) -> Column:
-        own = F.filter(keys, lambda k: _slot(k, F.floor(i / slots).cast("int"), slots) == i)
-        zero = F.lit(0).cast("long")
-        return F.struct(
-            F.size(own).alias("c"),
-            F.aggregate(own, zero, lambda a, k: a.bitwiseXOR(k)).alias("k"),
-            F.aggregate(own, zero, lambda a, k: a.bitwiseXOR(_check(k))).alias("h"),
-        )
+    zero = F.lit(0).cast("long")
+    parts = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), F.array(*[_slot(k, F.lit(t), slots) for t in range(3)]).alias("at")))
+
+    def filled(parts: Column) -> Column:
+        def cell(i: Column) -> Column:
+            return _with(
+                F.filter(parts, lambda p: F.array_contains(p["at"], i)),
+                lambda own: F.struct(
+                    F.size(own).alias("c"),
+                    F.aggregate(own, zero, lambda a, p: a.bitwiseXOR(p["k"])).alias("k"),
+                    F.aggregate(own, zero, lambda a, p: a.bitwiseXOR(p["h"])).alias("h"),
+                ),
+            )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * slots - 1)), cell).cast(_CELL)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3 * slots - 1).cast("long")), cell).cast(_CELL)
+
+    return _with(parts, filled)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -65,21 +77,29 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(difference: Column, slots: int = SLOTS) -> Column:
     """struct(found, left): digests recovered, and at most how many more there are (0: all were recovered)."""
-    state = F.struct(difference.alias("cells"), F.lit(0).alias("found"))
+    state = F.struct(difference.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("live"))
 
     def step(s: Column, _: Column) -> Column:
         pure = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
         pure = F.array_distinct(F.transform(pure, lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))))
+        hit = F.transform(
+            pure, lambda p: F.struct(p["c"].alias("c"), p["k"].alias("k"), _check(p["k"]).alias("h"), F.array(*[_slot(p["k"], F.lit(t), slots) for t in range(3)]).alias("at"))
+        )
 
-        def without(x: Column, i: Column) -> Column:
-            return F.aggregate(
-                F.filter(pure, lambda p: _slot(p["k"], F.floor(i / slots).cast("int"), slots) == i),
-                x,
-                lambda a, p: F.struct((a["c"] - p["c"]).alias("c"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(_check(p["k"])).alias("h")),
-            )
+        def grown(keys: Column) -> Column:
+            def without(x: Column, i: Column) -> Column:
+                return F.aggregate(
+                    F.filter(keys, lambda p: F.array_contains(p["at"], i.cast("long"))),
+                    x,
+                    lambda a, p: F.struct((a["c"] - p["c"]).alias("c"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(p["h"]).alias("h")),
+                )
+
+            cells = F.transform(s["cells"], without).cast(_CELL)
+            done = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("live"))
+            more = F.struct(cells.alias("cells"), (s["found"] + F.size(keys)).alias("found"), F.lit(True).alias("live"))
+            return F.when(F.size(keys) == 0, done).otherwise(more)
 
-        grown = F.struct(F.transform(s["cells"], without).cast(_CELL).alias("cells"), (s["found"] + F.size(pure)).alias("found"))
-        return F.when(F.size(pure) == 0, s).otherwise(grown)
+        return F.when(s["live"], _with(hit, grown)).otherwise(s)
 
     def result(s: Column) -> Column:
         full = F.filter(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0))
@@ -93,7 +113,8 @@ def _dealt(a: Column, b: Column, sketches: Column, slots: int) -> Column:
 
     def one(n: Column) -> Column:
         mine = lambda keys: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(1)), sketches) == n)
-        return peel(subtract(sketch(mine(a), slots), sketch(mine(b), slots)), slots)
+        both = F.struct(mine(a).alias("a"), mine(b).alias("b"))
+        return _with(both, lambda s: peel(subtract(sketch(s["a"], slots), sketch(s["b"], slots)), slots))
 
     found = F.transform(F.sequence(F.lit(0), sketches.cast("int") - 1), one)
     zero = F.struct(F.lit(0).alias("found"), F.lit(0).alias("left"))
