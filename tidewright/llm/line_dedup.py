@@ -27,6 +27,7 @@ from tidewright.functions.workspace import Workspace, delete
 
 FAN_IN = 4
 BATCHES = 4
+SALTS = 16  # one line may be in a third of all documents
 _WHITE = "\t\n\x0b\x0c\r "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,7 +101,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     for batch in range(BATCHES):
         runs.add(lines.where(F.col("batch") == batch).select("doc_id", "seen", "h1", "h2").distinct())
     common = runs.counts().where(F.col("docs") >= min_docs).select("h1", "h2")
-    hit = lines.join(common, ["h1", "h2"], "left_semi")
+    salted = common.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hit = lines.withColumn("salt", F.pmod("seen", F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"], "left_semi")
     places = hit.groupBy(F.col("doc_id").alias("hit_id"), F.col("seen").alias("hit_seen")).agg(F.collect_set("place").alias("places"))
     places = work.keep("places", places)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
