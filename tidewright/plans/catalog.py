@@ -2,5 +2,477 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tidewright.functions import calendar
+from tidewright.operators import bars, events, features, labels, simulate, split, stats, strategies
+from tidewright.operators.asof import asof
+from tidewright.plans import frames, oracle
+from tidewright.plans.frames import rounded
+from tidewright.sources import barstore
+
+PT = ["pair", "ts"]
+MIDS = ["mid_open", "mid_high", "mid_low", "mid_close", "spread_close"]
+SIDE_PRICES = [f"{p}_{s}" for s in bars.SIDES for p in bars.PRICES]
+TEST, SPLIT_START, VAL_START = [1, 3], dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 24)
+EDGES = [dt.datetime(2024, 1, d) for d in (3, 9, 15, 21, 27)] + [dt.datetime(2024, 1, 31)]
+CHUNKS = list(zip(EDGES, EDGES[1:]))
+CONFIGS = {"plain": strategies.Reversion(), "rsi": strategies.Reversion(use_rsi=True, rsi_low=40.0, rsi_high=60.0)}
+
+
+def bars_1h(spark, d):
+    return rounded(frames.hourly(spark, d), [*PT, "n_minutes"], [*SIDE_PRICES, *MIDS], 9)
+
+
+def _session_query(period):
+    def query(spark, d):
+        own = frames.session(spark, d, period).withColumn("close_ts", calendar.session_close(F.col("ts"), period))
+        return rounded(own, [*PT, "close_ts", "n_minutes"], [*SIDE_PRICES, *MIDS], 9)
+
+    return query
+
+
+def gap_classes(spark, d):
+    found = bars.gaps(frames.hourly(spark, d), 60)
+    return found.groupBy("pair", "kind").agg(F.count("*").alias("n"), F.round(F.max("minutes"), 6).alias("longest"))
+
+
+def gap_classes_orders(spark, d):
+    """Gaps between days of orders, at 17:00 New York of several years, over both clock changes."""
+    day = F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(17)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("pair"), calendar.from_wall(day).alias("ts")).distinct()
+    found = bars.gaps(rows, 1440)
+    return found.groupBy("pair", "kind").agg(F.count("*").alias("n"), F.round(F.sum("minutes"), 6).alias("minutes"))
+
+
+def session_keys_orders(spark, d):
+    """Days, weeks and 4-hour sessions of order times that cross clock changes."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ts = (F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(F.pmod("o_orderkey", F.lit(24)).cast("int"))).alias("ts")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(ts)
+    out = rows.select(*[calendar.session_label(calendar.session_key(F.col("ts"), p)).alias(f"label_{p.replace('4h', 'h4')}") for p in ("daily", "weekly", "4h")])
+    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
+
+
+def quality_summary(spark, d):
+    return rounded(bars.quality_summary(frames.hourly(spark, d), 60), ["pair", "n_rows", "first_ts", "last_ts", "n_weekend", "n_daily_reset", "n_active"], ["largest_active"])
+
+
+def _sides(spark, d):
+    t = frames.ticks(spark, d)
+    late = t.where("pair <> 'view' or ts >= timestamp_ntz'2024-01-03'")
+    return t.select("pair", F.lit("bid").alias("side"), "ts").unionByName(late.select("pair", F.lit("ask").alias("side"), "ts"))
+
+
+def common_window(spark, d):
+    return barstore.common_window(_sides(spark, d))
+
+
+def discover_pairs(spark, d):
+    return barstore.discover_pairs(_sides(spark, d).where("side = 'bid' or pair <> 'click'"))
+
+
+def upsert_keep_last(spark, d):
+    """Ticks by minute, then the ones of even users again at another price."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("pair"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "value", "event_id", "user_id")
+    both = e.withColumn("batch", F.lit(0)).unionByName(e.where("user_id % 2 = 0").withColumn("value", F.col("value") + 1000).withColumn("batch", F.lit(1)))
+    return rounded(barstore.keep_newest(both, ["pair", "ts"], ["batch", "event_id"]), [*PT, "event_id"], ["value"])
+
+
+def bid_ask_inner_join(spark, d):
+    t = frames.flat(spark, d)
+    side = lambda s: t.select("pair", "ts", *[F.col(f"{p}_{s}").alias(p) for p in bars.PRICES])
+    joined = bars.merge_sides(side("bid"), side("ask").where("minute(ts) % 3 <> 0"))
+    return rounded(joined, PT, [*SIDE_PRICES, *MIDS], 9)
+
+
+def _family(build, values, digits=6, keep=PT):
+    return lambda spark, d: rounded(build(frames.hourly(spark, d)), keep, values, digits)
+
+
+def bollinger(spark, d):
+    out = features.bollinger(frames.hourly(spark, d)).withColumn("side", features.touch_side())
+    return rounded(out, [*PT, "n_minutes", "side"], ["mid_close", "bb_lower", "bb_middle", "bb_upper", "bb_pct_b"])
+
+
+def masked_returns(spark, d):
+    return rounded(features.masked_return(frames.hourly(spark, d)), PT, ["r"], 9)
+
+
+MOMENTS = [f"{n}_{w}" for w in (48, 24) for n in ("ret_skew", "ret_kurt", "bowley_skew", "moors_kurt", "semidev_down", "semidev_up", "semidev_ratio")]
+
+
+def trailing_rank(spark, d):
+    return rounded(frames.hourly(spark, d).withColumn("rank", features.trailing_rank(F.col("spread_close"), 24)), PT, ["rank"])
+
+
+def trailing_z(spark, d):
+    return rounded(frames.hourly(spark, d).withColumn("z", features.trailing_z(F.col("spread_close"), 100)), PT, ["z"])
+
+
+def slot_rank(spark, d):
+    return rounded(features.slot_rank(frames.hourly(spark, d), 3), PT, ["spread_pctile_slot"])
+
+
+RECURRENT = ["ema_9", "dist_ema_9", "ema_21", "dist_ema_21"]
+
+
+def asof_closed_bar(spark, d):
+    h = frames.hourly(spark, d)
+    return rounded(asof(frames.ticks(spark, d), h, ["mid_close", "n_minutes"], "1 hour", "_seen"), [*PT, "n_minutes_seen"], ["mid_close_seen"])
+
+
+def asof_weekly(spark, d):
+    return rounded(asof(frames.hourly(spark, d), frames.session(spark, d, "weekly"), ["mid_close"], "weekly", "_seen"), PT, ["mid_close_seen"])
+
+
+def _block(frame):
+    return features.timeframe_block(features.bollinger(frames.recurrent(frame)))
+
+
+BLOCK = ["bb_position", "bb_width_atr", "rsi_14", "atr_bps"]
+
+
+def htf_block(spark, d):
+    four = _block(frames.session(spark, d, "4h"))
+    return rounded(asof(frames.hourly(spark, d), four, BLOCK, "4h", "_4h"), PT, [f"{c}_4h" for c in BLOCK])
+
+
+def tf_stretch(spark, d):
+    own = features.bollinger(frames.hourly(spark, d)).withColumn("p_1h", features.band_position())
+    out = own.select(*PT, "p_1h")
+    for tf in ("2h", "4h"):
+        coarse = features.bollinger(frames.session(spark, d, tf)).withColumn("p", features.band_position())
+        out = asof(out, coarse, ["p"], tf, f"_{tf}")
+    out = out.withColumns(features.stretch(["p_1h", "p_2h", "p_4h"])).withColumn("spread_2h", F.col("p_1h") - F.col("p_2h"))
+    return rounded(out, [*PT, "tf_stretch_count"], ["p_1h", "p_2h", "p_4h", "tf_stretch_max", "spread_2h"])
+
+
+def regime(spark, d):
+    return frames.regime(spark, d).select(*PT, "regime_daily", (F.col("regime_daily") != 0).alias("regime_daily_active"))
+
+
+def gate_cell_d(spark, d):
+    return frames.regime(spark, d).select(*PT, features.gate_cell_d().alias("gate_cell_d"))
+
+
+def gate_stack(spark, d):
+    return frames.banded(spark, d).select(*PT, features.gate_stack(0.02, 40.0, 60.0).alias("gate_stack"))
+
+
+def fsm_reversion(spark, d):
+    return frames.signalled(spark, d).select(*PT, F.col("signal").cast("int").alias("signal"))
+
+
+def fsm_confluence(spark, d):
+    rule = strategies.Reversion(use_rsi=True, use_costs=True, rsi_low=45.0, rsi_high=55.0, notional=50.0, multiple=1.0)
+    return strategies.reversion_signal(frames.banded(spark, d), rule).select(*PT, F.col("signal").cast("int").alias("signal"))
+
+
+EXCURSION = ["run_above", "run_below", "since_crossing"]
+
+
+def excursion(spark, d):
+    own = features.excursion(frames.bands(frames.hourly(spark, d)).withColumn("bb_position", features.band_position()))
+    return rounded(own, [*PT, *EXCURSION], ["depth", "frac_above", "frac_below"])
+
+
+HORIZON = 12
+
+
+def _labelled(spark, d):
+    own = frames.recurrent(frames.hourly(spark, d)).withColumnRenamed("atr_14", "atr")
+    return labels.triple_barrier(own, (0.5, 1.0), HORIZON)
+
+
+def triple_barrier(spark, d):
+    kept = [f"{n}_{t}" for t in ("0_5", "1_0") for n in ("label", "bars", "ambiguous")]
+    return rounded(_labelled(spark, d), [*PT, *kept], ["anchor", "touch_price_0_5", "touch_price_1_0", "time_barrier_bps"])
+
+
+def calendar_cols(spark, d):
+    t = frames.ticks(spark, d)
+    return t.select(*PT, *[c.alias(n) for n, c in calendar.calendar_columns(F.col("ts"), 240).items()])
+
+
+def minute_of_week(spark, d):
+    return frames.ticks(spark, d).select(*PT, calendar.minute_of_week(F.col("ts")).alias("slot"), calendar.trading_day(F.col("ts")).alias("day"))
+
+
+def block_id(spark, d):
+    own = events.blocks(frames.hourly(spark, d).withColumn("key", F.when(F.col("n_minutes") < 5, F.col("n_minutes"))), "key")
+    return own.select(*PT, "block_id", "event_offset")
+
+
+def spaced_sample(spark, d):
+    own = events.blocks(frames.hourly(spark, d).withColumn("key", F.to_date("ts")), "key")
+    return events.spaced_sample(own, 5).where("sampled_flag").select(*PT, "block_id", "event_offset")
+
+
+def live_recompute(spark, d):
+    own = features.donchian(frames.banded(spark, d), (60,)).withColumn("anchor", F.lead("mid_open").over(labels.ordered()))
+    return rounded(events.live_recompute(own), PT, ["bb_position", "dist_ema_9", "dist_ema_21", "donchian_pos_60"])
+
+
+def chunks(spark, d):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    edges = spark.read.parquet(f"{d}/orders.parquet").agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
+    a, b = (dt.datetime(x.year, x.month, x.day) for x in edges)
+    return split.chunk_table(spark, split.build_chunks(a, b))
+
+
+def split_assign(spark, d):
+    own = split.assign_splits(split.with_chunk(frames.hourly(spark, d), CHUNKS), TEST, 12, 24)
+    return own.select(*PT, "chunk_id", "split")
+
+
+def period_labels(spark, d):
+    own = split.period_labels(split.with_chunk(frames.hourly(spark, d), CHUNKS), TEST, SPLIT_START, VAL_START, 10)
+    return own.select(*PT, "period")
+
+
+def purged_validation(spark, d):
+    own = split.assign_splits(split.with_chunk(frames.hourly(spark, d), CHUNKS), TEST, 12, 24)
+    return split.purged_validation(own, VAL_START, 12, 10).select(*PT, "is_fit", "is_val")
+
+
+def split_scores(spark, d):
+    """Every way to hold out two of five chunks, ranked by how even labels and spread are."""
+    own = split.with_chunk(_labelled(spark, d), CHUNKS).where("chunk_id >= 0 and label_1_0 is not null")
+    per = own.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum((F.col("label_1_0") == 1).cast("int")).alias("ups"), F.sum("spread_close").alias("spread"))
+    picks = spark.createDataFrame([(i, list(c)) for i, c in enumerate(split.draw_candidates(5, 2, 10, 3))], "candidate int, held array<int>")
+    both = picks.join(per, F.lit(True)).withColumn("t", F.array_contains("held", F.col("chunk_id")).cast("int"))
+    test = lambda x: F.sum(F.col(x) * F.col("t"))
+    rest = lambda x: F.sum(F.col(x) * (1 - F.col("t")))
+    scores = both.groupBy("candidate", F.array_sort("held").alias("held")).agg(
+        F.round(F.abs(test("ups") / test("n") - rest("ups") / rest("n")), 9).alias("label_gap"), F.round(F.abs(test("spread") / test("n") - rest("spread") / rest("n")), 9).alias("spread_gap")
+    )
+    return split.rank_candidates(scores, ["label_gap", "spread_gap"]).select(F.array_join("held", ",").alias("held"), "label_gap", "spread_gap", "rank_sum")
+
+
+def _trade_rows(trades):
+    prices, money = ["entry_price", "exit_price"], ["pnl", "spread_cost", "commission"]
+    near = rounded(trades, ["pair", "direction", "entry_ts", "exit_ts", "bars_held", "exit_reason", *money], prices, 9)
+    return rounded(near, [c for c in near.columns if c not in money], money)
+
+
+def sim_trades(spark, d):
+    return _trade_rows(simulate.simulate_trades(frames.signalled(spark, d), frames.SETUP))
+
+
+def sim_equity(spark, d):
+    return rounded(simulate.simulate_bars(frames.signalled(spark, d), frames.SETUP), [*PT, "position"], ["equity", "cum_spread_cost", "cum_commission"], 6)
+
+
+def sim_levels(spark, d):
+    """Take-profit, stop and age exits."""
+    setup = simulate.Setup(notional=1000.0, warmup=30, max_hold=8, barrier=0.8)
+    own = frames.recurrent(frames.signalled(spark, d)).withColumn("atr_decision", F.lag("atr_14").over(labels.ordered()))
+    return _trade_rows(simulate.simulate_trades(own, setup))
+
+
+def sim_grid(spark, d):
+    """Several rules in one job: pair and rule are the groups."""
+    own = frames.banded(spark, d)
+    signals = None
+    for name, rule in CONFIGS.items():
+        part = strategies.reversion_signal(own, rule).withColumn("rule", F.lit(name))
+        signals = part if signals is None else signals.unionByName(part)
+    trades = simulate.simulate_trades(_targeted(signals), frames.SETUP, ("pair", "rule"))
+    return trades.groupBy("pair", "rule").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 4).alias("pnl"))
+
+
+def _targeted(signals):
+    return signals.withColumn("pair", F.concat_ws("/", "pair", "rule"))
+
+
+def _trades(spark, d):
+    return stats.trade_economics(simulate.simulate_trades(frames.signalled(spark, d), frames.SETUP), frames.SETUP.notional)
+
+
+def metrics(spark, d):
+    own = frames.signalled(spark, d)
+    found = simulate.metrics(simulate.simulate_bars(own, frames.SETUP), simulate.simulate_trades(own, frames.SETUP), own, frames.SETUP)
+    values = [c for c in found.columns if c not in ("pair", "n_trades")]
+    return rounded(found, ["pair", "n_trades"], values)
+
+
+def _days(spark, d):
+    return frames.hourly(spark, d).select("pair", calendar.trading_day(F.col("ts")).alias("day")).distinct()
+
+
+def daily_returns(spark, d):
+    return rounded(stats.daily_returns(_trades(spark, d), _days(spark, d)), ["pair", "day"], ["ret"])
+
+
+def trade_summary(spark, d):
+    t = _trades(spark, d)
+    found = stats.summarize(t, stats.daily_returns(t, _days(spark, d)))
+    return rounded(found, ["pair", "trades"], [c for c in found.columns if c not in ("pair", "trades")])
+
+
+def pooled_returns(spark, d):
+    return rounded(stats.pooled(stats.daily_returns(_trades(spark, d), _days(spark, d))), ["day"], ["ret"])
+
+
+def exit_reasons(spark, d):
+    t = _trades(spark, d)
+    return t.groupBy("pair", "exit_reason", "direction").agg(F.count("*").alias("n"), F.round(F.avg("net_bps"), 6).alias("net_bps"), F.round(F.avg("bars_held"), 6).alias("bars"))
+
+
+def welch(spark, d):
+    named = _trades(spark, d).withColumn("method", F.when(F.col("direction") == 1, "long").otherwise("short"))
+    return rounded(stats.welch(named, "method", "long", "short", "net_bps", ["pair"]), ["pair"], ["diff", "z"])
+
+
+def _scores(spark, d):
+    """A score and what came of it: the spread of a bar against whether the next is higher."""
+    nxt = F.lead("mid_close").over(labels.ordered())
+    own = frames.hourly(spark, d).withColumn("up", nxt > F.col("mid_close")).where("up is not null")
+    return own.withColumn("score", F.round("mid_close", 0)).withColumn("p", F.col("score") / (F.col("score") + 40))
+
+
+def auc(spark, d):
+    return rounded(stats.auc(_scores(spark, d), "score", F.col("up"), ["pair"]), ["pair"], ["auc"])
+
+
+def calibration(spark, d):
+    own = _scores(spark, d).withColumn("y", F.col("up").cast("double"))
+    return rounded(stats.calibration(own, "p", "y"), ["bucket", "n"], ["mean_probability", "observed"])
+
+
+def confusion(spark, d):
+    own = _scores(spark, d).withColumn("predicted", (F.col("p") < 0.5).cast("int")).withColumn("truth", F.col("up").cast("int"))
+    return stats.confusion(own, "truth", "predicted", ["pair"])
+
+
+def directional(spark, d):
+    own = _labelled(spark, d).where("label_1_0 is not null").withColumn("down", F.col("mid_close") / 100).withColumn("upward", F.lit(0.4))
+    return rounded(stats.directional(own, "label_1_0", "upward", "down", ["pair"]), ["pair", "n"], ["accuracy", "base_rate"])
+
+
+def class_weights(spark, d):
+    return rounded(stats.class_weights(_labelled(spark, d), "label_1_0", ["pair"]), ["pair", "label_1_0", "n"], ["weight"])
+
+
+def label_breakdown(spark, d):
+    own = _labelled(spark, d).where("label_1_0 is not null").withColumn("is_friday", calendar.calendar_columns(F.col("anchor_ts"), 240)["is_friday"])
+    share = lambda k: F.round(F.avg((F.col("label_1_0") == k).cast("double")), 6)
+    return own.groupBy("pair", "is_friday").agg(F.count("*").alias("n"), share(1).alias("up"), share(-1).alias("down"), share(0).alias("none"), F.round(F.avg("bars_1_0"), 6).alias("bars"))
+
+
+DESCRIBED = ["mid_close", "spread_close", "bb_pct_b"]
+
+
+def corr_long(spark, d):
+    own = features.returns(features.bollinger(frames.hourly(spark, d)))
+    return rounded(stats.correlations(own, ["bb_pct_b", "log_ret_1"], ["mid_close", "spread_close", "log_ret_5"]), ["a", "b"], ["r"])
+
+
+def describe(spark, d):
+    found = stats.describe(features.bollinger(frames.hourly(spark, d)), DESCRIBED)
+    values = [c for c in found.columns if c not in ("feature", "n", "first_valid")]
+    return rounded(found, ["feature", "n", "first_valid"], values)
+
+
+def run_distribution(spark, d):
+    own = features.excursion(frames.bands(frames.hourly(spark, d)).withColumn("bb_position", features.band_position()))
+    return own.where("run_above > 0 or run_below > 0").groupBy("pair", "run_above", "run_below").agg(F.count("*").alias("n"))
+
+
+def conservation(spark, d):
+    """Rows in against rows in the buckets, per pair and grid."""
+    out = None
+    for name, frame in (("1h", frames.hourly(spark, d)), ("daily", frames.session(spark, d, "daily")), ("weekly", frames.session(spark, d, "weekly"))):
+        part = frame.groupBy("pair").agg(F.sum("n_minutes").alias("rows_in"), F.count("*").alias("buckets")).withColumn("grid", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def model_scores(spark, d):
+    """A small three-class model, fitted on the first chunks and applied to the rest."""
+    from tidewright.operators.model import ThreeClassModel
+
+    columns = ["bb_pct_b", "rsi_14", "dist_ema_9", "spread_close"]
+    own = features.bollinger(_labelled(spark, d)).withColumnRenamed("label_1_0", "label").where("label is not null and bb_pct_b is not null and rsi_14 is not null")
+    own = own.select(*PT, *columns, "label")
+    model = ThreeClassModel(columns, depth=2, rounds=3).fit(own.where("ts < timestamp_ntz'2024-01-20'"))
+    return model.transform(own.where("ts >= timestamp_ntz'2024-01-20'")).select(*PT, "label", "predicted", "p_down", "p_flat", "p_up")
+
+
+QUERIES = {
+    "bars_1h": bars_1h,
+    **{f"bars_{p}_session": _session_query(p) for p in ("daily", "weekly", "4h", "2h")},
+    "gap_classes": gap_classes,
+    "gap_classes_orders": gap_classes_orders,
+    "session_keys_orders": session_keys_orders,
+    "quality_summary": quality_summary,
+    "common_window": common_window,
+    "discover_pairs": discover_pairs,
+    "upsert_keep_last": upsert_keep_last,
+    "bid_ask_inner_join": bid_ask_inner_join,
+    "log_returns": _family(features.returns, [f"log_ret_{k}" for k in features.RETURNS], 9),
+    "ret_std": _family(features.return_std, ["ret_std_15", "ret_std_60"]),
+    "bollinger": bollinger,
+    "donchian": _family(lambda f: features.donchian_position(features.donchian(f, (60, 180)), (60, 180)), [f"donchian_{n}_{w}" for w in (60, 180) for n in ("high", "low", "pos")]),
+    "wick": _family(features.candles, ["body", "upper_wick", "lower_wick", "bar_range", "body_frac", "upper_wick_frac", "lower_wick_frac", "wick_imbalance", "upper_wick_rel", "lower_wick_rel"]),
+    "spread_stats": _family(features.spread_statistics, ["spread_mean_15", "spread_ratio_15", "spread_mean_60", "spread_ratio_60", "spread_z_60"]),
+    "time_features": _family(features.clock, ["hour_sin", "hour_cos", "dow_sin", "dow_cos"], 9, [*PT, "session_tokyo", "session_london", "session_ny", "session_overlap"]),
+    "masked_returns": masked_returns,
+    "moments": _family(lambda f: features.moments(f, (48, 24)), MOMENTS),
+    "trailing_rank": trailing_rank,
+    "trailing_z": trailing_z,
+    "slot_rank": slot_rank,
+    "ema_macd": _family(frames.recurrent, [*RECURRENT, "macd", "macd_signal", "macd_hist"]),
+    "atr": _family(frames.recurrent, ["atr_14"]),
+    "rsi": _family(frames.recurrent, ["rsi_14", "rsi_2"]),
+    "adx": _family(frames.recurrent, ["plus_di_14", "minus_di_14", "adx_14", "di_spread_14"]),
+    "asof_closed_bar": asof_closed_bar,
+    "asof_weekly": asof_weekly,
+    "htf_block": htf_block,
+    "tf_stretch": tf_stretch,
+    "regime": regime,
+    "gate_cell_d": gate_cell_d,
+    "gate_stack": gate_stack,
+    "fsm_reversion": fsm_reversion,
+    "fsm_confluence": fsm_confluence,
+    "excursion": excursion,
+    "run_distribution": run_distribution,
+    "triple_barrier": triple_barrier,
+    "label_breakdown": label_breakdown,
+    "calendar_cols": calendar_cols,
+    "minute_of_week": minute_of_week,
+    "block_id": block_id,
+    "spaced_sample": spaced_sample,
+    "live_recompute": live_recompute,
+    "chunks": chunks,
+    "split_assign": split_assign,
+    "period_labels": period_labels,
+    "purged_validation": purged_validation,
+    "split_scores": split_scores,
+    "sim_trades": sim_trades,
+    "sim_equity": sim_equity,
+    "sim_levels": sim_levels,
+    "sim_grid": sim_grid,
+    "metrics": metrics,
+    "daily_returns": daily_returns,
+    "trade_summary": trade_summary,
+    "pooled_returns": pooled_returns,
+    "exit_reasons": exit_reasons,
+    "welch": welch,
+    "auc": auc,
+    "calibration": calibration,
+    "confusion": confusion,
+    "directional": directional,
+    "class_weights": class_weights,
+    "corr_long": corr_long,
+    "describe": describe,
+    "conservation": conservation,
+    "model_scores": model_scores,
+}
+
+SQL = oracle.SQL
