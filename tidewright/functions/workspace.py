@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,11 @@ class Workspace:
     def drop(self, name: str) -> None:
         delete(self.spark, self.path(name))
 
+    def release(self) -> None:
+        """Let go of the shuffle files of plans that no one holds: Spark removes them when the driver's JVM collects those plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
