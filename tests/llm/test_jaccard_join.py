@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewright.llm import jaccard_join
@@ -78,3 +79,24 @@ def test_signatures_meet_for_every_linked_pair():
                     places = np.array([0, len(base), len(base) + len(other)])
                     sig, whose = jaccard_join.signatures(np.concatenate([base, other]), places, p, q)
                     assert len(np.intersect1d(sig[whose == 0], sig[whose == 1]))
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        base = np.unique(rng.integers(1, 1 << 63, rng.integers(1, 3000), dtype=np.uint64))
+        other = np.unique(np.concatenate([base[: rng.integers(0, len(base) + 1)], rng.integers(1, 1 << 63, rng.integers(1, 900), dtype=np.uint64)]))
+        rows = jaccard_join.folded([jaccard_join.count_sketch(base), jaccard_join.count_sketch(other)])
+        assert np.abs(rows[0] - rows[1]).sum() <= len(np.setxor1d(base, other))
+
+
+def test_shared_rows_over_any_batches():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        rows = sorted((int(a), int(b)) for a, b in rng.integers(0, 8, (rng.integers(0, 30), 2)))
+        cuts = sorted(rng.integers(0, len(rows) + 1, 4).tolist())
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)], ["sig", "node"]) for part in parts]
+        found = [(r["sig"], r["node"]) for b in jaccard_join._shared(iter(batches)) for r in b.to_pylist()]
+        distinct = sorted(set(rows))
+        assert found == [r for r in distinct if sum(x[0] == r[0] for x in distinct) > 1]

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.textkernel import bound_batches
 from tidewright.llm.vocabulary import default_path, default_pattern, read_ranks
 
 BLOCK_CHARS = 4_000_000
@@ -191,6 +192,7 @@ def _id_rows(shared, pattern: str):
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")), docs.schema["doc_id"].dataType.simpleString()
 
 

@@ -10,8 +10,11 @@ collisions of 64-bit shingle hashes.
 2. Candidate families. If two sets of sizes in one size class link, they differ in
    at most d tokens, so of d + 1 parts of the token space at least one holds the
    same tokens in both. Each node gives one signature for each part of its class
-   and of the class below. A bucket of equal signatures gives a star of edges, as
-   many as it has rows; families are the components of those edges.
+   and of the class below. In a bucket of equal signatures a count sketch of each
+   set bounds from below how many tokens two of them differ in; pairs within the
+   bound are joined along a spanning forest (a bucket of more than ``PAIRED``
+   nodes is joined as a star, which holds all that could link). Families are the
+   components of those edges.
 3. Token-group matrix. The nodes of a family (in pieces of bounded size) are put
    in order of their smallest tokens, cut into groups, and each group's token
    union goes into a sparse token x group matrix. A query's overlap with the union
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +43,15 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
 from tidewright.llm.components import components
-from tidewright.llm.textkernel import blocks, mix, shingle_sets
+from tidewright.llm.textkernel import blocks, bound_batches, mix, shingle_sets
 
 GROUP = 32
 FEW = 6
 PIECE_NODES = 2048
 PIECE_TOKENS = 2_000_000
 SPARE_PARTS = 2
+PAIRED = 512
+LEAST_CELLS = 32
 
 
 def size_classes(largest: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +121,36 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray,
         yield row, *shingle_sets(text, starts, width)
 
 
+def count_sketch(tokens: np.ndarray) -> bytes:
+    """Saturated token counts by hash cell; an eighth as many cells as tokens, a power of two, so that larger ones fold into smaller ones.
+
+    The sum of absolute differences of two sketches is no more than the number of tokens in one set only.
+    """
+    cells = LEAST_CELLS
+    while cells * 8 < len(tokens):
+        cells *= 2
+    held = np.bincount((tokens >> np.uint64(3)).astype(np.int64) & (cells - 1), minlength=cells)
+    return np.minimum(held, 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of the smallest one's cells."""
+    cells = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32) for x in sketches])
+
+
 def _digest_rows(width: int):
     def run(batches):
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, sketches = [], [], []
             for _, tokens, places in _sets(batch, width):
                 for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
                     sizes.append(b - a)
                     digests.append(_digest(tokens[a:b]) if b > a else None)
+                    sketches.append(count_sketch(tokens[a:b]) if b > a else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "digest"]
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
     return run
@@ -157,22 +183,69 @@ def _signature_rows(width: int, p: int, q: int):
     return run
 
 
-def _stars(batches):
-    """Edges from the first node of each run of equal signatures to its others; the rows come sorted."""
-    last_sig, hub = None, None
-    for batch in batches:
-        sig, node = (batch.column(k).to_numpy() for k in ("sig", "node"))
+def _shared(batches):
+    """Rows whose signature another node has too, each once; the rows come sorted by signature and node."""
+    sig, node, joined = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in chain(batches, [None]):
+        held = len(sig)
+        if batch is not None:
+            sig, node = (np.concatenate([x, batch.column(k).to_numpy()]) for x, k in ((sig, "sig"), (node, "node")))
         if not len(sig):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        hubs = node[starts].copy()
-        if last_sig is not None and sig[0] == last_sig:
-            hubs[0] = hub
-        of = np.repeat(hubs, np.diff(np.concatenate([starts, [len(sig)]])))
-        apart = of != node
-        edges = np.unique(np.stack([of[apart], node[apart]]), axis=1)
-        last_sig, hub = sig[-1], hubs[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[fresh], node[fresh]
+        alike = sig[1:] == sig[:-1]
+        keep = np.concatenate([alike, [False]]) | np.concatenate([[joined and held > 0], alike])
+        done = len(sig) if batch is None else len(sig) - 1  # the last row waits for the one after it
+        out = keep[:done]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[:done][out]), pa.array(node[:done][out])], ["sig", "node"])
+        joined = bool(keep[-1]) if len(sig) > 1 or held == 0 else joined
+        sig, node = sig[done:], node[done:]
+
+
+def _bounded_edges(p: int, q: int):
+    """Edges between nodes of one signature that their sizes and sketches allow to link."""
+
+    def run(batches):
+        for _, held in _runs(batches, ["sig"]):
+            nodes = [x for b in held for x in b.column("node").to_pylist()]
+            if len(nodes) < 2:
+                continue
+            if len(nodes) > PAIRED:
+                edges = [(nodes[0], x) for x in nodes[1:]]
+            else:
+                sizes = np.array([x for b in held for x in b.column("n").to_pylist()])
+                rows = folded([x for b in held for x in b.column("sketch").to_pylist()])
+                label, edges = np.arange(len(nodes)), []
+                for i in range(len(nodes) - 1):
+                    differ = np.abs(rows[i + 1 :] - rows[i]).sum(1)
+                    near = i + 1 + np.flatnonzero(differ * (p + q) <= (q - p) * (sizes[i + 1 :] + sizes[i]))
+                    for j in near.tolist():
+                        if label[i] != label[j]:
+                            edges.append((nodes[i], nodes[j]))
+                            label[label == label[j]] = label[i]
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _batched(run, rows: int = 20_000):
+    """Small batches of ``run`` put together."""
+
+    def merged(batches):
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return merged
 
 
 def _family_sets(width: int):
@@ -317,35 +390,84 @@ def _within_pieces(p: int, q: int):
 
 
 def _across_pieces(p: int, q: int):
-    """Links of the visiting sets with a piece's own sets of other components."""
+    """Links of visiting sets with a piece's own sets of other components; the piece's own come first and only they are held."""
 
     def run(batches):
-        for _, held in _runs(batches, ["family", "piece"]):
-            roots = [r for b in held for r in b.column("root").to_pylist()]
-            visits = [v for b in held for v in b.column("visits").to_pylist()]
-            names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-            before = np.array([names[r] for r in roots])
-            after, _ = connect(_held_sets(held), before.copy(), p, q, [i for i, v in enumerate(visits) if v])
-            first: dict[int, bytes] = {}
-            pairs = {(first.setdefault(int(new), root), root) for new, root in zip(after, roots)}
-            pairs = [x for x in pairs if x[0] != x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+        at, hosts, matrix = None, [], None
+        for batch in batches:
+            edges = set()
+            for row in batch.to_pylist():
+                if (row["family"], row["piece"]) != at:
+                    at, hosts, matrix, root_of, known = (row["family"], row["piece"]), [], None, [], set()
+                own = np.frombuffer(row["tokens"], np.uint64)
+                if not row["visits"]:
+                    hosts.append(own)
+                    root_of.append(row["root"])
+                    continue
+                if matrix is None:
+                    matrix, postings, sizes = TokenGroups(hosts), Postings(hosts), np.array([len(h) for h in hosts])
+                members = matrix.qualifying(own, -(-len(own) * p // q))
+                both = postings.shared(own)[members]
+                for i in members[q * both >= p * (len(own) + sizes[members] - both)].tolist():
+                    pair = (row["root"], root_of[i])
+                    if pair[0] != pair[1] and pair not in known:
+                        known.add(pair)
+                        edges.add(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _first64(column: pa.Array) -> np.ndarray:
+    return np.array([_node(d) for d in column.to_pylist()], np.int64)
+
+
 def _piece_signatures(p: int, q: int):
+    """(key, piece, node, root, minor): signatures mixed with the family; node and root by the first 64 bits of their digests."""
+
     def run(batches):
         for batch in batches:
             sets = _held_sets([batch])
+            if not sets:
+                continue
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            sig, whose = signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), at, p, q)
-            rest = batch.select(["family", "piece", "digest", "root"]).take(pa.array(whose))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sig.view(np.int64))], [*rest.schema.names, "sig"])
+            sig, whose = signatures(np.concatenate(sets), at, p, q)
+            family = batch.column("family").to_numpy().view(np.uint64)
+            key = mix(sig ^ mix(family)[whose]).view(np.int64)
+            rest = [batch.column("piece").to_numpy(), _first64(batch.column("digest")), _first64(batch.column("root")), batch.column("minor").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[whose]) for x in rest)], ["key", "piece", "node", "root", "minor"])
 
     return run
 
 
+def _visits(batches):
+    """(node, piece): pieces where a set of another component has a signature of a minor node; the rows come sorted by key."""
+    names = ["key", "piece", "node", "root", "minor"]
+    held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, bool)]
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for x, k in zip(held, names)]
+        key, piece, node, root, minor = held
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], len(key))
+        if batch is not None:  # the last run may go on
+            starts, ends = starts[:-1], ends[:-1]
+        done = int(ends[-1]) if len(ends) else 0
+        found = set()
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            if not minor[a:b].any() or (root[a:b] == root[a]).all():
+                continue
+            roots: dict[int, set[int]] = {}
+            for where, r in zip(piece[a:b].tolist(), root[a:b].tolist()):
+                roots.setdefault(where, set()).add(r)
+            asks = {(n, r) for n, r, m in zip(node[a:b].tolist(), root[a:b].tolist(), minor[a:b].tolist()) if m}
+            found |= {(n, where) for n, r in asks for where, there in roots.items() if len(there) > 1 or r not in there}
+        held = [x[done:] for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())], ["node", "piece"])
+
+
 def _by_piece(frame: DataFrame) -> DataFrame:
     return frame.repartition("family", "piece").sortWithinPartitions("family", "piece")
 
@@ -367,7 +489,7 @@ def _join_pieces(work: Workspace, sets: DataFrame, local: DataFrame, p: int, q:
         piece = F.pmod(F.xxhash64("digest", F.lit(level)), F.ceil(F.col("nodes") / PIECE_NODES)).cast("int")
         placed = delegates.join(counted, "family").select("family", "digest", piece.alias("piece"))
         chosen = sets.drop("piece").join(placed.hint("merge"), ["family", "digest"]).select("family", "piece", "digest", "tokens")
-        joined = work.keep(f"round-{level}", _by_piece(chosen).mapInArrow(_within_pieces(p, q), local.schema))
+        joined = work.keep(f"round-{level}", _by_piece(chosen).mapInArrow(_batched(_within_pieces(p, q)), local.schema))
         later = joined.select("family", F.col("digest").alias("root"), F.col("root").alias("later"))
         named = named.join(later, ["family", "root"], "left").withColumn("root", F.coalesce("later", "root")).drop("later")
         delegates = joined.select("family", F.col("root").alias("digest")).distinct()
@@ -388,17 +510,19 @@ def _join_pieces(work: Workspace, sets: DataFrame, local: DataFrame, p: int, q:
 def _across(work: Workspace, sets: DataFrame, named: DataFrame, rest: DataFrame, p: int, q: int) -> DataFrame:
     """(node, root) over components: every set outside its family's largest component visits the pieces whose signatures it shares."""
     full = sets.drop("piece").join(named.join(rest, "family").hint("merge"), ["family", "digest"])
+    work.release()
     full = work.keep("apart", full.select("family", "piece", "digest", "root", "tokens", (F.col("root") != F.col("largest")).alias("minor")))
-    marked = full.select("family", "piece", "digest", "root", "tokens")
-    sig_type = "family long, piece int, digest binary, root binary, sig long"
-    cells = marked.mapInArrow(_piece_signatures(p, q), sig_type).groupBy("family", "piece", "sig").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    asks = full.where("minor").select(marked.columns).mapInArrow(_piece_signatures(p, q), sig_type).select("family", "digest", "root", "sig")
-    visits = asks.join(cells, ["family", "sig"]).where("root <> low or root <> high").select("family", "digest", "piece").distinct()
-    visits = work.keep("visits", visits)
-    guests = visits.join(full.drop("piece"), ["family", "digest"]).select("family", "piece", "root", "tokens", F.lit(True).alias("visits"))
+    cells = full.mapInArrow(_piece_signatures(p, q), "key long, piece int, node long, root long, minor boolean")
+    asked = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_visits, "node long, piece int")
+    visits = work.keep("visits", asked.distinct())
+    work.release()
+    own = full.withColumn("node", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")).drop("piece")
+    guests = own.where("minor").join(visits.hint("merge"), "node").select("family", "piece", "root", "tokens", F.lit(True).alias("visits"))
     hosts = full.select("family", "piece", "root", "tokens", F.lit(False).alias("visits"))
-    open_ = hosts.join(visits.select("family", "piece").distinct(), ["family", "piece"], "left_semi").unionByName(guests)
-    crossed = _by_piece(open_).mapInArrow(_across_pieces(p, q), "a binary, b binary")
+    asked_pieces = guests.select("family", "piece").distinct()
+    open_ = hosts.join(asked_pieces, ["family", "piece"], "left_semi").unionByName(guests)
+    ordered = open_.repartition("family", "piece").sortWithinPartitions("family", "piece", "visits")
+    crossed = ordered.mapInArrow(_across_pieces(p, q), "a binary, b binary")
     return components(work, crossed, "crossed")
 
 
@@ -406,16 +530,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, anything else)."""
     p, q = threshold
     spark = docs.sparkSession
+    bound_batches(spark)
     work = Workspace(spark, "jaccard")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = work.keep("digests", docs.mapInArrow(_digest_rows(width), f"doc_id {id_type}, n_shingles long, digest binary"))
+    rows = work.keep("digests", docs.mapInArrow(_digest_rows(width), f"doc_id {id_type}, n_shingles long, digest binary, sketch binary"))
+    node_key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     sigs = docs.select("text").mapInArrow(_signature_rows(width, p, q), "sig long, node long")
-    stars = sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long")
-    families = components(work, stars, "families").withColumnRenamed("root", "family")
+    shared = work.keep("shared", sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"))
+    drawn = rows.where("digest is not null").select(node_key.alias("node"), F.col("n_shingles").alias("n"), "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    met = shared.join(drawn.hint("merge"), "node").repartition("sig").sortWithinPartitions("sig")
+    near = met.mapInArrow(_batched(_bounded_edges(p, q)), "a long, b long").distinct()
+    families = components(work, near, "families").withColumnRenamed("root", "family")
+    work.drop("shared")
+    work.release()
 
     nodes = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    node_key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     members = nodes.withColumn("node", node_key).join(families, "node")
     counted = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
     pieces = F.greatest(F.ceil(F.col("members") / PIECE_NODES), F.ceil(F.col("tokens") / PIECE_TOKENS))
@@ -426,7 +556,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     sets_type = "family long, piece int, digest binary, tokens binary"
     sets = docs.join(placed.hint("merge"), "doc_id").select("text", "family", "piece", "digest").mapInArrow(_family_sets(width), sets_type)
     sets = work.keep("sets", sets)
-    local = work.keep("local", _by_piece(sets).mapInArrow(_within_pieces(p, q), "family long, piece int, digest binary, root binary"))
+    work.release()
+    local = work.keep("local", _by_piece(sets).mapInArrow(_batched(_within_pieces(p, q)), "family long, piece int, digest binary, root binary"))
     roots = work.keep("roots", _join_pieces(work, sets, local, p, q))
     work.drop("sets")
     named = nodes.join(roots, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "doc_id")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import _STEPS, blocks, mix, word_hashes
+from tidewright.llm.textkernel import _STEPS, blocks, bound_batches, mix, word_hashes
 
 BUCKETS = 1 << 15
 LEAST_PROBABILITY = 0.7
@@ -217,6 +217,7 @@ def _scan(shared):
 
 def licence_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, family, probability, similarity, confirmed) of every line that the classifier takes for a licence."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {id_type}, line long, family string, probability double, similarity double, confirmed boolean"

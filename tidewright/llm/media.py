@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.textkernel import bound_batches
+
 UNIT = 64
 RATE = 8000
 SAMPLES_IN_CHUNK = 64
@@ -233,6 +235,7 @@ def _read_back(batches):
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every row's whole text, padded, in a container."""
+    bound_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_stored, f"doc_id {id_type}, n_bytes long, media binary")
 

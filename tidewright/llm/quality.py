@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import SPACES, blocks, word_hashes, word_spans
+from tidewright.llm.textkernel import SPACES, blocks, bound_batches, word_hashes, word_spans
 
 WORDS = 1 << 15
 RANK = 8
@@ -155,9 +155,9 @@ def constant(share: float) -> Model:
     return Model(float(np.log(share / (1 - share))), np.zeros(SIZE), np.zeros((SIZE, 0)), ones, ones)
 
 
-def _blocks(batch: pa.RecordBatch):
+def _blocks(batch: pa.RecordBatch, text_name: str = "text"):
     stated = batch.column("n_chars").fill_null(0).to_numpy(zero_copy_only=False).astype(float)
-    for row, stop, text, starts in blocks(batch.column("text")):
+    for row, stop, text, starts in blocks(batch.column(text_name)):
         yield row, features(text, starts, np.maximum(stated[row:stop], 0))
 
 
@@ -178,10 +178,10 @@ def _sample_features(batches):
             )
 
 
-def _scores(shared):
+def _scores(shared, text_name: str):
     def run(batches):
         for batch in batches:
-            scores = [sigmoid(shared.value.logits(*own)) for _, own in _blocks(batch)]
+            scores = [sigmoid(shared.value.logits(*own)) for _, own in _blocks(batch, text_name)]
             flat = np.concatenate(scores) if scores else np.zeros(0)
             keep = [n for n in batch.schema.names if n not in ("text", "n_chars")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(flat)], [*keep, "score"])
@@ -232,7 +232,11 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    found = docs.select(*kept, *_inputs(docs)).mapInArrow(_scores(shared), f"{kinds}, score double")
+    bound_batches(docs.sparkSession)
+    # a text that is kept goes to the workers once
+    text_name = f"k{keep.index('text')}" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "text"
+    inputs = _inputs(docs)[1:] if text_name != "text" else _inputs(docs)
+    found = docs.select(*kept, *inputs).mapInArrow(_scores(shared, text_name), f"{kinds}, score double")
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+BATCH_ROWS = 2_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -23,6 +24,13 @@ _powers = np.ones(1, np.uint64)
 _inverse_powers = np.ones(1, np.uint64)
 
 
+def bound_batches(spark) -> None:
+    """Texts go to Python workers in batches of at most BATCH_ROWS rows: a worker's memory follows the batch, not the partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse_powers
     if len(_powers) < n:
