@@ -91,7 +91,7 @@ def test_purge_and_embargo(spark):
     rows = [("P", START + dt.timedelta(minutes=i), 0 if i < 5 else 1 if i < 8 else 2) for i in range(16)]
     f = spark.createDataFrame(rows, "pair string, ts timestamp_ntz, chunk_id int")
     found = [r.split for r in split.assign_splits(f, [1], horizon=3, embargo=2).orderBy("ts").collect()]
-    assert found == ["train"] * 2 + ["purged"] * 3 + ["embargo"] * 2 + ["test"] + ["embargo"] * 2 + ["train"] * 6
+    assert found == ["train"] * 2 + ["purged"] * 3 + ["embargoed"] * 2 + ["test"] + ["embargoed"] * 2 + ["train"] * 6
 
 
 def test_chunks_drift_and_absorb():

@@ -9,17 +9,21 @@ from tidewright.operators.bars import close_time
 
 
 def asof(target: DataFrame, bars: DataFrame, columns: list[str], tf: str, suffix: str = "") -> DataFrame:
-    """``target`` with the columns of the last bar whose close is at or before ts.
+    """``target`` with the columns of the last bar whose close is at or before ts."""
+    return asof_many(target, [(bars, columns, tf, suffix)])
+
+
+def asof_many(target: DataFrame, sources: list[tuple[DataFrame, list[str], str, str]]) -> DataFrame:
+    """``target`` with columns of several series (bars, columns, timeframe, suffix), each as of its own closes.
 
     Rows are carried, not values: a null inside the last closed bar stays null. One
-    union and one window, whose sort serves both sides.
+    union and one window, whose sort serves all series.
     """
-    payload = F.struct(*[F.col(c).alias(c) for c in columns])
-    source = bars.select("pair", close_time(F.col("ts"), tf).alias("ts"), F.lit(0).alias("_order"), payload.alias("_bar"))
-    kind = source.schema["_bar"].dataType
-    own = F.struct(*[F.col(c) for c in target.columns]).alias("_row")
-    rows = target.select("pair", "ts", F.lit(1).alias("_order"), F.lit(None).cast(kind).alias("_bar"), own)
-    both = rows.unionByName(source, allowMissingColumns=True)
-    last = F.last("_bar", ignorenulls=True).over(Window.partitionBy("pair").orderBy("ts", "_order").rowsBetween(Window.unboundedPreceding, 0))
-    joined = both.withColumn("_seen", last).where("_order = 1")
-    return joined.select("_row.*", *[F.col(f"_seen.{c}").alias(f"{c}{suffix}") for c in columns])
+    both = target.select("pair", "ts", F.lit(1).alias("_order"), F.struct(*[F.col(c) for c in target.columns]).alias("_row"))
+    for i, (bars, columns, tf, suffix) in enumerate(sources):
+        payload = F.struct(*[F.col(c).alias(f"{c}{suffix}") for c in columns])
+        source = bars.select("pair", close_time(F.col("ts"), tf).alias("ts"), F.lit(0).alias("_order"), payload.alias(f"_bar_{i}"))
+        both = both.unionByName(source, allowMissingColumns=True)
+    seen = Window.partitionBy("pair").orderBy("ts", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    joined = both.withColumns({f"_seen_{i}": F.last(f"_bar_{i}", ignorenulls=True).over(seen) for i in range(len(sources))})
+    return joined.where("_order = 1").select("_row.*", *[f"_seen_{i}.*" for i in range(len(sources))])

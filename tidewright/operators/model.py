@@ -14,15 +14,23 @@ from tidewright.operators import stats
 CLASSES = (-1, 0, 1)
 
 
+#: The clock's columns, the inputs of the two rules, and how names of band and excursion columns begin.
+TIME = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "session_tokyo", "session_london", "session_ny", "session_overlap")
+CORE = (
+    "bb_pct_b", "bb_position_daily", "rsi_14", "rsi_14_daily", "regime_daily", "regime_daily_active", "gate_cell_d", "gate_stack",
+    "spread_pctile_slot", "atr_bps_15m", "bb_width_atr_daily", "spread_ratio_60", "spread_z_60",
+)
+BANDS = ("bb_position_", "bb_width_atr_", "bb_pos_spread_", "tf_stretch_", "run_above", "run_below", "frac_above", "frac_below", "since_crossing", "depth")
+
+
 def subset(features: list[str], name: str) -> list[str]:
-    """all, core, bands or no_time: the columns of a feature subset."""
-    time = ("hour_", "dow_", "session_", "minutes_to_close", "is_friday")
-    chosen = {
-        "all": lambda c: True,
-        "core": lambda c: c in ("bb_position", "rsi_14", "bb_width_atr", "atr_bps", "adx_14", "spread_z_60", "macd_hist", "tf_stretch_count"),
-        "bands": lambda c: c.startswith(("bb_position", "bb_width", "tf_stretch")),
-        "no_time": lambda c: not c.startswith(time),
-    }[name]
+    """A_all, B_strategy_core, C_mtf_bollinger or D_no_time. A frame without all of the core raises for B_strategy_core."""
+    if name == "B_strategy_core":
+        absent = [c for c in CORE if c not in features]
+        if absent:
+            raise KeyError(f"the frame lacks {absent}")
+        return list(CORE)
+    chosen = {"A_all": lambda c: True, "C_mtf_bollinger": lambda c: c == "bb_pct_b" or c.startswith(BANDS), "D_no_time": lambda c: c not in TIME}[name]
     return [c for c in features if chosen(c)]
 
 

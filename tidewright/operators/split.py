@@ -42,14 +42,14 @@ def reaches(flag: Column, horizon: int) -> Column:
 
 
 def assign_splits(frame: DataFrame, test: list[int], horizon: int = 240, embargo: int = 1440) -> DataFrame:
-    """split of every row with a chunk_id: warmup, train, test, purged (train whose window reaches the test), embargo (rows after an edge)."""
+    """split of every row with a chunk_id: warmup, train, test, purged (train whose window reaches the test), embargoed (rows after an edge)."""
     is_test = F.col("chunk_id").isin(test)
     out = frame.withColumn("_test", is_test & (F.col("chunk_id") >= 0))
     edge = (F.col("chunk_id") >= 0) & (F.lag("chunk_id").over(ordered()) >= 0) & (F.col("_test") != F.lag("_test").over(ordered()))
     out = out.withColumns({"_edge": F.coalesce(edge, F.lit(False)), "_reach": reaches(F.col("_test"), horizon)})
     near = F.max("_edge").over(ordered().rowsBetween(1 - embargo, 0))
     side = F.when(F.col("_test"), "test").otherwise("train")
-    split = F.when(F.col("chunk_id") < 0, "warmup").when(~F.col("_test") & F.col("_reach"), "purged").when(near, "embargo").otherwise(side)
+    split = F.when(F.col("chunk_id") < 0, "warmup").when(~F.col("_test") & F.col("_reach"), "purged").when(near, "embargoed").otherwise(side)
     return out.withColumn("split", split).drop("_test", "_edge", "_reach")
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidewright.functions import calendar
-from tidewright.operators import bars, events, features, labels, simulate, split, stats, strategies
+from tidewright.operators import bars, events, features, labels, simulate, split, stats, strategies, training
 from tidewright.operators.asof import asof
 from tidewright.plans import frames, oracle
 from tidewright.plans.frames import rounded
@@ -244,8 +244,8 @@ def split_scores(spark, d):
     """Every way to hold out two of five chunks, ranked by how even labels and spread are."""
     own = split.with_chunk(_labelled(spark, d), CHUNKS).where("chunk_id >= 0 and label_1_0 is not null")
     per = own.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum((F.col("label_1_0") == 1).cast("int")).alias("ups"), F.sum("spread_close").alias("spread"))
-    picks = spark.createDataFrame([(i, list(c)) for i, c in enumerate(split.draw_candidates(5, 2, 10, 3))], "candidate int, held array<int>")
-    both = picks.join(per, F.lit(True)).withColumn("t", F.array_contains("held", F.col("chunk_id")).cast("int"))
+    picks = F.array(*[F.struct(F.lit(i).alias("candidate"), F.array(*map(F.lit, c)).alias("held")) for i, c in enumerate(split.draw_candidates(5, 2, 10, 3))])
+    both = per.select("*", F.inline(picks)).withColumn("t", F.array_contains("held", F.col("chunk_id")).cast("int"))
     test = lambda x: F.sum(F.col(x) * F.col("t"))
     rest = lambda x: F.sum(F.col(x) * (1 - F.col("t")))
     scores = both.groupBy("candidate", F.array_sort("held").alias("held")).agg(
@@ -254,6 +254,54 @@ def split_scores(spark, d):
     return split.rank_candidates(scores, ["label_gap", "spread_gap"]).select(F.array_join("held", ",").alias("held"), "label_gap", "spread_gap", "rank_sum")
 
 
+def split_balance(spark, d):
+    """The five balance criteria of every way to hold out two of five chunks."""
+    own = split.with_chunk(_labelled(spark, d), CHUNKS)
+    found = training.balance(own, split.draw_candidates(5, 2, 10, 3), "label_1_0", "spread_close")
+    return rounded(found.withColumn("held", F.array_join("held", ",")), ["held"], training.BALANCE)
+
+
+def _vintages(spark, d):
+    """Ticks, hourly bars with levels, and coarser sessions with bands."""
+    base = features.donchian(frames.banded(spark, d), (60,)).select(*PT, "n_minutes", "bb_upper", "bb_lower", "bb_pct_b", "ema_9", "ema_21", "donchian_high_60", "donchian_low_60")
+    return frames.ticks(spark, d), base, {tf: features.bollinger(frames.session(spark, d, tf)) for tf in ("2h", "4h")}
+
+
+LEVELS = ["bb_upper", "bb_lower", "ema_9", "ema_21", "donchian_high_60", "donchian_low_60", "bb_upper_2h", "bb_lower_2h", "bb_upper_4h", "bb_lower_4h"]
+
+
+def frozen_levels(spark, d):
+    t, base, coarse = _vintages(spark, d)
+    return rounded(training.frozen_levels(t.select(*PT), base, coarse, "1 hour", (9, 21), (60,)), PT, LEVELS)
+
+
+LIVE = ["bb_pct_b", "bb_position_2h", "bb_position_4h", "dist_ema_9", "dist_ema_21", "donchian_pos_60", "bb_pos_spread_2h", "bb_pos_spread_4h", "tf_stretch_max"]
+
+
+def _assembled(spark, d):
+    t, base, coarse = _vintages(spark, d)
+    labelled = t.select(*PT, F.col("mid").alias("anchor"), F.date_trunc("hour", "ts").alias("hour"))
+    return training.assemble(labelled, base, coarse, ["anchor"], "1 hour", "anchor", "hour", None, True, (9, 21), (60,))
+
+
+def training_events(spark, d):
+    return rounded(_assembled(spark, d), [*PT, "block_id", "n_minutes", "tf_stretch_count"], [*LIVE, "anchor"])
+
+
+def block_diagnostics(spark, d):
+    found = training.block_diagnostics(_assembled(spark, d), LIVE[:6])
+    return rounded(found, ["feature", "n", "defined", "first_valid", "varied_blocks"], ["block_sd"])
+
+
+def freshness(spark, d):
+    t, base, coarse = _vintages(spark, d)
+    return rounded(training.freshness(t, base, coarse, "1 hour"), ["tf", "n", "stale"], ["median_age", "p95_age"])
+
+
+def variance_share(spark, d):
+    return rounded(training.variance_share(frames.hourly(spark, d), F.hour("ts"), "spread_close", ["pair"]), ["pair"], ["share"])
+
+
 def _trade_rows(trades):
     prices, money = ["entry_price", "exit_price"], ["pnl", "spread_cost", "commission"]
     near = rounded(trades, ["pair", "direction", "entry_ts", "exit_ts", "bars_held", "exit_reason", *money], prices, 9)
@@ -454,6 +502,12 @@ QUERIES = {
     "period_labels": period_labels,
     "purged_validation": purged_validation,
     "split_scores": split_scores,
+    "split_balance": split_balance,
+    "frozen_levels": frozen_levels,
+    "training_events": training_events,
+    "block_diagnostics": block_diagnostics,
+    "freshness": freshness,
+    "variance_share": variance_share,
     "sim_trades": sim_trades,
     "sim_equity": sim_equity,
     "sim_levels": sim_levels,

@@ -423,7 +423,7 @@ ck as (select pair, ts, rn, {_CHUNK} as chunk_id from h),
 fl as (select *, chunk_id in (1, 3) as t, chunk_id >= 0 and lag(chunk_id) over ({_W}) >= 0 and (chunk_id in (1, 3)) <> (lag(chunk_id) over ({_W}) in (1, 3)) as edge, (chunk_id in (1, 3)) <> (lag(chunk_id) over ({_W}) in (1, 3)) as any_edge from ck),
 nr as (select a.pair, a.rn, bool_or(o.t and o.rn > a.rn and o.rn <= a.rn + 12) as reach, bool_or(coalesce(o.edge, false) and o.rn <= a.rn and o.rn > a.rn - 24) as after,
   bool_or(coalesce(o.any_edge, false) and o.rn > a.rn - 10 and o.rn <= a.rn + 10) as near from fl a join fl o on a.pair = o.pair and o.rn between a.rn - 24 and a.rn + 12 group by a.pair, a.rn),
-sp as (select fl.*, near, case when chunk_id < 0 then 'warmup' when not t and reach then 'purged' when after then 'embargo' when t then 'test' else 'train' end as split from fl join nr using (pair, rn))"""
+sp as (select fl.*, near, case when chunk_id < 0 then 'warmup' when not t and reach then 'purged' when after then 'embargoed' when t then 'test' else 'train' end as split from fl join nr using (pair, rn))"""
 _add("split_assign", _SPLIT, select="select pair, ts, chunk_id, split from sp")
 _add("period_labels", _SPLIT, select="select pair, ts, case when near then 'embargo' when t then 'test' when ts < timestamp '2024-01-03' then 'pre' when ts < timestamp '2024-01-24' then 'train' else 'val' end as period from sp")
 _add(
@@ -441,6 +441,57 @@ _add(
     "scs as (select x || ',' || y as held, round(abs(cd.ups::double / cd.n - (tt.ups - cd.ups)::double / (tt.n - cd.n)), 9) as label_gap, round(abs(cd.sp / cd.n - (tt.sp - cd.sp) / (tt.n - cd.n)), 9) as spread_gap from cd, tt)",
     select="select held, label_gap, spread_gap, rank() over (order by label_gap) + (count(*) over (partition by label_gap) - 1) / 2.0::double + rank() over (order by spread_gap) + (count(*) over (partition by spread_gap) - 1) / 2.0::double as rank_sum from scs",
 )
+_add(
+    "split_balance", _LAB,
+    f"ls as (select h.ts, {_CHUNK.replace('ts', 'h.ts')} as c, lb.label, h.spread_close as v from h join lb using (pair, rn))",
+    "pr as (select a.c as x, b.c as y from (select distinct c from ls where c >= 0) a join (select distinct c from ls where c >= 0) b on a.c < b.c)",
+    "dl as (select x, y, ls.*, c in (x, y) as t from ls join pr on c >= 0)",
+    "qs as (select x, y, max(n) / sum(n) as s from (select x, y, quarter(ts) as q, count(*) as n from dl where t group by all) group by x, y)",
+    "ys as (select x, y, max(n) / sum(n) as s from (select x, y, year(ts) as q, count(*) as n from dl where t group by all) group by x, y)",
+    "lm as (select x, y, " + ", ".join(f"avg(cast(label = {k} as int)) filter ({c}) as {n}_{i}" for i, k in enumerate((-1, 0, 1)) for n, c in (("a", "t"), ("b", "not t"))) + ", median(v) filter (t) as mt, median(v) filter (not t) as mr from dl group by x, y)",
+    select="select x || ',' || y as held, round(qs.s, 6) as quarter_max_share, round(ys.s, 6) as year_max_share, round(100 * greatest(abs(a_0 - b_0), abs(a_1 - b_1), abs(a_2 - b_2)), 6) + 0.0::double as label_max_div_pp, round(abs(mt - mr) / mr, 6) + 0.0::double as vol_rel_div, cast(y - x = 1 as double) as adjacent_pairs from lm join qs using (x, y) join ys using (x, y)",
+)
+_LEVELS = ",".join(p.strip().strip(",") for p in (
+    _H, _HB, _channel((60,)), _ema("e9", "h", "mid_close", 0.2), _ema("e21", "h", "mid_close", 2 / 22), _session("2h", "s2"), _bands("b2", "s2"), _session("4h", "s4"), _bands("b4", "s4"),
+    "lv as (select hb.pair, hb.ts, hb.n_minutes, bb_upper, bb_lower, e9.v as ema_9, e21.v as ema_21, dc.donchian_high_60, dc.donchian_low_60 from hb join dc using (pair, rn) join e9 using (pair, rn) join e21 using (pair, rn))",
+    f"v1 as (select t.pair, t.ts, t.mid, c.* exclude (pair, close_ts) {_asof('tick', 'lv', 'n_minutes, bb_upper, bb_lower, ema_9, ema_21, donchian_high_60, donchian_low_60', '1h')})",
+    f"v2 as (select t.*, c.bb_upper as bb_upper_2h, c.bb_lower as bb_lower_2h {_asof('v1', 'b2', 'bb_upper, bb_lower', '2h')})",
+    f"v4 as (select t.*, c.bb_upper as bb_upper_4h, c.bb_lower as bb_lower_4h {_asof('v2', 'b4', 'bb_upper, bb_lower', '4h')})",
+))
+_LEVEL_NAMES = ["bb_upper", "bb_lower", "ema_9", "ema_21", "donchian_high_60", "donchian_low_60", "bb_upper_2h", "bb_lower_2h", "bb_upper_4h", "bb_lower_4h"]
+_add("frozen_levels", _LEVELS, select=f"select pair, ts, {_r(_LEVEL_NAMES)} from v4")
+_inside = lambda lo, hi: f"(mid - {lo}) / nullif({hi} - {lo}, 0)"
+_LIVE = _LEVELS + f""",
+p4 as (select *, {_inside('bb_lower', 'bb_upper')} as bb_pct_b, {_inside('bb_lower_2h', 'bb_upper_2h')} as bb_position_2h, {_inside('bb_lower_4h', 'bb_upper_4h')} as bb_position_4h,
+  (mid - ema_9) / ema_9 as dist_ema_9, (mid - ema_21) / ema_21 as dist_ema_21, {_inside('donchian_low_60', 'donchian_high_60')} as donchian_pos_60,
+  dense_rank() over (partition by pair order by date_trunc('hour', ts)) - 1 as block_id from v4),
+s4x as (select *, abs(bb_pct_b - 0.5) as f1, abs(bb_position_2h - 0.5) as f2, abs(bb_position_4h - 0.5) as f4, bb_pct_b is not null and bb_position_2h is not null and bb_position_4h is not null as ok from p4)"""
+_SIX = ["bb_pct_b", "bb_position_2h", "bb_position_4h", "dist_ema_9", "dist_ema_21", "donchian_pos_60"]
+_add(
+    "training_events", _LIVE,
+    select=f"select pair, ts, block_id, n_minutes, case when ok then cast(f1 > 0.5 as int) + cast(f2 > 0.5 as int) + cast(f4 > 0.5 as int) end as tf_stretch_count, {_r(_SIX, bb_pos_spread_2h='bb_pct_b - bb_position_2h', bb_pos_spread_4h='bb_pct_b - bb_position_4h', tf_stretch_max='case when ok then greatest(f1, f2, f4) end', anchor='mid')} from s4x",
+)
+_add(
+    "block_diagnostics", _LIVE,
+    "lo as (" + " union all ".join(f"select '{c}' as feature, pair, block_id, ts, {c} as x from s4x" for c in _SIX) + ")",
+    "pb as (select feature, pair, block_id, count(*) as n, count(x) as defined, min(ts) filter (x is not null) as f, stddev_samp(x) as sd from lo group by all)",
+    select="select feature, cast(sum(n) as bigint) as n, cast(sum(defined) as bigint) as defined, min(f) as first_valid, count(sd) as varied_blocks, round(avg(sd), 6) as block_sd from pb group by feature",
+)
+_add(
+    "freshness", _LEVELS,
+    *[p for tf, b in (("2h", "b2"), ("4h", "b4")) for p in (
+        f"cl_{b} as (select pair, ts, {_close('ts', tf)} as closed from {b})",
+        f"ho_{b} as (select t.pair, t.ts, c.closed {_asof('h', f'cl_{b}', 'closed', tf)})",
+        f"dr_{b} as (select t.pair, t.ts, c.closed as now {_asof('tick', f'cl_{b}', 'closed', tf)})",
+        f"lt_{b} as (select '{tf}' as tf, t.ts, t.now, c.closed as late {_asof(f'dr_{b}', f'ho_{b}', 'closed', '1h')})",
+    )],
+    "al as (select tf, now is distinct from late as stale, case when now is distinct from late and now is not null then (epoch_us(ts) - epoch_us(now)) / 60000000.0::double end as age from (select * from lt_b2 union all select * from lt_b4))",
+    select="select tf, count(*) as n, count(*) filter (stale) as stale, round(quantile_cont(age, 0.5), 6) as median_age, round(quantile_cont(age, 0.95), 6) as p95_age from al group by tf",
+)
+_add(
+    "variance_share", _H, "sm as (select pair, spread_close as x, avg(spread_close) over (partition by pair, hour(ts)) as m from h)",
+    select="select pair, round(var_pop(m) / nullif(var_pop(x), 0), 6) + 0.0::double as share from sm group by pair",
+)
 # trades are islands of the target; entry at the island's first open, exit at the open after it
 _LEG = "least(0.002::double * {p} * 1000, greatest(2.0::double, 0.00002::double * {p} * 1000))"
 _TRADES = _SIGNAL + f""",
