@@ -116,4 +116,32 @@ select conv_id, count(*) as n_turns,
 from placed where conv_id in (select conv_id from kept) group by conv_id
 """
 
-SQL: dict[str, str] = {"op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10}
+def _spans_sql(rank: int, kind: str, pattern: str, least: int, group: int = 0) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  select id, doc_id, {rank} as rank, '{kind}' as kind, {least} as least, regexp_extract_all(body, '{pattern}', 0) as hits,
+    regexp_extract_all(body, '{pattern}', {group}) as worth, regexp_split_to_array(body, '{pattern}') as gaps from docs"""
+
+
+# the patterns as they are stated, without what the rules add for speed; short matches are dropped by their lengths
+_SECRETS_OP8 = f"""
+with docs as (select row_number() over () as id, doc_id, coalesce(text, '') as body from documents),
+hits as ({" union all ".join((
+    _spans_sql(0, "assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    _spans_sql(1, "access", r"AKIA[A-Z0-9]+", 20),
+    _spans_sql(2, "hex", r"[0-9a-f]+", 24),
+    _spans_sql(3, "pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1),
+    _spans_sql(4, "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1),
+))}),
+placed as (
+  select id, rank, kind, least, n, length(gaps[n]) as gap, length(hits[n]) as hit, length(worth[n]) as value
+  from (select *, unnest(range(1, len(hits) + 1)) as n from hits)
+),
+ends as (select *, cast(sum(gap + hit) over (partition by id, rank order by n) as bigint) as stop from placed),
+kept as (select id, rank, kind, stop - hit as start, kind || ':' || (stop - hit) || ':' || stop as span from ends where value >= least)
+select docs.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, rank) filter (rank < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, rank), '') as spans
+from docs left join kept using (id) group by docs.id, docs.doc_id
+"""
+
+SQL: dict[str, str] = {"op8_secret_scans": _SECRETS_OP8, "op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10}
