@@ -100,3 +100,23 @@ def test_shared_rows_over_any_batches():
         found = [(r["sig"], r["node"]) for b in jaccard_join._shared(iter(batches)) for r in b.to_pylist()]
         distinct = sorted(set(rows))
         assert found == [r for r in distinct if sum(x[0] == r[0] for x in distinct) > 1]
+
+
+def test_large_buckets_become_stars_over_any_batches(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRED", 3)
+    rng = np.random.default_rng(10)
+    for _ in range(100):
+        tokens = np.unique(rng.integers(1, 1 << 63, 40, dtype=np.uint64))
+        rows = sorted((int(s), int(n)) for s, n in {(a, b) for a, b in rng.integers(0, 6, (rng.integers(0, 40), 2)).tolist()})
+        cuts = sorted(rng.integers(0, len(rows) + 1, 3).tolist())
+        batches = []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            part, sketch = rows[a:b], jaccard_join.count_sketch(tokens)
+            arrays = [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([40] * len(part), pa.int64()), pa.array([sketch] * len(part), pa.binary())]
+            batches.append(pa.RecordBatch.from_arrays(arrays, ["sig", "node", "n", "sketch"]))
+        found = {(r["a"], r["b"]) for b in jaccard_join._bounded_edges(9, 10)(iter(batches)) for r in b.to_pylist()}
+        wanted = set()
+        for sig in {r[0] for r in rows}:
+            nodes = [n for s, n in rows if s == sig]  # equal sketches: a forest is a star as well
+            wanted |= {(nodes[0], n) for n in nodes[1:]}
+        assert found == wanted

@@ -33,7 +33,7 @@ Repeated ids and repeated rows: each row is returned; equal sets link.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -133,7 +133,7 @@ def count_sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(held, 255).astype(np.uint8).tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
+def folded(sketches: Sequence[bytes]) -> np.ndarray:
     """The sketches as rows of the smallest one's cells."""
     cells = min(map(len, sketches))
     return np.stack([np.frombuffer(x, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32) for x in sketches])
@@ -204,27 +204,45 @@ def _shared(batches):
         sig, node = sig[done:], node[done:]
 
 
+def _forest(held: list[tuple], p: int, q: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the (node, size, sketch) pairs that may link."""
+    if len(held) < 2:
+        return []
+    nodes, sizes, sketches = zip(*held)
+    sizes, rows = np.array(sizes), folded(sketches)
+    label, edges = np.arange(len(nodes)), []
+    for i in range(len(nodes) - 1):
+        differ = np.abs(rows[i + 1 :] - rows[i]).sum(1)
+        near = i + 1 + np.flatnonzero(differ * (p + q) <= (q - p) * (sizes[i + 1 :] + sizes[i]))
+        for j in near.tolist():
+            if label[i] != label[j]:
+                edges.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return edges
+
+
 def _bounded_edges(p: int, q: int):
-    """Edges between nodes of one signature that their sizes and sketches allow to link."""
+    """Edges between nodes of one signature that their sizes and sketches allow to link; the rows come sorted by signature.
+
+    No more than ``PAIRED`` + 1 nodes are held: the first ones of a larger bucket
+    become a star, and later ones join its centre as they pass.
+    """
 
     def run(batches):
-        for _, held in _runs(batches, ["sig"]):
-            nodes = [x for b in held for x in b.column("node").to_pylist()]
-            if len(nodes) < 2:
-                continue
-            if len(nodes) > PAIRED:
-                edges = [(nodes[0], x) for x in nodes[1:]]
-            else:
-                sizes = np.array([x for b in held for x in b.column("n").to_pylist()])
-                rows = folded([x for b in held for x in b.column("sketch").to_pylist()])
-                label, edges = np.arange(len(nodes)), []
-                for i in range(len(nodes) - 1):
-                    differ = np.abs(rows[i + 1 :] - rows[i]).sum(1)
-                    near = i + 1 + np.flatnonzero(differ * (p + q) <= (q - p) * (sizes[i + 1 :] + sizes[i]))
-                    for j in near.tolist():
-                        if label[i] != label[j]:
-                            edges.append((nodes[i], nodes[j]))
-                            label[label == label[j]] = label[i]
+        at, held = None, []
+        for batch in chain(batches, [None]):
+            columns = [batch.column(k).to_pylist() for k in ("sig", "node", "n", "sketch")] if batch is not None else [[None]] * 4
+            edges = []
+            for sig, *own in zip(*columns):
+                if sig != at:
+                    edges += _forest(held, p, q) if len(held) <= PAIRED else []
+                    at, held = sig, []
+                if len(held) > PAIRED:
+                    edges.append((held[0][0], own[0]))
+                    continue
+                held.append(tuple(own))
+                if len(held) > PAIRED:
+                    edges += [(held[0][0], x[0]) for x in held[1:]]
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
