@@ -9,6 +9,8 @@ and joins the findings back to every path that shows the blob.
 Spans come from two built-in functions: the matches of a pattern and the gaps
 between them, whose lengths add up to code point offsets in a window over the
 blob's own rows. The base rules are assign, access and hex; pem and jwt add spans.
+A scan reports a private key by its opening line (as the SQL of op8 states it); a
+redaction has rules of its own version, whose pem spans the whole key.
 
 Null text is the empty text. Null or repeated ids: each row is returned. A blob's
 findings are appended before the blob counts as scanned, so a job that dies in
@@ -46,6 +48,15 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, base=False),
 )
 
+# A private key from BEGIN to the next END. Where another mark or the text's end comes first: its headers and the
+# base64 lines that follow, parted by breaks, quotes or comment signs, with one last, shorter line. All loops are
+# possessive, so that a long key neither backtracks nor recurses.
+_BREAK = r"""(?:\s|\\[nrt]|["'+,>#*|\\])"""
+_KEY_BODY = rf"(?:{_BREAK}++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{20,}}+)*+(?:(?<=[A-Za-z0-9+/=]{{20}}){_BREAK}++[A-Za-z0-9+/=]{{1,19}}+(?=[ \t]*+[\r\n\"'\\]|[ \t]*+\z))?+"
+_KEY = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_KEY_BODY})"
+REDACTION_VERSION = 2
+REDACTION_RULES = tuple(Rule("pem", _KEY, 1, base=False) if r.kind == "pem" else r for r in RULES)
+
 
 def body(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
@@ -144,8 +155,8 @@ def redact(docs: DataFrame, ledger_folder: str | None = None, mark: str = "[secr
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
     spark = docs.sparkSession
     ledger = Ledger(spark, ledger_folder or Workspace(spark, "secrets").path("ledger"))
-    ledger.scan(docs)
-    found = ledger.by_blob().select(F.col("blob").alias("found_blob"), "found")
+    ledger.scan(docs, REDACTION_RULES, REDACTION_VERSION)
+    found = ledger.by_blob(REDACTION_VERSION).select(F.col("blob").alias("found_blob"), "found")
     rows = docs.withColumn("own_blob", blob_of(body(docs))).join(found.hint("merge"), F.col("own_blob") == F.col("found_blob"), "left")
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
