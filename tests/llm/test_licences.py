@@ -24,5 +24,22 @@ def test_every_template_is_found_on_its_line(spark):
     assert {(r.doc_id, r.line, r.family) for r in found} - {(None, 0, "MIT")} == want
 
 
+def test_notices_of_other_families_are_unknown_licences(spark):
+    notices = [
+        "All rights reserved.",
+        "© 2024 Acme GmbH. All rights reserved.",
+        "SPDX-License-Identifier: Zlib",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "This program is made available under the terms of the Eclipse Public License 2.0",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ]
+    prose = ["The driver was free to go.", "Und der Mann ging in die Stadt.", "The license was expensive and all the rights were sold to Acme.", "Released in June."]
+    rows = [(i, f"Some words of prose here\n{line}\nand more of them.") for i, line in enumerate([*notices, *prose])]
+    found = licence_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line, r.family, r.confirmed) for r in found} == {(i, 1, "unknown licence", False) for i in range(len(notices))}
+    assert all(0.7 <= r.probability <= 1 for r in found)
+
+
 def test_empty_table(spark):
     assert licence_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

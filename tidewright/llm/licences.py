@@ -1,14 +1,17 @@
 """Licence scans by a trained paragraph classifier.
 
 A paragraph is a line. Its word unigrams and bigrams, hashed, go into a multinomial
-logistic regression over licence families and an unknown class. It is fitted here,
-on templates worn by dropping, adding and changing words, and on prose and on
-sentences about rights that grant no licence as unknown. One temperature,
-fitted on worn templates that the regression has not seen, calibrates it; a line
-is unknown unless a family's calibrated probability reaches ``LEAST_PROBABILITY``. A
-prediction is confirmed if the line's bigrams share ``LEAST_SHARED`` or more with one
+logistic regression over licence families, an unknown licence and prose. It is fitted
+here, on templates worn by dropping, adding and changing words; on notices of other
+families, of invented names and of reserved rights as unknown licence; and on words and
+on sentences about rights that are no notice as prose. One temperature, fitted on worn
+templates and invented names that the regression has not seen, calibrates it. A line
+has a family if that one's calibrated probability reaches ``LEAST_PROBABILITY``. Where
+none does, but the probability that it is not prose does, it is an unknown licence, with
+that probability. Other lines are no findings. A prediction of a family with templates
+is confirmed if the line's bigrams share ``LEAST_SHARED`` or more with one
 of the family's templates, as a part of the smaller of both sets, and at least two
-(or the whole of a template of two words).
+(or the whole of a template of two words). An unknown licence has a similarity of 0.
 
 The model has a fixed size, is fitted on the driver and broadcast. Null or empty
 text has no findings. Repeated rows give their findings again.
@@ -28,7 +31,8 @@ from tidewright.llm.textkernel import _STEPS, blocks, bound_batches, mix, word_h
 BUCKETS = 1 << 15
 LEAST_PROBABILITY = 0.7
 LEAST_SHARED = 0.6
-UNKNOWN = "unknown"
+PROSE = "prose"
+UNKNOWN = "unknown licence"
 
 # Usual notices of each family.
 TEMPLATES = {
@@ -70,8 +74,47 @@ TEMPLATES = {
         "Released into the public domain under CC0 1.0.",
     ),
 }
-NO_LICENCE = (
+# Notices of families without templates, of rights reserved and of owners.
+UNLISTED = (
     "All rights reserved.",
+    "Copyright (c) 2019 Example Corporation. All rights reserved.",
+    "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    "No part of this publication may be reproduced or distributed without the prior written permission of the publisher.",
+    "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Released under the ISC License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "This is free and unencumbered software released into the public domain.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+)
+UNLISTED += tuple(
+    f"SPDX-License-Identifier: {x}"
+    for x in "LGPL-2.1-or-later AGPL-3.0-only GPL-2.0-only MPL-2.0 Unlicense ISC Zlib EUPL-1.2 BSL-1.0 EPL-2.0 CDDL-1.0 WTFPL OFL-1.1 CC-BY-ND-4.0".split()
+)
+# The same of families that are not known here: a name and a number are put in.
+INVENTED = (
+    "Licensed under the {} License.",
+    "Licensed under the {} License, Version {}.",
+    "Released under the {} License.",
+    "Distributed under the {} License, version {}.",
+    "This work is licensed under the {} Public License, version {}.",
+    "This program and the accompanying materials are made available under the terms of the {} License {}.",
+    "Use of this software is governed by the {} License Agreement.",
+    "SPDX-License-Identifier: {}-{}",
+    "SPDX-License-Identifier: {}",
+    "Licensed under the {}.",
+    "Released under the {}.",
+    "This file is confidential and proprietary to {}.",
+    "Copyright (c) {1} {0}. All rights reserved.",
+)
+NO_LICENCE = (
     "The driver lost his license after the second offence last year.",
     "Permission to enter the building was granted by the guard.",
     "This version of the program is free for a month.",
@@ -79,8 +122,11 @@ NO_LICENCE = (
     "The work was published by a public foundation in the city.",
     "See the file for more details about the conditions of use.",
     "A copy of the documentation is in the source folder.",
+    "All seats in the first row are reserved for guests.",
+    "The rights of all people who live in the city were discussed.",
 )
-FAMILIES = (UNKNOWN, *TEMPLATES)
+FAMILIES = (PROSE, *TEMPLATES)
+CLASSES = (*FAMILIES, UNKNOWN)
 
 
 def _grams(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +169,9 @@ class Model:
         return best
 
 
-def _worn(rng: np.random.Generator, line: str) -> str:
+def _worn(rng: np.random.Generator, line: str, drop: bool = True) -> str:
     words = line.split()
-    if len(words) > 6:  # in shorter notices each word may be the one that names the family
+    if drop and len(words) > 6:  # in shorter notices each word may be the one that names the family
         words = [w for w in words if rng.random() > 0.08]
     words = [w.strip(".,;:()") if rng.random() < 0.2 else w.upper() if rng.random() < 0.03 else w for w in words]
     for _ in range(rng.integers(0, 3)):
@@ -133,19 +179,31 @@ def _worn(rng: np.random.Generator, line: str) -> str:
     return " ".join(words)
 
 
+def _invented(rng: np.random.Generator, names: list[str]) -> str:
+    name = " ".join(rng.choice(names, rng.integers(1, 4))).title()
+    return INVENTED[rng.integers(0, len(INVENTED))].format(name, f"{rng.integers(1, 5)}.{rng.integers(0, 3)}" if rng.random() < 0.7 else rng.integers(1990, 2030))
+
+
 def _examples(seed: int, each: int) -> tuple[list[str], np.ndarray]:
     rng = np.random.default_rng(seed)
+    names = ["".join(rng.choice(list("aeinorstlhducmp"), rng.integers(2, 10))) for _ in range(5 * each)]
     lines, label = [], []
     for k, family in enumerate(FAMILIES[1:], 1):
         for template in TEMPLATES[family]:
             lines += [template, *(_worn(rng, template) for _ in range(each))]
             label += [k] * (each + 1)
-    pool = [w for texts in (*TEMPLATES.values(), NO_LICENCE) for t in texts for w in t.split()]
-    for i in range(6 * each * len(TEMPLATES) // 4):
-        if i % 4 == 0:
+    for template in UNLISTED:
+        lines += [template, *(_worn(rng, template, drop=False) for _ in range(each // 3))]  # a word may part it from a listed family
+    lines += [_worn(rng, _invented(rng, names), drop=False) for _ in range(len(INVENTED) * each)]
+    label += [len(FAMILIES)] * (len(lines) - len(label))
+    pool = [w for texts in (*TEMPLATES.values(), UNLISTED, NO_LICENCE) for t in texts for w in t.split() if not w.startswith("SPDX")]  # that tag alone is a notice
+    for i in range(6 * each * len(TEMPLATES)):
+        if i % 8 == 0:
             line = _worn(rng, NO_LICENCE[rng.integers(0, len(NO_LICENCE))])
-        elif i % 4 == 1:  # words of licences without their order
+        elif i % 8 == 1:  # words of licences without their order
             line = " ".join(rng.choice(pool, rng.integers(1, 14)))
+        elif i % 8 < 4:  # invented names that are no notice
+            line = " ".join(rng.choice(names, rng.integers(1, 5))) + "." * (i % 2)
         else:
             line = " ".join("".join(rng.choice(list("aeinorstlhdu"), rng.integers(1, 9))) for _ in range(rng.integers(1, 40)))
         lines.append(line)
@@ -157,13 +215,13 @@ def train(seed: int = 11, each: int = 60, epochs: int = 60) -> Model:
     lines, label = _examples(seed, each)
     row, bucket, _, _ = _grams(*_packed(lines))
     scale = (1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(lines)), 1)))[row]
-    weights, bias = np.zeros((BUCKETS, len(FAMILIES))), np.zeros(len(FAMILIES))
-    speed = np.full((BUCKETS, len(FAMILIES)), 1e-8)
-    target = np.eye(len(FAMILIES))[label]
+    weights, bias = np.zeros((BUCKETS, len(CLASSES))), np.zeros(len(CLASSES))
+    speed = np.full((BUCKETS, len(CLASSES)), 1e-8)
+    target = np.eye(len(CLASSES))[label]
     model = Model(weights, bias, 1.0, [])
     for _ in range(epochs):
         slope = (model.probabilities(model.logits(row, bucket, len(lines))) - target) / len(lines)
-        for k in range(len(FAMILIES)):
+        for k in range(len(CLASSES)):
             gradient = np.bincount(bucket, slope[row, k] * scale, BUCKETS) + 1e-6 * weights[:, k]
             speed[:, k] += gradient**2
             weights[:, k] -= 0.5 * gradient / np.sqrt(speed[:, k])
@@ -177,10 +235,18 @@ def train(seed: int = 11, each: int = 60, epochs: int = 60) -> Model:
         return float(-np.log(np.maximum(model.probabilities(logits)[np.arange(len(seen)), truth], 1e-12)).mean())
 
     model.temperature = min(np.geomspace(0.1, 5, 40), key=loss)
-    model.bigrams = [[]] + [[np.unique(_grams(*_packed([t]))[3]) for t in TEMPLATES[f]] for f in FAMILIES[1:]]
+    model.bigrams = [[]] + [[np.unique(_grams(*_packed([t]))[3]) for t in TEMPLATES[f]] for f in FAMILIES[1:]] + [[]]
     return model
 
 
+def named(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and probability of each row of class probabilities: a sure family, else an unknown licence if the row is no prose, else prose."""
+    best, likely, notice = p.argmax(1), p.max(1), 1 - p[:, 0]
+    unsure = (likely < LEAST_PROBABILITY) & (notice >= LEAST_PROBABILITY)
+    found = np.where(unsure, len(CLASSES) - 1, np.where(likely >= LEAST_PROBABILITY, best, 0))
+    return found, np.where(unsure, notice, likely)
+
+
 def _scan(shared):
     def run(batches):
         for batch in batches:
@@ -193,12 +259,12 @@ def _scan(shared):
                 lines = np.append(lines, len(text))
                 gram_row, bucket, pair_row, pair = _grams(text, lines)
                 p = model.probabilities(model.logits(gram_row, bucket, len(lines) - 1))
-                best = p.argmax(1)
+                best, likely = named(p)
                 doc = np.searchsorted(starts, lines[:-1], "right") - 1
                 first_line = np.searchsorted(lines[:-1], starts[:-1])
-                for i in np.flatnonzero((best > 0) & (p.max(1) >= LEAST_PROBABILITY)).tolist():
+                for i in np.flatnonzero(best > 0).tolist():
                     similarity = model.shared(int(best[i]), pair[pair_row == i])
-                    found.append((row + int(doc[i]), i - int(first_line[doc[i]]), FAMILIES[best[i]], float(p[i, best[i]]), similarity))
+                    found.append((row + int(doc[i]), i - int(first_line[doc[i]]), CLASSES[best[i]], float(likely[i]), similarity))
             columns = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -216,7 +282,7 @@ def _scan(shared):
 
 
 def licence_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed) of every line that the classifier takes for a licence."""
+    """(doc_id, line, family, probability, similarity, confirmed) of every line that the classifier takes for a licence, known or not."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train())
     id_type = docs.schema["doc_id"].dataType.simpleString()
