@@ -62,6 +62,14 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert found == sorted([(1, 4, 1), (1, 4, 1), (None, 4, None), (2, 0, 2), (3, 4, 1)], key=str)
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("width", [3, 5])
+def test_table_of_one_short_document(spark, words, width):
+    docs = spark.createDataFrame([(1, " ".join("abcde"[:words]))], "doc_id long, text string")
+    (row,) = jaccard_components(docs, width).collect()
+    assert (row.doc_id, row.n_shingles, row.component_id) == (1, max(1, words - width + 1), 1)
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

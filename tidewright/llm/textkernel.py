@@ -110,7 +110,7 @@ def shingle_sets(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.n
     words, row_starts = word_hashes(text, starts)
     n = len(words)
     rolled = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         rolled[: n - k] += words[k:] * _STEPS[k]
     rolled = mix(rolled)
     sets = []
