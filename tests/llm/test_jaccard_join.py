@@ -62,6 +62,16 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert found == sorted([(1, 4, 1), (1, 4, 1), (None, 4, None), (2, 0, 2), (3, 4, 1)], key=str)
 
 
+@pytest.mark.parametrize("piece", [2048, 2])
+def test_repeated_rows_with_near_copies(spark, monkeypatch, piece):
+    monkeypatch.setattr(jaccard_join, "PIECE_NODES", piece)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, *(f"x{j}" for j in range(k))]) for k in range(6)]
+    rows = [(k, text) for k, text in enumerate(texts) for _ in range(3 + k)] + [(0, "another text under this id")] * 2
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 3, (9, 10)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, 0) for i, _ in rows)
+
+
 @pytest.mark.parametrize("words", [1, 2, 3, 4, 5])
 @pytest.mark.parametrize("width", [3, 5])
 def test_table_of_one_short_document(spark, words, width):

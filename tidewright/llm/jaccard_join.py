@@ -267,16 +267,18 @@ def _batched(run, rows: int = 20_000):
 
 
 def _family_sets(width: int):
-    """The token set of each wanted row whose text has the wanted digest."""
+    """The token set of each wanted row whose text has the wanted digest. A set that this task has given is not given again."""
 
     def run(batches):
+        given = set()
         for batch in batches:
             wanted = batch.column("digest").to_pylist()
             keep, packed = [], []
             for row, tokens, places in _sets(batch, width):
                 for i in range(len(places) - 1):
                     own = tokens[places[i] : places[i + 1]]
-                    if _digest(own) == wanted[row + i]:
+                    if wanted[row + i] not in given and _digest(own) == wanted[row + i]:
+                        given.add(wanted[row + i])
                         keep.append(row + i)
                         packed.append(own.tobytes())
             rest = batch.select(["family", "piece", "digest"]).take(pa.array(keep, pa.int64()))
@@ -385,12 +387,13 @@ def _held_sets(held: list[pa.RecordBatch]) -> list[np.ndarray]:
 
 
 def _within_pieces(p: int, q: int):
-    """(family, piece, digest, root): the components inside each piece, each named by the member that met most links."""
+    """(family, piece, digest, root): the components inside each piece, each named by the member that met most links; one row for each digest."""
 
     def run(batches):
         for (family, piece), held in _runs(batches, ["family", "piece"]):
-            digests = [d for b in held for d in b.column("digest").to_pylist()]
-            label, hits = connect(_held_sets(held), np.arange(len(digests)), p, q)
+            distinct = dict(zip((d for b in held for d in b.column("digest").to_pylist()), _held_sets(held)))
+            digests = list(distinct)
+            label, hits = connect(list(distinct.values()), np.arange(len(digests)), p, q)
             best: dict[int, int] = {}
             for i in sorted(range(len(digests)), key=lambda i: (-hits[i], digests[i])):
                 best.setdefault(int(label[i]), i)
