@@ -69,7 +69,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = work.keep(name.replace(" ", "-"), stage(spark, docs, sf_dir))
+        with Workspace.scope():
+            docs = work.keep(name.replace(" ", "-"), stage(spark, docs, sf_dir))
         if before:
             work.drop(before)
         before = name.replace(" ", "-")

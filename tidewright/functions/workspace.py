@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark removes the shuffle files of a statement at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests) one of this run's own."""
+    """The cluster's spark.checkpoint.dir; only where it is unset and everything runs in one process (tests), one of this run's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"/tmp/checkpoints/tidewright-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/tidewright-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
@@ -21,28 +27,51 @@ class Workspace:
     """Named Parquet tables of one operator call.
 
     A written table cuts the lineage: when an executor is lost, its tasks read the
-    table again instead of computing what stands before it.
+    table again instead of computing what stands before it. An operator drops what
+    its result does not read; the rest goes when the ``scope`` that the call was
+    made in ends, or with the shared folder.
     """
 
+    _scopes: list[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        if self._scopes:
+            self._scopes[-1].append(self)
+
+    @classmethod
+    @contextmanager
+    def scope(cls):
+        """Workspaces made inside are removed at the end: what is read of them has to be written by then."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            for work in cls._scopes.pop():
+                delete(work.spark, work.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, name: str, frame: DataFrame) -> DataFrame:
-        """Write the frame and return a reader of what was written."""
-        frame.write.mode("overwrite").parquet(self.path(name))
+        """Write the frame and return a reader of what was written; the shuffle files of that go at once."""
+        write(frame, self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         delete(self.spark, self.path(name))
 
-    def release(self) -> None:
-        """Let go of the shuffle files of plans that no one holds: Spark removes them when the driver's JVM collects those plans."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+
+def write(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write Parquet and let go of the shuffle files that it took."""
+    conf = frame.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        frame.write.mode(mode).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
 
 
 def delete(spark: SparkSession, path: str) -> None:
