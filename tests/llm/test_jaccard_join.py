@@ -93,7 +93,7 @@ def test_signatures_meet_for_every_linked_pair():
                 drop = rng.integers(0, max(1, size * (q - p) // q) + 1)
                 add = rng.integers(1, 1 << 63, rng.integers(0, size * (q - p) // q + 1), dtype=np.uint64)
                 other = np.unique(np.concatenate([rng.permutation(base)[drop:], add]))
-                if len(other) and jaccard_join.links(base, other, p, q):
+                if len(other) and not np.array_equal(base, other) and jaccard_join.links(base, other, p, q):
                     places = np.array([0, len(base), len(base) + len(other)])
                     sig, whose = jaccard_join.signatures(np.concatenate([base, other]), places, p, q)
                     assert len(np.intersect1d(sig[whose == 0], sig[whose == 1]))
@@ -104,8 +104,21 @@ def test_sketches_never_differ_by_more_than_the_sets():
     for _ in range(200):
         base = np.unique(rng.integers(1, 1 << 63, rng.integers(1, 3000), dtype=np.uint64))
         other = np.unique(np.concatenate([base[: rng.integers(0, len(base) + 1)], rng.integers(1, 1 << 63, rng.integers(1, 900), dtype=np.uint64)]))
-        rows = jaccard_join.folded([jaccard_join.count_sketch(base), jaccard_join.count_sketch(other)])
-        assert np.abs(rows[0] - rows[1]).sum() <= len(np.setxor1d(base, other))
+        rows = jaccard_join.folded([jaccard_join.parity_sketch(base), jaccard_join.parity_sketch(other)])
+        differ, apart = int(np.bitwise_count(rows[0] ^ rows[1]).sum()), len(np.setxor1d(base, other))
+        assert differ <= apart and (apart > 0.4 * len(base) or len(base) < 200 or differ >= 0.6 * apart)
+
+
+def test_thin_parts_give_no_signature():
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 3, 30, 300, 3000)]
+    for p, q in ((9, 10), (4, 5)):
+        upper, differ, spare = jaccard_join.size_classes(3000, p, q)
+        for own in sets:
+            k = int(np.searchsorted(upper, len(own)))
+            wanted = sum(int(differ[j]) + 1 for j in (k, k - 1) if j >= 0 and differ[j])
+            sig, _ = jaccard_join.signatures(own, np.array([0, len(own)]), p, q)
+            assert len(sig) == wanted
 
 
 def test_shared_rows_over_any_batches():
@@ -129,7 +142,7 @@ def test_large_buckets_become_stars_over_any_batches(monkeypatch):
         cuts = sorted(rng.integers(0, len(rows) + 1, 3).tolist())
         batches = []
         for a, b in zip([0, *cuts], [*cuts, len(rows)]):
-            part, sketch = rows[a:b], jaccard_join.count_sketch(tokens)
+            part, sketch = rows[a:b], jaccard_join.parity_sketch(tokens)
             arrays = [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([40] * len(part), pa.int64()), pa.array([sketch] * len(part), pa.binary())]
             batches.append(pa.RecordBatch.from_arrays(arrays, ["sig", "node", "n", "sketch"]))
         found = {(r["a"], r["b"]) for b in jaccard_join._bounded_edges(9, 10)(iter(batches)) for r in b.to_pylist()}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import bound_batches
+from tidewright.llm.textkernel import small
 from tidewright.llm.vocabulary import default_path, default_pattern, read_ranks
 
 BLOCK_CHARS = 4_000_000
@@ -166,7 +166,7 @@ def _text_blocks(texts: list[str]):
 def _rows(shared, pattern: str):
     def run(batches):
         encoder = Encoder(shared.value, pattern)
-        for batch in batches:
+        for batch in small(batches):
             counts, ids_hash, decoded_hash = [], [], []
             for texts in _text_blocks([t or "" for t in batch.column("text").to_pylist()]):
                 for ids in encoder.encode(texts):
@@ -184,7 +184,7 @@ def _rows(shared, pattern: str):
 def _id_rows(shared, pattern: str):
     def run(batches):
         encoder = Encoder(shared.value, pattern)
-        for batch in batches:
+        for batch in small(batches):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for texts in _text_blocks([t or "" for t in batch.column("text").to_pylist()]) for x in encoder.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -192,7 +192,6 @@ def _id_rows(shared, pattern: str):
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
-    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")), docs.schema["doc_id"].dataType.simpleString()
 
 

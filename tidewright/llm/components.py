@@ -34,4 +34,8 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     for nearest in reversed(maps[:-1]):
         later = found.select(F.col("node").alias("root"), F.col("root").alias("later"))
         found = nearest.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
-    return work.keep(f"{name}-roots", found)
+    found = work.keep(f"{name}-roots", found)
+    for level in range(len(maps)):
+        work.drop(f"{name}-map-{level}")
+    work.drop(f"{name}-edges-{len(maps)}")
+    return found

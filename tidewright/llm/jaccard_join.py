@@ -8,13 +8,13 @@ collisions of 64-bit shingle hashes.
 1. Equal sets collapse to one node, named by a 128-bit digest; copies never meet
    as rows again.
 2. Candidate families. If two sets of sizes in one size class link, they differ in
-   at most d tokens, so of d + 1 parts of the token space at least one holds the
-   same tokens in both. Each node gives one signature for each part of its class
-   and of the class below. In a bucket of equal signatures a count sketch of each
-   set bounds from below how many tokens two of them differ in; pairs within the
-   bound are joined along a spanning forest (a bucket of more than ``PAIRED``
-   nodes is joined as a star, which holds all that could link). Families are the
-   components of those edges.
+   at most d tokens, so of d + 1 + s parts of the token space at least s + 1 hold
+   the same tokens in both. Each node gives a signature for each part of its class
+   and of the class below, but for the s parts of fewest tokens. In a bucket of
+   equal signatures a parity sketch of each set bounds from below how many tokens
+   two of them differ in; pairs within the bound are joined along a spanning forest
+   (a bucket of more than ``PAIRED`` nodes is joined as a star, which holds all that
+   could link). Families are the components of those edges.
 3. Token-group matrix. The nodes of a family (in pieces of bounded size) are put
    in order of their smallest tokens, cut into groups, and each group's token
    union goes into a sparse token x group matrix. A query's overlap with the union
@@ -38,45 +38,49 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
 from tidewright.llm.components import components
-from tidewright.llm.textkernel import blocks, bound_batches, mix, shingle_sets
+from tidewright.llm.textkernel import blocks, mix, shingle_sets, small
 
 GROUP = 32
 FEW = 6
 PIECE_NODES = 2048
 PIECE_TOKENS = 2_000_000
-SPARE_PARTS = 2
-PAIRED = 512
-LEAST_CELLS = 32
+SPARE = 4  # one spare part for so many others
+PAIRED = 2048
+PAIRED_BYTES = 32 << 20
 
 
-def size_classes(largest: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper sizes of the classes, and how many parts each one's signatures have, for the threshold p / q."""
-    upper, parts, low = [], [], 1
+def size_classes(largest: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each class: its upper size, the tokens that a linked pair can differ in, and the spare parts, for the threshold p / q."""
+    upper, differ, low = [], [], 1
     while not upper or upper[-1] < largest:
         top = max(low, low * q // p)
-        differ = (q - p) * (top + top * q // p) // (q + p)
         upper.append(top)
-        parts.append(differ + 1 + (SPARE_PARTS if differ >= 4 else 0))
+        differ.append((q - p) * (top + top * q // p) // (q + p))
         low = top + 1
-    return np.array(upper), np.array(parts)
+    d = np.array(differ)
+    return np.array(upper), d, np.maximum(2, -(-(d + 1) // SPARE))
 
 
 def signatures(tokens: np.ndarray, places: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of every set, and the index of the set that each belongs to.
 
-    Of its class's parts a linked pair agrees in one more than the spare ones, so
-    empty parts are left out where a set has no more empty parts than spare ones.
+    Of its class's parts a linked pair agrees in one more than the spare ones. In any
+    one order of the parts' contents, each set may leave out as many of the first
+    ones as there are spare ones: the last one that the pair agrees in is left. The
+    order is by the number of tokens (then by the part), so that empty and thin
+    parts, in which unlike sets agree, give no signature. Where a class allows no
+    difference, linked sets are equal and need none.
     """
     sizes = np.diff(places)
     rows = np.flatnonzero(sizes)
     if not len(rows):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    upper, parts = size_classes(int(sizes.max()), p, q)
+    upper, differ, spare = size_classes(int(sizes.max()), p, q)
     own = np.searchsorted(upper, sizes[rows])
     owner = np.repeat(np.arange(len(rows)), sizes[rows])
     low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.float64)
@@ -85,33 +89,26 @@ def signatures(tokens: np.ndarray, places: np.ndarray, p: int, q: int) -> tuple[
     found, whose = [], []
     for below in (0, 1):
         klass = own - below
-        used = klass >= 0
-        count = np.where(used, parts[np.maximum(klass, 0)], 0)
+        used = (klass >= 0) & (differ[klass] > 0)
+        count = np.where(used, (differ + 1 + spare)[klass], 0)
         base = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(count, out=base[1:])
         mine = used[owner]
         cell = base[owner[mine]] + spread[mine] % count[owner[mine]]
         total = int(base[-1])
-        filled = np.bincount(cell, minlength=total) > 0
+        held = np.bincount(cell, minlength=total)
         content = np.bincount(cell, low[mine], total).astype(np.uint64) + (
             np.bincount(cell, high[mine], total).astype(np.uint64) << np.uint64(32)
         )
         row = np.repeat(np.arange(len(rows)), count)
-        empty = np.bincount(row[~filled], minlength=len(rows))
-        spare = count - 1 - np.where(used, _differ(klass, upper, p, q), 0)
-        emit = filled | (empty > spare)[row]
-        part = np.arange(total) - base[row]
-        label = mix((klass[row].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-        found.append(mix(content + label)[emit])
-        whose.append(rows[row[emit]])
+        order = np.argsort(row * 256 + np.minimum(held, 255), kind="stable")
+        kept = order[np.arange(total) - base[row] >= spare[klass][row]]  # rows stay together in the order
+        label = mix((klass[row].astype(np.uint64) << np.uint64(40)) + (np.arange(total) - base[row]).astype(np.uint64))
+        found.append(mix(content + label)[kept])
+        whose.append(rows[row[kept]])
     return np.concatenate(found), np.concatenate(whose)
 
 
-def _differ(klass: np.ndarray, upper: np.ndarray, p: int, q: int) -> np.ndarray:
-    top = upper[np.maximum(klass, 0)]
-    return (q - p) * (top + top * q // p) // (q + p)
-
-
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -121,37 +118,35 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray,
         yield row, *shingle_sets(text, starts, width)
 
 
-def count_sketch(tokens: np.ndarray) -> bytes:
-    """Saturated token counts by hash cell; an eighth as many cells as tokens, a power of two, so that larger ones fold into smaller ones.
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the token count in each hash cell, two to four cells a token; a power of two, so that larger ones fold into smaller ones.
 
-    The sum of absolute differences of two sketches is no more than the number of tokens in one set only.
+    Two sketches differ in no more cells than the sets differ in tokens, and in nearly as many.
     """
-    cells = LEAST_CELLS
-    while cells * 8 < len(tokens):
+    cells = 64
+    while cells < 2 * len(tokens):
         cells *= 2
-    held = np.bincount((tokens >> np.uint64(3)).astype(np.int64) & (cells - 1), minlength=cells)
-    return np.minimum(held, 255).astype(np.uint8).tobytes()
+    odd = np.bincount((tokens >> np.uint64(3)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def folded(sketches: Sequence[bytes]) -> np.ndarray:
-    """The sketches as rows of the smallest one's cells."""
-    cells = min(map(len, sketches))
-    return np.stack([np.frombuffer(x, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32) for x in sketches])
+    """The sketches as rows of 64-bit words, in the smallest one's cells."""
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), 0) for x in sketches])
 
 
 def _digest_rows(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             sizes, digests, sketches = [], [], []
             for _, tokens, places in _sets(batch, width):
                 for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
                     sizes.append(b - a)
                     digests.append(_digest(tokens[a:b]) if b > a else None)
-                    sketches.append(count_sketch(tokens[a:b]) if b > a else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sketch"],
-            )
+                    sketches.append(parity_sketch(tokens[a:b]) if b > a else None)
+            own = [batch.column("doc_id"), batch.column("seen"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "seen", "n_shingles", "digest", "sketch"])
 
     return run
 
@@ -165,7 +160,7 @@ def _signature_rows(width: int, p: int, q: int):
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in small(batches):
             for _, tokens, places in _sets(batch, width):
                 fresh, nodes = [], []
                 for i, (a, b) in enumerate(zip(places[:-1].tolist(), places[1:].tolist())):
@@ -205,50 +200,88 @@ def _shared(batches):
 
 
 def _forest(held: list[tuple], p: int, q: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the (node, size, sketch) pairs that may link."""
+    """Edges of a spanning forest over the (node, size, sketch) triples that may link."""
     if len(held) < 2:
         return []
     nodes, sizes, sketches = zip(*held)
     sizes, rows = np.array(sizes), folded(sketches)
     label, edges = np.arange(len(nodes)), []
     for i in range(len(nodes) - 1):
-        differ = np.abs(rows[i + 1 :] - rows[i]).sum(1)
-        near = i + 1 + np.flatnonzero(differ * (p + q) <= (q - p) * (sizes[i + 1 :] + sizes[i]))
-        for j in near.tolist():
+        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(others):
+            continue
+        differ = np.bitwise_count(rows[others] ^ rows[i]).sum(1, dtype=np.int64)
+        for j in others[differ * (p + q) <= (q - p) * (sizes[others] + sizes[i])].tolist():
             if label[i] != label[j]:
                 edges.append((nodes[i], nodes[j]))
                 label[label == label[j]] = label[i]
     return edges
 
 
+def _near_pairs(first: list[tuple], second: list[tuple], p: int, q: int) -> list[tuple[int, int]]:
+    """Those of the pairs of (node, size, sketch) triples that may link; pairs of one sketch length are compared together."""
+    edges, alike = [], {}
+    for x, y in zip(first, second):
+        if len(x[2]) == len(y[2]):
+            alike.setdefault(len(x[2]), []).append((x, y))
+        else:
+            edges += _forest([x, y], p, q)
+    for length, pairs in alike.items():
+        left, right = (np.frombuffer(b"".join(pair[k][2] for pair in pairs), np.uint64).reshape(-1, length // 8) for k in (0, 1))
+        sizes = np.array([x[1] + y[1] for x, y in pairs])
+        near = np.bitwise_count(left ^ right).sum(1, dtype=np.int64) * (p + q) <= (q - p) * sizes
+        edges += [(pairs[i][0][0], pairs[i][1][0]) for i in np.flatnonzero(near).tolist()]
+    return edges
+
+
 def _bounded_edges(p: int, q: int):
     """Edges between nodes of one signature that their sizes and sketches allow to link; the rows come sorted by signature.
 
-    No more than ``PAIRED`` + 1 nodes are held: the first ones of a larger bucket
-    become a star, and later ones join its centre as they pass.
+    Of a bucket no more than ``PAIRED`` nodes or ``PAIRED_BYTES`` of sketches are
+    held: the first ones of a larger bucket become a star, and later ones join its
+    centre as they pass.
     """
 
     def run(batches):
-        at, held = None, []
-        for batch in chain(batches, [None]):
-            columns = [batch.column(k).to_pylist() for k in ("sig", "node", "n", "sketch")] if batch is not None else [[None]] * 4
-            edges = []
-            for sig, *own in zip(*columns):
-                if sig != at:
-                    edges += _forest(held, p, q) if len(held) <= PAIRED else []
-                    at, held = sig, []
-                if len(held) > PAIRED:
-                    edges.append((held[0][0], own[0]))
-                    continue
-                held.append(tuple(own))
-                if len(held) > PAIRED:
-                    edges += [(held[0][0], x[0]) for x in held[1:]]
+        at, held, weight, star = None, [], 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column("sig").to_numpy()
+            rows = list(zip(*(batch.column(k).to_pylist() for k in ("node", "n", "sketch"))))
+            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])).tolist()
+            edges, pairs = [], []
+            for a, z in zip(starts, [*starts[1:], len(sig)]):
+                if sig[a] != at:
+                    if not star:
+                        edges += _forest(held, p, q)
+                    at, held, weight, star = sig[a], [], 0, False
+                    if z - a == 2 and z < len(sig):
+                        pairs.append(a)
+                        continue
+                for own in rows[a:z]:
+                    if star:
+                        edges.append((held[0][0], own[0]))
+                        continue
+                    held.append(own)
+                    weight += len(own[2])
+                    if len(held) > 1 and (len(held) > PAIRED or weight > PAIRED_BYTES):
+                        edges += [(held[0][0], x[0]) for x in held[1:]]
+                        held, star = held[:1], True
+            edges += _near_pairs([rows[a] for a in pairs], [rows[a + 1] for a in pairs], p, q)
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+                yield _edge_batch(set(edges))
+        if held and not star and (edges := _forest(held, p, q)):
+            yield _edge_batch(edges)
 
     return run
 
 
+def _edge_batch(edges) -> pa.RecordBatch:
+    a, b = zip(*edges)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _batched(run, rows: int = 20_000):
     """Small batches of ``run`` put together."""
 
@@ -271,7 +304,7 @@ def _family_sets(width: int):
 
     def run(batches):
         given = set()
-        for batch in batches:
+        for batch in small(batches):
             wanted = batch.column("digest").to_pylist()
             keep, packed = [], []
             for row, tokens, places in _sets(batch, width):
@@ -531,12 +564,10 @@ def _join_pieces(work: Workspace, sets: DataFrame, local: DataFrame, p: int, q:
 def _across(work: Workspace, sets: DataFrame, named: DataFrame, rest: DataFrame, p: int, q: int) -> DataFrame:
     """(node, root) over components: every set outside its family's largest component visits the pieces whose signatures it shares."""
     full = sets.drop("piece").join(named.join(rest, "family").hint("merge"), ["family", "digest"])
-    work.release()
     full = work.keep("apart", full.select("family", "piece", "digest", "root", "tokens", (F.col("root") != F.col("largest")).alias("minor")))
     cells = full.mapInArrow(_piece_signatures(p, q), "key long, piece int, node long, root long, minor boolean")
     asked = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_visits, "node long, piece int")
     visits = work.keep("visits", asked.distinct())
-    work.release()
     own = full.withColumn("node", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")).drop("piece")
     guests = own.where("minor").join(visits.hint("merge"), "node").select("family", "piece", "root", "tokens", F.lit(True).alias("visits"))
     hosts = full.select("family", "piece", "root", "tokens", F.lit(False).alias("visits"))
@@ -551,39 +582,41 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, anything else)."""
     p, q = threshold
     spark = docs.sparkSession
-    bound_batches(spark)
     work = Workspace(spark, "jaccard")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = work.keep("digests", docs.mapInArrow(_digest_rows(width), f"doc_id {id_type}, n_shingles long, digest binary, sketch binary"))
+    text = F.col("text").cast("string")
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("seen"))
+    rows = work.keep("digests", docs.mapInArrow(_digest_rows(width), f"doc_id {id_type}, seen long, n_shingles long, digest binary, sketch binary"))
     node_key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     sigs = docs.select("text").mapInArrow(_signature_rows(width, p, q), "sig long, node long")
     shared = work.keep("shared", sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"))
-    drawn = rows.where("digest is not null").select(node_key.alias("node"), F.col("n_shingles").alias("n"), "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    drawn = rows.where("digest is not null").select(node_key.alias("node"), F.struct(F.col("n_shingles").alias("n"), "sketch").alias("drawn"))
+    drawn = drawn.groupBy("node").agg(F.first("drawn").alias("drawn")).select("node", "drawn.n", "drawn.sketch")
     met = shared.join(drawn.hint("merge"), "node").repartition("sig").sortWithinPartitions("sig")
     near = met.mapInArrow(_batched(_bounded_edges(p, q)), "a long, b long").distinct()
     families = components(work, near, "families").withColumnRenamed("root", "family")
     work.drop("shared")
-    work.release()
 
-    nodes = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    whole = rows.where("doc_id is not null and digest is not null")
+    nodes = whole.groupBy("digest").agg(F.min(F.struct("doc_id", "seen")).alias("first"), F.first("n_shingles").alias("n"))
     members = nodes.withColumn("node", node_key).join(families, "node")
     counted = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
     pieces = F.greatest(F.ceil(F.col("members") / PIECE_NODES), F.ceil(F.col("tokens") / PIECE_TOKENS))
     placed = members.join(counted, "family").select(
-        "doc_id", "digest", "family", F.pmod(F.xxhash64("digest"), pieces).cast("int").alias("piece")
+        "first.doc_id", "first.seen", "digest", "family", F.pmod(F.xxhash64("digest"), pieces).cast("int").alias("piece")
     )
     placed = work.keep("members", placed)
+    work.drop("families-roots")
     sets_type = "family long, piece int, digest binary, tokens binary"
-    sets = docs.join(placed.hint("merge"), "doc_id").select("text", "family", "piece", "digest").mapInArrow(_family_sets(width), sets_type)
-    sets = work.keep("sets", sets)
-    work.release()
+    found = docs.join(placed.hint("merge"), ["doc_id", "seen"]).select("text", "family", "piece", "digest")
+    sets = work.keep("sets", found.mapInArrow(_family_sets(width), sets_type))
+    work.drop("members")
     local = work.keep("local", _by_piece(sets).mapInArrow(_batched(_within_pieces(p, q)), "family long, piece int, digest binary, root binary"))
     roots = work.keep("roots", _join_pieces(work, sets, local, p, q))
-    work.drop("sets")
-    named = nodes.join(roots, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "doc_id")
-    least = Window.partitionBy("root").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    of = named.select("digest", F.min("doc_id").over(least).alias("component_id"))
-    found = rows.join(of, "digest", "left")
+    for name in ("sets", "local", "several", "named", "largest", "apart", "visits", "crossed-roots", *(f"round-{k}" for k in range(64))):
+        work.drop(name)
+    least = roots.join(nodes, "digest").groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    of = nodes.join(roots.join(least, "root"), "digest", "left").select("digest", F.coalesce("component_id", "first.doc_id").alias("component_id"))
+    result = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast(id_type)).otherwise(F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+    return result.select("doc_id", "n_shingles", own.alias("component_id"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import _STEPS, blocks, bound_batches, mix, word_hashes
+from tidewright.llm.textkernel import _STEPS, blocks, small, mix, word_hashes
 
 BUCKETS = 1 << 15
 LEAST_PROBABILITY = 0.7
@@ -249,7 +249,7 @@ def named(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _scan(shared):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             model, found = shared.value, []
             for row, _, text, starts in blocks(batch.column("text")):
                 breaks = np.flatnonzero(text == 0x0A) + 1
@@ -283,7 +283,6 @@ def _scan(shared):
 
 def licence_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, family, probability, similarity, confirmed) of every line that the classifier takes for a licence, known or not."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {id_type}, line long, family string, probability double, similarity double, confirmed boolean"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import bound_batches
+from tidewright.llm.textkernel import small
 
 UNIT = 64
 RATE = 8000
@@ -205,7 +205,7 @@ def feature(track: Track) -> str:
 
 
 def _stored(batches):
-    for batch in batches:
+    for batch in small(batches):
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             raw = [(t or "").encode() for t in part.column("text").to_pylist()]
@@ -216,7 +216,7 @@ def _stored(batches):
 
 
 def _read_back(batches):
-    for batch in batches:
+    for batch in small(batches):
         columns: list[list] = [[] for _ in range(6)]
         for data in batch.column("media").to_pylist():
             track = parse(data)[0]
@@ -235,7 +235,6 @@ def _read_back(batches):
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every row's whole text, padded, in a container."""
-    bound_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_stored, f"doc_id {id_type}, n_bytes long, media binary")
 
@@ -249,7 +248,7 @@ def text_round_trip(docs: DataFrame) -> DataFrame:
 
 def _features(batches):
     key = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for data in batch.column("media").to_pylist():
             try:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
-from tidewright.llm.textkernel import bound_batches
+from tidewright.llm.textkernel import small
 from tidewright.llm.vocabulary import default_path, default_pattern, read_json_ranks
 
 LIMIT = 1024
@@ -66,7 +66,7 @@ def _pieces(shared, pattern: str, limit: int):
 
     def run(batches):
         encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        for batch in batches:
+        for batch in small(batches):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*encoding.encode_ordinary(text or ""), END], "<u4")
@@ -121,7 +121,6 @@ def _packed(size: str, limit: int):
 def pack(docs: DataFrame, limit: int = LIMIT, tokenizer_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``."""
     spark = docs.sparkSession
-    bound_batches(spark)
     work = Workspace(spark, "packing")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(read_json_ranks(tokenizer_path or default_path("byte_bpe_50k.json")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import SPACES, blocks, bound_batches, word_hashes, word_spans
+from tidewright.llm.textkernel import SPACES, blocks, small, word_hashes, word_spans
 
 WORDS = 1 << 15
 RANK = 8
@@ -162,7 +162,7 @@ def _blocks(batch: pa.RecordBatch, text_name: str = "text"):
 
 
 def _sample_features(batches):
-    for batch in batches:
+    for batch in small(batches):
         for start, (row, bucket, weight, statistics) in _blocks(batch):
             cuts = np.searchsorted(row, np.arange(len(statistics) + 1))
             parts = list(zip(cuts, cuts[1:]))
@@ -180,7 +180,7 @@ def _sample_features(batches):
 
 def _scores(shared, text_name: str):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             scores = [sigmoid(shared.value.logits(*own)) for _, own in _blocks(batch, text_name)]
             flat = np.concatenate(scores) if scores else np.zeros(0)
             keep = [n for n in batch.schema.names if n not in ("text", "n_chars")]
@@ -232,7 +232,6 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    bound_batches(docs.sparkSession)
     # a text that is kept goes to the workers once
     text_name = f"k{keep.index('text')}" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "text"
     inputs = _inputs(docs)[1:] if text_name != "text" else _inputs(docs)

@@ -24,11 +24,11 @@ _powers = np.ones(1, np.uint64)
 _inverse_powers = np.ones(1, np.uint64)
 
 
-def bound_batches(spark) -> None:
-    """Texts go to Python workers in batches of at most BATCH_ROWS rows: a worker's memory follows the batch, not the partition."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows: what a worker builds from texts follows the slice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
