@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewright.llm.bpe import Encoder, Replay, encode, round_trip
-from tidewright.llm.vocabulary import default_path, default_pattern, read_json_ranks, read_ranks
+from tidewright.llm.vocabulary import default_path, default_pattern, read_ranks, read_tokenizer
 
 RANKS = read_ranks(default_path("byte_bpe_50k.tiktoken"))
 OURS = Encoder(RANKS, default_pattern())
@@ -40,7 +40,7 @@ def test_words_of_one_replay_do_not_touch():
 
 
 def test_both_files_hold_one_vocabulary():
-    assert read_json_ranks(default_path("byte_bpe_50k.json")) == RANKS
+    assert read_tokenizer(default_path("byte_bpe_50k.json"))[0] == RANKS
 
 
 def test_rows_with_nulls_repeats_and_extra_columns(spark):

@@ -2,17 +2,17 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidewright.llm import packing
 from tidewright.llm.packing import best_fit, pack
-from tidewright.llm.vocabulary import default_path
+from tidewright.llm.vocabulary import default_path, default_pattern, read_tokenizer
 
 
 def tokenizer():
-    t = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_path("byte_bpe_50k.json"))
 
 
 def check(rows, found, limit):
@@ -53,6 +53,33 @@ def test_pieces_and_places(spark, monkeypatch, chunk):
     assert used <= 1.06 * tokens / 128 + 1
 
 
+PARTS = st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n\n", "it's", "1234", "日本", "é"]), st.text(max_size=12)), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PARTS)
+def test_ids_are_the_tokenizers_own(parts):
+    global _ENCODE
+    if _ENCODE is None:
+        _ENCODE = packing._encoder(*read_tokenizer(default_path("byte_bpe_50k.json")), default_pattern()), tokenizer()
+    text = "".join(parts).encode("utf-8", "ignore").decode()
+    assert list(_ENCODE[0](text)) == _ENCODE[1].encode(text, add_special_tokens=False).ids
+
+
+_ENCODE = None
+
+
+def test_added_token_is_one_id(spark):
+    (row,) = pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")).collect()
+    ids = np.array([*tokenizer().encode("a <|endoftext|> b", add_special_tokens=False).ids, 2], "<u4")
+    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())) and 50256 in ids
+
+
+def test_very_long_text(spark):
+    rows = [(1, "ab cd <|endoftext|>" * 20_000), (2, "z" * 30_000), (3, "x " * 100_000)]
+    check(rows, pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 1024)
+
+
 def test_best_fit_fills_exactly():
     bins, offsets, fills = best_fit(np.array([6, 4, 7, 3, 5, 5]), 10)
     assert fills.tolist() == [10, 10, 10] and sorted(offsets.tolist()) == [0, 0, 0, 5, 6, 7]

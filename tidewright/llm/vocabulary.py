@@ -31,9 +31,10 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def read_json_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes -> id of a byte-level BPE tokenizer file, without its added tokens."""
-    data = json.loads(Path(path).read_text(encoding="utf-8"))
-    added = {t["content"] for t in data["added_tokens"]}
+def read_tokenizer(path: str) -> tuple[dict[bytes, int], list[str], str]:
+    """Of a byte-level BPE tokenizer file: token bytes -> id without added tokens, the added tokens' strings, and the file itself."""
+    file = Path(path).read_text(encoding="utf-8")
+    data = json.loads(file)
+    added = [t["content"] for t in data["added_tokens"]]
     of = _printable_bytes()
-    return {bytes(of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}
+    return {bytes(of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}, added, file
