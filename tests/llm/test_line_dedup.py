@@ -1,8 +1,9 @@
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tidewright.llm.line_dedup import LineRuns, drop_common_lines
+from tidewright.llm.line_dedup import LineRuns, drop_common_lines, without_common_lines
 
 WHITE = "\t\n\x0b\x0c\r "
 
@@ -23,7 +24,7 @@ def brute(rows, least):
 def test_equals_brute_force(spark):
     rows = [(i, f"Header {i % 3}\n  HEADER\x0b\nown {i}\nown {i}\n\nÀ B \nhot") for i in range(9)]
     rows += [(20, None), (21, ""), (22, "header"), (22, "header"), (None, "\thot \r"), (None, None), (23, "à b "), (24, "x\ny\n"), (25, "hot\nhot\n" * 2000)]
-    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")
+    docs = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, places string, hit_id int, Batch int")
     for least in (1, 3, 4, 10):
         found = drop_common_lines(docs, least)
         assert sorted((str(r.doc_id), r.kept, r.n_lines) for r in found.collect()) == brute(rows, least)
@@ -36,9 +37,38 @@ def test_runs_are_compacted_and_answer_for_every_batch(spark, tmp_path):
         fresh = {r.h1 for r in runs.first_seen(keys).collect()}
         assert fresh == set(range(batch * 10 + (10 if batch else 0), batch * 10 + 20))
         runs.add(keys)
-        assert all(len(paths) < 4 for paths in runs.levels.values())
+        assert all(len(names) < 4 for names in runs.levels.values())
+        held = [r.h1 for name in runs._runs() for r in spark.table(name).collect()]
+        assert sorted(held) == list(range(batch * 10 + 20))  # every key lies in one run
     assert {r.h1: r.docs for r in runs.counts().collect()} == {i: 2 if 10 <= i < 60 else 1 for i in range(70)}
 
 
 def test_empty_table(spark):
     assert drop_common_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_callers_columns_stay(spark):
+    names = ["kept", "N_LINES", "h1", "seen", "left_id", "c0"]
+    docs = spark.createDataFrame([(1, "a\nb", *names)], ["doc_id", "text", *names])
+    (row,) = drop_common_lines(docs, 1).collect()
+    assert list(row.asDict()) == ["doc_id", "text", *names, "kept_", "n_lines_", "n_dropped"]
+    assert list(row) == [1, "a\nb", *names, "", 2, 2]
+    (row,) = without_common_lines(docs, 2).collect()
+    assert list(row) == [1, "a\nb", *names]
+
+
+def test_merge_joins_read_the_runs_without_a_shuffle(spark, tmp_path):
+    runs = LineRuns(spark, str(tmp_path))
+    for batch in range(2):
+        runs.add(spark.range(batch, 500).select(F.col("id").alias("h1"), F.col("id").alias("h2")))
+    batch = runs._write(runs.counts())
+    plan = runs.first_seen(spark.table(batch))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_text_of_eighty_thousand_common_lines(spark):
+    long = "\n".join(f"line {i}" for i in range(80_000))
+    began = time.time()
+    docs = spark.createDataFrame([(1, long), (2, long + "\nown")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept, r.n_dropped) for r in drop_common_lines(docs, 2).collect()) == [(1, "", 80_000), (2, "own", 80_000)]
+    assert time.time() - began < 60
