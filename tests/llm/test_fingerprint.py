@@ -1,8 +1,10 @@
 import hashlib
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidewright.llm import fingerprint
 from tidewright.llm.fingerprint import LONGEST, digests, fingerprints, likeness, sketch
 
 
@@ -55,3 +57,39 @@ def test_difference_recovers_from_larger_sketches(spark):
     frame = frame.withColumn("sa", sketch(F.col("a"))).withColumn("sb", sketch(F.col("b")))
     for r in likeness(frame, "near", "sa", "sb", "a", "b").collect():
         assert abs(r.near - near(r.x, r.y)) < 1e-9
+
+
+def test_ranges_follow_ids_and_hashes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PER_RANGE", 5)
+    rows = [(None, f"n{i}") for i in range(60)] + [(7, f"h{i}") for i in range(90)] + [(i, f"t{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seen", F.xxhash64("text"))
+    found = sorted(docs.withColumn("range", fingerprint._ranges(docs)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.seen))
+    ranges = [r.range for r in found]
+    assert ranges == sorted(ranges)
+    assert len({r.range for r in found if r.doc_id is None}) > 20 and len({r.range for r in found if r.doc_id == 7}) > 20
+    assert len({r.range for r in found if r.doc_id not in (None, 7)}) > 10
+
+
+def test_next_document_of_null_and_hot_ids(spark):
+    rows = [(None, f"n{i}" * 9) for i in range(30)] + [(7, f"h{i}" * 9) for i in range(60)] + [(i, f"t{i}" * 9) for i in range(6, 40) if i != 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {r.text: r.seen for r in docs.select("text", F.xxhash64("text").alias("seen")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, seen[r[1]]))
+    wanted = []
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        q = len(text) // 4
+        wanted.append((str(i), hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprints(docs).collect()) == sorted(wanted)
+
+
+def test_unpeelable_sketches_are_compared_digest_by_digest(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "LARGER", (2,))
+    monkeypatch.setattr(fingerprint, "EXPECTED", 10_000)
+    test_difference_recovers_from_larger_sketches(spark)
+
+
+def test_twenty_thousand_lines(spark):
+    rows = [(k, "\n".join(f"{k} line {i}" for i in range(20_000))) for k in (1, 2)]
+    began = time.time()
+    found = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.near_next for r in found) == [0.0, 0.0] and time.time() - began < 90

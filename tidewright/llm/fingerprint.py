@@ -8,18 +8,22 @@ one text only; peeling cells that hold one digest recovers them. Where that fail
 both sets are dealt to as many sketches as their sizes ask for and peeled again,
 and again with four times the cells, up to ``LARGER[-1]`` slots. If d digests
 differ, the likeness is 1 - d / (size + size), and 1 for two empty texts. Should the
-last retry fail (two digests of twelve then share three cells of 256), its full
-cells count as the digests that it holds.
+last retry fail (two digests of twelve then share three cells of 256), the digests
+themselves are compared. A text of n paragraphs takes time n to the power 1.5.
 
 The next document comes from a window in each of many id ranges, with the range's
 last row joined to the first of the next range; no task holds all rows.
 
 Null text is empty. A null id comes before the others. Rows of one id follow each
-other by their text's hash. A table of one row is its own next.
+other by their text's hash; equal rows stand next to each other. A table of one row
+is its own next; an empty table has no rows. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ SLOTS = 8
 LARGER = (16, 64, 256)
 EXPECTED = 12
 ROUNDS = 12
+PER_RANGE = 4000
+PARTS = 64  # a power of two
 PARAGRAPH = rf"[^\n]{{1,{LONGEST}}}\n?|\n"
 _CELL = "array<struct<c: int, k: bigint, h: bigint>>"
 
@@ -108,17 +114,33 @@ def peel(difference: Column, slots: int = SLOTS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step, result)
 
 
+def _hand(keys: Column, seed: int, many: Column) -> Column:
+    """The keys in ``many`` lists, by a hash."""
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda n: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(seed)), many) == n))
+
+
 def _dealt(a: Column, b: Column, sketches: Column, slots: int) -> Column:
-    """Peel results of the two sets, dealt to a number of sketches by a hash of the digests."""
+    """Peel results of the two sets, dealt to at least so many sketches by a hash of the digests.
+
+    The digests go to the square root of so many piles and each pile to as many
+    sketches: a digest is looked at twice that root's times, not once a sketch.
+    """
 
-    def one(n: Column) -> Column:
-        mine = lambda keys: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(1)), sketches) == n)
-        both = F.struct(mine(a).alias("a"), mine(b).alias("b"))
-        return _with(both, lambda s: peel(subtract(sketch(s["a"], slots), sketch(s["b"], slots)), slots))
+    def one(pair: Column) -> Column:
+        return peel(subtract(sketch(pair["a"], slots), sketch(pair["b"], slots)), slots)
 
-    found = F.transform(F.sequence(F.lit(0), sketches.cast("int") - 1), one)
+    def deal(pair: Column, seed: int, many: Column) -> Column:
+        return F.arrays_zip(_hand(pair["a"], seed, many).alias("a"), _hand(pair["b"], seed, many).alias("b"))
+
+    def found(many: Column) -> Column:
+        both = F.struct(a.alias("a"), b.alias("b"))
+        piles = F.when(many == 1, F.array(both)).otherwise(deal(both, 2, many))
+        width = F.ceil(sketches / many).cast("int")
+        return F.flatten(F.transform(piles, lambda pile: F.transform(deal(pile, 1, width), lambda pair: _with(pair, one))))
+
+    many = F.greatest(F.lit(1), F.ceil(F.sqrt(sketches / 8)).cast("int"))
     zero = F.struct(F.lit(0).alias("found"), F.lit(0).alias("left"))
-    return F.aggregate(found, zero, lambda s, x: F.struct((s["found"] + x["found"]).alias("found"), (s["left"] + x["left"]).alias("left")))
+    return F.aggregate(_with(many, found), zero, lambda s, x: F.struct((s["found"] + x["found"]).alias("found"), (s["left"] + x["left"]).alias("left")))
 
 
 def likeness(frame: DataFrame, name: str, a: str, b: str, a_keys: str, b_keys: str) -> DataFrame:
@@ -128,7 +150,8 @@ def likeness(frame: DataFrame, name: str, a: str, b: str, a_keys: str, b_keys: s
     for slots in LARGER:
         again = _dealt(F.col(a_keys), F.col(b_keys), F.ceil(total / EXPECTED), slots)
         found = found.withColumn("_peeled", F.when(F.col("_peeled.left") == 0, F.col("_peeled")).otherwise(again))
-    differ = F.least(F.col("_peeled.found") + F.col("_peeled.left"), total)
+    exactly = F.size(F.array_except(a_keys, b_keys)) + F.size(F.array_except(b_keys, a_keys))
+    differ = F.when(F.col("_peeled.left") == 0, F.col("_peeled.found")).otherwise(exactly)
     return found.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise(1 - differ / total)).drop("_peeled")
 
 
@@ -137,25 +160,37 @@ def shown(cells: Column) -> Column:
 
 
 def _ranges(docs: DataFrame) -> Column:
-    """The number of an id's range; the cuts are quantiles of the ids, at most 64 x 64 of them."""
+    """The number of a row's range in the order of ids, then of the texts' hashes.
+
+    The cuts are quantiles of the ids, at most 64 x 64 of them and one for every
+    ``PER_RANGE`` rows. Rows without an id, and those of an id that is two quantiles
+    or more, are parted by their texts' hashes into ``PARTS`` ranges of their own.
+    """
     spark = docs.sparkSession
-    many = min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.count()
+    many = max(2, min(4096, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_RANGE)))
     shares = [i / many for i in range(1, many)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * many)).first()[0] if shares else None
-    cuts = sorted(set(cuts or []))
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * many)).first()[0] or []
+    hot = sorted({c for c, n in Counter(cuts).items() if n > 1})
+    cuts = sorted(set(cuts))
+    part = F.call_function("shiftright", F.col("seen"), F.lit(64 - PARTS.bit_length() + 1)) + PARTS // 2
     if not cuts:
-        return F.lit(0)
+        return part.cast("int")
     groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
     which = F.size(F.filter(F.lit([g[0] for g in groups]), lambda c: F.col("doc_id") >= c))
     nested = F.array(*[F.lit(g) for g in groups])
     inside = F.size(F.filter(F.get(nested, which - 1), lambda c: F.col("doc_id") >= c))
-    return F.when(F.col("doc_id").isNull() | (which == 0), 0).otherwise((which - 1) * 64 + inside)
+    at = F.when(which == 0, 0).otherwise((which - 1) * 64 + inside)  # a cut's own id comes first in its range
+    is_hot = F.array_contains(F.lit(hot), F.col("doc_id")) if hot else F.lit(False)
+    number = (at * 2 + F.when(is_hot, 1).otherwise(2)) * PARTS + F.when(is_hot, part).otherwise(0)
+    return F.when(F.col("doc_id").isNull(), part).otherwise(number).cast("int")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("seen"), _ranges(docs).cast("int").alias("range"))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("seen"))
+    rows = rows.withColumn("range", _ranges(rows.select("doc_id")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("seen")]
     window = Window.partitionBy("range").orderBy(*order)
     follow = rows.withColumn("next_text", F.lead("text").over(window)).withColumn("keys", digests(F.col("text")))
