@@ -2,12 +2,15 @@
 
 ``store`` writes bytes as one track of unsigned 8-bit samples ("raw "), 64 bytes
 to a sample table entry. ``read_media`` walks the boxes of any such file, decodes the
-sample tables and returns codec, duration and the byte range of every keyframe; it
-never decodes payloads.
+sample tables and the runs of fragments, and returns codec, duration and the byte
+range of every keyframe of every track; it never decodes payloads.
 
 Null content or content that is not a well-formed container: the row stays, with
 the reason in ``fault`` and null features. Empty content is not well formed; the
-empty text is stored as one sample of zeros. Repeated rows: each is returned.
+empty text is stored as one sample of zeros. Repeated rows: each is returned. A table
+may state no more samples than the file can hold, so memory follows the file's length,
+however long. Tracks stand in the file's order. An empty table has no rows. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -150,6 +153,12 @@ def _numbers(data: bytes, at: int, end: int, kind: str, count: int) -> np.ndarra
     return np.frombuffer(data, kind, count, at).astype(np.int64)
 
 
+def _fitting(samples: int, size: int, data: bytes) -> int:
+    if samples * max(size, 1) > len(data):
+        raise ContainerFault(f"{samples} samples of {size} bytes in a file of {len(data)}")
+    return samples
+
+
 def _track(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
     def table(name, kind, width=1, skip=4):
         at, end = tables[name]
@@ -165,7 +174,7 @@ def _track(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
         codec = data[at + 12 : at + 16].decode("latin-1") if entries else ""
         at, end = tables[b"stsz"]
         fixed, samples = struct.unpack_from(">II", data, at + 4)
-        sizes = np.full(samples, fixed, np.int64) if fixed else _numbers(data, at + 12, end, ">u4", samples)
+        sizes = np.full(_fitting(samples, fixed, data), fixed, np.int64) if fixed else _numbers(data, at + 12, end, ">u4", samples)
         chunk_at = (table(b"co64", ">u8") if b"co64" in tables else table(b"stco", ">u4"))[:, 0]
         runs = table(b"stsc", ">u4", 3)
         timed = table(b"stts", ">u4", 2)
@@ -174,6 +183,8 @@ def _track(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
         raise ContainerFault(f"sample tables: {fault!r}") from fault
     if int(timed[:, 0].sum()) != samples or (len(sync) and (sync.min() < 0 or sync.max() >= samples)):
         raise ContainerFault("times or keyframes of other samples")
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > max(len(chunk_at), 1)):
+        raise ContainerFault("runs of chunks out of order")
     per_chunk = np.zeros(len(chunk_at), np.int64)
     for first, count, _ in runs.tolist():
         per_chunk[first - 1 :] = count
@@ -185,16 +196,106 @@ def _track(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
     return Track(codec, int(scale), int(duration), offsets, sizes, sync)
 
 
+_NOT_SYNC = 0x10000
+
+
+class _Reader:
+    """Fields of a full box one after the other."""
+
+    def __init__(self, data: bytes, at: int, end: int):
+        self.data, self.at, self.end = data, at, end
+        self.flags = self.take() & 0xFFFFFF
+
+    def take(self, kind: str = ">I") -> int:
+        if self.at + struct.calcsize(kind) > self.end:
+            raise ContainerFault(f"cut fields at {self.at}")
+        (value,) = struct.unpack_from(kind, self.data, self.at)
+        self.at += struct.calcsize(kind)
+        return value
+
+    def maybe(self, flag: int, other: int = 0, kind: str = ">I") -> int:
+        return self.take(kind) if self.flags & flag else other
+
+
+def _run(data: bytes, fields: _Reader, base: int, next_at: int, duration: int, size: int, flags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes and sync flags of the samples of one fragment run, and its duration; the defaults are the fragment's."""
+    count = fields.take()
+    at = base + fields.take(">i") if fields.flags & 0x1 else next_at
+    first_flags = fields.maybe(0x4, -1)
+    columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if fields.flags & bit]
+    if not columns:
+        _fitting(count, size, data)
+    table = _numbers(data, fields.at, fields.end, ">u4", count * len(columns)).reshape(count, len(columns))
+    of = dict(zip(columns, table.T))
+    sizes = of.get(0x200, np.full(count, size, np.int64))
+    marks = of.get(0x400, np.full(count, flags, np.int64)).copy()
+    if count and first_flags >= 0:
+        marks[0] = first_flags
+    lasts = int(of[0x100].sum()) if 0x100 in of else count * duration
+    return at + np.cumsum(sizes) - sizes, sizes, (marks & _NOT_SYNC) == 0, lasts
+
+
+def _add_fragments(data: bytes, fragments: list[tuple[int, list[tuple[bytes, int, int]]]], defaults: dict[int, tuple[int, int, int]], by_id: dict[int, Track]) -> None:
+    """The samples of every movie fragment (its first byte and its header and run boxes) behind those of its track."""
+    parts: dict[int, list] = {}
+    for start, boxes in fragments:
+        track, base, next_at, own = 0, start, start, (0, 0, 0)
+        for kind, at, end in boxes:
+            fields = _Reader(data, at, end)
+            if kind == b"tfhd":
+                track = fields.take()
+                if track not in by_id:
+                    raise ContainerFault(f"a fragment of no track, {track}")
+                base = fields.maybe(0x1, start if fields.flags & 0x20000 else next_at, ">Q")
+                fields.maybe(0x2)
+                usual = defaults.get(track, (0, 0, 0))
+                own = tuple(fields.maybe(bit, other) for bit, other in zip((0x8, 0x10, 0x20), usual))
+                next_at = base
+            elif track:
+                found = _run(data, fields, base, next_at, *own)
+                next_at = int(found[0][-1] + found[1][-1]) if len(found[0]) else next_at
+                parts.setdefault(track, []).append(found)
+    for number, found in parts.items():
+        track = by_id[number]
+        before = len(track.sizes)
+        track.sync = np.concatenate([track.sync, before + np.flatnonzero(np.concatenate([f[2] for f in found]))])
+        track.offsets = np.concatenate([track.offsets, *(f[0] for f in found)])
+        track.sizes = np.concatenate([track.sizes, *(f[1] for f in found)])
+        track.duration += sum(f[3] for f in found)
+
+
 def parse(data: bytes) -> list[Track]:
+    """Every track with all its samples, in the movie's tables and in fragments."""
     found: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
     for path, at, end in walk(data):
         if path == (b"moov", b"trak"):
             found.append({})
         elif len(path) > 2 and path[:2] == (b"moov", b"trak"):
             found[-1].setdefault(path[-1], (at, end))
+        elif path == (b"moov", b"mvex", b"trex"):
+            fields = _Reader(data, at, end)
+            number, _, *own = (fields.take() for _ in range(5))
+            defaults[number] = tuple(own)
+        elif path == (b"moof",):
+            fragments.append((at - (8 if data[at - 4 : at] == b"moof" else 16), []))
+        elif path in ((b"moof", b"traf", b"tfhd"), (b"moof", b"traf", b"trun")):
+            fragments[-1][1].append((path[-1], at, end))
     if not found:
         raise ContainerFault("no track")
-    return [_track(data, tables) for tables in found]
+    tracks = [_track(data, tables) for tables in found]
+    if fragments:
+        by_id = {}
+        for tables, track in zip(found, tracks):
+            if b"tkhd" not in tables:
+                raise ContainerFault("a track without a header")
+            at, end = tables[b"tkhd"]
+            fields = _Reader(data, at, end)
+            fields.at += 16 if data[at] == 1 else 8
+            by_id[fields.take()] = track
+        _add_fragments(data, fragments, defaults, by_id)
+    return tracks
 
 
 def feature(track: Track) -> str:
@@ -248,24 +349,27 @@ def text_round_trip(docs: DataFrame) -> DataFrame:
 
 def _features(batches):
     key = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), key, pa.string())
     for batch in small(batches):
-        rows = []
-        for data in batch.column("media").to_pylist():
+        whose, rows = [], []
+        for i, data in enumerate(batch.column("media").to_pylist()):
             try:
-                track = parse(data or b"")[0]
-                keys = [{"offset": a, "length": n} for a, n in track.ranges()]
-                rows.append((track.codec, track.timescale, track.duration, len(track.sizes), keys, None))
+                own = [
+                    (n, t.codec, t.timescale, t.duration, len(t.sizes), [{"offset": a, "length": k} for a, k in t.ranges()], None)
+                    for n, t in enumerate(parse(data or b""))
+                ]
             except ContainerFault as fault:
-                rows.append((None, None, None, None, None, str(fault)))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), key, pa.string())
+                own = [(None,) * 6 + (str(fault),)]
+            rows += own
+            whose += [i] * len(own)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("media_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
-            ["media_id", "codec", "timescale", "duration", "samples", "keyframes", "fault"],
+            [batch.column("media_id").take(pa.array(whose, pa.int64())), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
+            ["media_id", "track", "codec", "timescale", "duration", "samples", "keyframes", "fault"],
         )
 
 
 def read_media(files: DataFrame) -> DataFrame:
-    """(media_id, codec, timescale, duration, samples, keyframes, fault) of every row (media_id, media) of ``files``; its first track's."""
+    """(media_id, track, codec, timescale, duration, samples, keyframes, fault): one row for every track of every row (media_id, media) of ``files``."""
     id_type = files.schema["media_id"].dataType.simpleString()
-    kinds = "codec string, timescale long, duration long, samples long, keyframes array<struct<offset: long, length: long>>, fault string"
+    kinds = "track int, codec string, timescale long, duration long, samples long, keyframes array<struct<offset: long, length: long>>, fault string"
     return files.select("media_id", "media").mapInArrow(_features, f"media_id {id_type}, {kinds}")
