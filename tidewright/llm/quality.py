@@ -12,10 +12,14 @@ The model is fitted on the driver on a bounded sample: of each label at most
 restore the labels' true shares, which are counted over all training rows. It has
 a fixed size and is broadcast; every row is scored on its whole text.
 
-Null or empty text has its statistics and no words, and is scored. Null n_chars
-counts as 0. Without training rows every score is 0.5; with rows of one label
-only, the score is that label's smoothed share. Repeated rows: each is scored.
-Labels: null labels are left out; of repeated ids one label is kept, the smallest.
+Null or empty text has its statistics and no words, and is scored. An n_chars that is
+null or no number counts as 0; without that column it is the text's length. Without
+training rows every score is 0.5; with rows of one label only, the score is that
+label's smoothed share. Repeated rows: each is scored. Labels: null labels are left
+out; of repeated ids one label is kept, the smallest, and one row is learned from,
+that of the smallest text hash. Equal hashes of ids are told apart by the id. A long
+text is scored as a whole, in time and memory of its length. An empty table has no
+rows. Of other columns those asked for are returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -195,7 +199,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _inputs(docs: DataFrame) -> list[Column]:
-    stated = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.char_length("text").cast("long")
+    stated = F.expr("try_cast(n_chars AS long)") if "n_chars" in docs.columns else F.char_length("text").cast("long")
     return [F.col("text").cast("string").alias("text"), stated.alias("n_chars")]
 
 
@@ -211,8 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
-    # at most 2 * per_label ids: a proven bound
-    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(picked), "doc_id").select("label", "text", "n_chars")
+    # at most 2 * per_label ids, and of each id one row: a proven bound of what is broadcast and of what the driver gets
+    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(picked), "doc_id")
+    one = F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars"))
+    rows = rows.groupBy("doc_id", "label").agg(one.alias("row")).select("label", "row.text", "row.n_chars")
     kinds = "label int, bucket array<int>, weight array<float>, statistics array<double>"
     found = rows.mapInArrow(_sample_features, kinds).toArrow()
     label = found.column("label").to_numpy().astype(float)
