@@ -94,3 +94,24 @@ def test_one_ledger_for_scan_and_redaction(spark, tmp_path):
 
 def test_empty_table(spark):
     assert secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_findings_join_every_path_that_showed_a_blob(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for version in ([("a", "token=abcdefgh"), ("b", "clean")], [("a", "clean"), ("b", "token=abcdefgh"), (None, "token=abcdefgh")], [("a", "clean")]):
+        ledger.scan(spark.createDataFrame(version, "file string, text string"), path="file")
+    assert ledger.scanned().count() == 2 and ledger.paths().count() == 5
+    assert sorted((str(r.path), r.kind, r.start, r.end) for r in ledger.by_path().collect()) == [(p, "assign", 0, 14) for p in ("None", "a", "b")]
+
+
+def test_callers_columns_and_repeated_rows_stay(spark):
+    rows = [(1, "token=abcdefgh", "x", "y", 3), (1, "token=abcdefgh", "x", "y", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, found string, own_blob string, blob int")
+    wanted = [str(r).replace("token=abcdefgh", "[secret]") for r in docs.collect()]
+    assert sorted(str(r) for r in redact(docs).collect()) == sorted(wanted)
+
+
+def test_very_long_text_of_secrets(spark):
+    text = "token=abcdefgh " * 20_000
+    (row,) = redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "[secret] " * 20_000

@@ -1,8 +1,8 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
 Every version of a text at a path is addressed by its SHA-256 (the blob). The
-ledger, two Parquet tables in one folder, holds which (blob, rule version) pairs
-have been scanned and the spans found in each. A scan takes the distinct blobs of a
+ledger, Parquet tables in one folder, holds which (blob, rule version) pairs have
+been scanned, the spans found in each and every blob that a path has shown. A scan takes the distinct blobs of a
 table, anti-joins those that the ledger has, runs the rules on the rest, appends,
 and joins the findings back to every path that shows the blob.
 
@@ -12,9 +12,12 @@ blob's own rows. The base rules are assign, access and hex; pem and jwt add span
 A scan reports a private key by its opening line (as the SQL of op8 states it); a
 redaction has rules of its own version, whose pem spans the whole key.
 
-Null text is the empty text. Null or repeated ids: each row is returned. A blob's
-findings are appended before the blob counts as scanned, so a job that dies in
-between scans it again; repeated findings are read once.
+Null text is the empty text. Null or repeated ids: each row is returned; each pair of
+id and text is one version of that path. Spans of equal starts stand in the order of
+their rules. A long text's spans are rows, and offsets sum up in a window over one
+text's own spans. An empty table has no rows. ``redact`` keeps other columns, whatever
+their names. A blob's findings are appended before the blob counts as scanned, so a
+job that dies in between scans it again; repeated findings are read once.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.workspace import Workspace, exists
+from tidewright.functions.workspace import Workspace, exists, write
+from tidewright.llm.columns import numbered
+from tidewright.llm.spread import hot_keys, spread_left_join
 
 
 @dataclass(frozen=True)
@@ -93,10 +98,11 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 class Ledger:
-    """What has been scanned, and what was found, under one folder."""
+    """What has been scanned, what was found, and which paths have shown each blob, under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.scanned_path, self.findings_path = spark, f"{folder}/scanned", f"{folder}/findings"
+        self.spark = spark
+        self.scanned_path, self.findings_path, self.paths_path = (f"{folder}/{name}" for name in ("scanned", "findings", "paths"))
 
     def _read(self, path: str, schema: str) -> DataFrame:
         if not exists(self.spark, path):
@@ -107,27 +113,55 @@ class Ledger:
         return self._read(self.scanned_path, "blob binary, version int")
 
     def findings(self) -> DataFrame:
-        return self._read(self.findings_path, "blob binary, version int, rank int, kind string, start long, end long").distinct()
+        return self._read(self.findings_path, "blob binary, version int, rank int, kind string, start long, end long")
 
-    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION) -> None:
-        """Scan the blobs of ``docs`` that this version has not seen."""
+    def paths(self) -> DataFrame:
+        """(path, blob) of every version of every path."""
+        return self._read(self.paths_path, "path string, blob binary")
+
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION, path: str = "doc_id") -> None:
+        """Scan the blobs of ``docs`` that this version has not seen, and note which blob each value of the column ``path`` shows."""
         text = body(docs)
         blobs = docs.select(blob_of(text).alias("blob"), text.alias("text"))
         if exists(self.spark, self.scanned_path):
             blobs = blobs.join(self.scanned().where(F.col("version") == version).hint("merge"), "blob", "left_anti")
         spans = find_spans(blobs.dropDuplicates(["blob"]), rules)
-        spans.select("blob", F.lit(version).alias("version"), F.col("rank").cast("int").alias("rank"), "kind", F.col("start").cast("long"), F.col("end").cast("long")).write.mode(
-            "append"
-        ).parquet(self.findings_path)
+        spans = spans.select("blob", F.lit(version).alias("version"), F.col("rank").cast("int").alias("rank"), "kind", F.col("start").cast("long"), F.col("end").cast("long"))
+        write(spans, self.findings_path, "append")
+        shown = docs.select(F.col(path).cast("string").alias("path"), blob_of(text).alias("blob")).distinct()
+        if exists(self.spark, self.paths_path):
+            known = self.paths().select(F.col("path").alias("known_path"), F.col("blob").alias("known_blob"))
+            shown = shown.join(known, shown["path"].eqNullSafe(known["known_path"]) & (shown["blob"] == known["known_blob"]), "left_anti")
+        write(shown, self.paths_path, "append")
         fresh = docs.select(blob_of(text).alias("blob")).distinct()
         if exists(self.spark, self.scanned_path):
             fresh = fresh.join(self.scanned().where(F.col("version") == version), "blob", "left_anti")
-        fresh.select("blob", F.lit(version).alias("version")).write.mode("append").parquet(self.scanned_path)
+        write(fresh.select("blob", F.lit(version).alias("version")), self.scanned_path, "append")
 
-    def by_blob(self, version: int = RULE_VERSION) -> DataFrame:
-        """(blob, found) with the blob's spans in order of start, then rule."""
+    def by_blob(self, version: int = RULE_VERSION, blobs: DataFrame | None = None) -> DataFrame:
+        """(blob, found) with a blob's spans in order of start, then rule; of ``blobs`` (blob) only, where given."""
+        held = self.findings().where(F.col("version") == version)
+        if blobs is not None:
+            held = held.join(blobs.distinct().hint("merge"), "blob", "left_semi")
         span = F.struct(F.col("start"), F.col("rank"), F.col("end"), F.col("kind"))
-        return self.findings().where(F.col("version") == version).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("found"))
+        return held.groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("found"))
+
+    def islands(self, version: int, blobs: DataFrame | None = None) -> DataFrame:
+        """(blob, islands) with a blob's spans in order, overlapping ones as one."""
+        held = self.findings().where(F.col("version") == version).select("blob", "start", "end").distinct()
+        if blobs is not None:
+            held = held.join(blobs.distinct().hint("merge"), "blob", "left_semi")
+        order = Window.partitionBy("blob").orderBy("start", "end")
+        before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        apart = held.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
+        dealt = apart.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        merged = dealt.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        return merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("islands"))
+
+    def by_path(self, version: int = RULE_VERSION) -> DataFrame:
+        """(path, blob, rank, kind, start, end) of every span in every version that any path has shown."""
+        held = self.findings().where(F.col("version") == version).select("blob", "rank", "kind", "start", "end").distinct()
+        return self.paths().distinct().join(held.hint("merge"), "blob").select("path", "blob", "rank", "kind", "start", "end")
 
 
 def _joined(spans: Column) -> Column:
@@ -137,9 +171,12 @@ def _joined(spans: Column) -> Column:
 def secret_spans(docs: DataFrame, ledger_folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_spans, spans) of every row, after scanning what the ledger has not seen."""
     spark = docs.sparkSession
-    ledger = Ledger(spark, ledger_folder or Workspace(spark, "secrets").path("ledger"))
+    work = Workspace(spark, "secrets")
+    ledger = Ledger(spark, ledger_folder or work.path("ledger"))
     ledger.scan(docs, rules)
-    rows = docs.select("doc_id", blob_of(body(docs)).alias("blob")).join(ledger.by_blob(), "blob", "left")
+    shown = work.keep("shown", docs.select("doc_id", blob_of(body(docs)).alias("blob")))
+    held = ledger.by_blob(blobs=shown.select("blob") if ledger_folder else None)
+    rows = spread_left_join(shown, held, "blob", work.keep("hot", hot_keys(shown, "blob")), "doc_id")
     found = F.coalesce("found", F.array().cast("array<struct<start: bigint, rank: int, end: bigint, kind: string>>"))
     base = [r.kind for r in rules if r.base]
 
@@ -154,17 +191,21 @@ def secret_spans(docs: DataFrame, ledger_folder: str | None = None, rules: tuple
 def redact(docs: DataFrame, ledger_folder: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
     spark = docs.sparkSession
-    ledger = Ledger(spark, ledger_folder or Workspace(spark, "secrets").path("ledger"))
+    work = Workspace(spark, "secrets")
+    ledger = Ledger(spark, ledger_folder or work.path("ledger"))
     ledger.scan(docs, REDACTION_RULES, REDACTION_VERSION)
-    found = ledger.by_blob(REDACTION_VERSION).select(F.col("blob").alias("found_blob"), "found")
-    rows = docs.withColumn("own_blob", blob_of(body(docs))).join(found.hint("merge"), F.col("own_blob") == F.col("found_blob"), "left")
-    text = F.col("text").cast("string")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def cut(acc: Column, span: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(span["start"] - acc["at"], F.lit(0)).cast("int"))
-        grown = F.struct(span["end"].alias("at"), F.concat(acc["out"], kept, F.when(span["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
-        return F.when(span["end"] <= acc["at"], acc).otherwise(grown)
-
-    spliced = F.aggregate("found", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return rows.select(*[F.when(F.col("found").isNull(), text).otherwise(spliced).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    rows, (own, doc_id) = numbered(docs, "text", "doc_id")
+    text = F.col(own).cast("string")
+    rows = rows.withColumn("blob", blob_of(F.coalesce(text, F.lit(""))))
+    shown = work.keep("shown", rows.select("blob"))
+    found = ledger.islands(REDACTION_VERSION, shown if ledger_folder else None)
+    rows = spread_left_join(rows, found, "blob", work.keep("hot", hot_keys(shown, "blob")), doc_id)
+    part = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(island: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("islands", i - 1)["end"])
+        return F.concat(part(before, island["start"]), F.lit(mark))
+
+    rest = part(F.element_at("islands", -1)["end"], F.lit(2**31 - 1).cast("long"))
+    spliced = F.when(F.col("islands").isNull(), text).otherwise(F.concat(F.array_join(F.transform("islands", cut), ""), rest))
+    return rows.select(*((spliced if f"c{i}" == own else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))
