@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
 from tidewright.llm.components import components
+from tidewright.llm.spread import hot_keys, spread_left_join
 from tidewright.llm.textkernel import blocks, mix, shingle_sets, small
 
 GROUP = 32
@@ -617,6 +618,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
         work.drop(name)
     least = roots.join(nodes, "digest").groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of = nodes.join(roots.join(least, "root"), "digest", "left").select("digest", F.coalesce("component_id", "first.doc_id").alias("component_id"))
-    result = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
+    rows = rows.select("doc_id", "n_shingles", "digest")
+    result = spread_left_join(rows, of, "digest", work.keep("hot", hot_keys(rows, "digest")), "doc_id")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast(id_type)).otherwise(F.coalesce("component_id", "doc_id"))
     return result.select("doc_id", "n_shingles", own.alias("component_id"))
