@@ -33,8 +33,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them have."""
-    found = line_dedup.drop_common_lines(docs)
-    return _counted(found.withColumn("text", F.col("kept")), docs.columns)
+    return _counted(line_dedup.without_common_lines(docs), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
