@@ -27,7 +27,10 @@ collisions of 64-bit shingle hashes.
 
 Rows: one for each input row. Null or wordless text: an empty set, linked with
 nothing. Null doc_id: the row stays, links nothing and has a null component.
-Repeated ids and repeated rows: each row is returned; equal sets link.
+Repeated ids and repeated rows: each row is returned; equal sets link. A pair at the
+threshold itself links. A long text is shingled whole; its set is held once in each
+task that compares it. An empty table has no rows. Other columns are not read,
+whatever their names. Rows of one signature, 16 bytes each, pass through one task.
 """
 
 from __future__ import annotations
@@ -38,10 +41,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
+from tidewright.llm.columns import numbered
 from tidewright.llm.components import components
 from tidewright.llm.spread import hot_keys, spread_left_join
 from tidewright.llm.textkernel import blocks, mix, shingle_sets, small
@@ -579,11 +583,10 @@ def _across(work: Workspace, sets: DataFrame, named: DataFrame, rest: DataFrame,
     return components(work, crossed, "crossed")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, anything else)."""
+def _connected(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[Workspace, DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, seen, n_shingles, digest), the nodes (digest, first (doc_id, seen), n), and (digest, root) of nodes in families."""
     p, q = threshold
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
+    work = Workspace(docs.sparkSession, "jaccard")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("seen"))
@@ -616,9 +619,35 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     roots = work.keep("roots", _join_pieces(work, sets, local, p, q))
     for name in ("sets", "local", "several", "named", "largest", "apart", "visits", "crossed-roots", *(f"round-{k}" for k in range(64))):
         work.drop(name)
+    return work, rows, nodes, roots
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, anything else)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    work, rows, nodes, roots = _connected(docs, width, threshold)
     least = roots.join(nodes, "digest").groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of = nodes.join(roots.join(least, "root"), "digest", "left").select("digest", F.coalesce("component_id", "first.doc_id").alias("component_id"))
     rows = rows.select("doc_id", "n_shingles", "digest")
     result = spread_left_join(rows, of, "digest", work.keep("hot", hot_keys(rows, "digest")), "doc_id")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast(id_type)).otherwise(F.coalesce("component_id", "doc_id"))
     return result.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """``docs`` with one row of each component: of the smallest id, of that the text of the smallest hash, of equal rows one.
+
+    Rows without an id or without words link with nothing and stay.
+    """
+    _, _, nodes, roots = _connected(docs, width, threshold)
+    least = roots.join(nodes, "digest").groupBy("root").agg(F.min("first").alias("first"))
+    firsts = least.select("first").unionByName(nodes.join(roots, "digest", "left_anti").select("first")).select("first.doc_id", "first.seen")
+    rows, (doc_id, text) = numbered(docs, "doc_id", "text")
+    body = F.col(text).cast("string")
+    rows = rows.withColumn("seen", F.xxhash64(body))
+    single = F.col(doc_id).isNull() | (F.coalesce(F.trim(body, F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "")
+    chosen = rows.where(~single).join(firsts.hint("merge"), (rows[doc_id] == firsts["doc_id"]) & (rows["seen"] == firsts["seen"]), "left_semi")
+    place = F.row_number().over(Window.partitionBy(doc_id, "seen").orderBy(F.xxhash64(*(f"c{i}" for i in range(len(docs.columns))))))
+    once = chosen.withColumn("place", place).where("place = 1").drop("place")
+    kept = once.unionByName(rows.where(single))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

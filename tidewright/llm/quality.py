@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.columns import numbered
 from tidewright.llm.textkernel import SPACES, blocks, small, word_hashes, word_spans
 
 WORDS = 1 << 15
@@ -245,6 +246,15 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more."""
+    rows, _ = numbered(docs)
+    named = {"doc_id", "text", "n_chars"}
+    inner = [c.lower() if c.lower() in named else f"c{i}" for i, c in enumerate(docs.columns)]
+    scored = score(rows.toDF(*inner), model, inner).where(F.col("score") >= least)
+    return scored.select(*(F.col(a).alias(b) for a, b in zip(inner, docs.columns)))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     scored = score(docs, train(docs, labels), ["doc_id"])
