@@ -1,6 +1,10 @@
+import textwrap
+
 import numpy as np
+import pytest
 
-from tidewright.llm.licences import FAMILIES, TEMPLATES, _examples, _grams, _packed, licence_lines, train
+from tidewright.llm import licences
+from tidewright.llm.licences import CLASSES, FAMILIES, LEAST_PROBABILITY, LEAST_SHARED, TEMPLATES, _examples, _grams, _packed, licence_lines, train
 
 
 def test_accuracy_on_unseen_worn_templates():
@@ -43,3 +47,75 @@ def test_notices_of_other_families_are_unknown_licences(spark):
 
 def test_empty_table(spark):
     assert licence_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def model():
+    return train()
+
+
+@pytest.mark.parametrize("width", [38, 55, 80])
+def test_wrapped_notices_are_one_finding(spark, width):
+    rows, want = [], set()
+    for k, family in enumerate(FAMILIES[1:]):
+        for j, template in enumerate(TEMPLATES[family]):
+            parts = textwrap.wrap(template, width)
+            if len(parts) > 2:  # of two parts one may be a notice by itself
+                rows.append((100 * k + j, "A title\n\n" + "\n".join(f"// {x}" for x in parts) + "\n\nand words after it."))
+                want.add((100 * k + j, 2, len(parts), family))
+    found = licence_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    alone = {r.doc_id for r in found if r.lines == 1}
+    assert {(r.doc_id, r.line, r.lines, r.family) for r in found if r.doc_id not in alone} == {w for w in want if w[0] not in alone}
+    assert {r.doc_id for r in found} == {w[0] for w in want} and len(alone) < len(want) / 2  # a line may hold a whole shorter template
+
+
+def brute(model, texts):
+    """Every line, and every run of lines without a blank one, scored by itself in plain Python."""
+    out = []
+    for d, text in texts:
+        if not text:
+            continue
+
+        def score(part):
+            row, bucket, _, pair = _grams(*_packed([part]))
+            p = model.probabilities(model.logits(row, bucket, 1))[0]
+            best = int(p.argmax())
+            if p[best] < LEAST_PROBABILITY:
+                best, sure = (len(CLASSES) - 1, 1 - p[0]) if 1 - p[0] >= LEAST_PROBABILITY else (0, 0)
+            else:
+                sure = p[best]
+            own, similar, cover = set(pair.tolist()), 0.0, 0.0
+            for template in model.bigrams[best]:
+                both = len(own & set(template.tolist()))
+                if both >= min(2, len(template)):
+                    similar, cover = max(similar, both / min(len(own), len(template))), max(cover, both / len(template))
+            return best, float(sure), similar, cover
+
+        parts = text.split("\n")
+        if parts[-1] == "":
+            parts.pop()
+        lines = {i: score(x) for i, x in enumerate(parts)}
+        blank = [not x.strip(" \t\n\r\x0b\x0c") for x in parts]
+        at = 0
+        while at < len(parts):
+            end = at
+            while end < len(parts) and not blank[end]:
+                end += 1
+            if end - at > 1:
+                whole = score("\n".join(parts[at:end]))
+                if whole[0] and whole[3] >= LEAST_SHARED and not any(lines[i][0] and lines[i][3] >= LEAST_SHARED for i in range(at, end)):
+                    out.append((d, at, end - at, CLASSES[whole[0]], round(whole[1], 6), round(whole[2], 6)))
+                    for i in range(at, end):
+                        lines[i] = (0, 0, 0, 0)
+            at = max(end, at + 1)
+        out += [(d, i, 1, CLASSES[k], round(p, 6), round(s, 6)) for i, (k, p, s, _) in lines.items() if k]
+    return sorted(out)
+
+
+def test_query_equals_every_part_scored_alone(spark, model):
+    rng = np.random.default_rng(12)
+    pool = [x for family in TEMPLATES.values() for t in family for x in (t, *textwrap.wrap(t, 40))] + list(licences.UNLISTED) + list(licences.NO_LICENCE) + ["", "", " ", "some other words", "x"]
+    texts = [(i, "\n".join(rng.choice(pool, rng.integers(0, 14)))) for i in range(120)]
+    texts += [(200, None), (201, ""), (202, "\n\n"), (203, "\n".join([pool[1]] * 3000)), (204, "Released under the MIT License.\n"), (204, "Released under the MIT License.\n")]
+    found = licence_lines(spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, family string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.line, r.lines, r.family, round(r.probability, 6), round(r.similarity, 6)) for r in found) == brute(model, texts)

@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line. Its word unigrams and bigrams, hashed, go into a multinomial
+A paragraph is a line, or a run of lines without a blank one: notices stand in one line
+or are wrapped. Its word unigrams and bigrams, hashed, go into a multinomial
 logistic regression over licence families, an unknown licence and prose. It is fitted
 here, on templates worn by dropping, adding and changing words; on notices of other
 families, of invented names and of reserved rights as unknown licence; and on words and
@@ -12,9 +13,13 @@ that probability. Other lines are no findings. A prediction of a family with tem
 is confirmed if the line's bigrams share ``LEAST_SHARED`` or more with one
 of the family's templates, as a part of the smaller of both sets, and at least two
 (or the whole of a template of two words). An unknown licence has a similarity of 0.
+A run of lines is one finding, in the place of its lines, if it holds ``LEAST_SHARED``
+of a template's bigrams and none of its lines does by itself.
 
 The model has a fixed size, is fitted on the driver and broadcast. Null or empty
-text has no findings. Repeated rows give their findings again.
+text has no findings. Repeated rows give their findings again. Of equal probabilities
+the first family in the list counts. A text is scored as a whole, in time of its length.
+An empty table has no findings. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textkernel import _STEPS, blocks, small, mix, word_hashes
+from tidewright.llm.textkernel import _STEPS, SPACES, blocks, mix, small, word_hashes
 
 BUCKETS = 1 << 15
 LEAST_PROBABILITY = 0.7
@@ -40,20 +45,27 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT license. See LICENSE file in the project root for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
@@ -160,13 +172,14 @@ class Model:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def shared(self, family: int, pairs: np.ndarray) -> float:
-        own, best = np.unique(pairs), 0.0
+    def shared(self, family: int, pairs: np.ndarray) -> tuple[float, float]:
+        """Bigrams in common with the nearest template, as a part of the smaller of both sets; and the most of a template that is there."""
+        own, best, cover = np.unique(pairs), 0.0, 0.0
         for template in self.bigrams[family]:
             both = len(np.intersect1d(own, template, assume_unique=True))
             if both >= min(2, len(template)):
-                best = max(best, both / min(len(own), len(template)))
-        return best
+                best, cover = max(best, both / min(len(own), len(template))), max(cover, both / len(template))
+        return best, cover
 
 
 def _worn(rng: np.random.Generator, line: str, drop: bool = True) -> str:
@@ -247,43 +260,76 @@ def named(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.where(unsure, notice, likely)
 
 
+def _found(model: Model, text: np.ndarray, cuts: np.ndarray) -> dict[int, tuple[int, float, float, float]]:
+    """Class, probability, similarity and cover of every part of the text (its starts, and the text's end) that is no prose."""
+    row, bucket, pair_row, pair = _grams(text, cuts)
+    best, likely = named(model.probabilities(model.logits(row, bucket, len(cuts) - 1)))
+    notices = np.flatnonzero(best > 0)
+    first, last = np.searchsorted(pair_row, notices), np.searchsorted(pair_row, notices, "right")
+    return {i: (int(best[i]), float(likely[i]), *model.shared(int(best[i]), pair[a:z])) for i, a, z in zip(notices.tolist(), first.tolist(), last.tolist())}
+
+
+def _notices(model: Model, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
+    """(row, line, lines, class, probability, similarity) of the notices in the texts that begin at ``starts``, one end more."""
+    breaks = np.flatnonzero(text == 0x0A) + 1
+    lines = np.unique(np.concatenate([starts[:-1], breaks[breaks < len(text)]])) if len(text) else np.zeros(0, np.int64)
+    if not len(lines):
+        return []
+    lines = np.append(lines, len(text))
+    doc = np.searchsorted(starts, lines[:-1], "right") - 1
+    first_line = np.searchsorted(lines[:-1], starts[:-1])
+    of_line = _found(model, text, lines)
+    spaces = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(SPACES[text], out=spaces[1:])
+    blank = spaces[lines[1:]] - spaces[lines[:-1]] == np.diff(lines)
+    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+    opens = new_doc | (~blank & np.concatenate([[True], blank[:-1]]))
+    heads = np.flatnonzero(opens)
+    tails = np.append(heads[1:], len(blank))
+    filled = np.concatenate([[0], np.cumsum(~blank)])
+    many = filled[tails] - filled[heads]
+    out = []
+    if (many > 1).any():
+        of_run = _found(model, text, np.append(lines[heads], len(text)))
+        for k, (best, likely, similarity, cover) in of_run.items():
+            inside = range(int(heads[k]), int(tails[k]))
+            alone = any(i in of_line and of_line[i][3] >= LEAST_SHARED for i in inside)
+            if many[k] > 1 and cover >= LEAST_SHARED and not alone:
+                d = int(doc[heads[k]])
+                first = next(i for i in inside if not blank[i])
+                out.append((d, first - int(first_line[d]), int(many[k]), best, likely, similarity))
+                for i in inside:
+                    of_line.pop(i, None)
+    out += [(int(doc[i]), i - int(first_line[doc[i]]), 1, *found[:3]) for i, found in of_line.items()]
+    return sorted(out)
+
+
 def _scan(shared):
     def run(batches):
         for batch in small(batches):
-            model, found = shared.value, []
+            found = []
             for row, _, text, starts in blocks(batch.column("text")):
-                breaks = np.flatnonzero(text == 0x0A) + 1
-                lines = np.unique(np.concatenate([starts[:-1], breaks[breaks < len(text)]])) if len(text) else np.zeros(0, np.int64)
-                if not len(lines):
-                    continue
-                lines = np.append(lines, len(text))
-                gram_row, bucket, pair_row, pair = _grams(text, lines)
-                p = model.probabilities(model.logits(gram_row, bucket, len(lines) - 1))
-                best, likely = named(p)
-                doc = np.searchsorted(starts, lines[:-1], "right") - 1
-                first_line = np.searchsorted(lines[:-1], starts[:-1])
-                for i in np.flatnonzero(best > 0).tolist():
-                    similarity = model.shared(int(best[i]), pair[pair_row == i])
-                    found.append((row + int(doc[i]), i - int(first_line[doc[i]]), CLASSES[best[i]], float(likely[i]), similarity))
-            columns = list(zip(*found)) or [()] * 5
+                found += [(row + d, *rest) for d, *rest in _notices(shared.value, text, starts)]
+            columns = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(columns[0], pa.int64())),
                     pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.string()),
-                    pa.array(columns[3], pa.float64()),
+                    pa.array(columns[2], pa.int64()),
+                    pa.array([CLASSES[k] for k in columns[3]], pa.string()),
                     pa.array(columns[4], pa.float64()),
-                    pa.array([s >= LEAST_SHARED for s in columns[4]], pa.bool_()),
+                    pa.array(columns[5], pa.float64()),
+                    pa.array([s >= LEAST_SHARED for s in columns[5]], pa.bool_()),
                 ],
-                ["doc_id", "line", "family", "probability", "similarity", "confirmed"],
+                ["doc_id", "line", "lines", "family", "probability", "similarity", "confirmed"],
             )
 
     return run
 
 
 def licence_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed) of every line that the classifier takes for a licence, known or not."""
+    """(doc_id, line, lines, family, probability, similarity, confirmed) of every notice: its first line, how many lines it has, and what it is, known or not."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc_id {id_type}, line long, family string, probability double, similarity double, confirmed boolean"
+    kinds = f"doc_id {id_type}, line long, lines long, family string, probability double, similarity double, confirmed boolean"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(shared), kinds)
