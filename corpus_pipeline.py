@@ -2,53 +2,53 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and
 returns a DataFrame; all but the last return the columns of ``documents``. The
-secrets and near copies that a stage decides on are gone from its result. Null ids
-are kept by every stage; rows that repeat an id are one document to the near-copy stage.
+secrets and near copies that a stage decides on are gone from its result. Null ids and
+null texts are kept by every stage but where the classifier rejects them; other columns
+stay as they are, whatever their names; n_chars, where it is, follows the text; an empty
+table stays empty. Of equal texts under one id one row stays; unlike texts under one id
+are documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
 from tidewright.llm import line_dedup, packing, quality, secrets
-from tidewright.llm.jaccard_join import jaccard_components
+from tidewright.llm.columns import numbered
+from tidewright.llm.jaccard_join import without_near_copies
 
 #: A factorisation machine is fitted and similarities are found by components: not for SQL.
 ORACLE_SQL = None
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with n_chars as the text now is."""
-    kind = dict(docs.dtypes).get("n_chars")
-    return docs.select(*[F.char_length("text").cast(kind).alias(c) if c == "n_chars" else docs[c] for c in columns])
+def _counted(docs: DataFrame) -> DataFrame:
+    """The rows with n_chars as the text now is."""
+    rows, (text,) = numbered(docs, "text")
+    length = lambda kind: F.char_length(F.col(text).cast("string")).cast(kind)
+    return rows.select(*[(length(kind) if c == "n_chars" else F.col(f"c{i}")).alias(c) for i, (c, kind) in enumerate(docs.dtypes)])
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, docs.columns).where("score >= 0.5").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them have."""
-    return _counted(line_dedup.without_common_lines(docs), docs.columns)
+    return _counted(line_dedup.without_common_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that links of five-word shingles, at a similarity of 0.8 or more, connect."""
-    groups = jaccard_components(docs, width=5, threshold=(4, 5))
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts.hint("merge"), "doc_id", "left_semi")
-    once = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    once = once.where("_copy = 1").select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    return without_near_copies(docs, width=5, threshold=(4, 5))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret span replaced by a mark."""
-    return _counted(secrets.redact(docs), docs.columns)
+    return _counted(secrets.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
