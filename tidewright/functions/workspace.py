@@ -9,8 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Spark removes the shuffle files of a statement at its end where this is set.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark removes the shuffle files of a statement at its end, and Python workers get few rows at once.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,14 +64,16 @@ class Workspace:
 
 
 def write(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write Parquet and let go of the shuffle files that it took."""
+    """Write Parquet under ``_SETTINGS``, and leave the session's settings as they were."""
     conf = frame.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    before = {name: conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        conf.set(name, value)
     try:
         frame.write.mode(mode).parquet(path)
     finally:
-        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+        for name, value in before.items():
+            conf.set(name, value) if value is not None else conf.unset(name)
 
 
 def delete(spark: SparkSession, path: str) -> None:
