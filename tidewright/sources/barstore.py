@@ -1,13 +1,13 @@
-"""A store of one-minute bars: Parquet by pair, side and month, upserted by timestamp."""
+"""A store of one-minute bars: Parquet by pair, side and month, upserted by timestamp, committed by manifests."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.workspace import delete, exists
+from tidewright.sources.files import delete, listing, read_json, write_json
 
 BARS = "timestamp timestamp_ntz, open double, high double, low double, close double, volume double"
 _TIME_NAMES = ("timestamp", "time", "datetime", "date")
@@ -31,15 +31,26 @@ def keep_newest(frame: DataFrame, keys: list[str], age: list[str]) -> DataFrame:
     return frame.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
+def _utc(column: str, kind: str, zone: str) -> Column:
+    """The column as UTC without a zone: what states its zone is converted by that, the rest is wall time in ``zone``."""
+    instant = lambda x: F.convert_timezone(F.current_timezone(), F.lit("UTC"), x.cast("timestamp").cast("timestamp_ntz"))
+    naive = lambda x: F.convert_timezone(F.lit(zone), F.lit("UTC"), x.cast("timestamp_ntz"))
+    if kind == "timestamp":
+        return instant(F.col(column))
+    if kind != "string":
+        return naive(F.col(column))
+    text = F.trim(column)
+    return F.when(text.rlike(r"(?i)(z|utc|[+-]\d{2}(:?\d{2})?)$") & text.rlike(r"\d:\d"), instant(text)).otherwise(naive(text))
+
+
 def import_bars(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Bars of a CSV or Parquet file: any case, several names for the time, a zone for naive times, checked prices."""
-    raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
+    raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     named = next((n for n in _TIME_NAMES if n in raw.columns), None)
     if named is None:
         raise KeyError(f"none of {_TIME_NAMES} in {raw.columns}")
-    time = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col(named).cast("timestamp_ntz"))
-    bars = raw.withColumn("timestamp", time)
+    bars = raw.withColumn("timestamp", _utc(named, dict(raw.dtypes)[named], zone))
     bars = normalize(bars if "volume" in raw.columns else bars.withColumn("volume", F.lit(-1.0)))
     wrong = bars.where("high < greatest(open, close) or low > least(open, close)").limit(1).count()
     if wrong:
@@ -48,38 +59,81 @@ def import_bars(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
 
 
 class BarStore:
-    """The bars of one pair and side under ``root``/pair=/side=/month=."""
+    """The bars of one pair and side under ``root``/pair=/side=: a folder for each month and version, and manifests.
+
+    The newest manifest names the current folder and row count of each month. An
+    append writes the months that it touches into new folders and then a new
+    manifest: readers see all of an append or nothing, also when it dies in between.
+    """
 
     def __init__(self, spark: SparkSession, root: str, pair: str, side: str):
         self.spark, self.root = spark, f"{root}/pair={pair.upper()}/side={side.lower()}"
 
-    def read_all(self) -> DataFrame:
-        if not exists(self.spark, self.root):
+    def _manifests(self) -> list[str]:
+        return [n for n in listing(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
+
+    def months(self) -> dict[str, dict]:
+        """Month -> its folder and rows, in order."""
+        names = self._manifests()
+        return dict(sorted(read_json(self.spark, f"{self.root}/manifest/{names[-1]}").items())) if names else {}
+
+    def _read(self, months: list[dict]) -> DataFrame:
+        if not months:
             return empty_bars(self.spark)
-        return self.spark.read.schema(BARS + ", month string").parquet(self.root).drop("month")
+        return self.spark.read.schema(BARS).parquet(*(f"{self.root}/{m['folder']}" for m in months))
+
+    def read_all(self) -> DataFrame:
+        return self._read(list(self.months().values()))
+
+    def overwrite(self, bars: DataFrame) -> None:
+        """The bars in the place of all that is held; later rows win over earlier ones of their time."""
+        numbered = normalize(bars).withColumn("_at", F.monotonically_increasing_id())
+        self._commit({}, keep_newest(numbered, ["timestamp"], ["_at"]).drop("_at"))
 
     def append(self, new: DataFrame) -> int:
         """Upsert by timestamp: new rows win, later rows of one batch too. Returns how many timestamps are new."""
         new = normalize(new).withColumn("_at", F.monotonically_increasing_id())
-        month = F.date_format("timestamp", "yyyy-MM").alias("month")
-        months = [r.month for r in new.select(month).distinct().collect()]
-        held = self.read_all().where(month.isin(months)) if months else self.read_all().limit(0)
-        both = held.withColumn("_batch", F.lit(0)).withColumn("_at", F.lit(0).cast("long")).unionByName(new.withColumn("_batch", F.lit(1)))
-        merged = keep_newest(both, ["timestamp"], ["_batch", "_at"]).drop("_batch", "_at").withColumn("month", F.date_format("timestamp", "yyyy-MM"))
-        before = held.count()
-        staged = f"{self.root.rsplit('/pair=', 1)[0]}/_staged-{uuid.uuid4().hex[:8]}"
-        merged.write.partitionBy("month").parquet(staged)  # a table that is read is never overwritten in place
-        again = self.spark.read.schema(BARS + ", month string").parquet(staged)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.root)
-        added = again.count() - before
-        delete(self.spark, staged)
-        return added
+        names = [r.month for r in new.select(F.date_format("timestamp", "yyyy-MM").alias("month")).distinct().collect()]
+        before = self.months()
+        touched = [before[m] for m in names if m in before]
+        held = self._read(touched).withColumn("_batch", F.lit(0)).withColumn("_at", F.lit(0).cast("long"))
+        merged = keep_newest(held.unionByName(new.withColumn("_batch", F.lit(1))), ["timestamp"], ["_batch", "_at"]).drop("_batch", "_at")
+        after = self._commit(before, merged)
+        return sum(m["rows"] for m in after.values()) - sum(m["rows"] for m in before.values())
+
+    def _commit(self, months: dict[str, dict], merged: DataFrame) -> dict[str, dict]:
+        version = uuid.uuid4().hex[:12]
+        dated = merged.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+        dated.write.partitionBy("month").parquet(f"{self.root}/data/{version}")
+        written = self.spark.read.schema(BARS + ", month string").parquet(f"{self.root}/data/{version}")
+        counts = {r["month"]: r["count"] for r in written.groupBy("month").count().collect()}
+        after = months | {m: {"folder": f"data/{version}/month={m}", "rows": n} for m, n in counts.items()}
+        number = int(self._manifests()[-1].split(".")[0]) + 1 if self._manifests() else 0
+        write_json(self.spark, f"{self.root}/manifest/{number:012d}.json", after)
+        return after
+
+    def vacuum(self) -> None:
+        """Remove manifests but the newest, and folders that it does not name. For when no reader holds older ones."""
+        named = {m["folder"].split("/")[1] for m in self.months().values()}
+        for name in self._manifests()[:-1]:
+            delete(self.spark, f"{self.root}/manifest/{name}")
+        for name in listing(self.spark, f"{self.root}/data"):
+            if name not in named:
+                delete(self.spark, f"{self.root}/data/{name}")
 
     def timestamp_range(self) -> tuple:
-        return tuple(self.read_all().agg(F.min("timestamp"), F.max("timestamp")).first())
+        """First and last time, from the first and the last month alone; (None, None) of an empty store."""
+        months = list(self.months().values())
+        return tuple(self._read(months[:1] + months[1:][-1:]).agg(F.min("timestamp"), F.max("timestamp")).first())
 
     def row_count(self) -> int:
-        return self.read_all().count()
+        return sum(m["rows"] for m in self.months().values())
+
+
+def stored_pairs(spark: SparkSession, root: str) -> list[str]:
+    """Pairs under ``root`` that have both sides."""
+    pairs = [n.removeprefix("pair=") for n in listing(spark, root) if n.startswith("pair=")]
+    return [p for p in pairs if all(BarStore(spark, root, p, s).months() for s in ("bid", "ask"))]
 
 
 def discover_pairs(store: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewright.functions import calendar
+from tidewright.sources.barstore import BarStore
 
 
 def stream_clock_bars(ticks: DataFrame, width: str, late: str = "1 minute") -> DataFrame:
@@ -31,11 +32,13 @@ def stream_session_bars(ticks: DataFrame, period: str = "daily", late: str = "1
 
 
 def stream_reversion(bars: DataFrame) -> DataFrame:
-    """(pair, ts, signal) of the band rule on a stream (pair, ts, mid_close, bb_lower, bb_middle, bb_upper); the state is one number a pair."""
+    """(pair, ts, signal) of the band rule on a stream (pair, ts, mid_close, bb_lower, bb_middle, bb_upper); the state is the signal and the last bar of a pair. A bar that is older than one already decided has no row."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (held,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values("ts")
+        held, last = state.get if state.exists else (0, None)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        if last is not None:
+            rows = rows[rows["ts"] > pd.Timestamp(last)]  # what came too late was decided without it
         signals = []
         for price, low, mid, high in rows[["mid_close", "bb_lower", "bb_middle", "bb_upper"]].itertuples(index=False):
             if pd.isna(price) or pd.isna(low) or pd.isna(mid) or pd.isna(high):
@@ -45,7 +48,19 @@ def stream_reversion(bars: DataFrame) -> DataFrame:
             else:
                 held = 1 if price <= low else -1 if price >= high else 0
             signals.append(held)
-        state.update((held,))
+        state.update((held, last if rows.empty else str(rows["ts"].iloc[-1])))
         yield pd.DataFrame({"pair": key[0], "ts": rows["ts"], "signal": signals})
 
-    return bars.groupBy("pair").applyInPandasWithState(step, "pair string, ts timestamp, signal int", "held int", "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("pair").applyInPandasWithState(step, "pair string, ts timestamp, signal int", "held int, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_bars(stream: DataFrame, root: str, side: str = "mid"):
+    """A writer that appends every micro-batch of ``stream`` (pair, ts, open, high, low, close) to the bar store: a bar that comes again replaces its former self, so a batch may be replayed."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("pair", F.col("ts").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", F.lit(-1.0).alias("volume"))
+        for r in rows.select("pair").distinct().collect():  # one row for each instrument
+            BarStore(spark, root, r.pair, side).append(rows.where(F.col("pair") == r.pair))
+
+    return stream.writeStream.outputMode("append").foreachBatch(write)
