@@ -11,21 +11,51 @@ from tidewright.streaming import bars as streaming
 START = dt.datetime(2024, 1, 2)
 
 
-def test_auc_with_ties_and_class_weights(spark):
-    f = spark.createDataFrame([(0.5, 1), (0.5, 1), (0.1, 0), (0.5, 0)], "s double, y int").withColumn("k", F.lit(1))
-    assert stats.auc(f, "s", F.col("y") == 1, ["k"]).first().auc == 0.75
-    w = spark.range(1000).select(F.when(F.col("id") < 600, -1).when(F.col("id") < 900, 0).otherwise(1).alias("y"))
+def scored(rng, n=240):
+    rows = []
+    for _ in range(n):
+        up, flat = rng.random(2) * 0.5
+        rows.append((int(rng.integers(-1, 2)), round(float(up), 1), round(float(flat), 1), round(float(1 - up - flat), 1), "ab"[rng.integers(0, 2)]))
+    return rows
+
+
+def area(rows, of, positive):
+    wins = [1.0 if of(x) > of(y) else 0.5 if of(x) == of(y) else 0.0 for x in rows if positive(x) for y in rows if not positive(y)]
+    return sum(wins) / len(wins)
+
+
+def test_areas_equal_all_pairs(spark):
+    rows = scored(np.random.default_rng(71))
+    f = spark.createDataFrame(rows, "y int, up double, flat double, down double, k string")
+    for r in stats.auc(f, "up", F.col("y") == 1, ["k"]).collect():
+        assert np.isclose(r.auc, area([x for x in rows if x[4] == r.k], lambda x: x[1], lambda x: x[0] == 1))
+    macro = stats.macro_auc(f, "y", {-1: "down", 0: "flat", 1: "up"}, []).first()
+    assert np.isclose(macro.macro_auc, np.mean([area(rows, lambda x, c=c: x[c], lambda x, k=k: x[0] == k) for k, c in ((-1, 3), (0, 2), (1, 1))])) and macro.classes == 3
+    one_sided = stats.macro_auc(f.where("y = 1"), "y", {-1: "down", 1: "up"}, []).first()
+    assert one_sided.macro_auc is None and one_sided.classes == 0
+
+
+def test_class_weights_even_the_classes(spark):
+    counts = {-1: 40, 0: 7, 1: 113}
+    w = spark.createDataFrame([(k,) for k, n in counts.items() for _ in range(n)], "y int")
     rows = stats.class_weights(w, "y", []).collect()
-    assert np.isclose(sum(r.n * r.weight for r in rows) / 1000, 1) and np.allclose([r.n * r.weight for r in rows], 1000 / 3)
+    assert {r.y: r.n for r in rows} == counts and np.allclose([r.n * r.weight for r in rows], sum(counts.values()) / 3)
 
 
 def test_confusion_precision_and_direction(spark):
-    f = spark.createDataFrame(zip([-1, -1, 0, 1, 1, 1], [-1, 0, 0, 1, 1, -1]), "y int, p int")
-    found = {r["class"]: (r.precision, r.recall) for r in stats.precision_recall(f, "y", "p", [-1, 1]).collect()}
-    assert np.allclose(found[1], (1, 2 / 3)) and found[-1] == (0.5, 0.5)
-    d = spark.createDataFrame([(1, 0.4, 0.4), (-1, 0.1, 0.3), (1, 0.6, 0.1), (0, 0.2, 0.7), (0, 0.5, 0.1)], "y int, u double, d double").withColumn("k", F.lit(1))
-    r = stats.directional(d, "y", "u", "d", ["k"]).first()
-    assert (r.n, r.accuracy) == (3, 1.0)
+    rng = np.random.default_rng(73)
+    rows = [(*r, int(rng.integers(-1, 2))) for r in scored(rng)]
+    f = spark.createDataFrame(rows, "y int, up double, flat double, down double, k string, p int")
+    found = {r["class"]: (r.precision, r.recall) for r in stats.precision_recall(f, "y", "p", [-1, 0, 1]).collect()}
+    for k in (-1, 0, 1):
+        hit = sum(r[0] == k == r[5] for r in rows)
+        assert np.allclose(found[k], (hit / sum(r[5] == k for r in rows), hit / sum(r[0] == k for r in rows)))
+    touched = [r for r in rows if r[0]]
+    right = np.mean([(1 if r[1] >= r[3] else -1) == r[0] for r in touched])
+    r = stats.directional_statistics(f, "y", "up", "down", 3.0, []).first()
+    ups = np.mean([x[0] == 1 for x in touched])
+    assert r.n == len(touched) and np.isclose(r.accuracy, right) and np.isclose(r.base_rate, max(ups, 1 - ups))
+    assert np.isclose(r.se, np.sqrt(right * (1 - right) / (len(touched) / 3))) and np.isclose(r.high - r.low, 2 * 1.96 * r.se)
 
 
 def test_scalars():
@@ -82,10 +112,40 @@ def test_stream_emits_each_closed_bar_once(spark, tmp_path):
 
 
 def test_stream_signals(spark, tmp_path):
-    rows = [("P", START + dt.timedelta(minutes=i), m, 1.0, 1.05, 1.1) for i, m in enumerate([1.05, 1.00, 1.02, 1.05, 1.08, 1.10, 1.07, 1.05])]
+    price = 50 + 2 * np.sin(np.arange(200) / 9) + np.random.default_rng(74).normal(0, 0.3, 200)
+    rows = [("P", START + dt.timedelta(minutes=i), float(m), 49.0, 50.0, 51.0) for i, m in enumerate(price)]
     schema = "pair string, ts timestamp, mid_close double, bb_lower double, bb_middle double, bb_upper double"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = streaming.stream_reversion(stream).writeStream.format("memory").queryName("signals").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [r.signal for r in spark.table("signals").orderBy("ts").collect()] == [0, 1, 1, 0, 0, -1, -1, 0]
+    held, wanted = 0, []
+    for m in price:
+        held = (0 if held * (m - 50) >= 0 else held) if held else 1 if m <= 49 else -1 if m >= 51 else 0
+        wanted.append(held)
+    assert [r.signal for r in spark.table("signals").orderBy("ts").collect()] == wanted and {-1, 0, 1} == set(wanted)
+
+
+def test_stream_of_sessions(spark, tmp_path):
+    ticks = [("P", START + dt.timedelta(hours=5 * i), float(i)) for i in range(20)]
+    spark.createDataFrame(ticks, "pair string, ts timestamp, mid double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("pair string, ts timestamp, mid double").parquet(str(tmp_path / "in"))
+    q = streaming.stream_session_bars(stream).writeStream.format("memory").queryName("sessions").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    found = {r.session: (r.open, r.close, r.n) for r in spark.table("sessions").collect()}
+    wanted = {}
+    for _, ts, mid in ticks:
+        wanted.setdefault((ts - dt.timedelta(hours=22)).date(), []).append(mid)
+    assert [(v[0], v[-1], len(v)) for v in wanted.values()] == [found[k] for k in sorted(found)]
+
+
+def test_a_late_bar_changes_no_signal(spark, tmp_path):
+    schema = "pair string, ts timestamp, mid_close double, bb_lower double, bb_middle double, bb_upper double"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    bar = lambda i, m: ("P", START + dt.timedelta(minutes=i), m, 49.0, 50.0, 51.0)
+    for rows in ([bar(0, 48.0), bar(2, 49.5)], [bar(1, 55.0), bar(3, 49.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streaming.stream_reversion(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [(r.ts.minute, r.signal) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()] == [(0, 1), (2, 1), (3, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import calendar
@@ -30,12 +30,67 @@ def with_mids(bars: DataFrame) -> DataFrame:
     return bars.withColumns(mids | {"spread_close": F.greatest(F.col("close_ask") - F.col("close_bid"), F.lit(0.0))})
 
 
-def merge_sides(bid: DataFrame, ask: DataFrame) -> DataFrame:
-    """(pair, ts, four prices of each side) where both sides have the bar."""
+def repeated_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row has, with their number."""
+    return frame.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def merge_sides(bid: DataFrame, ask: DataFrame, one_to_one: bool = False) -> DataFrame:
+    """(pair, ts, four prices of each side) where both sides have the bar; with ``one_to_one`` a bar that a side has twice raises."""
+    for name, side in (("bid", bid), ("ask", ask)):
+        if one_to_one and (twice := repeated_keys(side, ["pair", "ts"]).first()):
+            raise ValueError(f"{name} has {twice['n']} bars of {twice['pair']} at {twice['ts']}")
     named = lambda x, s: x.select("pair", "ts", *[F.col(p).alias(f"{p}_{s}") for p in PRICES])
     return with_mids(named(bid, "bid").join(named(ask, "ask"), ["pair", "ts"]))
 
 
+def negative_spreads(bars: DataFrame) -> DataFrame:
+    """(pair, n, clipped): bars, and those whose ask closes under the bid, which ``with_mids`` takes for a spread of 0."""
+    return bars.groupBy("pair").agg(F.count("*").alias("n"), F.count_if(F.col("close_ask") < F.col("close_bid")).alias("clipped"))
+
+
+def bars_per_window(width: str) -> int:
+    """How many one-minute bars a clock window of e.g. "15 minutes" or "1 hour" holds."""
+    number, unit = width.split()
+    minutes = {"minute": 1, "hour": 60, "day": 1440}[unit.rstrip("s")]
+    return int(number) * minutes
+
+
+def clock_alignment(bars: DataFrame, width: str) -> DataFrame:
+    """(pair, aligned): whether every label is the start of its clock window."""
+    return bars.groupBy("pair").agg(F.bool_and(F.window("ts", width)["start"] == F.col("ts")).alias("aligned"))
+
+
+def session_checks(bars: DataFrame, period: str, thin: float = 0.25) -> DataFrame:
+    """Per pair: labels at 17:00 New York (and on Sunday for weekly bars), times that rise and do not repeat, minutes of a bar, and thin bars."""
+    wall = calendar.to_wall(F.col("ts"))
+    at_open = (F.hour(wall) == 17) & (F.minute(wall) == 0) if period in ("daily", "weekly") else (F.pmod(F.hour(wall) - 17, F.lit(int(period[0]) if period[0].isdigit() else 24)) == 0) & (F.minute(wall) == 0)
+    if period == "weekly":
+        at_open = at_open & (F.weekday(wall) == 6)
+    middle = bars.groupBy("pair").agg(F.percentile("n_minutes", F.lit(0.5)).alias("median_minutes"))
+    # one row for each instrument
+    return bars.join(F.broadcast(middle), "pair").groupBy("pair").agg(
+        F.bool_and(at_open).alias("labels_at_open"), (F.count_distinct("ts") == F.count("ts")).alias("unique_labels"), F.min("n_minutes").alias("min_minutes"),
+        F.max("median_minutes").alias("median_minutes"), F.max("n_minutes").alias("max_minutes"), F.count_if(F.col("n_minutes") < thin * F.col("median_minutes")).alias("thin_bars"),
+    )
+
+
+def slice_window(frame: DataFrame, start, end) -> DataFrame:
+    """Rows from start to end, both included; None leaves an end open."""
+    if start is not None:
+        frame = frame.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return frame if end is None else frame.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+
+
+def finite(columns: list[str]) -> Column:
+    """Whether every one of the columns is defined, a number and no infinity."""
+    out = F.lit(True)
+    for c in columns:
+        x = F.col(c).cast("double")
+        out = out & x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0))) & (F.abs(F.coalesce(x, F.lit(0.0))) < float("inf"))
+    return out
+
+
 def clock_bars(bars: DataFrame, width: str) -> DataFrame:
     """[t, t + width) labelled t; empty buckets have no row; n_minutes counts defined bid closes."""
     bucket = F.window("ts", width)["start"].alias("label")
@@ -79,3 +134,20 @@ def quality_summary(bars: DataFrame, step_minutes: int = 1) -> DataFrame:
     )
     rows = bars.groupBy("pair").agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return rows.join(found, "pair", "left").fillna(0, ["n_weekend", "n_daily_reset", "n_active"])
+
+
+def active_gap_samples(bars: DataFrame, step_minutes: int = 1, most: int = 5) -> DataFrame:
+    """(pair, nth, start, end, minutes): the first gaps of each pair that no calendar explains."""
+    found = gaps(bars, step_minutes).where("kind = 'active'")
+    nth = F.row_number().over(Window.partitionBy("pair").orderBy("start"))
+    return found.select("pair", nth.alias("nth"), "start", "end", "minutes").where(F.col("nth") <= most)
+
+
+def format_quality(row, samples: list, label: str) -> str:
+    """A quality summary and its samples of gaps as text."""
+    largest = "none" if row["largest_active"] is None else f"{row['largest_active']:.0f} min"
+    lines = [
+        f"{label}: {row['n_rows']:,} bars, {row['first_ts']} to {row['last_ts']}",
+        f"  gaps: weekend {row['n_weekend']}, daily reset {row['n_daily_reset']}, active {row['n_active']} (largest {largest})",
+    ]
+    return "\n".join([*lines, *(f"    {g['start']} to {g['end']}: {g['minutes']:.0f} min" for g in samples)])

@@ -26,7 +26,7 @@ def spaced_sample(frame: DataFrame, seed: int, per_block: int = 3, min_gap: int
     n = F.count("*").over(block)
     m = F.least(F.lit(per_block), F.floor((n - 1) / min_gap) + 1)
     out = frame.withColumns({"_m": m, "_span": n - (m - 1) * (min_gap - 1)})
-    drawn = F.row_number().over(block.orderBy((F.col("event_offset") >= F.col("_span")).cast("int"), F.xxhash64(F.lit(seed), "pair", "block_id", "event_offset")))
+    drawn = F.row_number().over(block.orderBy((F.col("event_offset") >= F.col("_span")).cast("int"), F.md5(F.concat_ws("|", F.lit(seed), "pair", F.col("block_id"), F.col("event_offset")))))
     out = out.withColumn("_drawn", (drawn <= F.col("_m")) & (F.col("event_offset") < F.col("_span")))
     nth = F.sum(F.col("_drawn").cast("int")).over(block.orderBy("event_offset"))
     place = F.when(F.col("_drawn"), F.col("event_offset") + (min_gap - 1) * (nth - 1))

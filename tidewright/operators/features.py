@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,13 +169,39 @@ def moments(bars: DataFrame, windows=(96, 24), z_window: int | None = None) -> D
     if z_window:
         for w in windows:
             for a, b, name in ((f"ret_skew_{w}", f"bowley_skew_{w}", "skew"), (f"ret_kurt_{w}", f"moors_kurt_{w}", "kurt")):
-                out = out.withColumn(f"{name}_divergence_{w}", trailing_z(F.col(a), z_window) - trailing_z(F.col(b), z_window))
+                out = with_trailing_z(with_trailing_z(out, F.col(a), z_window, "_za"), F.col(b), z_window, "_zb")
+                out = out.withColumn(f"{name}_divergence_{w}", F.col("_za") - F.col("_zb")).drop("_za", "_zb")
     return out.drop("_r", "_row", "_e")
 
 
-def trailing_z(x: Column, window: int) -> Column:
-    frame = trailing(window)
-    return ratio(x - full(F.avg(x).over(frame), x, window, frame), full(F.stddev_samp(x).over(frame), x, window, frame))
+def with_trailing_z(frame: DataFrame, x: Column, window: int, name: str) -> DataFrame:
+    """x against mean and deviation of ``window`` rows; undefined where one of them is, or none differ.
+
+    Sums of the window are differences of running sums, so a row costs the same
+    whatever the window; values count from the first one on, which keeps digits. What
+    is lost grows with the squared distance from there: a series that moves by more than
+    a million of its deviations needs another reference.
+    """
+    path = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    out = frame.withColumn("_x", x)
+    out = out.withColumns({"_own": F.col("_x") - F.first("_x", ignorenulls=True).over(path), "_moved": ~F.col("_x").eqNullSafe(F.lag("_x").over(ordered()))})
+    own = F.coalesce("_own", F.lit(0.0))
+    counted = {"_n": F.col("_x").isNotNull().cast("double"), "_s": own, "_q": own * own, "_m": F.col("_moved").cast("double")}
+    out = out.withColumns({k: F.sum(v).over(path) for k, v in counted.items()})
+    inside = lambda k, back=window: F.col(k) - F.coalesce(F.lag(k, back).over(ordered()), F.lit(0.0))
+    out = out.withColumns({"_wn": inside("_n"), "_ws": inside("_s"), "_wq": inside("_q"), "_wm": inside("_m", window - 1)})
+    mean = F.col("_ws") / window
+    sd = F.sqrt(F.greatest(F.col("_wq") - F.col("_ws") * mean, F.lit(0.0)) / (window - 1))
+    ready = (F.col("_wn") == window) & (F.col("_wm") > 0)
+    z = F.when(ready, ratio(F.col("_own") - mean, sd))
+    return out.withColumn(name, z).drop("_x", "_own", "_moved", *counted, "_wn", "_ws", "_wq", "_wm")
+
+
+def rolling_rank(frame: DataFrame, x: str, window: int, name: str) -> DataFrame:
+    """``trailing_rank`` in one pass that keeps the window sorted: for windows of many thousand rows."""
+    if window < 2:
+        raise ValueError("a window of two values at least")
+    return _null_nan(folds.fold(frame, [x], {name: lambda v: pd.Series(v).rolling(window).rank(method="average", pct=True).to_numpy()}), [name])
 
 
 def trailing_rank(x: Column, window: int, frame=None) -> Column:

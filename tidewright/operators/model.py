@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import stats
@@ -68,13 +68,35 @@ class ThreeClassModel:
         for k, model in self.models.items():
             model.write().overwrite().save(f"{path}/class={k}")
 
+    @classmethod
+    def load(cls, path: str, features: list[str]) -> ThreeClassModel:
+        """What ``save`` wrote; ``features`` are the columns that it was fitted on, in their order."""
+        held = cls(features)
+        held.models = {k: PipelineModel.load(f"{path}/class={k}") for k in CLASSES}
+        known = held.models[CLASSES[0]].stages[0].getInputCols()
+        if list(known) != list(features):
+            raise ValueError(f"fitted on {known}")
+        return held
+
+
+def _numbered(frame: DataFrame, order: Column) -> DataFrame:
+    """``frame`` with ``_to``, each row's place in the order of a hash: counts of the hash's ranges, then places inside each."""
+    parts = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = frame.withColumn("_hash", order).withColumn("_part", F.call_function("shiftright", F.col("_hash"), F.lit(40)))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    # at most 2^24 ranges, of a few numbers each
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).select("_part", "_before")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_hash"))
+    placed = dealt.repartition(parts, "_part").withColumn("_in", inside).join(starts, "_part")
+    return placed.withColumn("_to", F.col("_before") + F.col("_in")).drop("_hash", "_part", "_in", "_before")
+
 
 def shuffled(frame: DataFrame, column: str, key: list[str], seed: int) -> DataFrame:
     """``frame`` with one column's values dealt anew over the rows, by two orders of a hash."""
-    order = lambda s: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(s), *key)))
-    numbered = frame.withColumn("_to", order(seed))
-    values = frame.select(order(seed + 1).alias("_to"), F.col(column).alias("_dealt"))
-    return numbered.join(values, "_to").withColumn(column, F.col("_dealt")).drop("_to", "_dealt")
+    order = lambda s: F.xxhash64(F.lit(s), *key)
+    values = _numbered(frame.select(*key, F.col(column).alias("_dealt")), order(seed + 1)).select("_to", "_dealt")
+    return _numbered(frame, order(seed)).join(values, "_to").withColumn(column, F.col("_dealt")).select(*frame.columns)
 
 
 def permutation_importance(model: ThreeClassModel, frame: DataFrame, metric, repeats: int = 3, seed: int = 11) -> list[tuple[str, float, float]]:

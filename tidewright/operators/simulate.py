@@ -11,14 +11,13 @@ the same target is held back until it changes.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.rolling import bar_number, prev
-
 
 @dataclass(frozen=True)
 class Costs:
@@ -33,14 +32,39 @@ class Costs:
         return min(self.cap * value, max(self.least, self.rate * value))
 
 
+class ExitLevels(Protocol):
+    """Where a trade takes its profit and where it stops: distances from the fill, as columns of the bar of entry."""
+
+    def distances(self) -> tuple[Column, Column]:
+        """Of the profit and of the stop; a null or a distance that is not above 0 sets no level."""
+
+
+@dataclass(frozen=True)
+class NoLevels:
+    def distances(self) -> tuple[Column, Column]:
+        none = F.lit(None).cast("double")
+        return none, none
+
+
+@dataclass(frozen=True)
+class AtrBarrier:
+    """Both so many ATR away."""
+
+    k: float = 2.0
+    atr: str = "atr_decision"
+
+    def distances(self) -> tuple[Column, Column]:
+        far = self.k * F.col(self.atr).cast("double")
+        return far, far
+
+
 @dataclass(frozen=True)
 class Setup:
     notional: float = 100_000.0
     costs: Costs | None = Costs()
     warmup: int = 600
     max_hold: int | None = None
-    barrier: float | None = None  # take-profit and stop, so many ``atr`` from the fill
-    atr: str = "atr_decision"
+    levels: ExitLevels = NoLevels()
 
 
 BARS = "equity double, position int, cum_spread_cost double, cum_commission double"
@@ -50,9 +74,10 @@ TRADES = (
 )
 
 
-def target_position(frame: DataFrame, setup: Setup) -> DataFrame:
+def target_position(frame: DataFrame, setup: Setup, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """The signal of the bar before, 0 during the warm-up."""
-    return frame.withColumn("target", F.when(bar_number() > setup.warmup, F.coalesce(prev("signal"), F.lit(0))).otherwise(0).cast("int"))
+    path = Window.partitionBy(*keys).orderBy("ts")
+    return frame.withColumn("target", F.when(F.row_number().over(path) > setup.warmup, F.coalesce(F.lag("signal").over(path), F.lit(0))).otherwise(0).cast("int"))
 
 
 class _Book:
@@ -75,8 +100,8 @@ class _Book:
         self.cost, self.fee = side * (self.price - b["mid_open"][t]) * size, self._fee(self.price)
         self.spread += self.cost
         self.mid, self.low, self.high = b["mid_open"][t], b["mid_low"][t], b["mid_high"][t]
-        far = self.setup.barrier * b["atr"][t] if self.setup.barrier else np.nan
-        self.levels = (self.price + side * far, self.price - side * far) if np.isfinite(far) and far > 0 else None
+        far = [d if np.isfinite(d) and d > 0 else np.inf for d in (b["profit"][t], b["stop"][t])]
+        self.levels = (self.price + side * far[0], self.price - side * far[1]) if min(far) < np.inf else None
 
     def leave(self, t: int, price: float, cost: float, reason: str) -> None:
         gained = self.side * (price - self.price) * self.setup.notional
@@ -132,30 +157,26 @@ def simulate_arrays(bars: dict[str, np.ndarray], target: np.ndarray, setup: Setu
 
 
 _PRICES = ("open_bid", "open_ask", "mid_open", "mid_high", "mid_low", "mid_close")
-
-
-def _inputs(group: pd.DataFrame, setup: Setup) -> dict[str, np.ndarray]:
-    bars = {c: group[c].to_numpy(float) for c in _PRICES}
-    bars["atr"] = group[setup.atr].to_numpy(float) if setup.barrier else np.full(len(group), np.nan)
-    return bars
+_INPUTS = (*_PRICES, "profit", "stop")
 
 
 def _grouped(frame: DataFrame, setup: Setup, keys: tuple[str, ...], schema: str, take) -> DataFrame:
-    if missing := [c for c in (*_PRICES, "signal", *[setup.atr] * bool(setup.barrier)) if c not in frame.columns]:
+    if missing := [c for c in (*_PRICES, "signal") if c not in frame.columns]:
         raise KeyError(f"missing columns: {missing}")
     kinds = dict(frame.dtypes)
     named = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    columns = [*keys, "ts", "target", *_PRICES, *[setup.atr] * bool(setup.barrier)]
+    profit, stop = setup.levels.distances()
+    columns = [*keys, "ts", "target", *_PRICES, profit.alias("profit"), stop.alias("stop")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts", kind="stable").reset_index(drop=True)
-        rows, trades = simulate_arrays(_inputs(group, setup), group["target"].to_numpy(), setup)
+        rows, trades = simulate_arrays({c: group[c].to_numpy(float) for c in _INPUTS}, group["target"].to_numpy(), setup)
         out = take(group, rows, trades)
         for i, k in enumerate(keys):
             out.insert(i, k, group[k].iloc[0])
         return out
 
-    return target_position(frame, setup).select(columns).groupBy(*keys).applyInPandas(run, f"{named}, {schema}")
+    return target_position(frame, setup, keys).select(columns).groupBy(*keys).applyInPandas(run, f"{named}, {schema}")
 
 
 def simulate_bars(frame: DataFrame, setup: Setup = Setup(), keys: tuple[str, ...] = ("pair",)) -> DataFrame:

@@ -153,18 +153,113 @@ def correlations(frame: DataFrame, left: list[str], right: list[str]) -> DataFra
     return row.select(F.inline("rows"))
 
 
-def describe(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, share of nulls, moments, extremes and five exact quantiles of each column."""
-    long = frame.unpivot(["pair", "ts"], [F.col(c).cast("double").alias(c) for c in columns], "feature", "x")
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    out = long.groupBy("feature").agg(
-        F.count("x").alias("n"), (1 - F.count("x") / F.count("*")).alias("null_share"), F.min(F.when(F.col("x").isNotNull(), F.col("ts"))).alias("first_valid"),
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q"),
+QUANTILES = (1, 25, 50, 75, 99)
+
+
+def describe(frame: DataFrame, columns: list[str], guards: dict[str, Column] | None = None) -> DataFrame:
+    """Count, shares of nulls and of infinities, moments, extremes and five exact quantiles of each column's finite values.
+
+    ``guards`` names, for a column, rows at which it is undefined by its own rule (a
+    zero denominator, say); their share of all rows is ``guarded_share``. Values are
+    counted before they are ranked: a quantile comes from a running count of distinct
+    values, so no task holds a column.
+    """
+    guards = guards or {}
+    x = F.col("cell.x")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.coalesce(guards.get(c, F.lit(False)), F.lit(False)).alias("guarded")) for c in columns])
+    long = frame.select("ts", F.explode(cells).alias("cell")).select("ts", F.col("cell.feature").alias("feature"), x.alias("x"), F.col("cell.guarded").alias("guarded"))
+    known = F.col("x").isNotNull() & ~F.isnan(F.coalesce("x", F.lit(0.0)))
+    infinite = known & (F.abs("x") == float("inf"))
+    value = F.when(known & ~infinite, F.col("x"))
+    out = long.withColumn("value", value).groupBy("feature").agg(
+        F.count_if(known).alias("n"), (1 - F.count_if(known) / F.count("*")).alias("null_share"), (F.count_if(infinite) / F.count("*")).alias("inf_share"),
+        (F.count_if("guarded") / F.count("*")).alias("guarded_share"), F.min(F.when(known, F.col("ts"))).alias("first_valid"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return out.select("feature", "n", "null_share", "first_valid", "mean", "sd", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((1, 25, 50, 75, 99))], "max")
+    return out.join(_quantiles(long.where(value.isNotNull()).select("feature", value.alias("x"))), "feature", "left").select(
+        "feature", "n", "null_share", "inf_share", "guarded_share", "first_valid", "mean", "sd", "min", *[f"p{q}" for q in QUANTILES], "max"
+    )
+
+
+def _quantiles(long: DataFrame) -> DataFrame:
+    """Interpolated quantiles of (feature, x), from the running count over the distinct values of each."""
+    counts = long.groupBy("feature", "x").agg(F.count("*").alias("n"))
+    path = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.select("feature", "x", "n", F.sum("n").over(path).alias("upto"))
+    total = long.groupBy("feature").agg(F.count("*").alias("total"))
+    # one row for each feature
+    placed = ranked.join(F.broadcast(total), "feature")
+    cells = []
+    for q in QUANTILES:
+        at = (F.col("total") - 1) * (q / 100)
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("x")))
+        share = F.max(at - low)
+        cells.append((holds(low) + (holds(high) - holds(low)) * share).alias(f"p{q}"))
+    return placed.groupBy("feature").agg(*cells)
 
 
 def usable_start(frame: DataFrame, columns: list[str]) -> tuple:
-    """The first time at which every column is defined, and the column that is last."""
-    row = frame.agg(*[F.min(F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in columns]).first()
-    return max((row[c], c) for c in columns if row[c] is not None)
+    """The first time at which every column has been defined, and the column that came last; (None, column) where one never is."""
+    row = frame.agg(*[F.min(F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    for i, c in enumerate(columns):
+        if row[i] is None:
+            return None, c
+    return max((row[i], c) for i, c in enumerate(columns))
+
+
+def first_defined(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, first_defined): null for a column without values."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.min(F.when(F.col(c).isNotNull(), F.col("ts"))).alias("first_defined")) for c in columns]
+    return frame.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def value_counts(frame: DataFrame, columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Rows of each combination of values, their share, and the share up to there, most frequent first (or in ``order``)."""
+    counts = frame.groupBy(*columns).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over the distinct combinations, not the rows
+    path = Window.partitionBy(F.lit(0)).orderBy(*(order or [F.col("n").desc(), *columns])).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumns({"share": F.col("n") / total, "cumulative_share": F.sum("n").over(path) / total})
+
+
+def macro_auc(frame: DataFrame, label: str, probabilities: dict[int, str], keys: list[str]) -> DataFrame:
+    """Mean over the classes of the rank AUC of each against the rest; classes without both sides count for nothing."""
+    out = None
+    for k, c in probabilities.items():
+        part = auc(frame.where(F.col(c).isNotNull()), c, F.col(label) == k, keys).withColumn("_class", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*keys).agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("classes"))
+
+
+def directional_statistics(frame: DataFrame, label: str, up: str, down: str, per_trial: float, keys: list[str], z: float = 1.96) -> DataFrame:
+    """``directional`` with standard error, Wald interval and z against the base rate; one independent trial for each ``per_trial`` rows."""
+    p, base = F.col("accuracy"), F.col("base_rate")
+    n = F.col("n") / per_trial
+    se = F.sqrt(p * (1 - p) / n)
+    out = directional(frame, label, up, down, keys)
+    return out.withColumns({"n_eff": n, "se": se, "low": p - z * se, "high": p + z * se, "z_base": (p - base) / F.when(base < 1, F.sqrt(base * (1 - base) / n))})
+
+
+def grouped_spread(frame: DataFrame, keys: list[Column], x: str) -> DataFrame:
+    """Mean, largest value and standard deviation of x in each group."""
+    return frame.groupBy(*keys).agg(F.avg(x).alias(f"{x}_mean"), F.max(x).alias(f"{x}_max"), F.stddev_samp(x).alias(f"{x}_sd"))
+
+
+def frame_median(frame: DataFrame, x: str) -> float | None:
+    """The exact median of all defined values, as a number for a setup; from counts of the distinct values."""
+    found = _quantiles(frame.where(F.col(x).isNotNull()).select(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x"))).first()
+    return None if found is None else found["p50"]
+
+
+def top(frame: DataFrame, by: str, k: int, ties: list[str], keys: list[str] | None = None) -> DataFrame:
+    """The k rows of the largest values, equals in the order of ``ties``; of each group where ``keys`` are given."""
+    order = [F.col(by).desc_nulls_last(), *ties]
+    if not keys:
+        return frame.orderBy(*order).limit(k)
+    ranked = frame.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("_place") <= k).drop("_place")
+
+
+def best_eligible(frame: DataFrame, by: str, eligible: Column, ties: list[str]) -> DataFrame:
+    """The one row of the largest value among the eligible ones; none where none is."""
+    return top(frame.where(eligible), by, 1, ties)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,12 @@ from pyspark.sql.types import ByteType, StructField, StructType
 from tidewright.operators.features import commission
 
 
+class Strategy(Protocol):
+    """A rule: a frame of features in, the same frame with a causal ``signal`` in {-1, 0, 1} out."""
+
+    def generate_signals(self, frame: DataFrame, keys: tuple[str, ...] = ("pair",)) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Reversion:
     """Enter at a band, leave at the middle; one move a bar. RSI failing waits, cost or regime failing skips the touch."""
@@ -31,6 +38,9 @@ class Reversion:
         if not 0 <= self.rsi_low < self.rsi_high <= 100 or self.multiple <= 0 or self.notional <= 0:
             raise ValueError("thresholds out of order or not positive")
 
+    def generate_signals(self, frame: DataFrame, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+        return reversion_signal(frame, self, keys)
+
     def prepared(self, frame: DataFrame) -> DataFrame:
         """What a bar says whatever the state: where the price is, and whether an entry on that side waits, skips or goes."""
         c = F.col("mid_close")
@@ -88,7 +98,20 @@ def reversion_signal(frame: DataFrame, rule: Reversion = Reversion(), keys: tupl
     return ready.groupBy(*keys).applyInPandas(run, schema)
 
 
-def held_score_signal(frame: DataFrame, theta: float, hold: int = 16, score: str = "score", valid: str = "valid") -> DataFrame:
+@dataclass(frozen=True)
+class HeldScore:
+    """The sign of a model's score beyond theta, held for a number of bars."""
+
+    theta: float
+    hold: int = 16
+    score: str = "score"
+    valid: str = "valid"
+
+    def generate_signals(self, frame: DataFrame, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+        return held_score_signal(frame, self.theta, self.hold, self.score, self.valid, keys)
+
+
+def held_score_signal(frame: DataFrame, theta: float, hold: int = 16, score: str = "score", valid: str = "valid", keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """When idle and the score's size passes theta, its sign is held for ``hold`` bars before the next look."""
     schema = StructType([*frame.schema.fields, StructField("signal", ByteType())])
 
@@ -103,4 +126,4 @@ def held_score_signal(frame: DataFrame, theta: float, hold: int = 16, score: str
             at = first + hold
         return group.assign(signal=out)
 
-    return frame.groupBy("pair").applyInPandas(run, schema)
+    return frame.groupBy(*keys).applyInPandas(run, schema)
