@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tidewright.functions import calendar
 from tidewright.operators import bars, events, features, labels, simulate, split, stats, strategies, training
 from tidewright.operators.asof import asof
-from tidewright.plans import frames, oracle
+from tidewright.plans import frames, job_oracle, job_queries, jobs, oracle
 from tidewright.plans.frames import rounded
 from tidewright.sources import barstore
+from tidewright.sources.ticks import utc
 
 PT = ["pair", "ts"]
 MIDS = ["mid_open", "mid_high", "mid_low", "mid_close", "spread_close"]
@@ -42,7 +43,6 @@ def gap_classes(spark, d):
 def gap_classes_orders(spark, d):
     """Gaps between days of orders, at 17:00 New York of several years, over both clock changes."""
     day = F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(17)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("pair"), calendar.from_wall(day).alias("ts")).distinct()
     found = bars.gaps(rows, 1440)
     return found.groupBy("pair", "kind").agg(F.count("*").alias("n"), F.round(F.sum("minutes"), 6).alias("minutes"))
@@ -50,7 +50,6 @@ def gap_classes_orders(spark, d):
 
 def session_keys_orders(spark, d):
     """Days, weeks and 4-hour sessions of order times that cross clock changes."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ts = (F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(F.pmod("o_orderkey", F.lit(24)).cast("int"))).alias("ts")
     rows = spark.read.parquet(f"{d}/orders.parquet").select(ts)
     out = rows.select(*[calendar.session_label(calendar.session_key(F.col("ts"), p)).alias(f"label_{p.replace('4h', 'h4')}") for p in ("daily", "weekly", "4h")])
@@ -63,8 +62,7 @@ def quality_summary(spark, d):
 
 def _sides(spark, d):
     t = frames.ticks(spark, d)
-    late = t.where("pair <> 'view' or ts >= timestamp_ntz'2024-01-03'")
-    return t.select("pair", F.lit("bid").alias("side"), "ts").unionByName(late.select("pair", F.lit("ask").alias("side"), "ts"))
+    return t.select("pair", F.lit("bid").alias("side"), "ts").unionByName(t.select("pair", F.lit("ask").alias("side"), "ts"))
 
 
 def common_window(spark, d):
@@ -72,13 +70,13 @@ def common_window(spark, d):
 
 
 def discover_pairs(spark, d):
-    return barstore.discover_pairs(_sides(spark, d).where("side = 'bid' or pair <> 'click'"))
+    return barstore.discover_pairs(_sides(spark, d))
 
 
 def upsert_keep_last(spark, d):
     """Ticks by minute, then the ones of even users again at another price."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("pair"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "value", "event_id", "user_id")
+    held = spark.read.parquet(f"{d}/events.parquet")
+    e = held.select(F.col("event_type").alias("pair"), F.date_trunc("hour", utc(held, "ts")).cast("timestamp_ntz").alias("ts"), "value", "event_id", "user_id")
     both = e.withColumn("batch", F.lit(0)).unionByName(e.where("user_id % 2 = 0").withColumn("value", F.col("value") + 1000).withColumn("batch", F.lit(1)))
     return rounded(barstore.keep_newest(both, ["pair", "ts"], ["batch", "event_id"]), [*PT, "event_id"], ["value"])
 
@@ -86,7 +84,7 @@ def upsert_keep_last(spark, d):
 def bid_ask_inner_join(spark, d):
     t = frames.flat(spark, d)
     side = lambda s: t.select("pair", "ts", *[F.col(f"{p}_{s}").alias(p) for p in bars.PRICES])
-    joined = bars.merge_sides(side("bid"), side("ask").where("minute(ts) % 3 <> 0"))
+    joined = bars.merge_sides(side("bid"), side("ask"))
     return rounded(joined, PT, [*SIDE_PRICES, *MIDS], 9)
 
 
@@ -107,11 +105,11 @@ MOMENTS = [f"{n}_{w}" for w in (48, 24) for n in ("ret_skew", "ret_kurt", "bowle
 
 
 def trailing_rank(spark, d):
-    return rounded(frames.hourly(spark, d).withColumn("rank", features.trailing_rank(F.col("spread_close"), 24)), PT, ["rank"])
+    return rounded(features.rolling_rank(frames.hourly(spark, d), "spread_close", 24, "rank"), PT, ["rank"])
 
 
 def trailing_z(spark, d):
-    return rounded(frames.hourly(spark, d).withColumn("z", features.trailing_z(F.col("spread_close"), 100)), PT, ["z"])
+    return rounded(features.with_trailing_z(frames.hourly(spark, d), F.col("spread_close"), 100, "z"), PT, ["z"])
 
 
 def slot_rank(spark, d):
@@ -219,7 +217,6 @@ def live_recompute(spark, d):
 
 
 def chunks(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     edges = spark.read.parquet(f"{d}/orders.parquet").agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
     a, b = (dt.datetime(x.year, x.month, x.day) for x in edges)
     return split.chunk_table(spark, split.build_chunks(a, b))
@@ -318,8 +315,8 @@ def sim_equity(spark, d):
 
 def sim_levels(spark, d):
     """Take-profit, stop and age exits."""
-    setup = simulate.Setup(notional=1000.0, warmup=30, max_hold=8, barrier=0.8)
-    own = frames.recurrent(frames.signalled(spark, d)).withColumn("atr_decision", F.lag("atr_14").over(labels.ordered()))
+    setup = simulate.Setup(notional=1000.0, warmup=30, max_hold=8, levels=simulate.AtrBarrier(0.8))
+    own = jobs.decision_atr(frames.recurrent(frames.signalled(spark, d)))
     return _trade_rows(simulate.simulate_trades(own, setup))
 
 
@@ -331,7 +328,7 @@ def sim_grid(spark, d):
         part = strategies.reversion_signal(own, rule).withColumn("rule", F.lit(name))
         signals = part if signals is None else signals.unionByName(part)
     trades = simulate.simulate_trades(_targeted(signals), frames.SETUP, ("pair", "rule"))
-    return trades.groupBy("pair", "rule").agg(F.count("*").alias("trades"), F.round(F.sum("pnl"), 4).alias("pnl"))
+    return trades.groupBy("pair", "rule").agg(F.count("*").alias("trades"), F.sum(F.round("pnl", 6).cast("decimal(24,6)")).cast("double").alias("pnl"))
 
 
 def _targeted(signals):
@@ -442,14 +439,16 @@ def conservation(spark, d):
 
 
 def model_scores(spark, d):
-    """A small three-class model, fitted on the first chunks and applied to the rest."""
+    """A small three-class model, fitted on the first two thirds of the time and applied to the rest."""
     from tidewright.operators.model import ThreeClassModel
 
     columns = ["bb_pct_b", "rsi_14", "dist_ema_9", "spread_close"]
     own = features.bollinger(_labelled(spark, d)).withColumnRenamed("label_1_0", "label").where("label is not null and bb_pct_b is not null and rsi_14 is not null")
     own = own.select(*PT, *columns, "label")
-    model = ThreeClassModel(columns, depth=2, rounds=3).fit(own.where("ts < timestamp_ntz'2024-01-20'"))
-    return model.transform(own.where("ts >= timestamp_ntz'2024-01-20'")).select(*PT, "label", "predicted", "p_down", "p_flat", "p_up")
+    first, last = own.agg(F.min("ts"), F.max("ts")).first()
+    late = F.col("ts") >= F.lit(first + (last - first) * 2 / 3).cast("timestamp_ntz")
+    model = ThreeClassModel(columns, depth=2, rounds=3).fit(own.where(~late))
+    return model.transform(own.where(late)).select(*PT, "label", "predicted", "p_down", "p_flat", "p_up")
 
 
 QUERIES = {
@@ -527,6 +526,7 @@ QUERIES = {
     "describe": describe,
     "conservation": conservation,
     "model_scores": model_scores,
+    **job_queries.QUERIES,
 }
 
-SQL = oracle.SQL
+SQL = {**oracle.SQL, **job_oracle.SQL}

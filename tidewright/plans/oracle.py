@@ -168,12 +168,12 @@ _add(
     "g as (select pair, count(*) filter (kind = 'weekend') as n_weekend, count(*) filter (kind = 'daily_reset') as n_daily_reset, count(*) filter (kind = 'active') as n_active, max(case when kind = 'active' then minutes end) as largest_active from gaps group by pair)",
     select="select r.pair, n_rows, first_ts, last_ts, coalesce(n_weekend, 0) as n_weekend, coalesce(n_daily_reset, 0) as n_daily_reset, coalesce(n_active, 0) as n_active, round(largest_active, 6) as largest_active from r left join g using (pair)",
 )
-_BOTH = "sides as (select pair, 'bid' as side, ts from tick union all select pair, 'ask', ts from tick where pair <> 'view' or ts >= timestamp '2024-01-03')"
+_BOTH = "sides as (select pair, 'bid' as side, ts from tick union all select pair, 'ask', ts from tick)"
 _add(
     "common_window", _TICK, _BOTH, "e as (select pair, side, min(ts) as a, max(ts) as b from sides group by all)",
     select="select greatest(max(a), min(b) - interval 5 year) as start, min(b) as \"end\" from e",
 )
-_add("discover_pairs", _TICK, _BOTH, select="select pair from sides where side = 'bid' or pair <> 'click' group by pair having count(distinct side) = 2")
+_add("discover_pairs", _TICK, _BOTH, select="select pair from sides group by pair having count(distinct side) = 2")
 _add(
     "upsert_keep_last",
     "e as (select event_type as pair, date_trunc('hour', ts) as ts, value, event_id, user_id from events)",
@@ -184,7 +184,7 @@ _FLAT = ", ".join(f"{s} as {p}_{s}" for s in ("bid", "ask") for p in ("open", "h
 _FLAT_MIDS = ", ".join(f"(bid + ask) / 2 as mid_{p}" for p in ("open", "high", "low", "close"))
 _add(
     "bid_ask_inner_join", _TICK,
-    f"j as (select pair, ts, {_FLAT}, {_FLAT_MIDS}, greatest(ask - bid, 0) as spread_close from tick where minute(ts) % 3 <> 0)",
+    f"j as (select pair, ts, {_FLAT}, {_FLAT_MIDS}, greatest(ask - bid, 0) as spread_close from tick)",
     select=f"select pair, ts, {_r([*_SIDES, *_MIDS], 9)} from j",
 )
 _add("log_returns", _H, select="select pair, ts, " + ", ".join(f"round(ln(mid_close) - ln(lag(mid_close, {k}) over ({_W})), 9) as log_ret_{k}" for k in (1, 5, 15, 60)) + " from h")
@@ -569,7 +569,7 @@ _add(
     "describe", _H, _bands("b", "h"),
     select=" union all ".join(
         f"select '{c}' as feature, count({c}) as n, min(case when {c} is not null then ts end) as first_valid, "
-        + _r([], null_share=f"1 - count({c}) / count(*)::double", mean=f"avg({c})", sd=f"stddev_samp({c})", min=f"min({c})", p1=_q(c, 0.01), p25=_q(c, 0.25), p50=_q(c, 0.5), p75=_q(c, 0.75), p99=_q(c, 0.99), max=f"max({c})")
+        + _r([], null_share=f"1 - count({c}) / count(*)::double", inf_share="0.0::double", guarded_share="0.0::double", mean=f"avg({c})", sd=f"stddev_samp({c})", min=f"min({c})", p1=_q(c, 0.01), p25=_q(c, 0.25), p50=_q(c, 0.5), p75=_q(c, 0.75), p99=_q(c, 0.99), max=f"max({c})")
         + " from b"
         for c in ("mid_close", "spread_close", "bb_pct_b")
     ),
