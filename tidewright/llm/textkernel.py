@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 BATCH_ROWS = 2_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
