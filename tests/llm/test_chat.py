@@ -37,3 +37,14 @@ def test_common_first_turn_and_empty_table(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     assert format_chats(frame).count() == 3000
     assert format_chats(frame.limit(0)).count() == 0
+
+
+def test_very_long_turns_and_conversations(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "yes")] + [(3, t, "user", str(t)) for t in range(3000)] + [(4, t, "user", str(t)) for t in range(2999)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    assert {r.conv_id: (r.n_turns, len(r.rendered)) for r in format_chats(frame).collect()} == {c: (len(brute_of(rows, c)), len(brute(rows)[c])) for c in (2, 3)}
+
+
+def brute_of(rows, conv):
+    return [r for r in rows if r[0] == conv]

@@ -151,3 +151,22 @@ def test_large_buckets_become_stars_over_any_batches(monkeypatch):
             nodes = [n for s, n in rows if s == sig]  # equal sketches: a forest is a star as well
             wanted |= {(nodes[0], n) for n in nodes[1:]}
         assert found == wanted
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{x}" for x in rng.integers(0, 50_000, 60_000)]
+    other = list(words)
+    other[::400] = ["x"] * len(other[::400])
+    far = list(words)
+    far[::6] = ["y"] * len(far[::6])
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far)), (4, "z" * 1_000_000)]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 3, 9, 10)
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_hot_digests_are_parted(spark):
+    rows = [(i, "one text that a third of all rows have") for i in range(400)] + [(1000 + i, f"own {i} words of this row {i}") for i in range(700)] + [(5000 + i, None) for i in range(100)]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i < 400 else i for i, _ in rows}

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tidewright.llm.quality import RANK, SIZE, STATISTICS, WORDS, Model, classify, features, held_out
+from tidewright.llm.quality import RANK, SIZE, STATISTICS, WORDS, Model, classify, features, held_out, train
 
 
 def test_sum_of_squares_identity_equals_all_pairs():
@@ -66,3 +66,38 @@ def test_no_labels_and_no_rows(spark):
     docs, labels = corpus(spark, 10)
     assert {r.score for r in classify(docs, labels.limit(0)).collect()} == {0.5}
     assert classify(docs.limit(0), labels).count() == 0
+
+
+def test_a_very_long_text_and_n_chars_that_is_no_number(spark):
+    docs, labels = corpus(spark, 200)
+    long = spark.createDataFrame([(9000, "w1 w2. " * 300_000, None, "x"), (9001, "\n" * 500_000, None, None)], docs.schema)
+    told = docs.unionByName(long).selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'many', cast(n_chars as string)) as n_chars")
+    found = classify(told, labels).collect()
+    assert len(found) == 206 and all(0 <= r.score <= 1 for r in found)
+
+
+def test_scores_equal_the_model_row_by_row(spark):
+    docs, labels = corpus(spark, 300)
+    model = train(docs, labels)
+    rows = docs.collect()
+    wanted = []
+    for r in rows:
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        row, bucket, weight, statistics = features(raw, np.array([0, len(raw)]), np.array([float(r.n_chars or 0)]))
+        dense = np.clip((statistics[0] - model.mean) / model.spread, -4, 4) / np.sqrt(len(STATISTICS))
+        index, x = np.concatenate([bucket, np.arange(WORDS, SIZE)]), np.concatenate([weight, dense])
+        logit = model.bias + model.linear[index] @ x
+        v = model.factors[index] * x[:, None]
+        logit += sum(float(v[i] @ v[j]) for i in range(len(x)) for j in range(i))
+        wanted.append((str(r.doc_id), round(1 / (1 + np.exp(-logit)), 6)))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in classify(docs, labels).collect()) == sorted(wanted)
+
+
+def test_a_labelled_id_that_repeats_is_learned_once(spark):
+    docs, labels = corpus(spark, 300)
+    again = docs.where("doc_id = 3")
+    many = docs
+    for _ in range(6):
+        many = many.unionByName(again)
+    one, other = ({str(r.doc_id): r.score for r in classify(x, labels).collect()} for x in (docs, many))
+    assert one == other

@@ -13,7 +13,10 @@ every occurrence, and the ids are decoded from the token table.
 Each task holds one block and a bounded table of word types; nothing is shuffled.
 
 Null or empty text: no tokens, hashes of the empty string. Repeated rows: each is
-returned. A null doc_id stays null. Very long texts: one block of its own.
+returned. A null doc_id stays null. Of equal ranks in one word the left pair merges
+first. A very long text is a block of its own; a word without breaks takes about a
+hundred bytes for each of its bytes while it is merged. An empty table has no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

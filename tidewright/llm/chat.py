@@ -7,9 +7,11 @@ proper prefix of another is anti-joined away, of equal ones the smallest conv_id
 stays, and what is maximal is rendered.
 
 Turns are ordered by turn, then role and text. Repeated rows count once. Null role
-or text is empty; rows without conv_id belong to no conversation and are left out.
-The running hash is a window that can spill, so a conversation of any length is no
-array before it is rendered, and each gives one row of output by contract.
+or text is empty; rows without conv_id belong to no conversation and are left out;
+a null turn comes first. An empty table has no conversations. Other columns are not
+read, whatever their names. The running hash is a window that can spill, so a
+conversation of any length, and of long texts, is no array before it is rendered,
+and each gives one row of output by contract.
 """
 
 from __future__ import annotations

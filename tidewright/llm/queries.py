@@ -96,6 +96,22 @@ from keyed left join common on keyed.k = common.k
 group by keyed.doc_id
 """
 
+_LINKS_OP1 = r"""
+with recursive bodies as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents),
+words as (select doc_id, regexp_extract_all(body, '[^\x20\x09-\x0D]+') as w from bodies),
+shingles as (
+  select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end as s
+  from (select *, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as both_have from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * both_have >= 90 * (a.n + b.n - both_have)),
+edges as (select x, y from links union all select y, x from links),
+reach(doc_id, root) as (select doc_id, doc_id from documents union select e.y, r.root from reach r join edges e on e.x = r.doc_id)
+select reach.doc_id, coalesce(max(sizes.n), 0) as n_shingles, min(reach.root) as component_id
+from reach left join sizes using (doc_id) group by reach.doc_id
+"""
+
 _CHATS_OP2 = r"""
 with turns as (
   select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations where conv_id is not null
@@ -144,4 +160,4 @@ select docs.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (ran
 from docs left join kept using (id) group by docs.id, docs.doc_id
 """
 
-SQL: dict[str, str] = {"op8_secret_scans": _SECRETS_OP8, "op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": _LINKS_OP1, "op8_secret_scans": _SECRETS_OP8, "op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10}
