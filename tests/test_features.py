@@ -68,6 +68,20 @@ def test_recurrences_equal_loops():
         assert np.allclose(out["adx"], smoothed(points, period, period), equal_nan=True)
 
 
+def test_recurrences_over_pieces_of_time(spark, monkeypatch):
+    monkeypatch.setattr(folds, "PIECE_ROWS", 500)
+    rng = np.random.default_rng(66)
+    opened, high, low, close = walk(rng, 4000)
+    f = frame(spark, {"mid_high": high, "mid_low": low, "mid_close": close, "x": np.round(close, 1)}, step=86_400)
+    pieces = folds.in_pieces(f, ("pair",), 300)
+    assert pieces.select("_piece").distinct().count() > 4 and pieces.where("_own").count() == 4000
+    assert pieces.groupBy("_piece").agg(F.count_if(~F.col("_own")).alias("n")).where("_piece > 0 and n < 300").count() == 0
+    one, several = (features.rolling_rank(features.recurrences(f, (9, 12), 5, (5, 2), 5, p), "x", 70, "rank", p).orderBy("ts").collect() for p in (False, True))
+    assert len(several) == 4000
+    for a, b in zip(one, several):
+        assert all(x == y or (x is not None and y is not None and abs(x - y) <= 1e-9 * max(1, abs(x))) for x, y in zip(a[2:], b[2:])), (a, b)
+
+
 def test_channels_and_candles_equal_loops(spark):
     rng = np.random.default_rng(62)
     opened, high, low, close = walk(rng, 70)

@@ -2,8 +2,9 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewright.operators import events, labels, simulate, split, strategies
+from tidewright.operators import events, folds, labels, simulate, split, strategies
 from tidewright.operators.simulate import AtrBarrier, Costs, Setup, simulate_arrays
 
 START = dt.datetime(2024, 1, 2)
@@ -145,6 +146,17 @@ def test_band_rule_equals_a_walk(spark, use_rsi, use_regime):
     assert {-1, 0, 1} == set(found.values())
 
 
+@pytest.mark.parametrize("rows", [50, 400])
+def test_band_rule_over_pieces_of_time(spark, monkeypatch, rows):
+    monkeypatch.setattr(folds, "PIECE_ROWS", rows)
+    rng = np.random.default_rng(49)
+    _, frame = banded(spark, rng, 1500)
+    years = frame.withColumn("ts", F.expr("ts + make_dt_interval(cast(date_diff(minute, timestamp_ntz'2024-01-02', ts) as int) * 3)"))
+    rule = strategies.Reversion(use_rsi=True, use_regime=True)
+    one, several = ({(r.pair, r.ts): r.signal for r in strategies.reversion_signal(years, rule, pieces=p).collect()} for p in (False, True))
+    assert one == several and folds.in_pieces(years, ("pair",), 0).select("_piece").distinct().count() > 3
+
+
 def test_rules_out_of_order_are_refused():
     for wrong in ({"rsi_low": 80.0}, {"rsi_high": 120.0}, {"multiple": 0.0}, {"notional": -1.0}):
         with pytest.raises(ValueError):

@@ -24,8 +24,8 @@ def _null_nan(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def recurrences(bars: DataFrame, ema_spans=EMA_SPANS, atr_period=14, rsi_periods=(14, 2), adx_period=14) -> DataFrame:
-    """EMA and distance to it, MACD, ATR, RSI and ADX, in one pass over each pair."""
+def recurrences(bars: DataFrame, ema_spans=EMA_SPANS, atr_period=14, rsi_periods=(14, 2), adx_period=14, pieces: bool = False) -> DataFrame:
+    """EMA and distance to it, MACD, ATR, RSI and ADX, in one pass over each pair; over its pieces of time for long histories (``bars`` is read twice then)."""
     macd = lambda c: folds.ema(c, folds.span(12)) - folds.ema(c, folds.span(26))
     signal = lambda c: folds.ema(macd(c), folds.span(9))
     of_close = {f"ema_{n}": (lambda c, n=n: folds.ema(c, folds.span(n))) for n in ema_spans}
@@ -36,7 +36,8 @@ def recurrences(bars: DataFrame, ema_spans=EMA_SPANS, atr_period=14, rsi_periods
     outputs[f"atr_{atr_period}"] = lambda h, low, c: folds.atr(h, low, c, atr_period)
     for name in ("plus_di", "minus_di", "adx", "di_spread"):
         outputs[f"{name}_{adx_period}"] = lambda h, low, c, name=name: folds.adx(h, low, c, adx_period)[name]
-    return _null_nan(folds.fold(bars, ["mid_high", "mid_low", "mid_close"], outputs), list(outputs))
+    slowest = max(*ema_spans, 26 + 9, 2 * atr_period, 2 * max(rsi_periods), 4 * adx_period)  # one smoother on another adds up
+    return _null_nan(folds.fold(bars, ["mid_high", "mid_low", "mid_close"], outputs, lookback=40 * slowest if pieces else None), list(outputs))
 
 
 def log_return(k: int = 1) -> Column:
@@ -197,11 +198,11 @@ def with_trailing_z(frame: DataFrame, x: Column, window: int, name: str) -> Data
     return out.withColumn(name, z).drop("_x", "_own", "_moved", *counted, "_wn", "_ws", "_wq", "_wm")
 
 
-def rolling_rank(frame: DataFrame, x: str, window: int, name: str) -> DataFrame:
-    """``trailing_rank`` in one pass that keeps the window sorted: for windows of many thousand rows."""
+def rolling_rank(frame: DataFrame, x: str, window: int, name: str, pieces: bool = False) -> DataFrame:
+    """``trailing_rank`` in one pass that keeps the window sorted: for windows of many thousand rows; ``pieces`` as in ``recurrences``."""
     if window < 2:
         raise ValueError("a window of two values at least")
-    return _null_nan(folds.fold(frame, [x], {name: lambda v: pd.Series(v).rolling(window).rank(method="average", pct=True).to_numpy()}), [name])
+    return _null_nan(folds.fold(frame, [x], {name: lambda v: pd.Series(v).rolling(window).rank(method="average", pct=True).to_numpy()}, lookback=window if pieces else None), [name])
 
 
 def trailing_rank(x: Column, window: int, frame=None) -> Column:

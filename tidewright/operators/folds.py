@@ -1,6 +1,10 @@
 """Recurrences: values that depend on the value before. One grouped Arrow pass computes a whole family.
 
-The group is an instrument (or instrument and configuration), sorted inside.
+The group is a piece of an instrument's time (or instrument's and configuration's),
+with as many rows before it as it takes for the start to be forgotten: a smoother of
+weight a keeps (1 - a)^n of what it was n rows ago, which is below a double's last bit
+after 40 / a rows. Pieces come from counts of rows for each year; a short history is
+one piece, and its values are those of one pass.
 """
 
 from __future__ import annotations
@@ -9,20 +13,61 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-
-def fold(frame: DataFrame, inputs: list[str], outputs: dict[str, Callable], keys: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """``frame`` with one double column for each output, a function of the inputs' arrays in the order of ts."""
+#: Rows that a piece should have at least.
+PIECE_ROWS = 100_000
+
+
+def piece_starts(frame: DataFrame, keys: tuple[str, ...], lookback: int, rows: int | None = None) -> DataFrame:
+    """(keys, _year, _pieces): for each year with rows, the pieces that need it, its own first.
+
+    Years follow one another into a piece until it has ``rows`` rows; a piece needs the
+    years before it that hold the last ``lookback`` rows. A few rows for each group.
+    """
+    rows = PIECE_ROWS if rows is None else rows
+    years = frame.groupBy(*keys, F.year("ts").alias("_year")).agg(F.count("*").alias("_n"))
+    path = Window.partitionBy(*keys).orderBy("_year")
+    years = years.withColumn("_before", F.sum("_n").over(path.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    years = years.withColumn("_piece", F.floor(F.col("_before") / rows).cast("int"))
+    first = F.min("_before").over(Window.partitionBy(*keys, "_piece"))
+    years = years.withColumn("_need", first - lookback)
+    each = years.groupBy(*keys, "_piece").agg(F.min("_need").alias("_need"), F.min("_before").alias("_start"))
+    held = F.collect_list(F.struct("_piece", "_need", "_start")).over(Window.partitionBy(*keys))
+    each = each.select(*keys, held.alias("_all")).dropDuplicates(list(keys))
+    ends = F.col("_before") + F.col("_n")
+    wanted = years.join(each, list(keys))
+    later = F.filter("_all", lambda p: (p["_start"] > F.col("_before")) & (p["_need"] < ends) & (p["_piece"] != F.col("_piece")))
+    return wanted.select(*keys, "_year", F.concat(F.array("_piece"), F.transform(later, lambda p: p["_piece"])).alias("_pieces"))
+
+
+def in_pieces(frame: DataFrame, keys: tuple[str, ...], lookback: int) -> DataFrame:
+    """The rows of each piece and those it looks back on: ``_piece``, and whether the row is its own."""
+    starts = piece_starts(frame, keys, lookback)
+    dealt = frame.withColumn("_year", F.year("ts")).join(F.broadcast(starts), [*keys, "_year"])
+    placed = dealt.select(*frame.columns, F.posexplode("_pieces").alias("_at", "_piece"))
+    return placed.select(*frame.columns, "_piece", (F.col("_at") == 0).alias("_own"))
+
+
+def fold(frame: DataFrame, inputs: list[str], outputs: dict[str, Callable], keys: tuple[str, ...] = ("pair",), lookback: int | None = None) -> DataFrame:
+    """``frame`` with one double column for each output, a function of the inputs' arrays in the order of ts.
+
+    With ``lookback`` the arrays are those of a piece of time and of so many rows or
+    more before it; without, of all the group's time.
+    """
     schema = StructType([*frame.schema.fields, *[StructField(name, DoubleType()) for name in outputs]])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts", kind="stable")
         arrays = [group[c].to_numpy(float) for c in inputs]
-        return group.assign(**{name: how(*arrays) for name, how in outputs.items()})
+        out = group.assign(**{name: how(*arrays) for name, how in outputs.items()})
+        return out[out["_own"]][schema.names] if "_own" in out.columns else out
 
-    return frame.groupBy(*keys).applyInPandas(run, schema)
+    if lookback is None:
+        return frame.groupBy(*keys).applyInPandas(run, schema)
+    return in_pieces(frame, keys, lookback).groupBy(*keys, "_piece").applyInPandas(run, schema)
 
 
 def ema(x: np.ndarray, alpha: float) -> np.ndarray:

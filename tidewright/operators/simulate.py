@@ -203,38 +203,60 @@ def simulate_trades(frame: DataFrame, setup: Setup = Setup(), keys: tuple[str, .
     return _grouped(frame, setup, keys, TRADES, take)
 
 
-def metrics(equity: DataFrame, trades: DataFrame, bars: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """One row of results for each pair, after the warm-up."""
-    order = Window.partitionBy("pair").orderBy("ts")
-    live = equity.join(bars.select("pair", "ts", "mid_close"), ["pair", "ts"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") > setup.warmup)
-    peak = F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    totals = live.withColumn("_fall", F.col("equity") - peak).groupBy("pair").agg(
-        (F.max_by("equity", "ts") - F.min_by("equity", "ts")).alias("total_pnl"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6 / (365.25 * 86400)).alias("_years"),
-        F.avg("mid_close").alias("avg_price"),
-        F.min("_fall").alias("max_drawdown"),
-        F.max_by("cum_spread_cost", "ts").alias("cum_spread_cost"),
-        F.max_by("cum_commission", "ts").alias("cum_commission"),
-        F.min("ts").alias("_first"),
+def simulate(frame: DataFrame, setup: Setup = Setup(), keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """Bars and trades of one pass: (keys, ts, mid_close, equity, ..., closed), the last an array of the trades that the bar closed."""
+
+    def take(group, rows, trades):
+        out = pd.DataFrame(rows, columns=["equity", "position", "cum_spread_cost", "cum_commission"]).astype({"position": int})
+        out.insert(0, "ts", group["ts"])
+        out.insert(1, "mid_close", group["mid_close"])
+        closed: list[list[dict]] = [[] for _ in range(len(group))]
+        for t in trades:
+            closed[t[3]].append({"pnl": float(t[5]), "bars_held": int(t[6])})
+        return out.assign(closed=closed)
+
+    return _grouped(frame, setup, keys, f"ts timestamp_ntz, mid_close double, {BARS}, closed array<struct<pnl: double, bars_held: int>>", take)
+
+
+def metrics(simulated: DataFrame, setup: Setup = Setup(), keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """One row of results for each group of ``simulate``'s rows, after the warm-up.
+
+    Days are put together first, so a group passes through the simulator once and then
+    as one row for each of its days.
+    """
+    order = Window.partitionBy(*keys).orderBy("ts")
+    live = simulated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") > setup.warmup)
+    live = live.withColumn("_fall", F.col("equity") - F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    of = lambda name: F.flatten(F.collect_list(F.transform("closed", lambda t: t[name])))
+    days = live.groupBy(*keys, F.to_date("ts").alias("day")).agg(
+        F.max_by("equity", "ts").alias("last"), F.min_by("equity", "ts").alias("first"), F.max("ts").alias("_to"), F.min("ts").alias("_from"), F.sum("mid_close").alias("_prices"),
+        F.count("mid_close").alias("_bars"), F.min("_fall").alias("_fall"), F.max_by("cum_spread_cost", "ts").alias("_spread"), F.max_by("cum_commission", "ts").alias("_fees"),
+        of("pnl").alias("_pnl"), of("bars_held").alias("_held"),
+    )
+    days = days.withColumn("d", F.col("last") - F.lag("last").over(Window.partitionBy(*keys).orderBy("day")))
+    pnl, held = F.col("_all_pnl"), F.col("_all_held")
+    out = days.groupBy(*keys).agg(
+        (F.max_by("last", "day") - F.min_by("first", "day")).alias("total_pnl"),
+        ((F.unix_micros(F.max("_to").cast("timestamp")) - F.unix_micros(F.min("_from").cast("timestamp"))) / 1e6 / (365.25 * 86400)).alias("_years"),
+        (F.sum("_prices") / F.sum("_bars")).alias("avg_price"), F.min("_fall").alias("max_drawdown"), F.max_by("_spread", "day").alias("cum_spread_cost"), F.max_by("_fees", "day").alias("cum_commission"),
+        F.avg("d").alias("_mean"), F.stddev_samp("d").alias("_sd"),
+        F.array_sort(F.flatten(F.collect_list("_pnl"))).alias("_all_pnl"), F.flatten(F.collect_list("_held")).alias("_all_held"),
     )
-    days = live.groupBy("pair", F.to_date("ts").alias("day")).agg(F.max_by("equity", "ts").alias("last"))
-    change = days.withColumn("d", F.col("last") - F.lag("last").over(Window.partitionBy("pair").orderBy("day")))
-    daily = change.groupBy("pair").agg(F.avg("d").alias("_mean"), F.stddev_samp("d").alias("_sd"))
-    closed = trades.join(totals.select("pair", "_first"), "pair").where(F.col("exit_ts") >= F.col("_first"))
-    each = closed.groupBy("pair").agg(
-        F.count("*").alias("n_trades"),
-        F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
-        F.avg("pnl").alias("avg_trade_pnl"),
-        F.percentile("pnl", F.lit(0.5)).alias("median_trade_pnl"),
-        F.avg("bars_held").alias("avg_bars_held"),
+    n = F.size(pnl)
+    mean = lambda x: F.when(n > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n).otherwise(0.0)
+    middle = F.when(n > 0, (F.get(pnl, F.floor((n - 1) / 2).cast("int")) + F.get(pnl, F.floor(n / 2).cast("int"))) / 2).otherwise(0.0)
+    out = out.withColumns(
+        {
+            "n_trades": n.cast("long"), "win_rate": F.when(n > 0, F.size(F.filter(pnl, lambda v: v > 0)) / n).otherwise(0.0),
+            "avg_trade_pnl": mean(pnl), "median_trade_pnl": middle, "avg_bars_held": mean(held),
+        }
     )
-    out = totals.join(daily, "pair").join(each, "pair", "left").fillna(0, ["n_trades", "win_rate", "avg_trade_pnl", "median_trade_pnl", "avg_bars_held"])
     value = setup.notional * F.col("avg_price")
     costs = F.col("cum_spread_cost") + F.col("cum_commission")
     gained = F.when(F.col("total_pnl") != 0, F.abs("total_pnl"))
     yearly = F.when(F.col("_years") > 0, F.col("total_pnl") / F.col("_years")).otherwise(0.0)
     return out.select(
-        "pair", "total_pnl", yearly.alias("annualized_pnl"), "avg_price",
+        *keys, "total_pnl", yearly.alias("annualized_pnl"), "avg_price",
         (F.col("total_pnl") / value).alias("return_pct_of_notional"), (yearly / value).alias("annualized_return_pct"),
         F.coalesce(F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd") * F.sqrt(F.lit(252.0))), F.lit(0.0)).alias("sharpe"),
         "max_drawdown", (F.col("max_drawdown") / value).alias("max_drawdown_pct_of_notional"),

@@ -7,10 +7,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, StructField, StructType
 
+from tidewright.operators import folds
 from tidewright.operators.features import commission
 
 
@@ -66,8 +67,9 @@ class Reversion:
         )
 
 
-def _reversion_path(known, side, act, against) -> np.ndarray:
-    state, locked, out = 0, 0, np.zeros(len(side), np.int8)
+def _reversion_path(known, side, act, against, state: int = 0, locked: int = 0) -> tuple[np.ndarray, int, int]:
+    """What is held after each bar, and state and lock after the last."""
+    out = np.zeros(len(side), np.int8)
     for t, (ok, touched, verdict, above) in enumerate(zip(known, side, act, against)):
         if not ok:
             state = locked = 0
@@ -82,20 +84,59 @@ def _reversion_path(known, side, act, against) -> np.ndarray:
             elif verdict == "skip":
                 locked = touched
         out[t] = state
-    return out
+    return out, state, locked
 
 
-def reversion_signal(frame: DataFrame, rule: Reversion = Reversion(), keys: tuple[str, ...] = ("pair",), name: str = "signal") -> DataFrame:
-    """``frame`` with the rule's signal."""
+_INPUTS = ["_known", "_side", "_act", "_against"]
+_STARTS = [(s, k) for s in (-1, 0, 1) for k in (-1, 0, 1)]
+
+
+def _ends(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, _piece, _ends): for each of the nine states and locks a piece may start with, the one it ends with."""
+    kinds = dict(frame.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_piece int", "_ends array<int>"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts", kind="stable")
+        path = [group[c].tolist() for c in _INPUTS]
+        ends, at, chunk = [(s, k) for s, k in _STARTS], 0, 256
+        while at < len(group) and len(set(ends)) > 1:  # once all starts have met, one walk serves them all
+            part = [p[at : at + chunk] for p in path]
+            met = {e: _reversion_path(*part, *e)[1:] for e in set(ends)}
+            ends, at = [met[e] for e in ends], at + chunk
+        if at < len(group):
+            ends = [_reversion_path(*(p[at:] for p in path), *ends[0])[1:]] * len(ends)
+        first = {k: [group[k].iloc[0]] for k in (*keys, "_piece")}
+        return pd.DataFrame({**first, "_ends": [[_STARTS.index(e) for e in ends]]})
+
+    return frame.groupBy(*keys, "_piece").applyInPandas(run, schema)
+
+
+def reversion_signal(frame: DataFrame, rule: Reversion = Reversion(), keys: tuple[str, ...] = ("pair",), name: str = "signal", pieces: bool = False) -> DataFrame:
+    """``frame`` with the rule's signal, in one pass over each group; with ``pieces`` over pieces of its time, for long histories.
+
+    Pieces are walked by themselves. What one starts with follows from those before it:
+    each maps the nine states and locks to what they become, and the maps are applied
+    one after the other, a few numbers for each piece. ``frame`` is read three times then.
+    """
     ready = rule.prepared(frame)
     schema = StructType([*frame.schema.fields, StructField(name, ByteType())])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts", kind="stable")
-        group[name] = _reversion_path(*(group[c].tolist() for c in ("_known", "_side", "_act", "_against")))
+        start = _STARTS[int(group["_start"].iloc[0])] if pieces else (0, 0)
+        group[name] = _reversion_path(*(group[c].tolist() for c in _INPUTS), *start)[0]
         return group[schema.names]
 
-    return ready.groupBy(*keys).applyInPandas(run, schema)
+    if not pieces:
+        return ready.groupBy(*keys).applyInPandas(run, schema)
+    dealt = folds.in_pieces(ready, keys, 0).drop("_own")
+    path = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.collect_list("_ends").over(path), F.array())
+    start = F.aggregate(before, F.lit(_STARTS.index((0, 0))), lambda at, ends: F.get(ends, at))
+    starts = _ends(dealt.select(*keys, "_piece", "ts", *_INPUTS), keys).select(*keys, "_piece", start.alias("_start"))
+    # one row for each piece
+    return dealt.join(F.broadcast(starts), [*keys, "_piece"]).groupBy(*keys, "_piece").applyInPandas(run, schema)
 
 
 @dataclass(frozen=True)

@@ -340,8 +340,7 @@ def _trades(spark, d):
 
 
 def metrics(spark, d):
-    own = frames.signalled(spark, d)
-    found = simulate.metrics(simulate.simulate_bars(own, frames.SETUP), simulate.simulate_trades(own, frames.SETUP), own, frames.SETUP)
+    found = simulate.metrics(simulate.simulate(frames.signalled(spark, d), frames.SETUP), frames.SETUP)
     values = [c for c in found.columns if c not in ("pair", "n_trades")]
     return rounded(found, ["pair", "n_trades"], values)
 
