@@ -51,29 +51,33 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _slot(key: Column, table: Column, slots: int) -> Column:
-    """The cell of a digest in one subtable, over all cells."""
-    return F.pmod(F.call_function("shiftright", key, table * 13), F.lit(slots)) + table * slots
+def _placed(key: Column, slots: int, *more: Column) -> Column:
+    """struct(k, h, s0, s1, s2, ...): a digest, its check hash and its place in each subtable."""
+    places = [F.pmod(F.call_function("shiftright", key, F.lit(t * 13)), F.lit(slots)).cast("int").alias(f"s{t}") for t in range(3)]
+    return F.struct(key.alias("k"), _check(key).alias("h"), *places, *more)
+
+
+def _by_cell(placed: Column, slots: int, make) -> Column:
+    """``make`` of the digests in each cell and of the cell's number, subtable after subtable."""
+
+    def table(t: int) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(slots - 1))
+        return F.transform(numbers, lambda i: _with(F.filter(placed, lambda p: p[f"s{t}"] == i), lambda own: make(own, i + t * slots)))
+
+    return F.concat(*map(table, range(3)))
 
 
 def sketch(keys: Column, slots: int = SLOTS) -> Column:
     zero = F.lit(0).cast("long")
-    parts = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), F.array(*[_slot(k, F.lit(t), slots) for t in range(3)]).alias("at")))
 
-    def filled(parts: Column) -> Column:
-        def cell(i: Column) -> Column:
-            return _with(
-                F.filter(parts, lambda p: F.array_contains(p["at"], i)),
-                lambda own: F.struct(
-                    F.size(own).alias("c"),
-                    F.aggregate(own, zero, lambda a, p: a.bitwiseXOR(p["k"])).alias("k"),
-                    F.aggregate(own, zero, lambda a, p: a.bitwiseXOR(p["h"])).alias("h"),
-                ),
-            )
-
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3 * slots - 1).cast("long")), cell).cast(_CELL)
+    def cell(own: Column, _: Column) -> Column:
+        return F.struct(
+            F.size(own).alias("c"),
+            F.aggregate(own, zero, lambda a, p: a.bitwiseXOR(p["k"])).alias("k"),
+            F.aggregate(own, zero, lambda a, p: a.bitwiseXOR(p["h"])).alias("h"),
+        )
 
-    return _with(parts, filled)
+    return _with(F.transform(keys, lambda k: _placed(k, slots)), lambda placed: _by_cell(placed, slots, cell).cast(_CELL))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -88,19 +92,17 @@ def peel(difference: Column, slots: int = SLOTS) -> Column:
     def step(s: Column, _: Column) -> Column:
         pure = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
         pure = F.array_distinct(F.transform(pure, lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))))
-        hit = F.transform(
-            pure, lambda p: F.struct(p["c"].alias("c"), p["k"].alias("k"), _check(p["k"]).alias("h"), F.array(*[_slot(p["k"], F.lit(t), slots) for t in range(3)]).alias("at"))
-        )
+        hit = F.transform(pure, lambda p: _placed(p["k"], slots, p["c"].alias("c")))
 
         def grown(keys: Column) -> Column:
-            def without(x: Column, i: Column) -> Column:
+            def without(own: Column, i: Column) -> Column:
                 return F.aggregate(
-                    F.filter(keys, lambda p: F.array_contains(p["at"], i.cast("long"))),
-                    x,
+                    own,
+                    F.get(s["cells"], i),
                     lambda a, p: F.struct((a["c"] - p["c"]).alias("c"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(p["h"]).alias("h")),
                 )
 
-            cells = F.transform(s["cells"], without).cast(_CELL)
+            cells = _by_cell(keys, slots, without).cast(_CELL)
             done = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("live"))
             more = F.struct(cells.alias("cells"), (s["found"] + F.size(keys)).alias("found"), F.lit(True).alias("live"))
             return F.when(F.size(keys) == 0, done).otherwise(more)
