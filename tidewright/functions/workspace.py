@@ -59,6 +59,9 @@ class Workspace:
         write(frame, self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
     def drop(self, name: str) -> None:
         delete(self.spark, self.path(name))
 
