@@ -22,14 +22,15 @@ def brute(rows, width, p, q):
             x = root[x]
         return x
 
-    ids = sorted(sets)
+    ids, links = sorted(sets), dict.fromkeys(sets, 0)
     for n, i in enumerate(ids):
         for j in ids[:n]:
             both = len(sets[i] & sets[j])
             if both and q * both >= p * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+                links[i], links[j] = links[i] + 1, links[j] + 1
+    return {i: (len(sets[i]), find(i), links[i]) for i in sets}
 
 
 def near_copies(seed, families, copies, words, edits):
@@ -51,15 +52,15 @@ def test_equals_brute_force(spark, monkeypatch, width, p, q, piece):
     monkeypatch.setattr(jaccard_join, "PIECE_NODES", piece)
     rows = near_copies(3, 4, 14, 60, 5) + [(1000 + i, t) for i, t in enumerate(["a b", "A  b", "a", "", None, "a b c d e f g h i j k l", "a b c d e f g h i j k"])]
     found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width, (p, q)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, width, p, q)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == brute(rows, width, p, q)
 
 
 def test_nulls_repeats_and_extra_columns(spark):
     text = "one two three four five six"
     rows = [(1, text, "x"), (1, text, "x"), (None, text, None), (2, None, None), (3, text.upper(), "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
-    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, 3, (9, 10)).collect()), key=str)
-    assert found == sorted([(1, 4, 1), (1, 4, 1), (None, 4, None), (2, 0, 2), (3, 4, 1)], key=str)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs, 3, (9, 10)).collect()), key=str)
+    assert found == sorted([(1, 4, 1, 2), (1, 4, 1, 2), (None, 4, None, 0), (2, 0, 2, 0), (3, 4, 1, 2)], key=str)
 
 
 @pytest.mark.parametrize("piece", [2048, 2])
@@ -162,7 +163,7 @@ def test_very_long_texts(spark):
     far[::6] = ["y"] * len(far[::6])
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far)), (4, "z" * 1_000_000)]
     found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 3, 9, 10)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == brute(rows, 3, 9, 10)
     assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 

@@ -20,10 +20,11 @@ collisions of 64-bit shingle hashes.
    union goes into a sparse token x group matrix. A query's overlap with the union
    bounds its overlap with each member; only groups that reach the overlap that
    the threshold needs are opened, and there only members not yet connected.
+   Where links are counted, every qualifying group is opened.
 4. Families of several pieces: one delegate of each found component goes on to
    the next round until they fit in one piece. What is then still apart is
    compared in full: every node outside the family's largest component queries
-   each piece with which it shares a signature.
+   each piece with which it shares a signature. To count links every node does.
 
 Rows: one for each input row. Null or wordless text: an empty set, linked with
 nothing. Null doc_id: the row stays, links nothing and has a null component.
@@ -319,8 +320,8 @@ def _family_sets(width: int):
                         given.add(wanted[row + i])
                         keep.append(row + i)
                         packed.append(own.tobytes())
-            rest = batch.select(["family", "piece", "digest"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(packed, pa.binary())], ["family", "piece", "digest", "tokens"])
+            rest = batch.select(["family", "piece", "digest", "copies"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(packed, pa.binary())], ["family", "piece", "digest", "copies", "tokens"])
 
     return run
 
@@ -420,30 +421,53 @@ def connect(sets: list[np.ndarray], label: np.ndarray, p: int, q: int, queries:
     return label, hits
 
 
+def link_counts(sets: list[np.ndarray], copies: np.ndarray, p: int, q: int) -> np.ndarray:
+    """How many documents each set links with, those of its own set left out: every qualifying group is opened whole."""
+    matrix, postings, sizes = TokenGroups(sets), Postings(sets), np.array([len(s) for s in sets])
+    found = np.zeros(len(sets), np.int64)
+    for i, own in enumerate(sets):
+        met = _met(matrix, postings, sizes, own, p, q)
+        found[i] = copies[met[met != i]].sum()
+    return found
+
+
+def _met(matrix: TokenGroups, postings: Postings, sizes: np.ndarray, own: np.ndarray, p: int, q: int) -> np.ndarray:
+    members = matrix.qualifying(own, -(-len(own) * p // q))
+    both = postings.shared(own)[members]
+    return members[q * both >= p * (len(own) + sizes[members] - both)]
+
+
 def _held_sets(held: list[pa.RecordBatch]) -> list[np.ndarray]:
     return [np.frombuffer(t, np.uint64) for b in held for t in b.column("tokens").to_pylist()]
 
 
-def _within_pieces(p: int, q: int):
-    """(family, piece, digest, root): the components inside each piece, each named by the member that met most links; one row for each digest."""
+_ROOTED = "family long, piece int, digest binary, root binary"
+
+
+def _within_pieces(p: int, q: int, count: bool = False):
+    """(family, piece, digest, root): the components inside each piece, each named by the member that met most links; one row for each digest.
+
+    With ``count`` also how many documents of the piece each set links with.
+    """
 
     def run(batches):
         for (family, piece), held in _runs(batches, ["family", "piece"]):
             distinct = dict(zip((d for b in held for d in b.column("digest").to_pylist()), _held_sets(held)))
-            digests = list(distinct)
-            label, hits = connect(list(distinct.values()), np.arange(len(digests)), p, q)
+            digests, sets = list(distinct), list(distinct.values())
+            label, hits = connect(sets, np.arange(len(digests)), p, q)
             best: dict[int, int] = {}
             for i in sorted(range(len(digests)), key=lambda i: (-hits[i], digests[i])):
                 best.setdefault(int(label[i]), i)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([family] * len(digests), pa.int64()),
-                    pa.array([piece] * len(digests), pa.int32()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([digests[best[int(x)]] for x in label], pa.binary()),
-                ],
-                ["family", "piece", "digest", "root"],
-            )
+            columns = [
+                pa.array([family] * len(digests), pa.int64()),
+                pa.array([piece] * len(digests), pa.int32()),
+                pa.array(digests, pa.binary()),
+                pa.array([digests[best[int(x)]] for x in label], pa.binary()),
+            ]
+            if count:
+                copies = dict(zip((d for b in held for d in b.column("digest").to_pylist()), (n for b in held for n in b.column("copies").to_pylist())))
+                columns.append(pa.array(link_counts(sets, np.array([copies[d] for d in digests]), p, q)))
+            yield pa.RecordBatch.from_arrays(columns, ["family", "piece", "digest", "root", *["links"] * count])
 
     return run
 
@@ -465,9 +489,7 @@ def _across_pieces(p: int, q: int):
                     continue
                 if matrix is None:
                     matrix, postings, sizes = TokenGroups(hosts), Postings(hosts), np.array([len(h) for h in hosts])
-                members = matrix.qualifying(own, -(-len(own) * p // q))
-                both = postings.shared(own)[members]
-                for i in members[q * both >= p * (len(own) + sizes[members] - both)].tolist():
+                for i in _met(matrix, postings, sizes, own, p, q).tolist():
                     pair = (row["root"], root_of[i])
                     if pair[0] != pair[1] and pair not in known:
                         known.add(pair)
@@ -477,6 +499,30 @@ def _across_pieces(p: int, q: int):
     return run
 
 
+def _counts_across(p: int, q: int):
+    """(digest, links): with how many documents of a piece each visiting set links; the piece's own come first and only they are held."""
+
+    def run(batches):
+        at, hosts, matrix = None, [], None
+        for batch in batches:
+            digests, counts = [], []
+            for row in batch.to_pylist():
+                if (row["family"], row["piece"]) != at:
+                    at, hosts, matrix, copies = (row["family"], row["piece"]), [], None, []
+                own = np.frombuffer(row["tokens"], np.uint64)
+                if not row["visits"]:
+                    hosts.append(own)
+                    copies.append(row["copies"])
+                    continue
+                if matrix is None:
+                    matrix, postings, sizes, weight = TokenGroups(hosts), Postings(hosts), np.array([len(h) for h in hosts]), np.array(copies)
+                digests.append(row["digest"])
+                counts.append(int(weight[_met(matrix, postings, sizes, own, p, q)].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["digest", "links"])
+
+    return run
+
+
 def _first64(column: pa.Array) -> np.ndarray:
     return np.array([_node(d) for d in column.to_pylist()], np.int64)
 
@@ -527,6 +573,21 @@ def _visits(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())], ["node", "piece"])
 
 
+def _links_between_pieces(work: Workspace, sets: DataFrame, several: DataFrame, p: int, q: int) -> DataFrame:
+    """(digest, links) of the sets of families of several pieces: documents of other pieces that each links with."""
+    full = sets.join(several.hint("merge"), "family", "left_semi").withColumns({"root": F.col("digest"), "minor": F.lit(True)})
+    cells = full.mapInArrow(_piece_signatures(p, q), "key long, piece int, node long, root long, minor boolean").select("key", "piece", "node")
+    there = cells.select("key", F.col("piece").alias("where")).distinct()
+    asked = cells.join(there.hint("merge"), "key").where("piece <> where").select("node", F.col("where").alias("piece"))
+    visits = work.keep("other-pieces", asked.distinct())
+    own = full.withColumn("node", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
+    columns = ["family", "piece", "digest", "copies", "tokens"]
+    guests = own.drop("piece").join(visits.hint("merge"), "node").select(*columns, F.lit(True).alias("visits"))
+    both = full.select(*columns, F.lit(False).alias("visits")).unionByName(guests)
+    ordered = both.repartition("family", "piece").sortWithinPartitions("family", "piece", "visits")
+    return ordered.mapInArrow(_counts_across(p, q), "digest binary, links long").groupBy("digest").agg(F.sum("links").alias("links"))
+
+
 def _by_piece(frame: DataFrame) -> DataFrame:
     return frame.repartition("family", "piece").sortWithinPartitions("family", "piece")
 
@@ -548,7 +609,7 @@ def _join_pieces(work: Workspace, sets: DataFrame, local: DataFrame, p: int, q:
         piece = F.pmod(F.xxhash64("digest", F.lit(level)), F.ceil(F.col("nodes") / PIECE_NODES)).cast("int")
         placed = delegates.join(counted, "family").select("family", "digest", piece.alias("piece"))
         chosen = sets.drop("piece").join(placed.hint("merge"), ["family", "digest"]).select("family", "piece", "digest", "tokens")
-        joined = work.keep(f"round-{level}", _by_piece(chosen).mapInArrow(_batched(_within_pieces(p, q)), local.schema))
+        joined = work.keep(f"round-{level}", _by_piece(chosen).mapInArrow(_batched(_within_pieces(p, q)), _ROOTED))
         later = joined.select("family", F.col("digest").alias("root"), F.col("root").alias("later"))
         named = named.join(later, ["family", "root"], "left").withColumn("root", F.coalesce("later", "root")).drop("later")
         delegates = joined.select("family", F.col("root").alias("digest")).distinct()
@@ -583,8 +644,8 @@ def _across(work: Workspace, sets: DataFrame, named: DataFrame, rest: DataFrame,
     return components(work, crossed, "crossed")
 
 
-def _connected(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[Workspace, DataFrame, DataFrame, DataFrame]:
-    """The rows (doc_id, seen, n_shingles, digest), the nodes (digest, first (doc_id, seen), n), and (digest, root) of nodes in families."""
+def _connected(docs: DataFrame, width: int, threshold: tuple[int, int], count: bool) -> tuple[Workspace, DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, seen, n_shingles, digest), the nodes (digest, first (doc_id, seen), n, copies), and (digest, root) of nodes in families, with their links to other sets if they are to be counted."""
     p, q = threshold
     work = Workspace(docs.sparkSession, "jaccard")
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -602,36 +663,45 @@ def _connected(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple
     work.drop("shared")
 
     whole = rows.where("doc_id is not null and digest is not null")
-    nodes = whole.groupBy("digest").agg(F.min(F.struct("doc_id", "seen")).alias("first"), F.first("n_shingles").alias("n"))
+    nodes = whole.groupBy("digest").agg(F.min(F.struct("doc_id", "seen")).alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     members = nodes.withColumn("node", node_key).join(families, "node")
     counted = members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
     pieces = F.greatest(F.ceil(F.col("members") / PIECE_NODES), F.ceil(F.col("tokens") / PIECE_TOKENS))
     placed = members.join(counted, "family").select(
-        "first.doc_id", "first.seen", "digest", "family", F.pmod(F.xxhash64("digest"), pieces).cast("int").alias("piece")
+        "first.doc_id", "first.seen", "digest", "copies", "family", F.pmod(F.xxhash64("digest"), pieces).cast("int").alias("piece")
     )
     placed = work.keep("members", placed)
     work.drop("families-roots")
-    sets_type = "family long, piece int, digest binary, tokens binary"
-    found = docs.join(placed.hint("merge"), ["doc_id", "seen"]).select("text", "family", "piece", "digest")
+    sets_type = "family long, piece int, digest binary, copies long, tokens binary"
+    found = docs.join(placed.hint("merge"), ["doc_id", "seen"]).select("text", "family", "piece", "digest", "copies")
     sets = work.keep("sets", found.mapInArrow(_family_sets(width), sets_type))
     work.drop("members")
-    local = work.keep("local", _by_piece(sets).mapInArrow(_batched(_within_pieces(p, q)), "family long, piece int, digest binary, root binary"))
-    roots = work.keep("roots", _join_pieces(work, sets, local, p, q))
-    for name in ("sets", "local", "several", "named", "largest", "apart", "visits", "crossed-roots", *(f"round-{k}" for k in range(64))):
+    kinds = _ROOTED + ", links long" * count
+    local = work.keep("local", _by_piece(sets).mapInArrow(_batched(_within_pieces(p, q, count)), kinds))
+    roots = _join_pieces(work, sets, local.drop("links"), p, q)
+    if count:
+        links = local.select("digest", "links")
+        if not (several := work.read("several", "family long")).isEmpty():
+            links = links.unionByName(_links_between_pieces(work, sets, several, p, q)).groupBy("digest").agg(F.sum("links").alias("links"))
+        roots = roots.join(links, "digest", "left")
+    roots = work.keep("roots", roots)
+    for name in ("sets", "local", "several", "named", "largest", "apart", "visits", "crossed-roots", "other-pieces", *(f"round-{k}" for k in range(64))):
         work.drop(name)
     return work, rows, nodes, roots
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, anything else)."""
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text, anything else); links are with rows that have an id."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    work, rows, nodes, roots = _connected(docs, width, threshold)
+    work, rows, nodes, roots = _connected(docs, width, threshold, True)
     least = roots.join(nodes, "digest").groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    of = nodes.join(roots.join(least, "root"), "digest", "left").select("digest", F.coalesce("component_id", "first.doc_id").alias("component_id"))
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    of = nodes.join(roots.join(least, "root"), "digest", "left").select("digest", F.coalesce("component_id", "first.doc_id").alias("component_id"), n_links.alias("n_links"))
     rows = rows.select("doc_id", "n_shingles", "digest")
     result = spread_left_join(rows, of, "digest", work.keep("hot", hot_keys(rows, "digest")), "doc_id")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast(id_type)).otherwise(F.coalesce("component_id", "doc_id"))
-    return result.select("doc_id", "n_shingles", own.alias("component_id"))
+    linked = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0)))
+    return result.select("doc_id", "n_shingles", own.alias("component_id"), linked.cast("long").alias("n_links"))
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -639,7 +709,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, threshold: tuple[int, i
 
     Rows without an id or without words link with nothing and stay.
     """
-    _, _, nodes, roots = _connected(docs, width, threshold)
+    _, _, nodes, roots = _connected(docs, width, threshold, False)
     least = roots.join(nodes, "digest").groupBy("root").agg(F.min("first").alias("first"))
     firsts = least.select("first").unionByName(nodes.join(roots, "digest", "left_anti").select("first")).select("first.doc_id", "first.seen")
     rows, (doc_id, text) = numbered(docs, "doc_id", "text")

@@ -107,9 +107,10 @@ sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 shared as (select a.doc_id as x, b.doc_id as y, count(*) as both_have from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
 links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * both_have >= 90 * (a.n + b.n - both_have)),
 edges as (select x, y from links union all select y, x from links),
-reach(doc_id, root) as (select doc_id, doc_id from documents union select e.y, r.root from reach r join edges e on e.x = r.doc_id)
-select reach.doc_id, coalesce(max(sizes.n), 0) as n_shingles, min(reach.root) as component_id
-from reach left join sizes using (doc_id) group by reach.doc_id
+reach(doc_id, root) as (select doc_id, doc_id from documents union select e.y, r.root from reach r join edges e on e.x = r.doc_id),
+degrees as (select x as doc_id, count(*) as d from edges group by x)
+select reach.doc_id, coalesce(max(sizes.n), 0) as n_shingles, min(reach.root) as component_id, coalesce(max(degrees.d), 0) as n_links
+from reach left join sizes using (doc_id) left join degrees using (doc_id) group by reach.doc_id
 """
 
 _CHATS_OP2 = r"""
