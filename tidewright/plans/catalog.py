@@ -17,9 +17,7 @@ from tidewright.sources.ticks import utc
 PT = ["pair", "ts"]
 MIDS = ["mid_open", "mid_high", "mid_low", "mid_close", "spread_close"]
 SIDE_PRICES = [f"{p}_{s}" for s in bars.SIDES for p in bars.PRICES]
-TEST, SPLIT_START, VAL_START = [1, 3], dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 24)
-EDGES = [dt.datetime(2024, 1, d) for d in (3, 9, 15, 21, 27)] + [dt.datetime(2024, 1, 31)]
-CHUNKS = list(zip(EDGES, EDGES[1:]))
+TEST, EDGE_DAYS, VAL_DAY = [1, 3], (0, 6, 12, 18, 24, 28), 21
 CONFIGS = {"plain": strategies.Reversion(), "rsi": strategies.Reversion(use_rsi=True, rsi_low=40.0, rsi_high=60.0)}
 
 
@@ -222,24 +220,36 @@ def chunks(spark, d):
     return split.chunk_table(spark, split.build_chunks(a, b))
 
 
+def _first_day(spark, d):
+    """The third day of the ticks: chunks begin there."""
+    first = frames.ticks(spark, d).agg(F.min("ts")).first()[0]
+    return dt.datetime(first.year, first.month, first.day) + dt.timedelta(days=2)
+
+
+def _chunks(spark, d):
+    edges = [_first_day(spark, d) + dt.timedelta(days=n) for n in EDGE_DAYS]
+    return list(zip(edges, edges[1:]))
+
+
 def split_assign(spark, d):
-    own = split.assign_splits(split.with_chunk(frames.hourly(spark, d), CHUNKS), TEST, 12, 24)
+    own = split.assign_splits(split.with_chunk(frames.hourly(spark, d), _chunks(spark, d)), TEST, 12, 24)
     return own.select(*PT, "chunk_id", "split")
 
 
 def period_labels(spark, d):
-    own = split.period_labels(split.with_chunk(frames.hourly(spark, d), CHUNKS), TEST, SPLIT_START, VAL_START, 10)
+    first = _first_day(spark, d)
+    own = split.period_labels(split.with_chunk(frames.hourly(spark, d), _chunks(spark, d)), TEST, first, first + dt.timedelta(days=VAL_DAY), 10)
     return own.select(*PT, "period")
 
 
 def purged_validation(spark, d):
-    own = split.assign_splits(split.with_chunk(frames.hourly(spark, d), CHUNKS), TEST, 12, 24)
-    return split.purged_validation(own, VAL_START, 12, 10).select(*PT, "is_fit", "is_val")
+    own = split.assign_splits(split.with_chunk(frames.hourly(spark, d), _chunks(spark, d)), TEST, 12, 24)
+    return split.purged_validation(own, _first_day(spark, d) + dt.timedelta(days=VAL_DAY), 12, 10).select(*PT, "is_fit", "is_val")
 
 
 def split_scores(spark, d):
     """Every way to hold out two of five chunks, ranked by how even labels and spread are."""
-    own = split.with_chunk(_labelled(spark, d), CHUNKS).where("chunk_id >= 0 and label_1_0 is not null")
+    own = split.with_chunk(_labelled(spark, d), _chunks(spark, d)).where("chunk_id >= 0 and label_1_0 is not null")
     per = own.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum((F.col("label_1_0") == 1).cast("int")).alias("ups"), F.sum("spread_close").alias("spread"))
     picks = F.array(*[F.struct(F.lit(i).alias("candidate"), F.array(*map(F.lit, c)).alias("held")) for i, c in enumerate(split.draw_candidates(5, 2, 10, 3))])
     both = per.select("*", F.inline(picks)).withColumn("t", F.array_contains("held", F.col("chunk_id")).cast("int"))
@@ -253,7 +263,7 @@ def split_scores(spark, d):
 
 def split_balance(spark, d):
     """The five balance criteria of every way to hold out two of five chunks."""
-    own = split.with_chunk(_labelled(spark, d), CHUNKS)
+    own = split.with_chunk(_labelled(spark, d), _chunks(spark, d))
     found = training.balance(own, split.draw_candidates(5, 2, 10, 3), "label_1_0", "spread_close")
     return rounded(found.withColumn("held", F.array_join("held", ",")), ["held"], training.BALANCE)
 

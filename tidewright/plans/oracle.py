@@ -29,7 +29,8 @@ _MIDS = ["mid_open", "mid_high", "mid_low", "mid_close", "spread_close"]
 
 _TICK = """
 spreads as (select event_type as pair, ts, value as mid, value * (1 + cast(json_extract(props, '$.k') as int)) / 200000.0::double as half from events),
-tick as (select pair, ts, mid, mid - half as bid, mid + half as ask from spreads)"""
+tick as (select pair, ts, mid, mid - half as bid, mid + half as ask from spreads),
+bs as (select date_trunc('day', min(ts)) + interval 2 day as s from tick)"""
 
 
 def _bars(name: str, label: str, source: str = "tick") -> str:
@@ -416,8 +417,9 @@ _add(
     "k as (select e.i, e.t from e, b where e.i = 0 or z - t >= interval 45 day)",
     select="select i as chunk_id, t as chunk_start, coalesce(lead(t) over (order by i), (select z + interval 1 minute from b)) as chunk_end from k",
 )
-_EDGES = ["2024-01-03", "2024-01-09", "2024-01-15", "2024-01-21", "2024-01-27", "2024-01-31"]
-_CHUNK = "case " + " ".join(f"when ts >= timestamp '{a}' and ts < timestamp '{b}' then {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " else -1 end"
+_day = lambda n: f"(select s + interval {n} day from bs)"
+_DAYS_OF_EDGES = (0, 6, 12, 18, 24, 28)
+_CHUNK = "case " + " ".join(f"when ts >= {_day(a)} and ts < {_day(b)} then {i}" for i, (a, b) in enumerate(zip(_DAYS_OF_EDGES, _DAYS_OF_EDGES[1:]))) + " else -1 end"
 _SPLIT = _H + f""",
 ck as (select pair, ts, rn, {_CHUNK} as chunk_id from h),
 fl as (select *, chunk_id in (1, 3) as t, chunk_id >= 0 and lag(chunk_id) over ({_W}) >= 0 and (chunk_id in (1, 3)) <> (lag(chunk_id) over ({_W}) in (1, 3)) as edge, (chunk_id in (1, 3)) <> (lag(chunk_id) over ({_W}) in (1, 3)) as any_edge from ck),
@@ -425,16 +427,16 @@ nr as (select a.pair, a.rn, bool_or(o.t and o.rn > a.rn and o.rn <= a.rn + 12) a
   bool_or(coalesce(o.any_edge, false) and o.rn > a.rn - 10 and o.rn <= a.rn + 10) as near from fl a join fl o on a.pair = o.pair and o.rn between a.rn - 24 and a.rn + 12 group by a.pair, a.rn),
 sp as (select fl.*, near, case when chunk_id < 0 then 'warmup' when not t and reach then 'purged' when after then 'embargoed' when t then 'test' else 'train' end as split from fl join nr using (pair, rn))"""
 _add("split_assign", _SPLIT, select="select pair, ts, chunk_id, split from sp")
-_add("period_labels", _SPLIT, select="select pair, ts, case when near then 'embargo' when t then 'test' when ts < timestamp '2024-01-03' then 'pre' when ts < timestamp '2024-01-24' then 'train' else 'val' end as period from sp")
+_add("period_labels", _SPLIT, select=f"select pair, ts, case when near then 'embargo' when t then 'test' when ts < {_day(0)} then 'pre' when ts < {_day(21)} then 'train' else 'val' end as period from sp")
 _add(
     "purged_validation", _SPLIT,
-    f"vl as (select *, ts >= timestamp '2024-01-24' as late, split = 'train' and ts >= timestamp '2024-01-24' as v, count(*) filter (ts >= timestamp '2024-01-24') over ({_W}) as since from sp)",
+    f"vl as (select *, ts >= {_day(21)} as late, split = 'train' and ts >= {_day(21)} as v, count(*) filter (ts >= {_day(21)}) over ({_W}) as since from sp)",
     "vr as (select a.pair, a.rn, coalesce(bool_or(o.v), false) as reach from vl a left join vl o on a.pair = o.pair and o.rn between a.rn + 1 and a.rn + 12 group by a.pair, a.rn)",
     select="select pair, ts, split = 'train' and not late and not reach as is_fit, v and since > 10 as is_val from vl join vr using (pair, rn)",
 )
 _add(
     "split_scores", _LAB,
-    f"ls as (select h.pair, {_CHUNK.replace('ts', 'h.ts')} as c, lb.label, h.spread_close from h join lb using (pair, rn) where lb.label is not null)",
+    f"ls as (select h.pair, {_CHUNK.replace('ts >=', 'h.ts >=').replace('ts <', 'h.ts <')} as c, lb.label, h.spread_close from h join lb using (pair, rn) where lb.label is not null)",
     "pc as (select c, count(*) as n, count(*) filter (label = 1) as ups, sum(spread_close) as sp from ls where c >= 0 group by c)",
     "tt as (select sum(n) as n, sum(ups) as ups, sum(sp) as sp from pc)",
     "cd as (select a.c as x, b.c as y, a.n + b.n as n, a.ups + b.ups as ups, a.sp + b.sp as sp from pc a join pc b on a.c < b.c)",
@@ -443,7 +445,7 @@ _add(
 )
 _add(
     "split_balance", _LAB,
-    f"ls as (select h.ts, {_CHUNK.replace('ts', 'h.ts')} as c, lb.label, h.spread_close as v from h join lb using (pair, rn))",
+    f"ls as (select h.ts, {_CHUNK.replace('ts >=', 'h.ts >=').replace('ts <', 'h.ts <')} as c, lb.label, h.spread_close as v from h join lb using (pair, rn))",
     "pr as (select a.c as x, b.c as y from (select distinct c from ls where c >= 0) a join (select distinct c from ls where c >= 0) b on a.c < b.c)",
     "dl as (select x, y, ls.*, c in (x, y) as t from ls join pr on c >= 0)",
     "qs as (select x, y, max(n) / sum(n) as s from (select x, y, quarter(ts) as q, count(*) as n from dl where t group by all) group by x, y)",
