@@ -164,13 +164,13 @@ def shown(cells: Column) -> Column:
 def _ranges(docs: DataFrame) -> Column:
     """The number of a row's range in the order of ids, then of the texts' hashes.
 
-    The cuts are quantiles of the ids, at most 64 x 64 of them and one for every
+    The cuts are quantiles of the ids, at most 64 x 64 of them: eight for each task, so that tasks even out, and one for every
     ``PER_RANGE`` rows. Rows without an id, and those of an id that is two quantiles
     or more, are parted by their texts' hashes into ``PARTS`` ranges of their own.
     """
     spark = docs.sparkSession
     rows = docs.count()
-    many = max(2, min(4096, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_RANGE)))
+    many = max(2, min(4096, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_RANGE)))
     shares = [i / many for i in range(1, many)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * many)).first()[0] or []
     hot = sorted({c for c, n in Counter(cuts).items() if n > 1})
