@@ -373,8 +373,6 @@ class TokenGroups:
 
     def qualifying(self, query: np.ndarray, least: int) -> np.ndarray:
         """Members of the groups whose union shares ``least`` tokens or more with the query."""
-        if len(self.members) == 1:
-            return self.members[0]
         open_ = np.flatnonzero(self.matrix.shared(query) >= least)
         return np.concatenate([self.members[g] for g in open_]) if len(open_) else np.zeros(0, np.int64)
 
