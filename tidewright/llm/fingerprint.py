@@ -6,10 +6,10 @@ each; a cell holds how many digests fell into it, their xor and the xor of their
 check hashes. The difference of two sketches is a sketch of the digests that are in
 one text only; peeling cells that hold one digest recovers them. Where that fails,
 both sets are dealt to as many sketches as their sizes ask for and peeled again,
-and again with four times the cells, up to ``LARGER[-1]`` slots. If d digests
+each that fails with four times the cells, up to ``LARGER[-1]`` slots. If d digests
 differ, the likeness is 1 - d / (size + size), and 1 for two empty texts. Should the
-last retry fail (two digests of twelve then share three cells of 256), the digests
-themselves are compared. A text of n paragraphs takes time n to the power 1.5.
+last retry fail (two digests of twelve then share three cells of 256), that sketch's
+digests are compared themselves. A text of n paragraphs takes time n to the power 1.5.
 
 The next document comes from a window in each of many id ranges, with the range's
 last row joined to the first of the next range; no task holds all rows.
@@ -121,16 +121,29 @@ def _hand(keys: Column, seed: int, many: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), many - 1), lambda n: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(seed)), many) == n))
 
 
-def _dealt(a: Column, b: Column, sketches: Column, slots: int) -> Column:
-    """Peel results of the two sets, dealt to at least so many sketches by a hash of the digests.
+def _differing(pair: Column) -> Column:
+    """How many digests are in one of the lists a and b only: by sketches, larger on failure, at last by the digests themselves."""
+
+    def attempt(slots: int) -> Column:
+        return peel(subtract(sketch(pair["a"], slots), sketch(pair["b"], slots)), slots)
+
+    def unless(found: Column, other: Column) -> Column:
+        return _with(found, lambda f: F.when(f["left"] == 0, f).otherwise(other))
+
+    exactly = F.size(F.array_except(pair["a"], pair["b"])) + F.size(F.array_except(pair["b"], pair["a"]))
+    found = attempt(LARGER[0])
+    for slots in LARGER[1:]:
+        found = unless(found, attempt(slots))
+    return unless(found, F.struct(exactly.alias("found"), F.lit(0).alias("left")))["found"]
+
+
+def _dealt(a: Column, b: Column, sketches: Column) -> Column:
+    """How many digests differ, from the two sets dealt to at least so many sketches by a hash of the digests; each fails and grows by itself.
 
     The digests go to the square root of so many piles and each pile to as many
     sketches: a digest is looked at twice that root's times, not once a sketch.
     """
 
-    def one(pair: Column) -> Column:
-        return peel(subtract(sketch(pair["a"], slots), sketch(pair["b"], slots)), slots)
-
     def deal(pair: Column, seed: int, many: Column) -> Column:
         return F.arrays_zip(_hand(pair["a"], seed, many).alias("a"), _hand(pair["b"], seed, many).alias("b"))
 
@@ -138,22 +151,18 @@ def _dealt(a: Column, b: Column, sketches: Column, slots: int) -> Column:
         both = F.struct(a.alias("a"), b.alias("b"))
         piles = F.when(many == 1, F.array(both)).otherwise(deal(both, 2, many))
         width = F.ceil(sketches / many).cast("int")
-        return F.flatten(F.transform(piles, lambda pile: F.transform(deal(pile, 1, width), lambda pair: _with(pair, one))))
+        return F.flatten(F.transform(piles, lambda pile: F.transform(deal(pile, 1, width), lambda pair: _with(pair, _differing))))
 
     many = F.greatest(F.lit(1), F.ceil(F.sqrt(sketches / 8)).cast("int"))
-    zero = F.struct(F.lit(0).alias("found"), F.lit(0).alias("left"))
-    return F.aggregate(_with(many, found), zero, lambda s, x: F.struct((s["found"] + x["found"]).alias("found"), (s["left"] + x["left"]).alias("left")))
+    return F.aggregate(_with(many, found), F.lit(0), lambda s, x: s + x)
 
 
 def likeness(frame: DataFrame, name: str, a: str, b: str, a_keys: str, b_keys: str) -> DataFrame:
     """``frame`` with the likeness of two sketches; the key columns are for larger sketches on failure."""
     total = F.size(a_keys) + F.size(b_keys)
     found = frame.withColumn("_peeled", peel(subtract(F.col(a), F.col(b))))
-    for slots in LARGER:
-        again = _dealt(F.col(a_keys), F.col(b_keys), F.ceil(total / EXPECTED), slots)
-        found = found.withColumn("_peeled", F.when(F.col("_peeled.left") == 0, F.col("_peeled")).otherwise(again))
-    exactly = F.size(F.array_except(a_keys, b_keys)) + F.size(F.array_except(b_keys, a_keys))
-    differ = F.when(F.col("_peeled.left") == 0, F.col("_peeled.found")).otherwise(exactly)
+    again = _dealt(F.col(a_keys), F.col(b_keys), F.ceil(total / EXPECTED))
+    differ = F.when(F.col("_peeled.left") == 0, F.col("_peeled.found")).otherwise(again)
     return found.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise(1 - differ / total)).drop("_peeled")
 
 
