@@ -35,13 +35,15 @@ def repeated_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def merge_sides(bid: DataFrame, ask: DataFrame, one_to_one: bool = False) -> DataFrame:
-    """(pair, ts, four prices of each side) where both sides have the bar; with ``one_to_one`` a bar that a side has twice raises."""
+def merge_sides(bid: DataFrame, ask: DataFrame, one_to_one: bool = False, keys: tuple[str, ...] = ("pair", "ts")) -> DataFrame:
+    """The keys and four prices of each side where both sides have the bar; keys that are null on both sides are equal.
+    A bar that both sides have twice is joined four times: ``keys`` may tell such bars apart, and with ``one_to_one`` they raise."""
     for name, side in (("bid", bid), ("ask", ask)):
-        if one_to_one and (twice := repeated_keys(side, ["pair", "ts"]).first()):
+        if one_to_one and (twice := repeated_keys(side, list(keys)).first()):
             raise ValueError(f"{name} has {twice['n']} bars of {twice['pair']} at {twice['ts']}")
-    named = lambda x, s: x.select("pair", "ts", *[F.col(p).alias(f"{p}_{s}") for p in PRICES])
-    return with_mids(named(bid, "bid").join(named(ask, "ask"), ["pair", "ts"]))
+    named = lambda x, s, to: x.select(*[F.col(k).alias(to + k) for k in keys], *[F.col(p).alias(f"{p}_{s}") for p in PRICES])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return with_mids(named(bid, "bid", "").join(named(ask, "ask", "_"), same).drop(*[f"_{k}" for k in keys]))
 
 
 def negative_spreads(bars: DataFrame) -> DataFrame:
