@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, name):
     assert rows(queries.QUERIES[name](spark, FOLDER).toPandas()) == rows(connect(FOLDER).execute(queries.SQL[name]).df())
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_thirteen_operators_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, chat, fingerprint, licences, line_dedup, media, packing, quality, secrets
+from tidewright.llm import bpe, centroids, chat, divergence, fingerprint, licences, line_dedup, media, packing, quality, secrets, simhash
 from tidewright.llm.jaccard_join import jaccard_components
 
 
@@ -65,6 +65,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source of a language, how far it is from the other sources, and the terms that set it apart."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents, and components of those at two differing bits or fewer."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds on the distinct ones."""
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence_audit": op11_source_divergence_audit,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _LINES_OP10 = r"""
@@ -161,4 +179,82 @@ select docs.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (ran
 from docs left join kept using (id) group by docs.id, docs.doc_id
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": _LINKS_OP1, "op8_secret_scans": _SECRETS_OP8, "op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10}
+_TERMS_OP11 = r"""
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body
+  from documents
+),
+occurs as (
+  select id, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+),
+kept as (select lang, term from occurs group by lang, term having count(distinct id) >= 10),
+counts as (select lang, source, term, count(*) as n from occurs join kept using (lang, term) group by lang, source, term),
+sources as (select distinct lang, source from docs),
+cells as (
+  select lang, source, term, coalesce(n, 0) as n from sources join kept using (lang) left join counts using (lang, source, term)
+),
+shares as (
+  select lang, source, term, n,
+    1 + (1000000000 * (n::hugeint + 2)) // (sum(n) over (partition by lang, source) + 2 * count(*) over (partition by lang, source)) as p
+  from cells
+),
+of_lang as (select lang, term, sum(n) as n from cells group by lang, term),
+lang_shares as (
+  select lang, term, 1 + (1000000000 * (n::hugeint + 2)) // (sum(n) over (partition by lang) + 2 * count(*) over (partition by lang)) as q from of_lang
+),
+apart as (
+  select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as f
+  from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+),
+pairs as (
+  select x.lang, x.source, 'pair' as part, y.source as item, cast(coalesce(f, 0) as bigint) as value
+  from sources x join sources y on x.lang = y.lang and x.source <> y.source
+  left join apart on apart.lang = x.lang and apart.source = x.source and apart.item = y.source
+),
+terms as (
+  select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value
+  from shares join lang_shares using (lang, term) where n > 0 and p > q
+),
+ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+  from (select * from pairs union all select * from terms)
+)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Lloyd's rounds one after another: places in ``g<n>``, clusters in ``a<n>``, the next centroids in ``g<n + 1>``."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+d{n} as materialized (select v.id, g.c, cast(sum((v.x - g.y) * (v.x - g.y)) as bigint) as d from parts v join g{n} g using (place) group by v.id, g.c),
+a{n} as materialized (select id, arg_min(c, (d, c)) as c, min(d) as d from d{n} group by id),
+s{n} as (select a.c, v.place, sum(v.x) as s, count(*) as n from parts v join a{n} a using (id) group by a.c, v.place),
+g{n + 1} as materialized (
+  select g.c, g.place, cast(case when s.n is null then g.y else (s.s - ((s.s % s.n) + s.n) % s.n) // s.n end as bigint) as y
+  from g{n} g left join s{n} s using (c, place)
+)""")
+    return ",".join(steps)
+
+
+_CLUSTERS_OP13 = f"""
+with kept as materialized (
+  select row_number() over () as id, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+),
+parts as materialized (
+  select id, vec_id, place, cast(floor(1024 * cast(embedding[place] as double)) as bigint) as x from (select *, unnest(range(1, 65)) as place from kept)
+),
+firsts as (select id, row_number() over (order by sha256('3:' || cast(vec_id as varchar))) - 1 as c from kept qualify c < 8),
+g0 as materialized (select c, place, x as y from parts join firsts using (id)),
+{_rounds_sql(10)},
+names as (select c, sha256(string_agg(cast(y as varchar), ',' order by place)) as centroid_sha256 from g10 group by c),
+sums as (select c, sum(d) as cluster_inertia from a10 group by c)
+select vec_id, cast(a10.c as integer) as cluster, d as distance, cast(cluster_inertia as bigint) as cluster_inertia,
+  cast((select sum(d) from a10) as bigint) as inertia, centroid_sha256
+from a10 join kept using (id) join names on names.c = a10.c join sums on sums.c = a10.c
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": _LINKS_OP1, "op8_secret_scans": _SECRETS_OP8, "op2_chat_formatting": _CHATS_OP2, "op10_line_dedup": _LINES_OP10, "op11_source_divergence_audit": _TERMS_OP11, "op13_centroid_clustering": _CLUSTERS_OP13}

@@ -17,6 +17,8 @@ _BYTE_VALUES = _SEEDS.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
 _STEPS = _SEEDS.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -78,10 +80,18 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 def word_spans(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte and end of every word, and the index of each row's first word (one more at the end)."""
-    if not len(text):
+    return _spans(~SPACES[text], starts)
+
+
+def letter_spans(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of runs of letters: A-Z, a-z and whatever is not ASCII."""
+    return _spans(LETTERS[text], starts)
+
+
+def _spans(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    inside = ~SPACES[text]
-    edge = np.zeros(len(text) + 1, bool)
+    edge = np.zeros(len(inside) + 1, bool)
     edge[starts] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
