@@ -4,7 +4,7 @@ A term is a run of letters (A-Z, a-z and all beyond ASCII; A-Z lowered). Blocks
 texts are cut into terms and sorted by (lang, term, source, document); the runs of
 a block are its partial counts. These are repartitioned by ranges of (lang, term,
 source, document) and sorted again, so that a term that a third of all documents have is
-spread over several tasks, and a second scan of run lengths yields the document
+spread over several tasks (lang and term are one column there, which Spark sorts by its first bytes), and a second scan of run lengths yields the document
 frequency of a term and its counts in each source. A term at the edge of a range may go on
 in the next one: only those (two for each task) are summed up again.
 
@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from tidewright.functions.workspace import Workspace
 from tidewright.llm.textkernel import LOWER, blocks, letter_spans, small
 
-BLOCK = 12_000_000
+BLOCK = 24_000_000
 DENSE = 1_024
+PER_DEAL = 10_000
 CELLS = 1_000_000
-_RUNS = "lang string, term string, source string, document long, df long, n long"
-_TERMS = "lang string, term string, sources array<string>, counts array<long>, df long, open boolean"
+# a term has no \0; one of lang is followed by \1, so that the last \0 of head stands before the term
+_RUNS = "head string, source string, document long, df long, n long"
+_TERMS = "head string, sources array<string>, counts array<long>, df long, open boolean"
 _FOUND = "lang string, source string, part string, item string, value long"
 
 
@@ -68,11 +70,10 @@ def _block_runs(raw: np.ndarray, starts: np.ndarray, langs: pa.Array, sources: p
     fresh[1:] |= document[1:] != document[:-1]
     df, n = np.add.reduceat(fresh.astype(np.int64), at), np.diff(at, append=len(key))
     term, group = np.divmod(key[at], len(groups))
-    columns = [
-        lang.dictionary.take(pa.array(groups[group] // width)), terms.dictionary.take(pa.array(term)),
-        source.dictionary.take(pa.array(groups[group] % width)), pa.array(documents[document[at]]), pa.array(df), pa.array(n),
-    ]
-    found = pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "document", "df", "n"])
+    first_part = pc.replace_substring(lang.dictionary, "\0", "\0\1").take(pa.array(groups[group] // width))
+    head = pc.binary_join_element_wise(first_part, terms.dictionary.take(pa.array(term)), "\0")
+    own = source.dictionary.take(pa.array(groups[group] % width))
+    found = pa.RecordBatch.from_arrays([head, own, *map(pa.array, (documents[document[at]], df, n))], ["head", "source", "document", "df", "n"])
     for row in range(0, found.num_rows, 50_000):
         yield found.slice(row, 50_000)
 
@@ -109,37 +110,36 @@ def _changes(*columns: pa.Array) -> np.ndarray:
     return fresh
 
 
-def _collapsed(lang, term, source, df, n):
-    """One row for each run of (lang, term, source)."""
-    at = np.flatnonzero(_changes(lang, term, source))
+def _collapsed(head, source, df, n):
+    """One row for each run of (head, source)."""
+    at = np.flatnonzero(_changes(head, source))
     take = pa.array(at)
-    return lang.take(take), term.take(take), source.take(take), np.add.reduceat(df, at), np.add.reduceat(n, at)
+    return head.take(take), source.take(take), np.add.reduceat(df, at), np.add.reduceat(n, at)
 
 
 def _frequencies(batches):
-    """Sorted runs to a row for each (lang, term); open where the term may go on in another task."""
+    """Sorted runs to a row for each head; open where the term may go on in another task."""
     held, first = None, True
 
-    def rows(lang, term, source, df, n, starts, last):
+    def rows(head, source, df, n, starts, last):
         nonlocal first
         offsets = pa.array(np.append(starts, len(n)).astype(np.int32))
         is_open = np.zeros(len(starts), bool)
         is_open[0], first = first, False
         is_open[-1] |= last
-        take = pa.array(starts)
         return pa.RecordBatch.from_arrays(
-            [lang.take(take), term.take(take), pa.ListArray.from_arrays(offsets, source), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.array(np.add.reduceat(df, starts)), pa.array(is_open)],
-            ["lang", "term", "sources", "counts", "df", "open"],
+            [head.take(pa.array(starts)), pa.ListArray.from_arrays(offsets, source), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.array(np.add.reduceat(df, starts)), pa.array(is_open)],
+            ["head", "sources", "counts", "df", "open"],
         )
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        parts = [*(batch.column(c) for c in ("lang", "term", "source")), *(batch.column(c).to_numpy() for c in ("df", "n"))]
+        parts = [*(batch.column(c) for c in ("head", "source")), *(batch.column(c).to_numpy() for c in ("df", "n"))]
         if held:
-            parts = [*(pa.concat_arrays(p) for p in zip(held[:3], parts[:3])), *(np.concatenate(p) for p in zip(held[3:], parts[3:]))]
+            parts = [*(pa.concat_arrays(p) for p in zip(held[:2], parts[:2])), *(np.concatenate(p) for p in zip(held[2:], parts[2:]))]
         parts = _collapsed(*parts)
-        starts = np.flatnonzero(_changes(parts[0], parts[1]))
+        starts = np.flatnonzero(_changes(parts[0]))
         done = starts[-1]
         if done:
             yield rows(*(p[:done] for p in parts), starts[:-1], False)
@@ -176,10 +176,8 @@ class _Language:
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "part", "item", "value"])
 
     def _pairs_of(self, a: int, sums: np.ndarray):
-        """The pairs of source ``a`` with those behind it, both ways."""
-        behind, same = np.arange(a + 1, len(self.sources)), np.full(len(sums), a)
-        yield self._batch(same, "pair", self.place.take(pa.array(behind)), sums)
-        yield self._batch(behind, "pair", self.place.take(pa.array(same)), sums)
+        """The pairs of source ``a`` with those behind it."""
+        yield self._batch(np.full(len(sums), a), "pair", self.place[a + 1 :], sums)
 
     def terms(self, terms: pa.Array, sources: pa.ListArray, counts: pa.ListArray, ranks: int):
         """Rows of terms, sorted; yields pairs where they are too many to be held."""
@@ -265,16 +263,19 @@ def term_counts(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(given("lang"), given("source"), F.xxhash64("doc_id").alias("document"), given("text"))
     runs = work.keep("runs", rows.mapInArrow(_partial_runs, _RUNS))
-    order = ["lang", "term", "source", "document"]
+    order = ["head", "source", "document"]
     scanned = runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_frequencies, _TERMS)
     scanned = work.keep("scanned", scanned.where(f"open or df >= {int(min_docs)}"))
     work.drop("runs")
-    parts = scanned.where("open").select("lang", "term", "df", F.arrays_zip("sources", "counts").alias("cells"))
-    df = parts.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_docs)
-    cells = parts.select("lang", "term", F.explode("cells").alias("cell")).groupBy("lang", "term", "cell.sources").agg(F.sum("cell.counts").alias("counts"))
-    cells = cells.groupBy("lang", "term").agg(F.collect_list(F.struct("sources", "counts")).alias("cells"))
-    merged = cells.join(df, ["lang", "term"]).select("lang", "term", "cells.sources", "cells.counts", "df")
-    kept = work.keep("kept", scanned.where("not open").select(*merged.columns).unionByName(merged))
+    parts = scanned.where("open").select("head", "df", F.arrays_zip("sources", "counts").alias("cells"))
+    df = parts.groupBy("head").agg(F.sum("df").alias("df")).where(F.col("df") >= min_docs)
+    cells = parts.select("head", F.explode("cells").alias("cell")).groupBy("head", "cell.sources").agg(F.sum("cell.counts").alias("counts"))
+    cells = cells.groupBy("head").agg(F.collect_list(F.struct("sources", "counts")).alias("cells"))
+    merged = cells.join(df, "head").select("head", "cells.sources", "cells.counts", "df")
+    term = F.substring_index("head", "\0", -1)
+    lang = F.replace(F.left("head", F.char_length("head") - F.char_length("term") - 1), F.lit("\0\1"), F.lit("\0"))
+    both = scanned.where("not open").select(*merged.columns).unionByName(merged).withColumn("term", term)
+    kept = work.keep("kept", both.select(lang.alias("lang"), "term", "sources", "counts", "df"))
     work.drop("scanned")
     return kept
 
@@ -291,7 +292,8 @@ def source_divergence(docs: DataFrame, min_docs: int = 10, ranks: int = 10) -> D
     heads = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "v"])
     heads = work.keep("groups", heads)
 
-    deals = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each deal emits every pair of sources, so that there are no more deals than its terms are worth
+    deals = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count() // PER_DEAL))
     none = F.lit(None)
     heads = heads.select(
         F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), "lang", none.cast("string").alias("term"),
@@ -304,6 +306,8 @@ def source_divergence(docs: DataFrame, min_docs: int = 10, ranks: int = 10) -> D
     dealt = heads.unionByName(terms).repartition(deals, "deal").sortWithinPartitions(*order)
     found = work.keep("found", dealt.mapInArrow(_divergences(ranks), _FOUND))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    both = F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))
+    pairs = pairs.select("lang", "part", "value", F.inline(both)).select("lang", "source", "part", "item", "value")
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
     best = found.where("part = 'term'").select("*", place).where(F.col("rank") <= ranks)
     return pairs.select("*", place).unionByName(best).select("lang", "source", "part", "item", "value", "rank")
