@@ -83,7 +83,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def _forest(nodes: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what links connect."""
-    near = np.bitwise_count(nodes[:, None] ^ nodes[None, :]) <= BITS
+    own = nodes.view(np.uint64)  # the count of a signed number is that of its absolute value
+    near = np.bitwise_count(own[:, None] ^ own[None, :]) <= BITS
     root, places = np.arange(len(nodes)), np.arange(len(nodes))
     while True:
         least = np.where(near, root[None, :], len(nodes)).min(1)
