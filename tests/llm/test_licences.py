@@ -10,8 +10,8 @@ from tidewright.llm.licences import CLASSES, FAMILIES, LEAST_PROBABILITY, LEAST_
 def test_accuracy_on_unseen_worn_templates():
     model = train()
     lines, label = _examples(99, 10)
-    row, bucket, _, _ = _grams(*_packed(lines))
-    p = model.probabilities(model.logits(row, bucket, len(lines)))
+    row, gram, _, _ = _grams(*_packed(lines))
+    p = model.probabilities(model.logits(*model.features(row, gram, len(lines))))
     assert np.mean(p.argmax(1) == label) > 0.97
     sure = p.max(1) >= 0.7
     assert np.mean(p.argmax(1)[sure] == label[sure]) > 0.98
@@ -77,8 +77,8 @@ def brute(model, texts):
             continue
 
         def score(part):
-            row, bucket, _, pair = _grams(*_packed([part]))
-            p = model.probabilities(model.logits(row, bucket, 1))[0]
+            row, gram, _, pair = _grams(*_packed([part]))
+            p = model.probabilities(model.logits(*model.features(row, gram, 1)))[0]
             best = int(p.argmax())
             if p[best] < LEAST_PROBABILITY:
                 best, sure = (len(CLASSES) - 1, 1 - p[0]) if 1 - p[0] >= LEAST_PROBABILITY else (0, 0)
@@ -119,3 +119,15 @@ def test_query_equals_every_part_scored_alone(spark, model):
     texts += [(200, None), (201, ""), (202, "\n\n"), (203, "\n".join([pool[1]] * 3000)), (204, "Released under the MIT License.\n"), (204, "Released under the MIT License.\n")]
     found = licence_lines(spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, family string").repartition(3)).collect()
     assert sorted((r.doc_id, r.line, r.lines, r.family, round(r.probability, 6), round(r.similarity, 6)) for r in found) == brute(model, texts)
+
+
+def test_short_repeated_and_foreign_lines_are_prose(spark):
+    lines = ["Le.", "St.", "Des. Des. Des.", "Und Und Und", "Ndth.", "The " * 300, "Of " * 90, "A, " * 40, "MIT", "the license", "all rights", "Version 2.0", "GNU", "Ber mit die und. " * 40]
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyzäöüßéèñ")
+    lines += [" ".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) for _ in range(int(rng.integers(1, 40)))).capitalize() + "." for _ in range(400)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert licence_lines(docs).collect() == []
+    long = "word " * 200_000 + "\nReleased under the MIT License.\n" + "more " * 200_000
+    (found,) = licence_lines(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert (found.line, found.family, found.confirmed) == (1, "MIT", True)

@@ -1,8 +1,10 @@
-import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions.workspace import Workspace
+from tidewright.llm import line_dedup
 from tidewright.llm.line_dedup import LineRuns, drop_common_lines, without_common_lines
 
 WHITE = "\t\n\x0b\x0c\r "
@@ -68,7 +70,26 @@ def test_merge_joins_read_the_runs_without_a_shuffle(spark, tmp_path):
 
 def test_a_text_of_eighty_thousand_common_lines(spark):
     long = "\n".join(f"line {i}" for i in range(80_000))
-    began = time.time()
     docs = spark.createDataFrame([(1, long), (2, long + "\nown")], "doc_id long, text string")
     assert sorted((r.doc_id, r.kept, r.n_dropped) for r in drop_common_lines(docs, 2).collect()) == [(1, "", 80_000), (2, "own", 80_000)]
-    assert time.time() - began < 60
+
+
+def test_spared_lines_stay_however_common(spark):
+    rows = [(i, f"-----BEGIN X-----\nown {i}\ncommon\n  -----END X-----") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in line_dedup.drop_common_lines(docs, spare="-----(?:BEGIN|END) X-----").collect()}
+    assert kept == {i: f"-----BEGIN X-----\nown {i}\n  -----END X-----" for i in range(12)}
+    assert {r.kept for r in line_dedup.drop_common_lines(docs).collect()} == {f"own {i}" for i in range(12)}
+
+
+def test_a_failed_batch_leaves_no_runs(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("text", F.raise_error(F.lit("broken")).cast("string"))
+    work = Workspace(spark, "test-runs")
+    runs = line_dedup.LineRuns(spark, work.path("runs"))
+    try:
+        with pytest.raises(Exception, match="broken"):
+            runs.add(docs.select(F.xxhash64("text").alias("h1"), F.xxhash64("text").alias("h2")))
+    finally:
+        runs.close()
+    assert {t.name for t in spark.catalog.listTables()} == before and not runs.written

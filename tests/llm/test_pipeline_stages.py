@@ -61,3 +61,25 @@ def test_packing_takes_every_row(spark, folder):
     for r in corpus_pipeline.pack_sequences(spark, docs, folder).collect():
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 1024 and len(used) <= -(-sum(used.values()) // 1024) + 1
+
+
+def key_block(i, kind="RSA "):
+    rng = np.random.default_rng(1000 + i)
+    body = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 64)) for _ in range(4)]
+    return [f"-----BEGIN {kind}PRIVATE KEY-----", *body, f"-----END {kind}PRIVATE KEY-----"], body
+
+
+@pytest.mark.parametrize("cut", ["whole", "no end", "indented", "shared body"])
+def test_no_key_is_readable_behind_line_dedup_and_secret_scans(spark, folder, cut):
+    """Twelve documents with twelve keys: the lines that mark a key are common, and yet redaction knows every key."""
+    rows, secrets_of = [], {}
+    for i in range(12):
+        lines, body = key_block(0 if cut == "shared body" and i < 11 else i)
+        lines = lines[:-1] if cut == "no end" else ["    " + x for x in lines] if cut == "indented" else lines
+        rows.append((i, f"Note {i} before\n" + "\n".join(lines) + f"\nNote {i} behind, with more words."))
+        secrets_of[i] = body
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.drop_repeated_lines(spark, docs, folder)
+    out = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, left, folder).collect()}
+    assert sum(any(line in out[i] for line in secrets_of[i]) for i in range(12)) == 0
+    assert all(f"Note {i} before" in out[i] and f"Note {i} behind, with more words." in out[i] for i in range(12))

@@ -14,7 +14,7 @@ digests are compared themselves. A text of n paragraphs takes time n to the powe
 The next document comes from a window in each of many id ranges, with the range's
 last row joined to the first of the next range; no task holds all rows.
 
-Null text is empty. A null id comes before the others. Rows of one id follow each
+Null text is empty. Ids of any type that Spark orders are taken. A null id comes before the others. Rows of one id follow each
 other by their text's hash; equal rows stand next to each other. A table of one row
 is its own next; an empty table has no rows. Other columns are not read, whatever
 their names.
@@ -26,6 +26,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType
 
 LONGEST = 200
 SLOTS = 8
@@ -33,6 +34,8 @@ LARGER = (16, 64, 256)
 EXPECTED = 12
 ROUNDS = 12
 PER_RANGE = 4000
+CUTS = 1 << 14
+SAMPLED = 20
 PARTS = 64  # a power of two
 PARAGRAPH = rf"[^\n]{{1,{LONGEST}}}\n?|\n"
 _CELL = "array<struct<c: int, k: bigint, h: bigint>>"
@@ -173,25 +176,31 @@ def shown(cells: Column) -> Column:
 def _ranges(docs: DataFrame) -> Column:
     """The number of a row's range in the order of ids, then of the texts' hashes.
 
-    The cuts are quantiles of the ids, at most 64 x 64 of them: eight for each task, so that tasks even out, and one for every
-    ``PER_RANGE`` rows. Rows without an id, and those of an id that is two quantiles
-    or more, are parted by their texts' hashes into ``PARTS`` ranges of their own.
+    The cuts are quantiles of the ids: eight for each task, so that tasks even out, and one for every
+    ``PER_RANGE`` rows, ``CUTS`` at most. Rows without an id, and those of an id that is two quantiles
+    or more, are parted by their texts' hashes into ``PARTS`` ranges of their own. Ids that are no
+    numbers are cut at places of a sorted sample, of ``SAMPLED`` ids for each cut.
     """
     spark = docs.sparkSession
     rows = docs.count()
-    many = max(2, min(4096, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_RANGE)))
-    shares = [i / many for i in range(1, many)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * many)).first()[0] or []
-    hot = sorted({c for c, n in Counter(cuts).items() if n > 1})
-    cuts = sorted(set(cuts))
+    many = max(2, min(CUTS, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_RANGE)))
+    if isinstance(docs.schema["doc_id"].dataType, (IntegralType, FractionalType)):
+        cuts = docs.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 20 * many)).first()[0] or []
+    else:
+        held = docs.where("doc_id is not null").sample(min(1.0, SAMPLED * many / max(rows, 1)), seed=7).orderBy("doc_id")
+        ids = [r[0] for r in held.collect()]  # about SAMPLED * many
+        cuts = [ids[i * len(ids) // many] for i in range(1, many)] if ids else []
+    hot = [c for c, n in Counter(cuts).items() if n > 1]
+    cuts = list(dict.fromkeys(cuts))
     part = F.call_function("shiftright", F.col("seen"), F.lit(64 - PARTS.bit_length() + 1)) + PARTS // 2
     if not cuts:
         return part.cast("int")
-    groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    wide = 128
+    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
     which = F.size(F.filter(F.lit([g[0] for g in groups]), lambda c: F.col("doc_id") >= c))
     nested = F.array(*[F.lit(g) for g in groups])
     inside = F.size(F.filter(F.get(nested, which - 1), lambda c: F.col("doc_id") >= c))
-    at = F.when(which == 0, 0).otherwise((which - 1) * 64 + inside)  # a cut's own id comes first in its range
+    at = F.when(which == 0, 0).otherwise((which - 1) * wide + inside)  # a cut's own id comes first in its range
     is_hot = F.array_contains(F.lit(hot), F.col("doc_id")) if hot else F.lit(False)
     number = (at * 2 + F.when(is_hot, 1).otherwise(2)) * PARTS + F.when(is_hot, part).otherwise(0)
     return F.when(F.col("doc_id").isNull(), part).otherwise(number).cast("int")

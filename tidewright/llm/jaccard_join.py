@@ -42,7 +42,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.workspace import Workspace
@@ -715,7 +715,8 @@ def without_near_copies(docs: DataFrame, width: int = 5, threshold: tuple[int, i
     rows = rows.withColumn("seen", F.xxhash64(body))
     single = F.col(doc_id).isNull() | (F.coalesce(F.trim(body, F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "")
     chosen = rows.where(~single).join(firsts.hint("merge"), (rows[doc_id] == firsts["doc_id"]) & (rows["seen"] == firsts["seen"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy(doc_id, "seen").orderBy(F.xxhash64(*(f"c{i}" for i in range(len(docs.columns))))))
-    once = chosen.withColumn("place", place).where("place = 1").drop("place")
+    whole = [f"c{i}" for i in range(len(docs.columns))]
+    # an aggregate: however often a row is repeated, its copies are one row of each task before they are shuffled
+    once = chosen.groupBy(F.col(doc_id).alias("id"), "seen").agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias("row")).select("row.*", "seen")
     kept = once.unionByName(rows.where(single))
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

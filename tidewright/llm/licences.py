@@ -1,9 +1,11 @@
 """Licence scans by a trained paragraph classifier.
 
 A paragraph is a line, or a run of lines without a blank one: notices stand in one line
-or are wrapped. Its word unigrams and bigrams, hashed, go into a multinomial
-logistic regression over licence families, an unknown licence and prose. It is fitted
-here, on templates worn by dropping, adding and changing words; on notices of other
+or are wrapped. Its word unigrams and bigrams go into a multinomial
+logistic regression over licence families, an unknown licence and prose. Grams have a
+weight if a fixed text of this module has them; all others count in a line's length
+and are no evidence, and each counts once in a line, so that short lines, repeated words and other languages are prose. It is
+fitted here, on templates worn by dropping, adding and changing words; on notices of other
 families, of invented names and of reserved rights as unknown licence; and on words and
 on sentences about rights that are no notice as prose. One temperature, fitted on worn
 templates and invented names that the regression has not seen, calibrates it. A line
@@ -24,6 +26,7 @@ An empty table has no findings. Other columns are not read, whatever their names
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +36,6 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.textkernel import _STEPS, SPACES, blocks, mix, small, word_hashes
 
-BUCKETS = 1 << 15
 LEAST_PROBABILITY = 0.7
 LEAST_SHARED = 0.6
 PROSE = "prose"
@@ -142,13 +144,12 @@ CLASSES = (*FAMILIES, UNKNOWN)
 
 
 def _grams(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and bucket of every unigram and bigram; row and hash of the bigrams."""
+    """Row and hash of every unigram and bigram; row and hash of the bigrams."""
     words, first = word_hashes(text, starts)
     row = np.repeat(np.arange(len(starts) - 1), np.diff(first))
     pair = mix(words[:-1] * _STEPS[0] + words[1:] * _STEPS[1])[row[:-1] == row[1:]] if len(words) > 1 else words[:0]
     pair_row = row[:-1][row[:-1] == row[1:]] if len(words) > 1 else row[:0]
-    both = np.concatenate([words, pair])
-    return np.concatenate([row, pair_row]), ((both >> np.uint64(16)) & np.uint64(BUCKETS - 1)).astype(np.int64), pair_row, pair
+    return np.concatenate([row, pair_row]), np.concatenate([words, pair]), pair_row, pair
 
 
 def _packed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +157,30 @@ def _packed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
+def _evidence() -> np.ndarray:
+    """Sorted hashes of the grams that the fixed texts have; of invented names' texts those beside the names."""
+    texts = [t for own in TEMPLATES.values() for t in own] + [*UNLISTED, *NO_LICENCE]
+    return np.unique(_grams(*_packed(texts + [part for t in INVENTED for part in re.split(r"\S*\{\d?\}\S*", t)]))[1])
+
+
 @dataclass
 class Model:
-    weights: np.ndarray  # bucket x family
+    grams: np.ndarray  # sorted hashes
+    weights: np.ndarray  # gram x family
     bias: np.ndarray
     temperature: float
     bigrams: list[list[np.ndarray]]  # of each family's templates
 
-    def logits(self, row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
+    def features(self, row: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and place of the grams with a weight, each once in a row, and each row's scale."""
         scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=rows), 1))
-        return np.stack([np.bincount(row, self.weights[bucket, k], rows) * scale for k in range(len(self.bias))], axis=1) + self.bias
+        place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        held = self.grams[place] == gram
+        row, place = np.divmod(np.unique(row[held] * len(self.grams) + place[held]), len(self.grams))
+        return row, place, scale
+
+    def logits(self, row: np.ndarray, place: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(row, self.weights[place, k], len(scale)) * scale for k in range(len(self.bias))], axis=1) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -226,22 +241,21 @@ def _examples(seed: int, each: int) -> tuple[list[str], np.ndarray]:
 
 def train(seed: int = 11, each: int = 60, epochs: int = 60) -> Model:
     lines, label = _examples(seed, each)
-    row, bucket, _, _ = _grams(*_packed(lines))
-    scale = (1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(lines)), 1)))[row]
-    weights, bias = np.zeros((BUCKETS, len(CLASSES))), np.zeros(len(CLASSES))
-    speed = np.full((BUCKETS, len(CLASSES)), 1e-8)
+    known = _evidence()
+    weights, bias = np.zeros((len(known), len(CLASSES))), np.zeros(len(CLASSES))
+    speed = np.full((len(known), len(CLASSES)), 1e-8)
     target = np.eye(len(CLASSES))[label]
-    model = Model(weights, bias, 1.0, [])
+    model = Model(known, weights, bias, 1.0, [])
+    row, place, scale = model.features(*_grams(*_packed(lines))[:2], len(lines))
     for _ in range(epochs):
-        slope = (model.probabilities(model.logits(row, bucket, len(lines))) - target) / len(lines)
+        slope = (model.probabilities(model.logits(row, place, scale)) - target) / len(lines)
         for k in range(len(CLASSES)):
-            gradient = np.bincount(bucket, slope[row, k] * scale, BUCKETS) + 1e-6 * weights[:, k]
+            gradient = np.bincount(place, slope[row, k] * scale[row], len(known)) + 1e-6 * weights[:, k]
             speed[:, k] += gradient**2
             weights[:, k] -= 0.5 * gradient / np.sqrt(speed[:, k])
         bias -= 5 * slope.sum(0)
     seen, truth = _examples(seed + 1, max(4, each // 4))
-    row, bucket, _, _ = _grams(*_packed(seen))
-    logits = model.logits(row, bucket, len(seen))
+    logits = model.logits(*model.features(*_grams(*_packed(seen))[:2], len(seen)))
 
     def loss(t: float) -> float:
         model.temperature = t
@@ -262,8 +276,8 @@ def named(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _found(model: Model, text: np.ndarray, cuts: np.ndarray) -> dict[int, tuple[int, float, float, float]]:
     """Class, probability, similarity and cover of every part of the text (its starts, and the text's end) that is no prose."""
-    row, bucket, pair_row, pair = _grams(text, cuts)
-    best, likely = named(model.probabilities(model.logits(row, bucket, len(cuts) - 1)))
+    row, gram, pair_row, pair = _grams(text, cuts)
+    best, likely = named(model.probabilities(model.logits(*model.features(row, gram, len(cuts) - 1))))
     notices = np.flatnonzero(best > 0)
     first, last = np.searchsorted(pair_row, notices), np.searchsorted(pair_row, notices, "right")
     return {i: (int(best[i]), float(likely[i]), *model.shared(int(best[i]), pair[a:z])) for i, a, z in zip(notices.tolist(), first.tolist(), last.tolist())}

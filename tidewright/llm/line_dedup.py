@@ -16,7 +16,8 @@ document), so that no key of the shuffled join has more rows than that.
 
 A document is a distinct pair of id and text: repeated rows count once and are all
 returned. A null id is an id like others. Null or empty text is one empty line. Keys
-of less than ``min_chars`` code points are never dropped. A key of exactly
+of less than ``min_chars`` code points are never dropped, nor are lines that the
+pattern ``spare`` is found in, for later steps that need them. A key of exactly
 ``min_docs`` documents is dropped. An empty table has no rows. Long texts are split
 in one pass and joined in one pass. Other columns stay as they are; where one has
 the name of a new column, the new one takes underscores behind its name.
@@ -53,9 +54,11 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, list[str]] = {}
         self.rises: list[str] = []
+        self.written: set[str] = set()
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.written.add(name)
         placed = keys.select(*_KEY, "docs").write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
         placed.option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
@@ -64,6 +67,7 @@ class LineRuns:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             delete(self.spark, f"{self.folder}/{name}")
+            self.written.discard(name)
 
     def _all(self, names: list[str]) -> DataFrame:
         if not names:
@@ -106,7 +110,8 @@ class LineRuns:
         return held.select(*_KEY, (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"))
 
     def close(self) -> None:
-        self._drop([*self._runs(), *self.rises])
+        """Remove every run, those of a batch that failed half way included."""
+        self._drop(sorted(self.written))
         self.levels, self.rises = {}, []
 
 
@@ -114,11 +119,12 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, spare: str | None) -> DataFrame:
     """(id, seen, place, h1, h2, batch) of every line; the hashes of keys that are never dropped are null."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(_text(text)).alias("seen"), F.posexplode(F.split(_text(text), "\n")).alias("place", "line"))
-    keyed = rows.select("id", "seen", "place", line_key(F.col("line")).alias("key"))
-    long_enough = F.char_length("key") >= min_chars
+    spared = F.col("line").rlike(spare) if spare else F.lit(False)
+    keyed = rows.select("id", "seen", "place", line_key(F.col("line")).alias("key"), spared.alias("spared"))
+    long_enough = (F.char_length("key") >= min_chars) & ~F.col("spared")
     batch = F.pmod(F.xxhash64("id", "seen"), F.lit(BATCHES)).cast("int")
     h1, h2 = F.xxhash64("key"), F.xxhash64(F.lit("second"), F.col("key"))
     return keyed.select("id", "seen", "place", F.when(long_enough, h1).alias("h1"), F.when(long_enough, h2).alias("h2"), batch.alias("batch"))
@@ -127,19 +133,20 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
 def _common(work: Workspace, lines: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, docs) of the keys that ``min_docs`` documents or more hold."""
     runs = LineRuns(lines.sparkSession, work.path("runs"))
-    for batch in range(BATCHES):
-        runs.add(lines.where((F.col("batch") == batch) & F.col("h1").isNotNull()).select("id", "seen", *_KEY).distinct())
-    common = work.keep("common", runs.counts().where(F.col("docs") >= min_docs))
-    runs.close()
-    return common
+    try:
+        for batch in range(BATCHES):
+            runs.add(lines.where((F.col("batch") == batch) & F.col("h1").isNotNull()).select("id", "seen", *_KEY).distinct())
+        return work.keep("common", runs.counts().where(F.col("docs") >= min_docs))
+    finally:
+        runs.close()
 
 
-def _without_common(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, str]:
+def _without_common(docs: DataFrame, min_docs: int, min_chars: int, spare: str | None) -> tuple[DataFrame, str]:
     """``docs`` with numbered columns, ``kept``, ``n_lines`` and ``n_kept``; and the name of its text column."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     docs, (doc_id, text) = numbered(docs, "doc_id", "text")
-    lines = _lines(docs, doc_id, text, min_chars)
+    lines = _lines(docs, doc_id, text, min_chars, spare)
     lines.write.partitionBy("batch").parquet(work.path("lines"))
     lines = spark.read.schema(lines.schema).parquet(work.path("lines"))
     common = _common(work, lines, min_docs)
@@ -160,15 +167,15 @@ def _without_common(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[Dat
     return found.select(*docs.columns, kept.alias("kept"), n_lines.cast("long").alias("n_lines"), n_kept.cast("long").alias("n_kept")), text
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, spare: str | None = None) -> DataFrame:
     """``docs`` with ``kept`` (text left), ``n_lines`` (before) and ``n_dropped``; other columns as they were."""
-    found, _ = _without_common(docs, min_docs, min_chars)
+    found, _ = _without_common(docs, min_docs, min_chars, spare)
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     new = {"kept": F.col("kept"), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_lines") - F.col("n_kept")}
     return found.select(*own, *(column.alias(free(name, docs.columns)) for name, column in new.items()))
 
 
-def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, spare: str | None = None) -> DataFrame:
     """``docs`` with what is left in the place of each text."""
-    found, text = _without_common(docs, min_docs, min_chars)
+    found, text = _without_common(docs, min_docs, min_chars, spare)
     return found.select(*(F.col("kept" if f"c{i}" == text else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -2,9 +2,11 @@
 
 Texts are tokenized and cut into pieces of at most ``limit`` tokens (only longer
 ones; their first piece takes the remainder). Every partition packs its pieces by
-best fit, longest first. Bins within ``SLACK`` tokens of the limit are done; the
+best fit, longest first. Bins within ``slack`` tokens of the limit are done; the
 others go on as items of their own, merged into fewer partitions, and are packed
-by best fit again, until one partition holds them or a round hardly saves any.
+by best fit again, until one partition holds them or a round leaves more than
+``saves`` of them. With ``slack`` 0 and ``saves`` 1 every bin that is not full goes on as
+long as any two are put together; the defaults trade that for fewer rounds.
 Each round is a table: bin numbers that a lost executor produced are never made
 twice with other contents.
 
@@ -143,7 +145,7 @@ def _packed(size: str, limit: int):
     return run
 
 
-def pack(docs: DataFrame, limit: int = LIMIT, tokenizer_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, limit: int = LIMIT, tokenizer_path: str | None = None, pattern: str | None = None, slack: int = SLACK, saves: float = SAVES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``."""
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
@@ -156,11 +158,11 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer_path: str | None = None,
     kinds = "bin long, at long, fill long"
     first = work.keep("round-0", pieces.mapInArrow(_packed("length", limit), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, {kinds}"))
     work.drop("pieces")
-    rounds, items = [], first.where((F.col("at") == 0) & (F.col("fill") < limit - SLACK)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
+    rounds, items = [], first.where((F.col("at") == 0) & (F.col("fill") < limit - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
     before = None
     for level in range(1, 64):
         left = items.count()
-        if left < 2 or (before is not None and left > SAVES * before):
+        if left < 2 or (before is not None and left > saves * before or left == before):
             break
         before = left
         tasks = -(-left // CHUNK)
@@ -168,7 +170,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer_path: str | None = None,
         rounds.append(work.keep(f"round-{level}", merged.mapInArrow(_packed("size", limit), f"item long, size long, {kinds}")))
         if tasks == 1:
             break
-        items = rounds[-1].where((F.col("at") == 0) & (F.col("fill") < limit - SLACK)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
+        items = rounds[-1].where((F.col("at") == 0) & (F.col("fill") < limit - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
     placed = None
     for level in range(len(rounds), 0, -1):
         own = rounds[level - 1].select("item", (F.col("bin") * 64 + level).alias("sequence"), F.col("at").alias("shift"), F.col("bin").alias("next"))

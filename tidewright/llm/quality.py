@@ -9,7 +9,9 @@ logarithm of its n_chars column. Language, source, id and labels are no inputs.
 
 The model is fitted on the driver on a bounded sample: of each label at most
 ``PER_LABEL`` labelled training rows, those of the smallest hashed ids; weights
-restore the labels' true shares, which are counted over all training rows. It has
+restore the labels' true shares, which are counted over all training rows. Of a
+training row's words the ``FEATURES`` heaviest buckets are learned from, which bounds
+what the driver gets (8 bytes for each, 0.3 GB at most). The model has
 a fixed size and is broadcast; every row is scored on its whole text.
 
 Null or empty text has its statistics and no words, and is scored. An n_chars that is
@@ -39,6 +41,7 @@ RANK = 8
 PER_LABEL = 4000
 EPOCHS = 12
 BATCH = 64
+FEATURES = 4096
 STATISTICS = (
     "bytes", "words", "lines", "stated_chars", "word_length", "line_length", "upper", "digit", "punctuation", "symbol", "space", "other_script",
     "distinct", "most_common", "same_as_last", "same_as_two_back", "symbol_end", "capital_start",
@@ -166,17 +169,22 @@ def _blocks(batch: pa.RecordBatch, text_name: str = "text"):
         yield row, features(text, starts, np.maximum(stated[row:stop], 0))
 
 
+def _heaviest(weight: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The places of the FEATURES largest weights from a to b, in order; of equal ones the first."""
+    return np.arange(a, b) if b - a <= FEATURES else np.sort(a + np.argsort(-weight[a:b], kind="stable")[:FEATURES])
+
+
 def _sample_features(batches):
     for batch in small(batches):
         for start, (row, bucket, weight, statistics) in _blocks(batch):
             cuts = np.searchsorted(row, np.arange(len(statistics) + 1))
-            parts = list(zip(cuts, cuts[1:]))
+            parts = [_heaviest(weight, a, b) for a, b in zip(cuts, cuts[1:])]
             part = batch.select(["label"]).slice(start, len(statistics))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array([bucket[a:b].astype(np.int32) for a, b in parts], pa.list_(pa.int32())),
-                    pa.array([weight[a:b].astype(np.float32) for a, b in parts], pa.list_(pa.float32())),
+                    pa.array([bucket[p].astype(np.int32) for p in parts], pa.list_(pa.int32())),
+                    pa.array([weight[p].astype(np.float32) for p in parts], pa.list_(pa.float32())),
                     pa.array(list(statistics), pa.list_(pa.float64())),
                 ],
                 ["label", "bucket", "weight", "statistics"],

@@ -59,6 +59,8 @@ RULES = (
 _BREAK = r"""(?:\s|\\[nrt]|["'+,>#*|\\])"""
 _KEY_BODY = rf"(?:{_BREAK}++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{20,}}+)*+(?:(?<=[A-Za-z0-9+/=]{{20}}){_BREAK}++[A-Za-z0-9+/=]{{1,19}}+(?=[ \t]*+[\r\n\"'\\]|[ \t]*+\z))?+"
 _KEY = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_KEY_BODY})"
+#: Lines without which a key is not known as one: whatever drops lines before a redaction has to spare them.
+KEY_MARK = r"-----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----"
 REDACTION_VERSION = 2
 REDACTION_RULES = tuple(Rule("pem", _KEY, 1, base=False) if r.kind == "pem" else r for r in RULES)
 
