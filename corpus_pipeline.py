@@ -37,8 +37,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them have."""
-    return _counted(line_dedup.without_common_lines(docs))
+    """Documents without the lines that ten or more of them have, but for the marks by which the secret scans know a private key."""
+    return _counted(line_dedup.without_common_lines(docs, spare=secrets.KEY_MARK))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
