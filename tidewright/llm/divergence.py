@@ -36,7 +36,7 @@ from tidewright.llm.textkernel import LOWER, blocks, letter_spans, small
 
 BLOCK = 24_000_000
 DENSE = 1_024
-PER_DEAL = 10_000
+PER_DEAL = 2_000
 CELLS = 1_000_000
 # a term has no \0; one of lang is followed by \1, so that the last \0 of head stands before the term
 _RUNS = "head string, source string, document long, df long, n long"
