@@ -134,13 +134,13 @@ def test_training_job_saves_models_that_load(spark, tmp_path):
     x = rng.normal(size=400)
     rows = [("P", START + dt.timedelta(minutes=i), float(v), float(rng.normal()), int(np.sign(v)) if abs(v) > 0.4 else 0, ("train", "test")[i % 2], i % 4 == 0, i % 8 == 2) for i, v in enumerate(x)]
     f = spark.createDataFrame(rows, "pair string, ts timestamp_ntz, a double, hour_sin double, label int, split string, is_fit boolean, is_val boolean")
-    out = jobs.training_job(f, ["a", "hour_sin"], str(tmp_path), ["A_all", "D_no_time"], 2.0, rounds=3, depth=2)
+    out = jobs.training_job(f, ["a", "hour_sin"], str(tmp_path), ["A_all", "D_no_time"], 2.0, rounds=12, depth=2, rate=0.3, least_hessian=1.0, gamma=0.0)
     assert out["D_no_time"]["columns"] == ["a"] and out["A_all"]["accuracy"] > 0.9 and out["A_all"]["macro_auc"] > 0.8
     assert out["A_all"]["importance"][0][0] == "a" and set(files.read_json(spark, f"{tmp_path}/models.json")) == {"A_all", "D_no_time"}
-    again = model.ThreeClassModel.load(f"{tmp_path}/A_all", ["a", "hour_sin"]).transform(f.where("split = 'test'"))
+    again = model.ThreeClassModel.load(spark, f"{tmp_path}/A_all", ["a", "hour_sin"]).transform(f.where("split = 'test'"))
     assert stats.directional(again, "label", "p_up", "p_down", []).first().accuracy == out["A_all"]["accuracy"]
     with pytest.raises(ValueError):
-        model.ThreeClassModel.load(f"{tmp_path}/A_all", ["hour_sin", "a"])
+        model.ThreeClassModel.load(spark, f"{tmp_path}/A_all", ["hour_sin", "a"])
 
 
 def test_shuffling_keeps_every_value(spark):

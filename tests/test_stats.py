@@ -93,7 +93,7 @@ def test_model_learns_and_shuffling_its_column_hurts(spark):
     x = rng.normal(size=300)
     rows = [("P", START + dt.timedelta(minutes=i), float(v), float(rng.normal()), int(np.sign(v)) if abs(v) > 0.4 else 0) for i, v in enumerate(x)]
     f = spark.createDataFrame(rows, "pair string, ts timestamp_ntz, a double, b double, label int")
-    m = model.ThreeClassModel(["a", "b"], depth=2, rounds=4).fit(f)
+    m = model.ThreeClassModel(["a", "b"], depth=2, rounds=8, rate=0.3, least_hessian=1.0, gamma=0.0).fit(f)
     accuracy = lambda d: d.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0]
     out = m.transform(f)
     assert accuracy(out) > 0.9 and abs(out.selectExpr("max(abs(p_up + p_down + p_flat - 1))").first()[0]) < 1e-9

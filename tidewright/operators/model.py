@@ -1,18 +1,16 @@
-"""Three-class models of labels: boosted trees one against the rest, with class weights and chosen rounds."""
+"""Three-class models of labels: boosted trees with class weights, chosen columns and rounds."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import stats
+from tidewright.operators.boosting import Settings, SoftmaxBooster
+from tidewright.sources.files import read_json, write_json
 
 CLASSES = (-1, 0, 1)
-
+PROBABILITIES = {-1: "p_down", 0: "p_flat", 1: "p_up"}
 
 #: The clock's columns, the inputs of the two rules, and how names of band and excursion columns begin.
 TIME = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "session_tokyo", "session_london", "session_ny", "session_overlap")
@@ -35,47 +33,34 @@ def subset(features: list[str], name: str) -> list[str]:
 
 
 class ThreeClassModel:
-    """One booster for each class; probabilities are scaled to a sum of 1."""
+    """A softmax booster over the labels -1, 0 and 1, with the names that the jobs use."""
+
+    def __init__(self, features: list[str], **settings):
+        self.booster = SoftmaxBooster(list(features), CLASSES, Settings(**settings))
 
-    def __init__(self, features: list[str], depth: int = 5, rounds: int = 20, step: float = 0.1, seed: int = 7):
-        self.features, self.models = features, {}
-        self.tree = dict(maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, subsamplingRate=0.8)
+    @property
+    def features(self) -> list[str]:
+        return self.booster.features
 
     def fit(self, frame: DataFrame, label: str = "label", validation: str | None = None) -> ThreeClassModel:
         """``validation`` names a boolean column of rows that stop the boosting early."""
-        weights = stats.class_weights(frame, label, []).select(label, "weight")
-        rows = frame.where(F.col(label).isNotNull()).join(F.broadcast(weights), label)  # one row for each class
-        for k in CLASSES:
-            booster = GBTClassifier(labelCol="_is", weightCol="weight", featuresCol="_vector", predictionCol="_yes", **self.tree)
-            booster = booster.setProbabilityCol("_p").setRawPredictionCol("_raw")
-            if validation:
-                booster = booster.setValidationIndicatorCol(validation)
-            filled = [f"_{c}" for c in self.features]
-            stages = [Imputer(inputCols=self.features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_vector"), booster]
-            self.models[k] = Pipeline(stages=stages).fit(rows.withColumn("_is", (F.col(label) == k).cast("double")))
+        self.booster.fit(frame, label, validation)
         return self
 
     def transform(self, frame: DataFrame) -> DataFrame:
-        names = {-1: "p_down", 0: "p_flat", 1: "p_up"}
-        out, held = frame, frame.columns
-        for k, model in self.models.items():
-            out = model.transform(out).withColumn(names[k], vector_to_array("_p")[1]).select(*held, *[n for j, n in names.items() if j <= k])
-        total = sum(F.col(n) for n in names.values())
-        out = out.withColumns({n: F.col(n) / total for n in names.values()})
-        return out.withColumn("predicted", stats.predicted_class({k: n for k, n in names.items()}))
-
-    def save(self, path: str) -> None:
-        for k, model in self.models.items():
-            model.write().overwrite().save(f"{path}/class={k}")
+        out = self.booster.with_probabilities(frame, list(PROBABILITIES.values()))
+        return out.withColumn("predicted", stats.predicted_class(PROBABILITIES))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_json(spark, f"{path}/model.json", self.booster.to_json())
 
     @classmethod
-    def load(cls, path: str, features: list[str]) -> ThreeClassModel:
+    def load(cls, spark: SparkSession, path: str, features: list[str]) -> ThreeClassModel:
         """What ``save`` wrote; ``features`` are the columns that it was fitted on, in their order."""
         held = cls(features)
-        held.models = {k: PipelineModel.load(f"{path}/class={k}") for k in CLASSES}
-        known = held.models[CLASSES[0]].stages[0].getInputCols()
-        if list(known) != list(features):
-            raise ValueError(f"fitted on {known}")
+        held.booster = SoftmaxBooster.from_json(read_json(spark, f"{path}/model.json"))
+        if held.features != list(features):
+            raise ValueError(f"fitted on {held.features}")
         return held
 
 

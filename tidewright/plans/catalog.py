@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import calendar
 from tidewright.operators import bars, events, features, labels, simulate, split, stats, strategies, training
 from tidewright.operators.asof import asof
-from tidewright.plans import frames, job_oracle, job_queries, jobs, oracle
+from tidewright.plans import frames, job_oracle, job_queries, jobs, large_oracle, large_queries, oracle
 from tidewright.plans.frames import rounded
 from tidewright.sources import barstore
 from tidewright.sources.ticks import utc
@@ -456,11 +456,11 @@ def model_scores(spark, d):
     from tidewright.operators.model import ThreeClassModel
 
     columns = ["bb_pct_b", "rsi_14", "dist_ema_9", "spread_close"]
-    own = features.bollinger(_labelled(spark, d)).withColumnRenamed("label_1_0", "label").where("label is not null and bb_pct_b is not null and rsi_14 is not null")
+    own = features.bollinger(_labelled(spark, d)).withColumnRenamed("label_1_0", "label").where("label is not null")
     own = own.select(*PT, *columns, "label")
     first, last = own.agg(F.min("ts"), F.max("ts")).first()
     late = F.col("ts") >= F.lit(first + (last - first) * 2 / 3).cast("timestamp_ntz")
-    model = ThreeClassModel(columns, depth=2, rounds=3).fit(own.where(~late))
+    model = ThreeClassModel(columns, depth=2, rounds=3, least_hessian=1.0).fit(own.where(~late))
     return model.transform(own.where(late)).select(*PT, "label", "predicted", "p_down", "p_flat", "p_up")
 
 
@@ -540,6 +540,7 @@ QUERIES = {
     "conservation": conservation,
     "model_scores": model_scores,
     **job_queries.QUERIES,
+    **large_queries.QUERIES,
 }
 
-SQL = {**oracle.SQL, **job_oracle.SQL}
+SQL = {**oracle.SQL, **job_oracle.SQL, **large_oracle.SQL}

@@ -123,22 +123,23 @@ def assembly_job(labelled: DataFrame, base: DataFrame, coarse: dict[str, DataFra
     return {"blocks": training.block_diagnostics(held, numbers), "freshness": training.freshness(held, base, coarse, base_tf)}
 
 
-def training_job(rows: DataFrame, columns: list[str], folder: str, names: list[str], per_trial: float = 1.0, rounds: int = 20, depth: int = 5, repeats: int = 1) -> dict[str, dict]:
+def training_job(rows: DataFrame, columns: list[str], folder: str, names: list[str], per_trial: float = 1.0, repeats: int = 1, **settings) -> dict[str, dict]:
     """A model of each named subset of columns, fitted on is_fit, stopped early on is_val, scored on the test rows and saved.
 
     ``rows`` has label, split, is_fit and is_val. Numbers of each model: accuracy of
-    direction with its z, macro AUC, rows, and the columns that matter most.
+    direction with its z, macro AUC, rows, rounds, and the columns that matter most.
+    ``settings`` are those of the booster.
     """
     out = {}
     for name in names:
         used = subset(columns, name)
         fitted = rows.where("is_fit or is_val").withColumn("_stop", F.col("is_val"))
-        model = ThreeClassModel(used, depth=depth, rounds=rounds).fit(fitted, validation="_stop")
-        model.save(f"{folder}/{name}")
+        model = ThreeClassModel(used, **settings).fit(fitted, validation="_stop")
+        model.save(rows.sparkSession, f"{folder}/{name}")
         scored = model.transform(rows.where("split = 'test' and label is not null"))
         found = stats.directional_statistics(scored, "label", "p_up", "p_down", per_trial, []).first()
         area = stats.macro_auc(scored, "label", {-1: "p_down", 0: "p_flat", 1: "p_up"}, []).first()
-        out[name] = {"columns": used, **(found.asDict() if found else {}), "macro_auc": area["macro_auc"] if area else None}
+        out[name] = {"columns": used, "rounds": model.booster.best, **(found.asDict() if found else {}), "macro_auc": area["macro_auc"] if area else None}
         if repeats:
             accuracy = lambda frame: frame.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] or 0.0
             matter = permutation_importance(model, rows.where("split = 'test' and label is not null"), accuracy, repeats)
