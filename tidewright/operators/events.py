@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.rolling import ordered, ratio
+from tidewright.functions.rolling import ratio
 from tidewright.operators import features
+from tidewright.operators.slices import Running, previous, scan
 
 
 def blocks(frame: DataFrame, key: str) -> DataFrame:
-    """block_id grows wherever the key changes (a null differs from every key); event_offset counts from 0 inside."""
-    same = F.col(key).isNotNull() & F.col(key).eqNullSafe(F.lag(key).over(ordered()))
-    out = frame.withColumn("block_id", F.sum(F.when(same, 0).otherwise(1)).over(ordered()) - 1)
-    return out.withColumn("event_offset", (F.row_number().over(Window.partitionBy("pair", "block_id").orderBy("ts")) - 1).cast("long"))
+    """block_id grows wherever the key changes (a null differs from every key); event_offset counts from 0 inside.
+
+    Scans in two levels: no window over an instrument's whole time or over a block.
+    """
+    own = previous(frame, {"_was": F.col(key)})
+    same = F.col(key).isNotNull() & F.col(key).eqNullSafe(F.col("_was"))
+    own = scan(own.withColumn("_new", ~same), {"_row": Running(F.lit(1)), "block_id": Running(F.col("_new").cast("long"))})
+    own = scan(own, {"_first": Running(F.when(F.col("_new"), F.col("_row")), "max")})
+    out = own.withColumns({"block_id": F.col("block_id") - 1, "event_offset": (F.col("_row") - F.col("_first")).cast("long")})
+    return out.drop("_was", "_new", "_row", "_first")
 
 
 def spaced_sample(frame: DataFrame, seed: int, per_block: int = 3, min_gap: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import calendar
 from tidewright.functions.rolling import bar_number, full, ordered, prev, prior, ratio, trailing
 from tidewright.operators import folds
+from tidewright.operators.slices import previous
 
 EMA_SPANS = (9, 21, 50, 99, 200)
 RETURNS = (1, 5, 15, 60)
@@ -71,14 +72,13 @@ def rescale_bollinger(frame: DataFrame, k: float, upper: str = "bb_upper", lower
 
 
 def donchian(bars: DataFrame, windows=DONCHIAN) -> DataFrame:
-    """Highest high and lowest low of the w bars before this one."""
+    """Highest high and lowest low of the w bars before this one; a row costs the same whatever the window."""
     if min(windows) < 1:
         raise ValueError("a window of one bar at least")
-    out = {}
-    for w in windows:
-        out[f"donchian_high_{w}"] = full(F.max("mid_high").over(prior(w)), F.col("mid_high"), w, prior(w))
-        out[f"donchian_low_{w}"] = full(F.min("mid_low").over(prior(w)), F.col("mid_low"), w, prior(w))
-    return bars.withColumns(out)
+    high = {f"donchian_high_{w}": (lambda h, low, w=w: folds.trailing_extreme(h, w, True)) for w in windows}
+    low = {f"donchian_low_{w}": (lambda h, low, w=w: folds.trailing_extreme(low, w, False)) for w in windows}
+    outputs = {name: own[name] for pair in zip(high, low) for name, own in zip(pair, (high, low))}
+    return _null_nan(folds.fold(bars, ["mid_high", "mid_low"], outputs), list(outputs))
 
 
 def donchian_position(frame: DataFrame, windows=DONCHIAN, price: str = "mid_close") -> DataFrame:
@@ -130,22 +130,33 @@ def clock(bars: DataFrame) -> DataFrame:
     return bars.withColumn("session_overlap", (F.col("session_london") * F.col("session_ny")).cast("tinyint"))
 
 
-def masked_return(bars: DataFrame, name: str = "r") -> DataFrame:
-    """Log returns of single steps of the usual length; steps over a gap have none."""
-    step = calendar.seconds_between(prev("ts"), F.col("ts"))
-    stepped = bars.withColumn("_step", step)
-    usual = stepped.where("_step is not null").groupBy("pair").agg(F.mode("_step", True).alias("_usual"))
-    masked = F.when(F.col("_step") <= F.col("_usual"), log_return())
+def with_usual_step(bars: DataFrame) -> DataFrame:
+    """``bars`` with ``_usual``, the most frequent number of seconds between an instrument's rows (the least of equals)."""
+    steps = previous(bars.select("pair", "ts"), {"_was": F.col("ts")}).withColumn("_step", calendar.seconds_between(F.col("_was"), F.col("ts")))
+    usual = steps.where("_step is not null").groupBy("pair").agg(F.mode("_step", True).alias("_usual"))
     # one row for each instrument
-    return stepped.join(F.broadcast(usual), "pair", "left").withColumn(name, masked).drop("_step", "_usual")
+    return bars.join(F.broadcast(usual), "pair", "left")
+
+
+def masked_return(bars: DataFrame, name: str = "r") -> DataFrame:
+    """Log returns of single steps of the usual length; steps over a gap have none. ``_usual`` is found here if the frame lacks it."""
+    own = bars if "_usual" in bars.columns else with_usual_step(bars)
+    stepped = own.withColumn("_step", calendar.seconds_between(prev("ts"), F.col("ts")))
+    return stepped.withColumn(name, F.when(F.col("_step") <= F.col("_usual"), log_return())).drop("_step", "_usual")
 
 
 def moments(bars: DataFrame, windows=(96, 24), z_window: int | None = None) -> DataFrame:
-    """Bias-corrected skew and kurtosis, their octile twins, semi-deviations; from half a window of returns on, after w rows."""
+    """Bias-corrected skew and kurtosis, their octile twins, semi-deviations; from half a window of returns on, after w rows.
+
+    The octiles are a fold whose sorted window slides; the rest are windows.
+    """
     out = masked_return(bars, "_r").withColumn("_row", bar_number())
     r = F.col("_r")
+    half = lambda w: max(4, -(-w // 2))
+    octiles = {f"_e{k}_{w}": (lambda x, k=k, w=w: folds.trailing_quantile(x, w, half(w), k / 8)) for w in windows for k in range(1, 8)}
+    out = _null_nan(folds.fold(out, ["_r"], octiles), list(octiles))
     for w in windows:
-        frame, least = trailing(w), max(4, -(-w // 2))
+        frame, least = trailing(w), half(w)
         n, sd = F.count(r).over(frame), F.stddev_samp(r).over(frame)
         ready = (F.col("_row") > w) & (n >= least)
         g1, g2 = F.skewness(r).over(frame), F.kurtosis(r).over(frame)
@@ -153,12 +164,11 @@ def moments(bars: DataFrame, windows=(96, 24), z_window: int | None = None) -> D
             {
                 f"ret_skew_{w}": F.when(ready & (sd > 0), g1 * F.sqrt(n * (n - 1.0)) / (n - 2)),
                 f"ret_kurt_{w}": F.when(ready & (sd > 0), (n - 1.0) / ((n - 2.0) * (n - 3)) * ((n + 1) * g2 + 6)),
-                "_e": F.when(ready, F.percentile(r, F.array(*[F.lit(k / 8) for k in range(1, 8)])).over(frame)),
                 f"semidev_down_{w}": F.when(ready, 1e4 * F.sqrt(F.avg(F.when(r.isNotNull(), F.pow(F.least(r, F.lit(0.0)), F.lit(2)))).over(frame))),
                 f"semidev_up_{w}": F.when(ready, 1e4 * F.sqrt(F.avg(F.when(r.isNotNull(), F.pow(F.greatest(r, F.lit(0.0)), F.lit(2)))).over(frame))),
             }
         )
-        e = lambda k: F.col("_e")[k - 1]
+        e = lambda k, w=w: F.when(F.col("_row") > w, F.col(f"_e{k}_{w}"))
         iqr = F.when(F.abs(e(6) - e(2)) > 1e-12, e(6) - e(2))
         out = out.withColumns(
             {
@@ -172,7 +182,7 @@ def moments(bars: DataFrame, windows=(96, 24), z_window: int | None = None) -> D
             for a, b, name in ((f"ret_skew_{w}", f"bowley_skew_{w}", "skew"), (f"ret_kurt_{w}", f"moors_kurt_{w}", "kurt")):
                 out = with_trailing_z(with_trailing_z(out, F.col(a), z_window, "_za"), F.col(b), z_window, "_zb")
                 out = out.withColumn(f"{name}_divergence_{w}", F.col("_za") - F.col("_zb")).drop("_za", "_zb")
-    return out.drop("_r", "_row", "_e")
+    return out.drop("_r", "_row", *octiles)
 
 
 def with_trailing_z(frame: DataFrame, x: Column, window: int, name: str) -> DataFrame:

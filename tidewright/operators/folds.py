@@ -1,6 +1,7 @@
 """Recurrences: values that depend on the value before. One grouped Arrow pass computes a whole family.
 
-The group is a piece of an instrument's time (or instrument's and configuration's),
+Windows of many rows are folds, too, where a sliding structure beats a frame that is read
+again for every row. The group is a piece of an instrument's time (or instrument's and configuration's),
 with as many rows before it as it takes for the start to be forgotten: a smoother of
 weight a keeps (1 - a)^n of what it was n rows ago, which is below a double's last bit
 after 40 / a rows. Pieces come from counts of rows for each year; a short history is
@@ -63,13 +64,60 @@ def fold(frame: DataFrame, inputs: list[str], outputs: dict[str, Callable], keys
         group = group.sort_values("ts", kind="stable")
         arrays = [group[c].to_numpy(float) for c in inputs]
         out = group.assign(**{name: how(*arrays) for name, how in outputs.items()})
-        return out[out["_own"]][schema.names] if "_own" in out.columns else out
+        return out[schema.names] if lookback is None else out[out["_own"]][schema.names]
 
     if lookback is None:
         return frame.groupBy(*keys).applyInPandas(run, schema)
     return in_pieces(frame, keys, lookback).groupBy(*keys, "_piece").applyInPandas(run, schema)
 
 
+def trailing_extreme(x: np.ndarray, window: int, largest: bool) -> np.ndarray:
+    """The largest (or smallest) of the ``window`` values before each one; undefined where one of those is, or there are fewer.
+
+    Blocks of one window's length: a window is the end of one block and the start of the
+    next, so that it costs two looks whatever its length.
+    """
+    n, sign = len(x), 1.0 if largest else -1.0
+    known = ~np.isnan(x)
+    y = np.full(-(-max(n, 1) // window) * window, -np.inf)
+    y[:n] = np.where(known, sign * x, -np.inf)
+    blocks = y.reshape(-1, window)
+    start = np.maximum.accumulate(blocks, axis=1).ravel()
+    end = np.maximum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    out = np.full(n, np.nan)
+    if n > window:
+        seen = np.concatenate([[0], np.cumsum(known)])
+        at = np.arange(window, n)
+        found = sign * np.maximum(end[at - window], start[at - 1])
+        out[window:] = np.where(seen[at] - seen[at - window] == window, found, np.nan)
+    return out
+
+
+def trailing_quantile(x: np.ndarray, window: int, least: int, share: float) -> np.ndarray:
+    """The interpolated quantile of the known ones of the last ``window`` values, where there are ``least``; a sorted structure slides along, at log cost a value."""
+    return pd.Series(x).rolling(window, min_periods=least).quantile(share, interpolation="linear").to_numpy()
+
+
+def first_reach(x: np.ndarray, level: np.ndarray, horizon: int) -> np.ndarray:
+    """How many values after each one it is to the first that is its ``level`` or more, among the next ``horizon``; 0 where none is.
+
+    Maxima of 1, 2, 4, ... values from each place on, each from two of the one before; the
+    longest stretch below the level is put together from them, the longest first.
+    """
+    n = len(x)
+    tables = [np.concatenate([np.where(np.isnan(x), -np.inf, x), np.full(horizon + 1, -np.inf)])]
+    while 2 << (len(tables) - 1) <= horizon:
+        last, half = tables[-1], 1 << (len(tables) - 1)
+        tables.append(np.maximum(last, np.concatenate([last[half:], np.full(half, -np.inf)])))
+    below = np.zeros(n, np.int64)
+    place = np.arange(1, n + 1)
+    for k in reversed(range(len(tables))):
+        free = (below + (1 << k) <= horizon) & (tables[k][np.minimum(place + below, len(tables[k]) - 1)] < level)
+        below += free.astype(np.int64) << k
+    met = (below < horizon) & (place + below < n)
+    return np.where(met, below + 1, 0)
+
+
 def ema(x: np.ndarray, alpha: float) -> np.ndarray:
     """e0 = x0, e = alpha x + (1 - alpha) e."""
     return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import features
 from tidewright.operators.asof import asof_many
+from tidewright.operators.slices import over_slices
 
 BLOCK = ("bb_position", "bb_width_atr", "rsi_14", "atr_bps")
 EXCURSION = ("run_above", "run_below", "depth", "since_crossing")
@@ -18,9 +19,8 @@ SHARE_WINDOW = 20
 
 
 def apply_pipeline(bars: DataFrame, ema_spans=features.EMA_SPANS, windows=features.DONCHIAN) -> DataFrame:
-    """Trend, volatility, momentum, direction, channels, candles, spread and clock of one bar frame, from its own rows only."""
+    """Trend, volatility, momentum, direction, channels, candles, spread and clock of one bar frame, from its own rows only, over slices of its time."""
     steps = (
-        lambda f: features.recurrences(f, ema_spans),
         features.returns,
         features.return_std,
         features.bollinger,
@@ -29,7 +29,9 @@ def apply_pipeline(bars: DataFrame, ema_spans=features.EMA_SPANS, windows=featur
         features.spread_statistics,
         features.clock,
     )
-    return reduce(lambda frame, step: frame.transform(step), steps, bars)
+    reach = max(*features.RETURNS, *windows, 60) + 1
+    own = features.recurrences(bars, ema_spans, pieces=True)
+    return over_slices(own, lambda f: reduce(lambda frame, step: frame.transform(step), steps, f), reach, counted=bars)
 
 
 def column_name(stem: str, tf: str) -> str:

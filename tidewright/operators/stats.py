@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import calendar
+from tidewright.operators.slices import Running, scan
 
 
 def normal_two_sided(z: float) -> float:
@@ -38,15 +39,20 @@ def pooled(daily: DataFrame) -> DataFrame:
     return daily.groupBy("day").agg(F.avg("ret").alias("ret"))
 
 
+def drawdown(frame: DataFrame, x: str, unit: str = "day") -> DataFrame:
+    """``frame`` with ``cumulative``, the running sum of x, and ``drawdown``, how far that is below its largest value so far or 0; scans over units of time."""
+    path = scan(frame, {"cumulative": Running(F.col(x))}, unit=unit)
+    path = scan(path, {"_peak": Running(F.col("cumulative"), "max")}, unit=unit)
+    return path.withColumn("drawdown", F.col("cumulative") - F.greatest("_peak", F.lit(0.0))).drop("_peak")
+
+
 def summarize(trades: DataFrame, daily: DataFrame) -> DataFrame:
     """Trades, mean net bps, t, Sharpe, drawdown, total, hit rate, gross and cost per pair."""
     each = trades.groupBy("pair").agg(
         F.count("*").alias("trades"), F.avg("net_bps").alias("net_bps"), tstat(F.col("net_bps")).alias("t"), F.avg((F.col("net_bps") > 0).cast("double")).alias("hit"),
         F.avg("gross_bps").alias("gross_bps"), F.avg("cost_bps").alias("cost_bps"),
     )
-    order = Window.partitionBy("pair").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    path = daily.withColumn("_sum", F.sum("ret").over(order))
-    path = path.withColumn("_fall", F.col("_sum") - F.greatest(F.max("_sum").over(order), F.lit(0.0)))
+    path = drawdown(daily.withColumn("ts", F.col("day").cast("timestamp_ntz")), "ret", "year").withColumnRenamed("drawdown", "_fall")
     sharpe = F.when(F.stddev_samp("ret") > 0, F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(252.0)))
     days = path.groupBy("pair").agg(sharpe.alias("sharpe"), F.min("_fall").alias("max_drawdown"), F.sum("ret").alias("total"))
     return days.join(each, "pair", "left")

@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import calendar
+from tidewright.functions.rolling import ordered
 from tidewright.operators import bars, events, features, labels, simulate, split, stats, strategies, training
 from tidewright.operators.asof import asof
+from tidewright.operators.slices import over_slices
 from tidewright.plans import frames, job_oracle, job_queries, jobs, large_oracle, large_queries, oracle
 from tidewright.plans.frames import rounded
 from tidewright.sources import barstore
@@ -94,8 +96,13 @@ def _family(build, values, digits=6, keep=PT):
     return lambda spark, d: rounded(build(frames.hourly(spark, d)), keep, values, digits)
 
 
+def _windows(build, reach, values, digits=6, keep=PT):
+    """The same of a family whose windows reach so many rows back, over slices of time."""
+    return _family(lambda f: over_slices(f, build, reach), values, digits, keep)
+
+
 def bollinger(spark, d):
-    out = features.bollinger(frames.hourly(spark, d)).withColumn("side", features.touch_side())
+    out = over_slices(frames.hourly(spark, d), features.bollinger, 20).withColumn("side", features.touch_side())
     return rounded(out, [*PT, "n_minutes", "side"], ["mid_close", "bb_lower", "bb_middle", "bb_upper", "bb_pct_b"])
 
 
@@ -107,11 +114,12 @@ MOMENTS = [f"{n}_{w}" for w in (48, 24) for n in ("ret_skew", "ret_kurt", "bowle
 
 
 def trailing_rank(spark, d):
-    return rounded(features.rolling_rank(frames.hourly(spark, d), "spread_close", 24, "rank"), PT, ["rank"])
+    return rounded(features.rolling_rank(frames.hourly(spark, d), "spread_close", 24, "rank", pieces=True), PT, ["rank"])
 
 
 def trailing_z(spark, d):
-    return rounded(features.with_trailing_z(frames.hourly(spark, d), F.col("spread_close"), 100, "z"), PT, ["z"])
+    own = over_slices(frames.hourly(spark, d), lambda f: features.with_trailing_z(f, F.col("spread_close"), 100, "z"), 102)
+    return rounded(own, PT, ["z"])
 
 
 def slot_rank(spark, d):
@@ -170,7 +178,7 @@ def fsm_reversion(spark, d):
 
 def fsm_confluence(spark, d):
     rule = strategies.Reversion(use_rsi=True, use_costs=True, rsi_low=45.0, rsi_high=55.0, notional=50.0, multiple=1.0)
-    return strategies.reversion_signal(frames.banded(spark, d), rule).select(*PT, F.col("signal").cast("int").alias("signal"))
+    return strategies.reversion_signal(frames.banded(spark, d), rule, pieces=True).select(*PT, F.col("signal").cast("int").alias("signal"))
 
 
 EXCURSION = ["run_above", "run_below", "since_crossing"]
@@ -214,7 +222,7 @@ def spaced_sample(spark, d):
 
 
 def live_recompute(spark, d):
-    own = features.donchian(frames.banded(spark, d), (60,)).withColumn("anchor", F.lead("mid_open").over(labels.ordered()))
+    own = features.donchian(frames.banded(spark, d), (60,)).withColumn("anchor", F.lead("mid_open").over(ordered()))
     return rounded(events.live_recompute(own), PT, ["bb_position", "dist_ema_9", "dist_ema_21", "donchian_pos_60"])
 
 
@@ -389,7 +397,7 @@ def welch(spark, d):
 
 def _scores(spark, d):
     """A score and what came of it: the spread of a bar against whether the next is higher."""
-    nxt = F.lead("mid_close").over(labels.ordered())
+    nxt = F.lead("mid_close").over(ordered())
     own = frames.hourly(spark, d).withColumn("up", nxt > F.col("mid_close")).where("up is not null")
     return own.withColumn("score", F.round("mid_close", 0)).withColumn("p", F.col("score") / (F.col("score") + 40))
 
@@ -475,15 +483,15 @@ QUERIES = {
     "discover_pairs": discover_pairs,
     "upsert_keep_last": upsert_keep_last,
     "bid_ask_inner_join": bid_ask_inner_join,
-    "log_returns": _family(features.returns, [f"log_ret_{k}" for k in features.RETURNS], 9),
-    "ret_std": _family(features.return_std, ["ret_std_15", "ret_std_60"]),
+    "log_returns": _windows(features.returns, 61, [f"log_ret_{k}" for k in features.RETURNS], 9),
+    "ret_std": _windows(features.return_std, 61, ["ret_std_15", "ret_std_60"]),
     "bollinger": bollinger,
-    "donchian": _family(lambda f: features.donchian_position(features.donchian(f, (60, 180)), (60, 180)), [f"donchian_{n}_{w}" for w in (60, 180) for n in ("high", "low", "pos")]),
-    "wick": _family(features.candles, ["body", "upper_wick", "lower_wick", "bar_range", "body_frac", "upper_wick_frac", "lower_wick_frac", "wick_imbalance", "upper_wick_rel", "lower_wick_rel"]),
-    "spread_stats": _family(features.spread_statistics, ["spread_mean_15", "spread_ratio_15", "spread_mean_60", "spread_ratio_60", "spread_z_60"]),
+    "donchian": _windows(lambda f: features.donchian_position(features.donchian(f, (60, 180)), (60, 180)), 181, [f"donchian_{n}_{w}" for w in (60, 180) for n in ("high", "low", "pos")]),
+    "wick": _windows(features.candles, 21, ["body", "upper_wick", "lower_wick", "bar_range", "body_frac", "upper_wick_frac", "lower_wick_frac", "wick_imbalance", "upper_wick_rel", "lower_wick_rel"]),
+    "spread_stats": _windows(features.spread_statistics, 61, ["spread_mean_15", "spread_ratio_15", "spread_mean_60", "spread_ratio_60", "spread_z_60"]),
     "time_features": _family(features.clock, ["hour_sin", "hour_cos", "dow_sin", "dow_cos"], 9, [*PT, "session_tokyo", "session_london", "session_ny", "session_overlap"]),
     "masked_returns": masked_returns,
-    "moments": _family(lambda f: features.moments(f, (48, 24)), MOMENTS),
+    "moments": _family(lambda f: over_slices(features.with_usual_step(f), lambda own: features.moments(own, (48, 24)), 50, counted=f), MOMENTS),
     "trailing_rank": trailing_rank,
     "trailing_z": trailing_z,
     "slot_rank": slot_rank,

@@ -32,7 +32,7 @@ def session(spark: SparkSession, folder: str, period: str) -> DataFrame:
 
 
 def recurrent(frame: DataFrame) -> DataFrame:
-    return features.recurrences(frame, **FAST)
+    return features.recurrences(frame, **FAST, pieces=True)
 
 
 def bands(frame: DataFrame, window: int = 20) -> DataFrame:
@@ -51,7 +51,7 @@ def regime(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signalled(spark: SparkSession, folder: str) -> DataFrame:
-    return strategies.reversion_signal(bands(hourly(spark, folder)))
+    return strategies.reversion_signal(bands(hourly(spark, folder)), pieces=True)
 
 
 def rounded(frame: DataFrame, keep: list[str], values: list[str], digits: int = 6) -> DataFrame:
