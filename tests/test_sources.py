@@ -131,3 +131,48 @@ def test_streamed_bars_are_upserted(spark, tmp_path):
     q.awaitTermination(120)
     held = barstore.BarStore(spark, str(tmp_path / "store"), "P", "mid").read_all().orderBy("timestamp").collect()
     assert [r.open for r in held] == [4.0, 5.0, 3.0]
+
+
+def _minute_bars(spark, month, minutes, price):
+    rows = [(dt.datetime(2024, month, 1) + dt.timedelta(minutes=m), price, price, price, price, 1.0) for m in minutes]
+    return spark.createDataFrame(rows, barstore.BARS)
+
+
+def test_appends_at_once_are_both_held(spark, tmp_path, monkeypatch):
+    """A second writer commits between the first one's reading and its commit, to the same and to another month."""
+    store = barstore.BarStore(spark, str(tmp_path), "EURUSD", "bid")
+    store.overwrite(_minute_bars(spark, 1, range(5), 1.0))
+    other, commit, late = barstore.BarStore(spark, str(tmp_path), "EURUSD", "bid"), barstore.BarStore._commit, []
+
+    def commit_late(self, read, months):
+        if self is store and not late:
+            late.append(True)
+            assert other.append(_minute_bars(spark, 1, range(3, 8), 2.0)) == 3 and other.append(_minute_bars(spark, 2, range(2), 3.0)) == 2
+        return commit(self, read, months)
+
+    monkeypatch.setattr(barstore.BarStore, "_commit", commit_late)
+    assert store.append(_minute_bars(spark, 1, [7, 9], 4.0)) == 1
+    found = {(r.timestamp.month, r.timestamp.minute): r.open for r in store.read_all().collect()}
+    assert found == {(1, 0): 1.0, (1, 1): 1.0, (1, 2): 1.0, (1, 3): 2.0, (1, 4): 2.0, (1, 5): 2.0, (1, 6): 2.0, (1, 7): 4.0, (1, 9): 4.0, (2, 0): 3.0, (2, 1): 3.0}
+    assert store.row_count() == 11 and len(store._manifests()) == 4
+    store.vacuum()
+    assert store.read_all().count() == 11
+
+
+def test_writers_in_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(k):
+        return barstore.BarStore(spark, str(tmp_path), "EURUSD", "ask").append(_minute_bars(spark, 1 + k % 2, range(10 * k, 10 * k + 10), float(k)))
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(write, range(4))) == [10] * 4
+    store = barstore.BarStore(spark, str(tmp_path), "EURUSD", "ask")
+    assert store.read_all().count() == store.row_count() == 40
+
+
+def test_a_file_is_created_once_and_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/held.json"
+    assert files.create_text(spark, path, "one") and not files.create_text(spark, path, "two") and files.read_text(spark, path) == "one"
+    files.write_text(spark, path, "three")
+    assert files.read_text(spark, path) == "three" and not [n for n in files.listing(spark, str(tmp_path)) if "draft" in n]

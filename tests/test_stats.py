@@ -97,8 +97,19 @@ def test_model_learns_and_shuffling_its_column_hurts(spark):
     accuracy = lambda d: d.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0]
     out = m.transform(f)
     assert accuracy(out) > 0.9 and abs(out.selectExpr("max(abs(p_up + p_down + p_flat - 1))").first()[0]) < 1e-9
-    drops = {c: d for c, d, _ in model.permutation_importance(m, f, accuracy, repeats=1)}
-    assert drops["a"] > 0.2 > drops["b"]
+    each = lambda d: stats.accuracy(d, "label", "predicted", ["variant"])
+    found = model.permutation_importance(m, f, each, repeats=2)
+    drops = {r["column"]: (r["drop"], r["sd"]) for r in found.collect()}
+    assert drops["a"][0] > 0.2 > drops["b"][0]
+    # the same by hand: every variant's column dealt by its own bijection
+    placed = model._numbered(f, F.xxhash64(F.lit(11), "pair", "ts"))
+    for k, c in enumerate("ab"):
+        by_hand = []
+        for r in range(2):
+            values = placed.select(model.permuted(F.col("_to"), 300, 12 + 2 * k + r).alias("_to"), F.col(c).alias("_dealt"))
+            assert values.select("_to").distinct().count() == 300
+            by_hand.append(accuracy(out) - accuracy(m.transform(placed.join(values, "_to").withColumn(c, F.col("_dealt")))))
+        assert drops[c] == pytest.approx((np.mean(by_hand), np.std(by_hand)))
 
 
 def test_stream_emits_each_closed_bar_once(spark, tmp_path):

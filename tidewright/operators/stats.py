@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import calendar
+from tidewright.operators.ranks import quantiles, running
 from tidewright.operators.slices import Running, scan
 
 
@@ -80,11 +81,10 @@ def average_rank(x: str, keys: list[str]) -> Column:
 
 
 def auc(frame: DataFrame, score: str, positive: Column, keys: list[str]) -> DataFrame:
-    """Rank AUC with average ties, exact: counts of each distinct score, then one running sum over those."""
+    """Rank AUC with average ties, exact: counts of each distinct score, then running sums over ranges of the score."""
     counts = frame.groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    won = F.sum(F.col("p") * F.col("_below") + F.col("p") * F.col("n") / 2)
-    total = counts.withColumn("_below", below).groupBy(*keys).agg(won.alias("_won"), F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    won = F.sum(F.col("p") * (F.col("upto_n") - F.col("n")) + F.col("p") * F.col("n") / 2)
+    total = running(counts, keys, score, ["n"]).groupBy(*keys).agg(won.alias("_won"), F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     return total.select(*keys, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_won") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
@@ -166,9 +166,8 @@ def describe(frame: DataFrame, columns: list[str], guards: dict[str, Column] | N
     """Count, shares of nulls and of infinities, moments, extremes and five exact quantiles of each column's finite values.
 
     ``guards`` names, for a column, rows at which it is undefined by its own rule (a
-    zero denominator, say); their share of all rows is ``guarded_share``. Values are
-    counted before they are ranked: a quantile comes from a running count of distinct
-    values, so no task holds a column.
+    zero denominator, say); their share of all rows is ``guarded_share``. Quantiles come
+    from counts of distinct values over ranges of the value, so no task holds a column.
     """
     guards = guards or {}
     x = F.col("cell.x")
@@ -182,29 +181,11 @@ def describe(frame: DataFrame, columns: list[str], guards: dict[str, Column] | N
         (F.count_if("guarded") / F.count("*")).alias("guarded_share"), F.min(F.when(known, F.col("ts"))).alias("first_valid"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return out.join(_quantiles(long.where(value.isNotNull()).select("feature", value.alias("x"))), "feature", "left").select(
+    return out.join(quantiles(long.where(value.isNotNull()).select("feature", value.alias("x")), ["feature"], "x", {f"p{q}": q / 100 for q in QUANTILES}), "feature", "left").select(
         "feature", "n", "null_share", "inf_share", "guarded_share", "first_valid", "mean", "sd", "min", *[f"p{q}" for q in QUANTILES], "max"
     )
 
 
-def _quantiles(long: DataFrame) -> DataFrame:
-    """Interpolated quantiles of (feature, x), from the running count over the distinct values of each."""
-    counts = long.groupBy("feature", "x").agg(F.count("*").alias("n"))
-    path = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("feature", "x", "n", F.sum("n").over(path).alias("upto"))
-    total = long.groupBy("feature").agg(F.count("*").alias("total"))
-    # one row for each feature
-    placed = ranked.join(F.broadcast(total), "feature")
-    cells = []
-    for q in QUANTILES:
-        at = (F.col("total") - 1) * (q / 100)
-        low, high = F.floor(at), F.ceil(at)
-        holds = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("x")))
-        share = F.max(at - low)
-        cells.append((holds(low) + (holds(high) - holds(low)) * share).alias(f"p{q}"))
-    return placed.groupBy("feature").agg(*cells)
-
-
 def usable_start(frame: DataFrame, columns: list[str]) -> tuple:
     """The first time at which every column has been defined, and the column that came last; (None, column) where one never is."""
     row = frame.agg(*[F.min(F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
@@ -237,6 +218,11 @@ def macro_auc(frame: DataFrame, label: str, probabilities: dict[int, str], keys:
     return out.groupBy(*keys).agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("classes"))
 
 
+def accuracy(frame: DataFrame, truth: str, predicted: str, keys: list[str]) -> DataFrame:
+    """(keys, metric): the share of rows whose class is predicted."""
+    return frame.groupBy(*keys).agg(F.avg((F.col(predicted) == F.col(truth)).cast("double")).alias("metric"))
+
+
 def directional_statistics(frame: DataFrame, label: str, up: str, down: str, per_trial: float, keys: list[str], z: float = 1.96) -> DataFrame:
     """``directional`` with standard error, Wald interval and z against the base rate; one independent trial for each ``per_trial`` rows."""
     p, base = F.col("accuracy"), F.col("base_rate")
@@ -253,8 +239,8 @@ def grouped_spread(frame: DataFrame, keys: list[Column], x: str) -> DataFrame:
 
 def frame_median(frame: DataFrame, x: str) -> float | None:
     """The exact median of all defined values, as a number for a setup; from counts of the distinct values."""
-    found = _quantiles(frame.where(F.col(x).isNotNull()).select(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x"))).first()
-    return None if found is None else found["p50"]
+    found = quantiles(frame.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x")), [], "x", {"median": 0.5}).first()
+    return None if found is None else found["median"]
 
 
 def top(frame: DataFrame, by: str, k: int, ties: list[str], keys: list[str] | None = None) -> DataFrame:

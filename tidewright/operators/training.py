@@ -9,6 +9,7 @@ from tidewright.functions.calendar import seconds_between
 from tidewright.functions.rolling import ratio
 from tidewright.operators import bars, events, features
 from tidewright.operators.asof import asof_many
+from tidewright.operators.ranks import quantiles, set_medians
 
 #: The timeframes over the base one, and those whose distance to it is a column.
 HIGHER = ("30min", "1h", "2h", "4h", "daily", "weekly")
@@ -102,9 +103,8 @@ def freshness(target: DataFrame, base: DataFrame, coarse: dict[str, DataFrame],
     long = seen.select("ts", F.inline(each))
     differs = ~F.col("now").eqNullSafe(F.col("late"))
     age = F.when(differs & F.col("now").isNotNull(), seconds_between(F.col("now"), F.col("ts")) / 60)
-    return long.groupBy("tf").agg(
-        F.count("*").alias("n"), F.count_if(differs).alias("stale"), F.percentile(age, F.lit(0.5)).alias("median_age"), F.percentile(age, F.lit(0.95)).alias("p95_age")
-    )
+    ages = quantiles(long.select("tf", age.alias("age")).where("age is not null"), ["tf"], "age", {"median_age": 0.5, "p95_age": 0.95})
+    return long.groupBy("tf").agg(F.count("*").alias("n"), F.count_if(differs).alias("stale")).join(ages, "tf", "left")
 
 
 def block_diagnostics(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,11 +132,11 @@ def variance_share(frame: DataFrame, slot: Column, x: str, keys: list[str]) -> D
 def balance(frame: DataFrame, candidates: list[tuple[int, ...]], label: str, volatility: str) -> DataFrame:
     """The five balance criteria of every candidate set of test chunks; smaller is better.
 
-    Rows are first counted per chunk, quarter, year, label and volatility; only those
-    counts meet the candidates, in a literal list, so medians are exact.
+    Rows are counted by chunk, quarter, year and label, and only those few counts meet the
+    candidates, in a literal list; exact medians of all candidates come from counts by chunk and interval.
     """
-    counts = frame.where("chunk_id >= 0").groupBy("chunk_id", F.quarter("ts").alias("q"), F.year("ts").alias("y"), F.col(label).alias("label"), F.col(volatility).alias("vol"))
-    counts = counts.agg(F.count("*").alias("n"))
+    dated = frame.where("chunk_id >= 0")
+    counts = dated.groupBy("chunk_id", F.quarter("ts").alias("q"), F.year("ts").alias("y"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
     picks = F.array(*[F.struct(F.lit(i).alias("candidate"), F.array(*map(F.lit, held)).alias("held")) for i, held in enumerate(candidates)])
     dealt = counts.select("*", F.inline(picks)).withColumn("t", F.array_contains("held", F.col("chunk_id")))
     parts = lambda c: dealt.where("t").groupBy("candidate", c).agg(F.sum("n").alias("n")).groupBy("candidate")
@@ -144,8 +144,13 @@ def balance(frame: DataFrame, candidates: list[tuple[int, ...]], label: str, vol
     side = lambda t, cond=F.lit(True): F.sum(F.when((F.col("t") == t) & F.col("label").isNotNull() & cond, F.col("n")))
     apart = [F.abs(F.coalesce(side(True, F.col("label") == k), F.lit(0)) / side(True) - F.coalesce(side(False, F.col("label") == k), F.lit(0)) / side(False)) for k in (-1, 0, 1)]
     labels = dealt.groupBy("candidate", "held").agg((F.greatest(*apart) * 100).alias("label_max_div_pp"))
-    medians = dealt.where("vol is not null").groupBy("candidate", "t").agg(F.percentile("vol", F.lit(0.5), F.col("n")).alias("m"))
-    medians = medians.groupBy("candidate").agg(F.max(F.when(F.col("t"), F.col("m"))).alias("median_test"), F.max(F.when(~F.col("t"), F.col("m"))).alias("median_train"))
+    values = dated.groupBy("chunk_id", F.col(volatility).alias("vol")).agg(F.count("*").alias("n"))
+    chunks = frozenset(r["chunk_id"] for r in counts.select("chunk_id").distinct().collect())
+    sets = [frozenset(held) & chunks for held in candidates] + [chunks - frozenset(held) for held in candidates]
+    medians = set_medians(values, "chunk_id", "vol", sets)
+    # a row for each candidate
+    rows = [(i, medians[i], medians[len(candidates) + i]) for i in range(len(candidates))]
+    medians = frame.sparkSession.createDataFrame(rows, "candidate int, median_test double, median_train double")
     out = labels.join(medians, "candidate").withColumn("vol_rel_div", F.abs(F.col("median_test") - F.col("median_train")) / F.col("median_train"))
     for share in shares:
         out = out.join(share, "candidate")

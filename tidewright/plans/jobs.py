@@ -141,9 +141,9 @@ def training_job(rows: DataFrame, columns: list[str], folder: str, names: list[s
         area = stats.macro_auc(scored, "label", {-1: "p_down", 0: "p_flat", 1: "p_up"}, []).first()
         out[name] = {"columns": used, "rounds": model.booster.best, **(found.asDict() if found else {}), "macro_auc": area["macro_auc"] if area else None}
         if repeats:
-            accuracy = lambda frame: frame.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] or 0.0
+            accuracy = lambda frame: stats.accuracy(frame, "label", "predicted", ["variant"])
             matter = permutation_importance(model, rows.where("split = 'test' and label is not null"), accuracy, repeats)
-            out[name]["importance"] = sorted(matter, key=lambda m: (-m[1], m[0]))[:15]
+            out[name]["importance"] = [tuple(r) for r in matter.orderBy(F.desc("drop"), "column").limit(15).collect()]
     write_json(rows.sparkSession, f"{folder}/models.json", {k: {n: v for n, v in m.items() if n != "importance"} for k, m in out.items()})
     return out
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.sources.files import delete, listing, read_json, write_json
+from tidewright.sources.files import as_json, create_text, delete, listing, read_json
 
 BARS = "timestamp timestamp_ntz, open double, high double, low double, close double, volume double"
 _TIME_NAMES = ("timestamp", "time", "datetime", "date")
@@ -63,7 +63,10 @@ class BarStore:
 
     The newest manifest names the current folder and row count of each month. An
     append writes the months that it touches into new folders and then a new
-    manifest: readers see all of an append or nothing, also when it dies in between.
+    manifest: readers see all of an append or nothing, also when it dies in between. A manifest has
+    the number after the one that its writer read, and is created only if nobody has: of
+    several writers at once, one commits, and the others put their months on top of its manifest, after
+    merging those again that it has changed.
     """
 
     def __init__(self, spark: SparkSession, root: str, pair: str, side: str):
@@ -72,10 +75,16 @@ class BarStore:
     def _manifests(self) -> list[str]:
         return [n for n in listing(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
 
+    def _newest(self) -> tuple[int, dict[str, dict]]:
+        """Number and months of the newest manifest; (-1, none) of an empty store."""
+        names = self._manifests()
+        if not names:
+            return -1, {}
+        return int(names[-1].split(".")[0]), dict(sorted(read_json(self.spark, f"{self.root}/manifest/{names[-1]}").items()))
+
     def months(self) -> dict[str, dict]:
         """Month -> its folder and rows, in order."""
-        names = self._manifests()
-        return dict(sorted(read_json(self.spark, f"{self.root}/manifest/{names[-1]}").items())) if names else {}
+        return self._newest()[1]
 
     def _read(self, months: list[dict]) -> DataFrame:
         if not months:
@@ -88,29 +97,40 @@ class BarStore:
     def overwrite(self, bars: DataFrame) -> None:
         """The bars in the place of all that is held; later rows win over earlier ones of their time."""
         numbered = normalize(bars).withColumn("_at", F.monotonically_increasing_id())
-        self._commit({}, keep_newest(numbered, ["timestamp"], ["_at"]).drop("_at"))
+        written = self._write(keep_newest(numbered, ["timestamp"], ["_at"]).drop("_at"))
+        while not self._commit(self._newest()[0], written):
+            pass  # another writer was first: once more, on top of that
 
     def append(self, new: DataFrame) -> int:
         """Upsert by timestamp: new rows win, later rows of one batch too. Returns how many timestamps are new."""
         new = normalize(new).withColumn("_at", F.monotonically_increasing_id())
         names = [r.month for r in new.select(F.date_format("timestamp", "yyyy-MM").alias("month")).distinct().collect()]
-        before = self.months()
-        touched = [before[m] for m in names if m in before]
-        held = self._read(touched).withColumn("_batch", F.lit(0)).withColumn("_at", F.lit(0).cast("long"))
-        merged = keep_newest(held.unionByName(new.withColumn("_batch", F.lit(1))), ["timestamp"], ["_batch", "_at"]).drop("_batch", "_at")
-        after = self._commit(before, merged)
-        return sum(m["rows"] for m in after.values()) - sum(m["rows"] for m in before.values())
-
-    def _commit(self, months: dict[str, dict], merged: DataFrame) -> dict[str, dict]:
+        read, written = {}, {}
+        while True:
+            number, before = self._newest()
+            changed = [m for m in names if m not in written or before.get(m) != read.get(m)]
+            if changed:
+                held = self._read([before[m] for m in changed if m in before]).withColumn("_batch", F.lit(0)).withColumn("_at", F.lit(0).cast("long"))
+                own = new.where(F.coalesce(F.date_format("timestamp", "yyyy-MM").isin(changed), F.lit(None in changed)))
+                merged = keep_newest(held.unionByName(own.withColumn("_batch", F.lit(1))), ["timestamp"], ["_batch", "_at"]).drop("_batch", "_at")
+                written |= self._write(merged)
+                read |= {m: before.get(m) for m in changed}
+            after = before | written
+            if self._commit(number, after):
+                return sum(m["rows"] for m in after.values()) - sum(m["rows"] for m in before.values())
+
+    def _write(self, merged: DataFrame) -> dict[str, dict]:
+        """Month -> folder and rows of bars in a new folder, which no manifest names yet."""
         version = uuid.uuid4().hex[:12]
         dated = merged.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
         dated.write.partitionBy("month").parquet(f"{self.root}/data/{version}")
         written = self.spark.read.schema(BARS + ", month string").parquet(f"{self.root}/data/{version}")
         counts = {r["month"]: r["count"] for r in written.groupBy("month").count().collect()}
-        after = months | {m: {"folder": f"data/{version}/month={m}", "rows": n} for m, n in counts.items()}
-        number = int(self._manifests()[-1].split(".")[0]) + 1 if self._manifests() else 0
-        write_json(self.spark, f"{self.root}/manifest/{number:012d}.json", after)
-        return after
+        return {m: {"folder": f"data/{version}/month={m}", "rows": n} for m, n in counts.items()}
+
+    def _commit(self, read: int, months: dict[str, dict]) -> bool:
+        """The manifest after number ``read``; False where another writer has made it."""
+        return create_text(self.spark, f"{self.root}/manifest/{read + 1:012d}.json", as_json(months))
 
     def vacuum(self) -> None:
         """Remove manifests but the newest, and folders that it does not name. For when no reader holds older ones."""
