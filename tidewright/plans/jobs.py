@@ -15,6 +15,7 @@ from tidewright.functions import calendar
 from tidewright.functions.rolling import following, prev
 from tidewright.operators import bars, features, labels, pipeline, simulate, split, stats, strategies, training
 from tidewright.operators.asof import asof
+from tidewright.operators.slices import Running, scan
 from tidewright.operators.model import ThreeClassModel, permutation_importance, subset
 from tidewright.sources import barstore, featurestore
 from tidewright.sources.files import write_csv, write_json
@@ -91,19 +92,52 @@ def label_breakdown(labelled: DataFrame, widths: list[float], by: Column | None
     )
 
 
-def label_job(minute: DataFrame, atr_bars: DataFrame, folder: str, widths=(1.0, 2.0), horizon: int = 240, tf: str = "15 minutes") -> dict[str, DataFrame]:
-    """Build, check the anchors (raises on a wrong one), write, and break down by width, gap, Friday and year."""
+def wrong_labels(labelled: DataFrame, minute: DataFrame, widths, horizon: int, events: int = 200, seed: int = 0, atr: str = "atr") -> DataFrame:
+    """(pair, ts, k, label, bars, ambiguous and what a scan of the bars ahead gives) where the two differ, for ``events`` labelled rows drawn by a hash.
+
+    The scan shares nothing with the fast way: the bars ahead of each drawn event are joined by their
+    numbers and looked through one by one.
+    """
+    numbered = scan(minute.select("pair", "ts", "mid_high", "mid_low"), {"_n": Running(F.lit(1))})
+    names = [f"{n}_{labels.tag(k)}" for k in widths for n in ("label", "bars", "ambiguous")]
+    held = labelled.where(F.col(names[0]).isNotNull()).select("pair", "ts", "anchor", F.col(atr).alias("_atr"), *names)
+    drawn = held.orderBy(F.xxhash64(F.lit(seed), "pair", "ts"), "pair", "ts").limit(events).join(numbered.select("pair", "ts", "_n"), ["pair", "ts"])
+    ahead = drawn.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_at", F.col("_n") + F.col("_step"))
+    met = ahead.join(numbered.select("pair", F.col("_n").alias("_at"), "mid_high", "mid_low"), ["pair", "_at"])
+    first = lambda hit: F.min(F.when(hit, F.col("_step")))
+    cells = [
+        F.struct(
+            F.lit(float(k)).alias("k"), first(F.col("mid_high") >= F.col("anchor") + k * F.col("_atr")).alias("up"), first(F.col("mid_low") <= F.col("anchor") - k * F.col("_atr")).alias("down"),
+            *[F.first(f"{n}_{labels.tag(k)}").alias(n) for n in ("label", "bars", "ambiguous")],
+        )
+        for k in widths
+    ]
+    each = met.groupBy("pair", "ts").agg(F.array(*cells).alias("cells")).select("pair", "ts", F.inline("cells"))
+    want = F.when(F.col("down") <= F.coalesce("up", "down"), -1).when(F.col("up").isNotNull(), 1).otherwise(0)
+    each = each.withColumn("scan_label", want).withColumn("scan_bars", F.coalesce(F.when(want == -1, F.col("down")).when(want == 1, F.col("up")), F.lit(horizon)))
+    each = each.withColumn("scan_ambiguous", F.coalesce(F.col("up") == F.col("down"), F.lit(False))).drop("up", "down")
+    return each.where("label <> scan_label or bars <> scan_bars or ambiguous <> scan_ambiguous")
+
+
+def label_job(minute: DataFrame, atr_bars: DataFrame, folder: str, widths=(1.0, 2.0), horizon: int = 240, tf: str = "15 minutes", checked: int = 200) -> dict[str, DataFrame]:
+    """Build, write, check the anchors and ``checked`` drawn labels (raises on a wrong one), and break down by width, gap, Friday and year."""
     labelled = build_labels(minute, atr_bars, widths, horizon, tf)
     labelled.write.mode("overwrite").partitionBy("pair").parquet(f"{folder}/labels")
     held = labelled.sparkSession.read.schema(labelled.schema).parquet(f"{folder}/labels")
     if (wrong := wrong_anchors(held, minute).first()) is not None:
         raise ValueError(f"the anchor of {wrong['pair']} at {wrong['ts']} is not the next open")
+    if checked and (wrong := wrong_labels(held, minute, widths, horizon, checked).first()) is not None:
+        raise ValueError(f"the label of {wrong['pair']} at {wrong['ts']} is not that of a scan: {wrong.asDict()}")
     ways = {"k": None, "gap": F.col("gap_type"), "friday": F.col("is_friday"), "year": F.year("anchor_ts")}
     return {name: label_breakdown(held, list(widths), by) for name, by in ways.items()}
 
 
-def split_job(frame: DataFrame, label: str, volatility: str, spread: str, start: dt.datetime, end: dt.datetime, horizon: int, embargo: int, test_share: float = 0.2, draws: int = 200, months: int = 3, seed: int = 0) -> tuple[DataFrame, dict]:
-    """The split table of the best balanced draw of test chunks, its gates' spread limit taken from the training rows alone, and what was chosen."""
+def split_job(frame: DataFrame, label: str, volatility: str, spread: str, start: dt.datetime, end: dt.datetime, horizon: int, embargo: int, test_share: float = 0.2, draws: int = 200, months: int = 3, seed: int = 0, gates: DataFrame | None = None, gate_tf: str = "15 minutes") -> tuple[DataFrame, dict]:
+    """The split table of the best balanced draw of test chunks, its gates' spread limit taken from the training rows alone, and what was chosen.
+
+    With ``gates``, bars of ``gate_tf`` with bands, rsi_14 and spread_close, the table has ``gate_stack`` under that
+    limit, as of those bars' closes, in the place of any gate that knew the test rows' spreads.
+    """
     chunks = split.build_chunks(start, end, months)
     dealt = split.with_chunk(frame, chunks)
     candidates = split.draw_candidates(len(chunks), max(1, round(test_share * len(chunks))), draws, seed)
@@ -111,6 +145,9 @@ def split_job(frame: DataFrame, label: str, volatility: str, spread: str, start:
     held = sorted(ranked["held"])
     table = split.assign_splits(dealt, held, horizon, embargo)
     limit = stats.frame_median(table.where("split = 'train'"), spread)
+    if gates is not None:
+        gated = gates.select("pair", "ts", features.gate_stack(float("-inf") if limit is None else limit).alias("gate_stack"))
+        table = asof(table.drop("gate_stack"), gated, ["gate_stack"], gate_tf).withColumn("gate_stack", F.coalesce("gate_stack", F.lit(False)))
     return table, {"chunks": len(chunks), "test": held, "rank_sum": ranked["rank_sum"], "spread_max": limit}
 
 
@@ -234,3 +271,31 @@ def gate_checks(frame: DataFrame) -> DataFrame:
     return frame.groupBy("pair").agg(
         F.count("*").alias("n"), F.count_if("gate_stack").alias("stack"), F.count_if("gate_cell_d").alias("cell_d"), F.count_if(untouched & (F.col("gate_stack") | F.col("gate_cell_d"))).alias("outside")
     )
+
+
+def close_convention(frame: DataFrame, period: str) -> DataFrame:
+    """(pair, n, off_width, shortest, longest): sessions whose close is not their start and the period's width in UTC, and hours from start to close."""
+    hours = calendar.seconds_between(F.col("ts"), calendar.session_close(F.col("ts"), period)) / 3600
+    own = frame.select("pair", hours.alias("_hours"))
+    return own.groupBy("pair").agg(
+        F.count("*").alias("n"), F.count_if(F.col("_hours") != calendar.SPANS[period]).alias("off_width"), F.min("_hours").alias("shortest"), F.max("_hours").alias("longest")
+    )
+
+
+def clock_change_check(target: DataFrame, sessions: DataFrame, period: str, days: int = 3) -> DataFrame:
+    """(pair, near, wrong): rows within ``days`` days of a New York clock change, and those that do not see the last session that has closed.
+
+    What a row sees comes from the as-of join; what it should see from each session's close alone,
+    joined by the two weeks that a row and a session may have in common.
+    """
+    shift = lambda ts: calendar.seconds_between(ts, calendar.to_wall(ts))
+    span = F.make_dt_interval(days=F.lit(days))
+    seen = asof(target.select("pair", "ts"), sessions.select("pair", "ts", F.col("ts").alias("label")), ["label"], period, "_seen")
+    near = seen.where(shift(F.col("ts") - span) != shift(F.col("ts") + span))
+    week = lambda ts: F.floor(F.unix_micros(ts.cast("timestamp")) / (7 * 86_400_000_000))
+    closes = sessions.select("pair", F.col("ts").alias("_label"), calendar.session_close(F.col("ts"), period).alias("_close"))
+    closes = closes.withColumn("_week", F.explode(F.array(week(F.col("_close")), week(F.col("_close")) + 1, week(F.col("_close")) + 2)))
+    both = near.withColumn("_week", week(F.col("ts"))).join(closes, ["pair", "_week"]).where("_close <= ts")
+    wanted = both.groupBy("pair", "ts").agg(F.max_by("_label", "_close").alias("wanted"))
+    found = near.distinct().join(wanted, ["pair", "ts"], "left")
+    return found.groupBy("pair").agg(F.count("*").alias("near"), F.count_if(F.col("wanted").isNotNull() & ~F.col("label_seen").eqNullSafe(F.col("wanted"))).alias("wrong"))

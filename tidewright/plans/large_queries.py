@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import calendar
+from tidewright.operators import bars, features, labels, ranks, slices
+from tidewright.operators.asof import asof
 from tidewright.operators.boosting import Settings, SoftmaxBooster
+from tidewright.plans import frames, jobs
 
 BOOST = Settings(depth=2, rounds=2, rate=0.3, penalty=1.0, gamma=0.1, least_hessian=5.0, bins=16, rows_share=1.0, columns_share=1.0)
 BOOST_COLUMNS = ["discount", "tax", "quantity", "price"]
@@ -38,4 +42,96 @@ def booster_losses(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rounds", *[(F.round(c, 8) + 0.0).alias(c) for c in ("fit_loss", "validation_loss")])
 
 
-QUERIES = {"booster_rounds": booster_rounds, "booster_losses": booster_losses}
+WIDTHS, HORIZON = (1.0, 1.5, 2.0, 2.5, 3.0), 240
+
+
+def triple_barrier_240(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of five widths over 240 bars, in slices of a few hundred rows."""
+    own = frames.hourly(spark, d).withColumn("atr", F.lit(8.0) + F.col("spread_close"))
+    found = labels.triple_barrier(own, WIDTHS, HORIZON, slice_rows=200)
+    names = [f"{n}_{labels.tag(k)}" for k in WIDTHS for n in ("label", "bars", "ambiguous")]
+    return frames.rounded(found, ["pair", "ts", *names], ["anchor", "time_barrier_bps"])
+
+
+def asof_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """What each order date knows of the last closed week and the last closed day with an urgent order: few rows a day, carried over days without any."""
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    ts = F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(F.pmod("o_orderkey", F.lit(24)).cast("int"))
+    target = rows.select(F.col("o_orderpriority").alias("pair"), ts.alias("ts")).distinct()
+    priced = rows.where("o_totalprice > 300000").select(F.col("o_orderpriority").alias("pair"), ts.alias("at"), "o_totalprice")
+    out = target
+    for period in ("daily", "weekly"):
+        label = calendar.session_label(calendar.session_key(F.col("at"), period))
+        bars = priced.groupBy("pair", label.alias("ts")).agg(F.max("o_totalprice").cast("double").alias("dearest"), F.count("*").alias("n"))
+        out = asof(out, bars, ["dearest", "n"], period, f"_{period}")
+    return frames.rounded(out, ["pair", "ts", "n_daily", "n_weekly"], ["dearest_daily", "dearest_weekly"])
+
+
+def windows_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """Bands, channels and returns of ticks, in slices of three hundred rows with halos."""
+    own = frames.flat(spark, d).groupBy("pair", "ts").agg(*[F.max(f"{p}_{s}").alias(f"{p}_{s}") for s in bars.SIDES for p in bars.PRICES])
+    own = bars.with_mids(own)
+
+    def build(f: DataFrame) -> DataFrame:
+        return features.donchian(features.bollinger(f.withColumn("r", features.log_return(5))), (1, 240))
+
+    found = slices.over_slices(own, build, 241, rows=300)
+    return frames.rounded(found, ["pair", "ts"], ["r", "bb_middle", "bb_upper", "bb_lower", "donchian_high_1", "donchian_low_240", "donchian_high_240"])
+
+
+def scans_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """Running sums, counts, largest falls and the change points of an order's status, over the days of each priority."""
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    own = rows.select(
+        F.col("o_orderpriority").alias("pair"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("ts"), "o_orderkey", "o_orderstatus", (F.when(F.col("o_orderkey") % 2 == 0, cents).otherwise(-cents)).alias("x")
+    )
+    order = ["ts", "o_orderkey"]
+    out = slices.scan(own, {"total": slices.Running(F.col("x")), "n": slices.Running(F.lit(1))}, order, "month")
+    out = slices.scan(out, {"peak": slices.Running(F.col("total"), "max")}, order, "month")
+    out = slices.previous(out, {"status_before": F.col("o_orderstatus")}, order, "month")
+    changed = ~F.col("o_orderstatus").eqNullSafe(F.col("status_before"))
+    out = slices.scan(out.withColumn("changed", changed.cast("long")), {"block": slices.Running(F.col("changed"))}, order, "month")
+    return out.select("pair", "o_orderkey", "total", "n", (F.col("total") - F.col("peak")).alias("fall"), "status_before", "block")
+
+
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of line prices by return flag, over ranges of the price."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    found = ranks.quantiles(rows, ["l_returnflag"], "price", {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99})
+    return frames.rounded(found, ["l_returnflag"], ["p01", "p25", "median", "p75", "p99"])
+
+
+def _order_sessions(spark: SparkSession, d: str, period: str) -> DataFrame:
+    ts = F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(F.pmod("o_orderkey", F.lit(24)).cast("int"))
+    label = calendar.session_label(calendar.session_key(ts, period))
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("pair"), label.alias("ts")).distinct()
+
+
+def close_conventions(spark: SparkSession, d: str) -> DataFrame:
+    """Hours from start to close of the sessions of order times, and those off their width, which a clock change makes."""
+    out = None
+    for period in ("2h", "4h", "daily", "weekly"):
+        part = jobs.close_convention(_order_sessions(spark, d, period), period).withColumn("period", F.lit(period))
+        out = part if out is None else out.unionByName(part)
+    return frames.rounded(out, ["pair", "period", "n", "off_width"], ["shortest", "longest"])
+
+
+def clock_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Order times near a clock change, and those that do not see the last closed daily session."""
+    ts = F.to_date("o_orderdate").cast("timestamp_ntz") + calendar.hours(F.pmod("o_orderkey", F.lit(24)).cast("int"))
+    target = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("pair"), ts.alias("ts"))
+    return jobs.clock_change_check(target.distinct(), _order_sessions(spark, d, "daily"), "daily")
+
+
+QUERIES = {
+    "booster_rounds": booster_rounds,
+    "booster_losses": booster_losses,
+    "triple_barrier_240": triple_barrier_240,
+    "asof_sliced": asof_sliced,
+    "windows_sliced": windows_sliced,
+    "scans_sliced": scans_sliced,
+    "price_quantiles": price_quantiles,
+    "close_conventions": close_conventions,
+    "clock_changes": clock_changes,
+}
