@@ -37,10 +37,10 @@ def key(frame, digits=9):
 def test_slices_hold_their_halos(bars, rows, before, behind):
     dealt = in_slices(bars, before, behind, rows).collect()
     order = {pair: sorted(r.ts for r in bars.collect() if r.pair == pair) for pair in "AB"}
-    assert sorted((r.pair, r.ts) for r in dealt if r._own) == sorted((p, t) for p, own in order.items() for t in own)
+    assert sorted((r.pair, r.ts) for r in dealt if r._of_slice) == sorted((p, t) for p, own in order.items() for t in own)
     held = {}
     for r in dealt:
-        held.setdefault((r.pair, r._slice), []).append((r.ts, r._own))
+        held.setdefault((r.pair, r._slice), []).append((r.ts, r._of_slice))
     for (pair, _), own in held.items():
         times = order[pair]
         first, last = min(t for t, o in own if o), max(t for t, o in own if o)

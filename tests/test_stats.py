@@ -122,19 +122,51 @@ def test_stream_emits_each_closed_bar_once(spark, tmp_path):
     assert found[START] == (0, 56, 0, 56, 9) and found[START + dt.timedelta(hours=1)][3] == 119 and START + dt.timedelta(hours=3) not in found
 
 
-def test_stream_signals(spark, tmp_path):
-    price = 50 + 2 * np.sin(np.arange(200) / 9) + np.random.default_rng(74).normal(0, 0.3, 200)
-    rows = [("P", START + dt.timedelta(minutes=i), float(m), 49.0, 50.0, 51.0) for i, m in enumerate(price)]
-    schema = "pair string, ts timestamp, mid_close double, bb_lower double, bb_middle double, bb_upper double"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = streaming.stream_reversion(stream).writeStream.format("memory").queryName("signals").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    held, wanted = 0, []
-    for m in price:
-        held = (0 if held * (m - 50) >= 0 else held) if held else 1 if m <= 49 else -1 if m >= 51 else 0
-        wanted.append(held)
-    assert [r.signal for r in spark.table("signals").orderBy("ts").collect()] == wanted and {-1, 0, 1} == set(wanted)
+BANDS = "pair string, ts timestamp, mid_close double, bb_lower double, bb_middle double, bb_upper double"
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name, held = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, held)
+
+
+def _stream_signals(spark, folder, parts, late):
+    """Signals of files that arrive one after the other."""
+    (folder / "in").mkdir()
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, BANDS).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(BANDS).parquet(str(folder / "in"))
+        q = streaming.stream_reversion(stream, late).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "c"))
+        q.outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+    return {(r.pair, r.ts): r.signal for r in spark.read.parquet(str(folder / "out")).collect()}
+
+
+def test_stream_signals_equal_the_batch_in_any_order_of_arrival(spark, tmp_path, rocksdb):
+    rng = np.random.default_rng(74)
+    bars, wanted = [], {}
+    for pair in "PQ":
+        held = 0
+        for i, m in enumerate(50 + 2 * np.sin(np.arange(90) / 9) + rng.normal(0, 0.3, 90)):
+            m = None if i in (17, 40) else float(m)
+            held = 0 if m is None else (0 if held * (m - 50) >= 0 else held) if held else 1 if m <= 49 else -1 if m >= 51 else 0
+            bars.append((pair, START + dt.timedelta(minutes=i), m, 49.0, 50.0, 51.0))
+            wanted[pair, bars[-1][1]] = held
+    # each bar is up to twenty minutes late, which the watermark allows
+    order = sorted(bars, key=lambda r: r[1] + dt.timedelta(minutes=float(rng.uniform(0, 20))))
+    parts = [order[i : i + 60] for i in range(0, len(order), 60)]
+    flush = [(p, START + dt.timedelta(days=1), 50.0, 49.0, 50.0, 51.0) for p in "PQ"]
+    found = _stream_signals(spark, tmp_path, [*parts, flush], "30 minutes")
+    assert found == wanted and {-1, 0, 1} == set(wanted.values())
+
+
+def test_a_bar_behind_the_watermark_changes_no_signal(spark, tmp_path, rocksdb):
+    bar = lambda i, m: ("P", START + dt.timedelta(minutes=i), m, 49.0, 50.0, 51.0)
+    found = _stream_signals(spark, tmp_path, [[bar(0, 48.0), bar(2, 49.5), bar(9, 49.5)], [bar(1, 55.0), bar(3, 49.6)], [bar(60, 50.0)]], "5 minutes")
+    signals = {ts.minute: s for (_, ts), s in found.items()}
+    assert signals == {0: 1, 2: 1, 9: 1}
 
 
 def test_stream_of_sessions(spark, tmp_path):
@@ -148,15 +180,3 @@ def test_stream_of_sessions(spark, tmp_path):
     for _, ts, mid in ticks:
         wanted.setdefault((ts - dt.timedelta(hours=22)).date(), []).append(mid)
     assert [(v[0], v[-1], len(v)) for v in wanted.values()] == [found[k] for k in sorted(found)]
-
-
-def test_a_late_bar_changes_no_signal(spark, tmp_path):
-    schema = "pair string, ts timestamp, mid_close double, bb_lower double, bb_middle double, bb_upper double"
-    (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    bar = lambda i, m: ("P", START + dt.timedelta(minutes=i), m, 49.0, 50.0, 51.0)
-    for rows in ([bar(0, 48.0), bar(2, 49.5)], [bar(1, 55.0), bar(3, 49.0)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = streaming.stream_reversion(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert [(r.ts.minute, r.signal) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()] == [(0, 1), (2, 1), (3, 1)]

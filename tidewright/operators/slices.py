@@ -36,7 +36,7 @@ def _key(unit: str) -> Column:
 
 
 def in_slices(frame: DataFrame, before: int, behind: int = 0, rows: int | None = None, unit: str = UNIT, counted: DataFrame | None = None) -> DataFrame:
-    """``frame`` with ``_slice`` and ``_own``: each row once as its slice's own, and again in the slices whose halo it is in.
+    """``frame`` with ``_slice`` and ``_of_slice``: each row once as its slice's own, and again in the slices whose halo it is in.
 
     A slice has the days whose first row is numbered in [k rows, (k + 1) rows) in its instrument; its halo is
     whole days, with the ``before`` rows before its first row and the ``behind`` rows after its last one.
@@ -56,15 +56,15 @@ def in_slices(frame: DataFrame, before: int, behind: int = 0, rows: int | None =
     asked = asked.withColumn("_asks", F.col("_asks").cast("int")).withColumn("_to", F.struct(F.col("_key.pair").alias("pair"), F.col("_asks").alias("slice")))
     needed = (F.col("_end") > F.col("_first") - before) & (F.col("_start") < F.col("_last") + behind)
     own = F.col("_asks") == F.col("_slice")
-    dealt = asked.join(slices, "_to").where(own | needed).select("_key", F.col("_asks").alias("_slice"), own.alias("_own"))
+    dealt = asked.join(slices, "_to").where(own | needed).select("_key", F.col("_asks").alias("_slice"), own.alias("_of_slice"))
     return frame.withColumn("_key", _key(unit)).join(dealt, "_key").drop("_key")
 
 
 def over_slices(frame: DataFrame, build: Callable[[DataFrame], DataFrame], before: int, behind: int = 0, rows: int | None = None, unit: str = UNIT, counted: DataFrame | None = None) -> DataFrame:
     """``build`` of ``frame``, slice by slice: equal to ``build(frame)`` if its frames reach ``before`` and ``behind`` rows at most."""
     dealt = in_slices(frame, before, behind, rows, unit, counted).withColumn("pair", F.struct("pair", "_slice"))
-    built = build(dealt).where("_own").withColumn("pair", F.col("pair.pair"))
-    return built.drop("_slice", "_own")
+    built = build(dealt).where("_of_slice").withColumn("pair", F.col("pair.pair"))
+    return built.drop("_slice", "_of_slice")
 
 
 def _order(order: list) -> Column:
