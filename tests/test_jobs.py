@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions import calendar
 from tidewright.operators import bars, features, labels, model, pipeline, stats, strategies
 from tidewright.plans import jobs
 from tidewright.sources import barstore, featurestore, files
@@ -185,3 +186,54 @@ def test_null_deviation_of_normal_moments():
     assert np.isclose(stats.null_sd("skew", n), skew.std(), rtol=0.03) and np.isclose(stats.null_sd("kurt", n), kurt.std(), rtol=0.05)
     low, high = stats.wald_interval(0.4, 50)
     assert np.isclose((high - low) / 2, 1.96 * np.sqrt(0.24 / 50))
+
+
+def _random_walk(spark, n=500, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for pair in ("P", "Q"):
+        at, x = START, 100.0
+        for _ in range(n):
+            at += dt.timedelta(minutes=int(rng.integers(1, 4)))
+            x += float(rng.normal(0, 0.3))
+            rows.append((pair, at, x, x + float(rng.random()), x - float(rng.random()), x + 0.1, None if rng.random() < 0.03 else 1.0))
+    return spark.createDataFrame(rows, "pair string, ts timestamp_ntz, mid_open double, mid_high double, mid_low double, mid_close double, atr double").cache()
+
+
+def test_labels_equal_a_scan_of_drawn_events(spark):
+    frame, widths = _random_walk(spark), (1.0, 2.5)
+    held = labels.triple_barrier(frame, widths, 240, slice_rows=90)
+    assert held.where("label_1_0 is not null").count() > 400
+    assert jobs.wrong_labels(held, frame, widths, 240, 150).count() == 0
+    broken = held.withColumn("bars_2_5", F.col("bars_2_5") + 1)
+    found = jobs.wrong_labels(broken, frame, widths, 240, 30).collect()
+    assert len(found) == 30 and {r.k for r in found} == {2.5} and all(r.bars == r.scan_bars + 1 for r in found)
+
+
+def test_gates_know_no_spread_of_the_test(spark):
+    """The limit is the median of the training rows' spreads, and a gate is seen once its bar has closed."""
+    rows = [("P", dt.datetime(2023, 1, 1) + dt.timedelta(days=i), (-1, 0, 1)[i % 3], float(i % 9), float(i) / 10000) for i in range(540)]
+    frame = spark.createDataFrame(rows, "pair string, ts timestamp_ntz, label int, vol double, spread double").withColumn("gate_stack", F.lit(True))
+    bars = spark.createDataFrame(
+        [("P", dt.datetime(2023, 1, 1) + dt.timedelta(hours=12 * i), 1.0, 1.5, 3.0, 2.0, 20.0, float(i) / 20000) for i in range(1080)],
+        "pair string, ts timestamp_ntz, mid_close double, bb_lower double, bb_upper double, bb_middle double, rsi_14 double, spread_close double",
+    )
+    table, chosen = jobs.split_job(frame, "label", "vol", "spread", dt.datetime(2023, 1, 1), dt.datetime(2024, 6, 20), 5, 5, 0.3, 20, gates=bars, gate_tf="12 hours")
+    spreads = {r.ts: r.spread_close for r in bars.collect()}
+    for r in table.collect():
+        seen = spreads.get(r.ts - dt.timedelta(hours=12))
+        assert r.gate_stack == (seen is not None and seen < chosen["spread_max"])
+    assert 0 < table.where("gate_stack").count() < table.count() == 540
+
+
+def test_closes_and_clock_changes(spark):
+    """The week of the change of March 2024: one daily session is 23 hours, and rows there see the last closed session."""
+    hours = [dt.datetime(2024, 3, 4) + dt.timedelta(hours=h) for h in range(24 * 14)]
+    frame = spark.createDataFrame([("P", h) for h in hours], "pair string, ts timestamp_ntz")
+    sessions = frame.select("pair", calendar.session_label(calendar.session_key(F.col("ts"), "daily")).alias("ts")).distinct()
+    (found,) = jobs.close_convention(sessions, "daily").collect()
+    assert (found.off_width, found.shortest, found.longest) == (1, 23.0, 24.0)
+    (checked,) = jobs.clock_change_check(frame, sessions, "daily").collect()
+    assert checked.near == 144 and checked.wrong == 0
+    (calm,) = jobs.clock_change_check(frame, sessions, "daily", 0).collect() or [None]
+    assert calm is None or calm.near <= 1

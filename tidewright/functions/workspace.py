@@ -66,6 +66,11 @@ class Workspace:
         delete(self.spark, self.path(name))
 
 
+def once(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in a workspace of its own: computed once, however often it is read."""
+    return Workspace(frame.sparkSession, label).keep("rows", frame)
+
+
 def write(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write Parquet under ``_SETTINGS``, and leave the session's settings as they were."""
     conf = frame.sparkSession.conf

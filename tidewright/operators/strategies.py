@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, StructField, StructType
 
+from tidewright.functions.workspace import once
 from tidewright.operators import folds
 from tidewright.operators.features import commission
 
@@ -117,7 +118,7 @@ def reversion_signal(frame: DataFrame, rule: Reversion = Reversion(), keys: tupl
 
     Pieces are walked by themselves. What one starts with follows from those before it:
     each maps the nine states and locks to what they become, and the maps are applied
-    one after the other, a few numbers for each piece. ``frame`` is read three times then.
+    one after the other, a few numbers for each piece. The pieces are written once and read twice then.
     """
     ready = rule.prepared(frame)
     schema = StructType([*frame.schema.fields, StructField(name, ByteType())])
@@ -130,7 +131,7 @@ def reversion_signal(frame: DataFrame, rule: Reversion = Reversion(), keys: tupl
 
     if not pieces:
         return ready.groupBy(*keys).applyInPandas(run, schema)
-    dealt = folds.in_pieces(ready, keys, 0).drop("_own")
+    dealt = once(folds.in_pieces(ready, keys, 0).drop("_own"), "rule")
     path = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.collect_list("_ends").over(path), F.array())
     start = F.aggregate(before, F.lit(_STARTS.index((0, 0))), lambda at, ends: F.get(ends, at))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import calendar
 from tidewright.functions.rolling import following, prev
+from tidewright.functions.workspace import once
 from tidewright.operators import bars, features, labels, pipeline, simulate, split, stats, strategies, training
 from tidewright.operators.asof import asof
-from tidewright.operators.slices import Running, scan
 from tidewright.operators.model import ThreeClassModel, permutation_importance, subset
+from tidewright.operators.slices import Running, scan
 from tidewright.sources import barstore, featurestore
 from tidewright.sources.files import write_csv, write_json
 
@@ -197,8 +198,8 @@ def at_decision(trades: DataFrame, frame: DataFrame, columns: list[str]) -> Data
 
 
 def rule_trades(frame: DataFrame, rules: dict[str, strategies.Strategy], setup: simulate.Setup) -> DataFrame:
-    """(rule, pair, ...) trades of every rule over every pair: pair and rule are the groups of one plan."""
-    signals = None
+    """(rule, pair, ...) trades of every rule over every pair: pair and rule are the groups of one plan over a frame that is written once."""
+    frame, signals = once(frame, "rules"), None
     for name, rule in rules.items():
         part = rule.generate_signals(frame).withColumn("rule", F.lit(name))
         signals = part if signals is None else signals.unionByName(part)
@@ -217,9 +218,10 @@ def head_to_head(trades: DataFrame, days: DataFrame, methods: dict[str, tuple[li
 
     ``trades`` (method, rule, period, pair, ..., net_bps, exit_ts); ``methods`` says for
     each on which periods, by which metric and with how many trades its rule is chosen.
-    Tables: chosen, summary of each method, exits, quarters, and the daily difference.
+    Tables: chosen, summary of each method, exits, quarters, and the daily difference. The trades are
+    written once.
     """
-    chosen = None
+    trades, chosen = once(trades, "trades"), None
     for name, (periods, metric, least) in methods.items():
         best = select_rule(trades.where(F.col("method") == name), periods, metric, least).withColumn("method", F.lit(name))
         chosen = best if chosen is None else chosen.unionByName(best)
