@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import events, folds, labels, simulate, split, strategies
+from tidewright.operators import bars, events, folds, labels, simulate, split, strategies
 from tidewright.operators.simulate import AtrBarrier, Costs, Setup, simulate_arrays
 
 START = dt.datetime(2024, 1, 2)
@@ -233,3 +233,34 @@ def test_chunks_drift_and_absorb():
         assert chunks[0][0] == a and chunks[-1][1] == z + dt.timedelta(minutes=1)
         assert all(x[1] == y[0] for x, y in zip(chunks, chunks[1:]))
         assert all(28 * 3 <= (y - x).days <= 93 for x, y in chunks[:-1]) and (z - chunks[-1][0]).days >= 45
+
+
+@pytest.mark.parametrize("rows", [100_000, 40, 3])
+def test_held_score_over_pieces_of_time(spark, monkeypatch, rows):
+    """A hold that lasts over the end of a piece, or over whole pieces, is that of one walk."""
+    monkeypatch.setattr(folds, "PIECE_ROWS", rows)
+    rng = np.random.default_rng(31)
+    data, wanted = [], {}
+    for pair in "PQ":
+        left, sign = 0, 0
+        for i in range(260):
+            ts = dt.datetime(2000, 1, 1) + dt.timedelta(days=23 * i)
+            score, valid = (None if rng.random() < 0.05 else float(rng.normal())), bool(rng.random() < 0.9)
+            if left == 0 and valid and score is not None and abs(score) > 1.2:
+                left, sign = 16, int(np.sign(score))
+            wanted[pair, ts] = sign if left else 0
+            left = max(left - 1, 0)
+            data.append((pair, ts, score, valid))
+    frame = spark.createDataFrame(data, "pair string, ts timestamp_ntz, score double, valid boolean")
+    found = {(r.pair, r.ts): r.signal for r in strategies.held_score_signal(frame, 1.2).collect()}
+    assert found == wanted and {-1, 0, 1} == set(wanted.values())
+    assert rows > 1000 or folds.in_pieces(frame, ("pair",), 0).select("_piece").distinct().count() > 4
+
+
+def test_common_rows_and_numbers(spark):
+    a = spark.createDataFrame([("P", 1), ("P", 2), ("P", 2), (None, 3)], "pair string, ts int")
+    b = spark.createDataFrame([("P", 2, "1.5", True), (None, 3, "x", None), ("Q", 1, None, False)], "pair string, ts int, t string, f boolean")
+    assert sorted(map(tuple, bars.common_rows([a, b]).collect()), key=str) == [("P", 2), (None, 3)] and bars.common_columns([b, a]) == ["pair", "ts"]
+    assert [tuple(r)[2:] for r in bars.numeric_view(b, ["t", "f"]).orderBy(F.col("ts").desc()).collect()] == [(None, None), (1.5, 1.0), (None, 0.0)]
+    with pytest.raises(KeyError):
+        bars.numeric_view(a, ["t"])

@@ -153,3 +153,30 @@ def format_quality(row, samples: list, label: str) -> str:
         f"  gaps: weekend {row['n_weekend']}, daily reset {row['n_daily_reset']}, active {row['n_active']} (largest {largest})",
     ]
     return "\n".join([*lines, *(f"    {g['start']} to {g['end']}: {g['minutes']:.0f} min" for g in samples)])
+
+
+def common_rows(frames: list[DataFrame], keys: tuple[str, ...] = ("pair", "ts")) -> DataFrame:
+    """The distinct keys that every frame has; keys that are null are equal."""
+    out = frames[0].select(*keys)
+    for frame in frames[1:]:
+        out = out.intersect(frame.select(*keys))
+    return out.distinct()
+
+
+def common_columns(frames: list[DataFrame]) -> list[str]:
+    """Names that every frame has, in the first one's order."""
+    return [c for c in frames[0].columns if all(c in frame.columns for frame in frames[1:])]
+
+
+def numeric_view(frame: DataFrame, columns: list[str], keep: tuple[str, ...] = ("pair", "ts")) -> DataFrame:
+    """The columns as doubles: flags are 0 and 1, times are seconds, text that is no number is null, and what is undefined stays so."""
+    if absent := [c for c in columns if c not in frame.columns]:
+        raise KeyError(f"the frame lacks {absent}")
+    kinds = dict(frame.dtypes)
+
+    def view(c: str) -> Column:
+        if kinds[c] in ("timestamp", "timestamp_ntz", "date"):
+            return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+        return F.col(c).try_cast("double")
+
+    return frame.select(*keep, *[view(c).alias(c) for c in columns])

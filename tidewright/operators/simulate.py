@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.workspace import once
+from tidewright.operators.ranks import quantiles
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -221,35 +224,34 @@ def simulate(frame: DataFrame, setup: Setup = Setup(), keys: tuple[str, ...] = (
 def metrics(simulated: DataFrame, setup: Setup = Setup(), keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """One row of results for each group of ``simulate``'s rows, after the warm-up.
 
-    Days are put together first, so a group passes through the simulator once and then
-    as one row for each of its days.
+    The rows are written once, so a group passes through the simulator once; days are put
+    together first, and the median trade comes from counts of values, not from a list of trades.
     """
     order = Window.partitionBy(*keys).orderBy("ts")
     live = simulated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") > setup.warmup)
     live = live.withColumn("_fall", F.col("equity") - F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    of = lambda name: F.flatten(F.collect_list(F.transform("closed", lambda t: t[name])))
+    live = once(live, "metrics")
+    of = lambda what: F.sum(F.aggregate("closed", F.lit(0.0), lambda a, t: a + what(t)))
     days = live.groupBy(*keys, F.to_date("ts").alias("day")).agg(
         F.max_by("equity", "ts").alias("last"), F.min_by("equity", "ts").alias("first"), F.max("ts").alias("_to"), F.min("ts").alias("_from"), F.sum("mid_close").alias("_prices"),
         F.count("mid_close").alias("_bars"), F.min("_fall").alias("_fall"), F.max_by("cum_spread_cost", "ts").alias("_spread"), F.max_by("cum_commission", "ts").alias("_fees"),
-        of("pnl").alias("_pnl"), of("bars_held").alias("_held"),
+        F.sum(F.size("closed")).alias("_trades"), of(lambda t: t["pnl"]).alias("_pnl"), of(lambda t: t["bars_held"].cast("double")).alias("_held"),
+        of(lambda t: (t["pnl"] > 0).cast("double")).alias("_won"),
     )
     days = days.withColumn("d", F.col("last") - F.lag("last").over(Window.partitionBy(*keys).orderBy("day")))
-    pnl, held = F.col("_all_pnl"), F.col("_all_held")
     out = days.groupBy(*keys).agg(
         (F.max_by("last", "day") - F.min_by("first", "day")).alias("total_pnl"),
         ((F.unix_micros(F.max("_to").cast("timestamp")) - F.unix_micros(F.min("_from").cast("timestamp"))) / 1e6 / (365.25 * 86400)).alias("_years"),
         (F.sum("_prices") / F.sum("_bars")).alias("avg_price"), F.min("_fall").alias("max_drawdown"), F.max_by("_spread", "day").alias("cum_spread_cost"), F.max_by("_fees", "day").alias("cum_commission"),
         F.avg("d").alias("_mean"), F.stddev_samp("d").alias("_sd"),
-        F.array_sort(F.flatten(F.collect_list("_pnl"))).alias("_all_pnl"), F.flatten(F.collect_list("_held")).alias("_all_held"),
+        *[F.sum(c).alias(c) for c in ("_trades", "_pnl", "_held", "_won")],
     )
-    n = F.size(pnl)
-    mean = lambda x: F.when(n > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n).otherwise(0.0)
-    middle = F.when(n > 0, (F.get(pnl, F.floor((n - 1) / 2).cast("int")) + F.get(pnl, F.floor(n / 2).cast("int"))) / 2).otherwise(0.0)
+    middle = quantiles(live.select(*keys, F.inline("closed")), list(keys), "pnl", {"_middle": 0.5})
+    out = out.join(middle, list(keys), "left")
+    n = F.col("_trades")
+    mean = lambda x: F.when(n > 0, F.col(x) / n).otherwise(0.0)
     out = out.withColumns(
-        {
-            "n_trades": n.cast("long"), "win_rate": F.when(n > 0, F.size(F.filter(pnl, lambda v: v > 0)) / n).otherwise(0.0),
-            "avg_trade_pnl": mean(pnl), "median_trade_pnl": middle, "avg_bars_held": mean(held),
-        }
+        {"n_trades": n.cast("long"), "win_rate": mean("_won"), "avg_trade_pnl": mean("_pnl"), "median_trade_pnl": F.coalesce("_middle", F.lit(0.0)), "avg_bars_held": mean("_held")}
     )
     value = setup.notional * F.col("avg_price")
     costs = F.col("cum_spread_cost") + F.col("cum_commission")

@@ -153,19 +153,56 @@ class HeldScore:
         return held_score_signal(frame, self.theta, self.hold, self.score, self.valid, keys)
 
 
+def _held_ends(frame: DataFrame, hold: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, _piece, _ends): for each number of bars that a piece may have to go on holding at its start, bars and sign at its end (sign 0: the one it came with)."""
+    kinds = dict(frame.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_piece int", "_ends array<struct<left: int, sign: int>>"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts", kind="stable")
+        entry, n = group["_entry"].to_numpy(), len(group)
+        entries = np.flatnonzero(entry)
+        ends = []
+        for left in range(hold):
+            at, sign = left, 0
+            while at < n and (k := np.searchsorted(entries, at)) < len(entries):
+                at, sign = int(entries[k]) + hold, int(entry[entries[k]])
+            ends.append((max(at - n, 0), sign))
+        first = {k: [group[k].iloc[0]] for k in (*keys, "_piece")}
+        return pd.DataFrame({**first, "_ends": [[{"left": a, "sign": b} for a, b in ends]]})
+
+    return frame.groupBy(*keys, "_piece").applyInPandas(run, schema)
+
+
 def held_score_signal(frame: DataFrame, theta: float, hold: int = 16, score: str = "score", valid: str = "valid", keys: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """When idle and the score's size passes theta, its sign is held for ``hold`` bars before the next look."""
+    """When idle and the score's size passes theta, its sign is held for ``hold`` bars before the next look.
+
+    In pieces of time: each maps the ``hold`` numbers of bars that it may have to go on holding to what it
+    ends with, and the maps are applied one after the other. The pieces are written once and read twice.
+    """
     schema = StructType([*frame.schema.fields, StructField("signal", ByteType())])
+    sign = F.signum(F.col(score).cast("double")).cast("int")
+    entry = F.when(F.coalesce(F.col(valid), F.lit(False)) & (F.abs(score) > theta), sign).otherwise(0)
+    dealt = once(folds.in_pieces(frame.withColumn("_entry", entry), keys, 0).drop("_own"), "held")
+    path = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.collect_list("_ends").over(path), F.array())
+    state = lambda left, own: F.struct(left.cast("int").alias("left"), own.cast("int").alias("sign"))
+    start = F.aggregate(
+        before, state(F.lit(0), F.lit(0)), lambda s, ends: state(F.get(ends, s["left"])["left"], F.when(F.get(ends, s["left"])["sign"] == 0, s["sign"]).otherwise(F.get(ends, s["left"])["sign"]))
+    )
+    starts = _held_ends(dealt.select(*keys, "_piece", "ts", "_entry"), hold, keys).select(*keys, "_piece", start.alias("_start")).select(*keys, "_piece", "_start.left", "_start.sign")
+    starts = starts.withColumnsRenamed({"left": "_left", "sign": "_sign"})
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts", kind="stable")
-        value = group[score].to_numpy(float)
-        entries = np.flatnonzero(group[valid].to_numpy(bool) & (np.abs(value) > theta))
-        out, at = np.zeros(len(group), np.int8), 0
+        entry, out, at = group["_entry"].to_numpy(), np.zeros(len(group), np.int8), int(group["_left"].iloc[0])
+        out[:at] = group["_sign"].iloc[0]
+        entries = np.flatnonzero(entry)
         while (k := np.searchsorted(entries, at)) < len(entries):
             first = entries[k]
-            out[first : first + hold] = np.sign(value[first])
+            out[first : first + hold] = entry[first]
             at = first + hold
-        return group.assign(signal=out)
+        return group.assign(signal=out)[schema.names]
 
-    return frame.groupBy(*keys).applyInPandas(run, schema)
+    # one row for each piece
+    return dealt.join(F.broadcast(starts), [*keys, "_piece"]).groupBy(*keys, "_piece").applyInPandas(run, schema)

@@ -170,7 +170,18 @@ near as (select * from o where {offset("(ts - interval 3 day)")} <> {offset("(ts
 select pair, count(*) as near, cast(0 as bigint) as wrong from near group by pair"""
 
 
+_COMMON = f"""
+{oracle._with(oracle._H, oracle._session("2h", "s2"), oracle._session("4h", "s4"))}
+select pair, ts from h where exists (select 1 from s2 where s2.pair = h.pair and s2.ts = h.ts) and exists (select 1 from s4 where s4.pair = h.pair and s4.ts = h.ts)"""
+
+_NUMERIC = """
+select o_orderkey, case when o_orderkey % 3 = 0 then cast(o_orderkey as double) end as text, case when o_orderstatus = 'O' then 1.0::double else 0.0::double end as open,
+  epoch_us(cast(cast(o_orderdate as date) as timestamp)) / 1000000.0::double as day, cast(o_totalprice as double) as o_totalprice from orders
+"""
+
 SQL |= {
+    "common_hours": _COMMON,
+    "numeric_orders": _NUMERIC,
     "triple_barrier_240": _labels_sql(),
     "asof_sliced": _carried_sql(),
     "windows_sliced": _windows_sql(),

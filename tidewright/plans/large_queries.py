@@ -124,7 +124,22 @@ def clock_changes(spark: SparkSession, d: str) -> DataFrame:
     return jobs.clock_change_check(target.distinct(), _order_sessions(spark, d, "daily"), "daily")
 
 
+def common_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Times that hourly bars, two-hour sessions and four-hour sessions all have a bar at."""
+    return bars.common_rows([frames.hourly(spark, d), frames.session(spark, d, "2h"), frames.session(spark, d, "4h")])
+
+
+def numeric_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as numbers: a text that is a number or none, a flag, a date and a price."""
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    clerk = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("string")).when(F.col("o_orderkey") % 3 == 1, "none")
+    own = rows.select("o_orderkey", clerk.alias("text"), (F.col("o_orderstatus") == "O").alias("open"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    return bars.numeric_view(own, ["text", "open", "day", "o_totalprice"], ("o_orderkey",))
+
+
 QUERIES = {
+    "common_hours": common_hours,
+    "numeric_orders": numeric_orders,
     "booster_rounds": booster_rounds,
     "booster_losses": booster_losses,
     "triple_barrier_240": triple_barrier_240,
