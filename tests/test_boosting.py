@@ -5,7 +5,6 @@ import pytest
 
 from tidewright.operators import boosting
 from tidewright.operators.boosting import Settings, SoftmaxBooster, Tree
-from tidewright.plans import large_queries  # noqa: F401
 
 SCHEMA = "a double, b double, c double, label int, held boolean"
 

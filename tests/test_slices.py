@@ -155,3 +155,33 @@ def test_trailing_extremes_and_quantiles_equal_a_loop():
                 own = own[~np.isnan(own)]
                 assert np.isnan(found[i]) if len(own) < least else abs(found[i] - np.quantile(own, k / 8)) < 1e-12
 
+
+
+def test_splits_over_slices_equal_a_loop(bars):
+    from tidewright.operators import split
+
+    chunks = [(START + dt.timedelta(days=3 * k), START + dt.timedelta(days=3 * k + 3)) for k in range(5)]
+    own = split.with_chunk(bars, chunks)
+    late = START + dt.timedelta(days=7)
+    for rows in (35, 100_000):
+        table = split.purged_validation(split.assign_splits(own, [1, 3], 9, 14, rows), late, 9, 14, rows)
+        found = {(r.pair, r.ts): r for r in table.collect()}
+        assert len(found) == bars.count()
+        for pair in "AB":
+            series = sorted((r for r in found.values() if r.pair == pair), key=lambda r: r.ts)
+            test = [r.chunk_id in (1, 3) for r in series]
+            edge = [i > 0 and series[i].chunk_id >= 0 <= series[i - 1].chunk_id and test[i] != test[i - 1] for i in range(len(series))]
+            is_late = [r.ts >= late for r in series]
+            for i, r in enumerate(series):
+                want = "test" if test[i] else "train"
+                if r.chunk_id < 0:
+                    want = "warmup"
+                elif not test[i] and any(test[i + 1 : i + 10]):
+                    want = "purged"
+                elif any(edge[max(0, i - 13) : i + 1]):
+                    want = "embargoed"
+                assert r.split == want
+            val = [r.split == "train" and is_late[i] for i, r in enumerate(series)]
+            for i, r in enumerate(series):
+                assert r.is_fit == (r.split == "train" and not is_late[i] and not any(val[i + 1 : i + 10]))
+                assert r.is_val == (val[i] and sum(is_late[: i + 1]) > 14)

@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from tidewright.settings import get_settings, setup_logging
+from tidewright.settings import bar_root, setup_logging
 from tidewright.sources.barstore import BarStore, import_bars
 
 
@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     asked.add_argument("--zone", default="UTC")
     given = asked.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
-    store = BarStore(spark, given.root or get_settings().path("bars"), given.pair, given.side)
+    store = BarStore(spark, given.root or bar_root(spark), given.pair, given.side)
     added = store.append(import_bars(spark, given.file, given.zone))
     setup_logging().info("%s %s: %d new bars, %d in all", given.pair.upper(), given.side, added, store.row_count())
     return added

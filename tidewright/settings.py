@@ -36,6 +36,13 @@ def get_settings() -> Settings:
     return Settings(os.environ.get("TIDEWRIGHT_ROOT") or f"{project_root()}/data", level)
 
 
+def bar_root(spark) -> str:
+    """The folder of the bar store. The default, a folder of the driver's project, is for one process only: on a cluster TIDEWRIGHT_ROOT has to name one that all share."""
+    if not os.environ.get("TIDEWRIGHT_ROOT") and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("TIDEWRIGHT_ROOT must name a folder that driver and executors share")
+    return get_settings().path("bars")
+
+
 def setup_logging(level: str | None = None) -> logging.Logger:
     """One handler with times in UTC; a second call changes the level only."""
     log = logging.getLogger("tidewright")
