@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.workspace import Workspace
 from tidewright.llm.textkernel import LOWER, blocks, letter_spans, small
 
-BLOCK = 24_000_000
+BLOCK = 12_000_000
 DENSE = 1_024
 PER_DEAL = 2_000
 CELLS = 1_000_000
@@ -47,20 +47,22 @@ _FOUND = "lang string, source string, part string, item string, value long"
 def _block_runs(raw: np.ndarray, starts: np.ndarray, langs: pa.Array, sources: pa.Array, documents: np.ndarray):
     """Record batches of the run lengths of one block, sorted by (lang and source, term, document) as codes."""
     first, end, row_starts = letter_spans(raw, starts)
-    if not len(first):
+    n_terms = len(first)
+    if not n_terms:
         return
     lengths = end - first
-    offsets = np.zeros(len(first) + 1, np.int32)
+    offsets = np.zeros(n_terms + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     inside = np.zeros(len(raw) + 1, np.int8)
     inside[first] += 1
     inside[end] -= 1
     letters = LOWER[raw[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]]
-    terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+    del inside, first, end, lengths
+    terms = pa.StringArray.from_buffers(n_terms, pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
     lang, source = langs.dictionary_encode(), sources.dictionary_encode()
     width = len(source.dictionary)
     groups, of_row = np.unique(lang.indices.to_numpy().astype(np.int64) * width + source.indices.to_numpy(), return_inverse=True)
-    document = np.repeat(np.arange(len(row_starts) - 1), np.diff(row_starts))
+    document = np.repeat(np.arange(len(row_starts) - 1, dtype=np.int32), np.diff(row_starts))
     key = terms.indices.to_numpy().astype(np.int64) * len(groups) + of_row[document]
     order = np.argsort(key, kind="stable")
     key, document = key[order], document[order]
