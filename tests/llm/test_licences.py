@@ -122,12 +122,15 @@ def test_query_equals_every_part_scored_alone(spark, model):
 
 
 def test_short_repeated_and_foreign_lines_are_prose(spark):
-    lines = ["Le.", "St.", "Des. Des. Des.", "Und Und Und", "Ndth.", "The " * 300, "Of " * 90, "A, " * 40, "MIT", "the license", "all rights", "Version 2.0", "GNU", "Ber mit die und. " * 40]
+    lines = ["Le.", "St.", "Des. Des. Des.", "Und Und Und", "Ndth.", "The " * 300, "Of " * 90, "A, " * 40, "the license", "Version 2.0", "GNU", "Ber mit die und. " * 40]
     rng = np.random.default_rng(12)
     letters = list("abcdefghijklmnopqrstuvwxyzäöüßéèñ")
     lines += [" ".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) for _ in range(int(rng.integers(1, 40)))).capitalize() + "." for _ in range(400)]
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     assert licence_lines(docs).collect() == []
+    # a family's name alone, or the start of a notice, is evidence: found, and not confirmed
+    short = {r.doc_id: (r.family, r.confirmed) for r in licence_lines(spark.createDataFrame([(1, "MIT"), (2, "all rights")], "doc_id long, text string")).collect()}
+    assert short == {1: ("MIT", False), 2: ("unknown licence", False)}
     long = "word " * 200_000 + "\nReleased under the MIT License.\n" + "more " * 200_000
     (found,) = licence_lines(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
     assert (found.line, found.family, found.confirmed) == (1, "MIT", True)
