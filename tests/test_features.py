@@ -196,6 +196,18 @@ def test_asof_sees_closed_bars_and_carries_nulls(spark):
     assert column(asof(target, bars, ["x"], "1 hour"), "x") == [None, None, 1.0, 1.0, None, 3.0]
 
 
+def test_moments_are_of_finite_returns(spark):
+    price = walk(np.random.default_rng(5), 90)[3]
+    price[40] = 0.0
+    found = features.moments(features.with_usual_step(frame(spark, {"mid_close": price})), (24,))
+    returns = np.diff(np.log(price, where=price > 0, out=np.full(90, np.nan)), prepend=np.nan)
+    down, skew = column(found, "semidev_down_24"), column(found, "ret_skew_24")
+    for i in range(24, 90):
+        own = returns[i - 23 : i + 1]
+        own = own[~np.isnan(own)]
+        assert down[i] == pytest.approx(1e4 * np.sqrt(np.mean(np.minimum(own, 0) ** 2))) and np.isfinite(skew[i])
+
+
 def test_later_bars_change_nothing_before_them(spark):
     rng = np.random.default_rng(7)
     price = 1.1 * np.exp(np.cumsum(rng.normal(0, 1e-3, 160)))

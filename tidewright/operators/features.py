@@ -1,6 +1,7 @@
 """Causal feature families of a bar frame: each is DataFrame -> DataFrame, and an undefined value is null.
 
-Families of pure windows share one partition and order, so they need one sort.
+Families of pure windows share one partition and order, so they need one sort. Log returns
+and their deviations follow the arithmetic of doubles: prices of 0 and below make them infinite or NaN.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import calendar
 from tidewright.functions.rolling import bar_number, full, ordered, prev, prior, ratio, trailing
 from tidewright.operators import folds
+from tidewright.operators.bars import finite
 from tidewright.operators.slices import previous
 
 EMA_SPANS = (9, 21, 50, 99, 200)
@@ -41,8 +43,15 @@ def recurrences(bars: DataFrame, ema_spans=EMA_SPANS, atr_period=14, rsi_periods
     return _null_nan(folds.fold(bars, ["mid_high", "mid_low", "mid_close"], outputs, lookback=40 * slowest if pieces else None), list(outputs))
 
 
+def _ln(x: Column) -> Column:
+    """The logarithm of a double: -inf of 0 and NaN below, where Spark's own is null."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def log_return(k: int = 1) -> Column:
-    return F.log("mid_close") - F.log(prev("mid_close", k))
+    """-inf into a price of 0, inf out of one, NaN between two of them and at a price below; null only where a price is."""
+    x = _ln(F.col("mid_close"))
+    return x - prev(x, k)
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -146,11 +155,11 @@ def masked_return(bars: DataFrame, name: str = "r") -> DataFrame:
 
 
 def moments(bars: DataFrame, windows=(96, 24), z_window: int | None = None) -> DataFrame:
-    """Bias-corrected skew and kurtosis, their octile twins, semi-deviations; from half a window of returns on, after w rows.
+    """Bias-corrected skew and kurtosis, their octile twins, semi-deviations; from half a window of finite returns on, after w rows.
 
     The octiles are a fold whose sorted window slides; the rest are windows.
     """
-    out = masked_return(bars, "_r").withColumn("_row", bar_number())
+    out = masked_return(bars, "_r").withColumn("_r", F.when(finite(["_r"]), F.col("_r"))).withColumn("_row", bar_number())
     r = F.col("_r")
     half = lambda w: max(4, -(-w // 2))
     octiles = {f"_e{k}_{w}": (lambda x, k=k, w=w: folds.trailing_quantile(x, w, half(w), k / 8)) for w in windows for k in range(1, 8)}

@@ -70,10 +70,11 @@ def asof_sliced(spark: SparkSession, d: str) -> DataFrame:
 def windows_sliced(spark: SparkSession, d: str) -> DataFrame:
     """Bands, channels and returns of ticks, in slices of three hundred rows with halos."""
     own = frames.flat(spark, d).groupBy("pair", "ts").agg(*[F.max(f"{p}_{s}").alias(f"{p}_{s}") for s in bars.SIDES for p in bars.PRICES])
-    own = bars.with_mids(own)
+    own = bars.with_mids(own).select("pair", "ts", "mid_high", "mid_low", "mid_close")
 
     def build(f: DataFrame) -> DataFrame:
-        return features.donchian(features.bollinger(f.withColumn("r", features.log_return(5))), (1, 240))
+        # returns after the channels, whose fold hands NaN on as null
+        return features.bollinger(features.donchian(f, (1, 240))).withColumn("r", features.log_return(5))
 
     found = slices.over_slices(own, build, 241, rows=300)
     return frames.rounded(found, ["pair", "ts"], ["r", "bb_middle", "bb_upper", "bb_lower", "donchian_high_1", "donchian_low_240", "donchian_high_240"])
